@@ -1,10 +1,12 @@
 """The registered query of each training-data operator, and its SQL where SQL can express it."""
 
-from . import exact_dedup, mixing, packing, url_filter
+from . import exact_dedup, mixing, packing, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_pack": packing.op3_pack,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op7_warc": warc.op7_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
