@@ -84,6 +84,9 @@ def tokenize(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.A
     distinct words). Null texts have no words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if texts.offset:  # ascii_lower misreads slices of large strings
+        texts = pa.concat_arrays([texts])
+    assert texts.offset == 0
     texts = texts.cast(pa.large_string()).fill_null("")
     if lower:
         texts = pc.ascii_lower(texts)

@@ -1,6 +1,6 @@
 """The registered query of each training-data operator, and its SQL where SQL can express it."""
 
-from . import exact_dedup, lm_scoring, mixing, packing, substring_dedup, toxicity, url_filter, warc
+from . import exact_dedup, jaccard_join, lm_scoring, mixing, packing, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_warc": warc.op7_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
