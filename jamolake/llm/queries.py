@@ -1,12 +1,13 @@
 """The registered query of each training-data operator, and its SQL where SQL can express it."""
 
-from . import exact_dedup, jaccard_join, lm_scoring, mixing, packing, substring_dedup, toxicity, url_filter, warc
+from . import exact_dedup, jaccard_join, lm_scoring, mixing, packing, substring_dedup, toxicity, url_filter, vector_dedup, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_lm_score": lm_scoring.op2_lm_score,
     "op3_pack": packing.op3_pack,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_vector_dedup": vector_dedup.op5_vector_dedup,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_warc": warc.op7_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
