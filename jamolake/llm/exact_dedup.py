@@ -63,7 +63,7 @@ def block_identity(texts: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, rid.
 
     Of equal texts the row with the largest doc_id stays (null ids are the smallest; among rows
     that repeat a doc_id, one stays). Null text counts as empty, and empty texts are equal to
@@ -75,11 +75,11 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, fingerprint: Ca
     slim = rows.select("rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
     tagged = scratch.store(slim.join(ident, "rid"))
     groups = tagged.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size"))
-    return tagged.join(groups, ["n_blocks", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256")
+    return tagged.join(groups, ["n_blocks", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256", "rid")
 
 
 def op8_exact_dedup(spark, sf_dir):
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
 ORACLE = """

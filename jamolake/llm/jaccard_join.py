@@ -193,7 +193,7 @@ def _verified(per_cent: int):
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
-    """(rid, doc_id, n_shingles, component_id) for every row of docs.
+    """(rid, doc_id, n_shingles, component_id, root) for every row of docs. root names the component.
 
     Rows are linked when 100 * intersection >= per_cent * union of their shingle sets;
     component_id is the least doc_id that links lead to, a row's own included (null ids count
@@ -248,9 +248,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataF
     member = some.select("rid", "doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).join(final, F.col("rep") == F.col("v"), "left").select("rid", "doc_id", "n", F.coalesce("root", "rep").alias("root"))
     member = scratch.store(member)
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = member.join(least, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(points.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    linked = member.join(least, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root")
+    return linked.unionByName(points.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("root")))
 
 
 def op9_jaccard_join(spark, sf_dir):
-    return jaccard_groups(table(spark, sf_dir, "documents"), words=4, per_cent=85).drop("rid")
+    return jaccard_groups(table(spark, sf_dir, "documents"), words=4, per_cent=85).drop("rid", "root")

@@ -235,6 +235,21 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
     return weighed.withColumn("score", p).select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "weight", "matches", "n_words")
 
 
+def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+    automaton = lexicon.automaton()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clean = []
+            for text in b.column("text").to_pylist():
+                folded = fold(text)
+                clean.append(lexicon.probability(matched(automaton, folded)[0], folded.count(" ") - 1) < threshold)
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold_of(doc_id, n: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
