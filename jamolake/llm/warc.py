@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, table, with_row_id
+from ._common import Scratch, shuffles_freed, table, with_row_id
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -72,7 +72,7 @@ def _records(date: str):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str | None = None, file_bytes: int = FILE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str | None = "gzip", file_bytes: int = FILE_BYTES) -> None:
     """Writes pages (page_id, url, html) as WARC records into the folder path.
 
     Of rows with equal payloads of at least min_bytes, the one with the largest page_id (null
@@ -85,12 +85,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     rows = rows.withColumn("digest", F.sha2(data, 256)).withColumn("n", F.length(data).cast("long"))
     long_enough = F.col("n") >= min_bytes
     keep = rows.where(long_enough).groupBy("digest", "n").agg(F.max(F.struct("page_id", "rid"))["rid"].alias("keep_rid"))
-    # at most one number comes to the driver
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
+    # two numbers come to the driver
+    total, n = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     marked = rows.join(keep, ["digest", "n"], "left").withColumn("keep_rid", F.when(long_enough, F.col("keep_rid")).otherwise(F.col("rid")))
-    dealt = marked.select("rid", "page_id", "url", "html", "keep_rid").repartition(int(files), "rid")
-    dealt.mapInArrow(_records(date), "value string").write.text(path, compression=compression, lineSep=END)
+    per_file = 3 * max(1, file_bytes * n // max(total, 1))  # a page makes three records
+    records = marked.select("rid", "page_id", "url", "html", "keep_rid").mapInArrow(_records(date), "value string")
+    with shuffles_freed(pages.sparkSession):
+        records.write.option("maxRecordsPerFile", per_file).text(path, compression=compression, lineSep=END)
 
 
 def _unpacked(data: bytes) -> bytes:
