@@ -170,7 +170,7 @@ def score(docs: DataFrame, training: Column, held_out_share: int = HELD_OUT_SHAR
         f2 = np.where(c1 > 0, c12 / np.maximum(c1, 1), 0.0)
         cell = (bucket(c1) * GRID + _grid(f2)) * 4096 + np.minimum(c2, 63) + np.where(c2 > 63, (np.log2(np.maximum(c2, 64)) * 16).astype(np.int64), 0)
         u, inverse = np.unique(cell, return_inverse=True)
-        total = lambda w: np.bincount(inverse, weights=w, minlength=len(u))
+        total = lambda w: np.bincount(inverse, weights=w, minlength=len(u)).astype(np.float64)
         extra = pa.table({"cell": pa.array([-1, -2], pa.int64()), "n": pa.array([float(n_fit), float(n_held)]), "f2": [0.0, 0.0], "c2": [0.0, 0.0]})
         return pa.concat_tables([pa.table({"cell": pa.array(u, pa.int64()), "n": total(np.ones(len(inverse))), "f2": total(f2), "c2": total(c2.astype(float))}), extra])
 
