@@ -187,7 +187,7 @@ def place_pairs(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, first) AS rank FROM n)
 SELECT conv_id::VARCHAR AS speaker_id, exp, act, n, n_utts, rank FROM r WHERE rank <= 3""")
 def win_topk_pairs(spark, sf):
-    return m.top_pairs(m.pair_counts(place_pairs(spark, sf)), 3).select("speaker_id", "exp", "act", "n", "n_utts", "rank")
+    return m.top_pairs(m.pair_counts(place_pairs(spark, sf)), 3).select("speaker_id", "exp", "act", "n", "n_utts", F.col("rank").cast("long").alias("rank"))
 
 
 _FOLD = r"regexp_replace(s, '[^\x00-\x7F]', '?', 'g')"

@@ -210,7 +210,7 @@ def stream_session_regions(spark, sf):
     return session_regions(e, gap="3 hours").select("user_id", "n_events")
 
 
-@query("stream_tumbling_chunks", "SELECT event_type, n_events, count(*) AS n_chunks FROM (SELECT event_type, epoch(ts)::BIGINT // 3600 AS w, count(*) AS n_events FROM events GROUP BY ALL) q GROUP BY ALL")
+@query("stream_tumbling_chunks", "SELECT event_type, n_events, count(*) AS n_chunks FROM (SELECT event_type, floor(epoch(ts) / 3600) AS w, count(*) AS n_events FROM events GROUP BY ALL) q GROUP BY ALL")
 def stream_tumbling_chunks(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return tumbling_chunks(e, "1 hour").groupBy("event_type", "n_events").agg(F.count("*").alias("n_chunks"))

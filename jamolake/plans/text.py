@@ -118,7 +118,7 @@ _ENDINGS = t.COHERENT_ENDINGS
 
 
 @query("flt_coherent", rf"""WITH {UTT}, t AS (SELECT role, {sql_text('cy')} AS y FROM utt)
-SELECT role, count(*) AS n, count_if(length(y) >= 5 AND length(regexp_replace(y, '[^가-힣]', '', 'g')) >= 0.7 * length(y) AND regexp_matches(y, '[{_ENDINGS}]')) AS n_coherent FROM t GROUP BY role""")
+SELECT role, count(*) AS n, count_if(length(y) >= 5 AND length(regexp_replace(y, '[^가-힣]', '', 'g')) >= 0.7 * length(y) AND regexp_matches(y, '[{_ENDINGS}]'))::BIGINT AS n_coherent FROM t GROUP BY role""")
 def flt_coherent(spark, sf):
     return utterances(spark, sf).groupBy("role").agg(F.count("*").alias("n"), F.count_if(t.is_coherent(F.col("y"))).alias("n_coherent"))
 
