@@ -13,6 +13,8 @@ driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,6 +84,13 @@ def _reply(part, keys, more):
     return back, [(-1, pack(np.array([(sums[0][real] > 0).sum(), ((sums[0] + sums[1])[real] > 0).sum()])))]
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers of distinct tokens that the unigram parts found."""
+    for b in batches:
+        found = [unpack(p.as_py())[0] for p in b.column("payload")]
+        yield pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], pa.int64()) for i in (0, 1)], ["v_fit", "v"])
+
+
 def _looked_up(t: _Tokens, got: list[tuple[int, bytes]]):
     """Counts of context, token and bigram at each token: arrays (fitted, held-out) of each."""
     def column(kind, i, n):
@@ -156,9 +165,8 @@ def score(docs: DataFrame, training: Column, held_out_share: int = HELD_OUT_SHAR
         return to_parts(block, uni_parts, 0, t.uni, *uni) + to_parts(block, bi_parts, BIGRAM, t.bi, *bi)
 
     answers = scratch.store(answer(ask(blocks, keys), _reply))
-    # two numbers from each unigram part
-    sizes = [unpack(bytes(r[0]))[0] for r in answers.where("block < 0").select("payload").collect()]
-    v_fit, v = (int(sum(s[i] for s in sizes)) for i in (0, 1))
+    sizes = answers.where("block < 0").select("payload").mapInArrow(_sizes, "v_fit long, v long")
+    v_fit, v = sizes.agg(F.coalesce(F.sum("v_fit"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
 
     def held_out(_, rows, got):
         t = _Tokens(rows)
