@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that a Python worker gets at once: whole texts are long.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,13 +67,16 @@ class Scratch:
 
 @contextlib.contextmanager
 def shuffles_freed(spark: SparkSession):
-    """Within it, a query's shuffle files go when the query ends."""
-    before = spark.conf.get(_CLEANUP, "false")
+    """Within it, a query's shuffle files go when the query ends, and Python workers get texts in
+    batches of BATCH_ROWS."""
+    before = {k: spark.conf.get(k) for k in (_CLEANUP, _BATCH)}
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before[_BATCH]) or BATCH_ROWS)))
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def partitions(spark: SparkSession) -> int:

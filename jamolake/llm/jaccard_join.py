@@ -25,13 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import pack, steps, unpack
-from ._common import Scratch, mix, table, tokenize, windows, with_row_id, word_keys
+from ._common import Scratch, mix, shuffles_freed, table, tokenize, windows, with_row_id, word_keys
 from ._components import components
 
-GROUPS, FANOUT = 64, 16
+#: Groups of the trees' points. Pairs of points meet again on finer groups, of which texts of more
+#: than LONG shingles have more: the finer, the less do texts that share a passage seem to overlap.
+GROUPS, FINE_GROUPS, LONG_GROUPS, LONG, FANOUT = 64, 256, 1024, 1000, 16
+#: Rows of a task's call that joins many small blocks at once.
+CALL_ROWS = 50_000
 #: Documents of a leader group, and of a tile of a tree's block.
 LEADER_GROUP, TILE = 512, 1024
-#: The order of shingles comes from a sample of this many documents: those in one of 500 are
+#: The order of shingles comes from a sample of about this many documents: those in one of 500 are
 #: common. It only decides which shingles come first, never which pairs are found.
 ORDER_ROWS, COMMON = 20_000, 500
 
@@ -64,6 +68,23 @@ def least_overlap(total: np.ndarray, per_cent: int) -> np.ndarray:
     return -(-per_cent * total // (100 + per_cent))
 
 
+def group_counts(shingles: np.ndarray) -> bytes:
+    """Fine counts as single bytes, or should one not fit the coarse ones as eight each."""
+    g = LONG_GROUPS if len(shingles) > LONG else FINE_GROUPS
+    fine = np.bincount((shingles % np.uint64(g)).astype(np.int64), minlength=g)
+    return fine.astype("u1").tobytes() if fine.max() < 256 else fine.reshape(-1, GROUPS).sum(axis=0).astype("<u8").tobytes()
+
+
+def opened_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u8" if len(data) == 8 * GROUPS else "u1").astype(np.int64)
+
+
+def finest_overlap(p: np.ndarray, q: np.ndarray) -> int:
+    """Bound of the overlap on the finest groups that both have; coarser ones are sums of finer."""
+    g = min(len(p), len(q))
+    return int(np.minimum(p.reshape(-1, g).sum(axis=0), q.reshape(-1, g).sum(axis=0)).sum())
+
+
 def _points(words: int, per_cent: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -74,7 +95,7 @@ def _points(words: int, per_cent: int, common: np.ndarray):
                     with np.errstate(over="ignore"):
                         d1.append(int(mix(s, s).sum(dtype=np.uint64).astype(np.int64)))
                         d2.append(int(np.bitwise_xor.reduce(mix(s, np.full_like(s, 77))).astype(np.int64)) if len(s) else 0)
-                    counts.append(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                    counts.append(group_counts(s))
                     k = len(s) - -(-per_cent * len(s) // 100) + 1 if len(s) else 0
                     if len(common) and len(s):
                         late = np.isin(s, common, assume_unique=True)
@@ -167,18 +188,48 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, owner: np.ndarray, per_cen
     return (order[i[ok]], order[j[ok]]) if m else (i[:0], j[:0])
 
 
+def block_pairs(block: np.ndarray, points: np.ndarray, sizes: np.ndarray, owner: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """tree_pairs() inside every block of rows sorted by block. Blocks that are a single leaf are
+    joined side by side: rows k apart, for each k."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+    length = np.diff(starts)
+    leaf = np.repeat(length <= FANOUT, length)
+    left, right = [], []
+    for k in range(1, FANOUT):
+        i = np.flatnonzero(leaf[:-k] & (block[:-k] == block[k:]) & (owner[:-k] != owner[k:])) if k < len(block) else np.zeros(0, dtype=np.int64)
+        for at in range(0, len(i), 65_536):
+            x = i[at : at + 65_536]
+            ok = np.minimum(points[x], points[x + k]).sum(axis=1) >= least_overlap(sizes[x] + sizes[x + k], per_cent)
+            left.append(x[ok])
+            right.append(x[ok] + k)
+    for n, at in zip(length, starts):
+        if n > FANOUT:
+            i, j = tree_pairs(points[at : at + n], sizes[at : at + n], owner[at : at + n], per_cent)
+            left.append(i + at)
+            right.append(j + at)
+    return np.concatenate(left or [starts[:0]]), np.concatenate(right or [starts[:0]])
+
+
 def _tree_join(per_cent: int):
     def run(group: pa.Table) -> pa.Table:
-        rids = group.column("rid").to_numpy()
-        points = np.frombuffer(b"".join(group.column("counts").to_pylist()), dtype="<u4").reshape(len(rids), GROUPS)
-        i, j = tree_pairs(points, group.column("n").to_numpy(), group.column("root").to_numpy(), per_cent)
-        side = group.column("page").to_numpy()
-        t = (group.column("x")[0].as_py(), group.column("y")[0].as_py())
-        if t[0] != t[1]:  # pairs of one page have a tile of their own
-            ok = side[i] != side[j]
-            i, j = i[ok], j[ok]
-        a, b = rids[i], rids[j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        group = group.sort_by([("shingle", "ascending"), ("x", "ascending"), ("y", "ascending")])
+        rids, x, y, page = (group.column(c).to_numpy() for c in ("rid", "x", "y", "page"))
+        key = np.stack([group.column("shingle").to_numpy(), x, y])
+        block = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
+        once = dict(zip(rids.tolist(), group.column("counts")))  # a text is in many blocks
+        fine = {r: opened_counts(c.as_py()) for r, c in once.items()}
+        coarse = {r: f.reshape(-1, GROUPS).sum(axis=0) for r, f in fine.items()}
+        points = np.stack([coarse[r] for r in rids.tolist()])
+        sizes = group.column("n").to_numpy()
+        i, j = block_pairs(block, points, sizes, group.column("root").to_numpy(), per_cent)
+        ok = (x[i] == y[i]) | (page[i] != page[j])  # pairs of one page have a tile of their own
+        i, j = i[ok], j[ok]
+        a, b = np.minimum(rids[i], rids[j]), np.maximum(rids[i], rids[j])
+        _, once = np.unique(np.stack([a, b]), axis=1, return_index=True)
+        i, j, a, b = i[once], j[once], a[once], b[once]
+        need = least_overlap(sizes[i] + sizes[j], per_cent)
+        ok = np.array([finest_overlap(fine[p], fine[q]) >= n for p, q, n in zip(a.tolist(), b.tolist(), need.tolist())], dtype=bool)
+        return pa.table({"a": a[ok], "b": b[ok]})
 
     return run
 
@@ -208,17 +259,21 @@ def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataF
     rows = with_row_id(docs.select("doc_id", "text"))
     texts = rows.select("rid", "text")
 
-    sample = texts.withColumn("h", F.xxhash64("rid", F.lit("order"))).orderBy("h").limit(ORDER_ROWS).select("text")
-    n_sample = min(ORDER_ROWS, rows.count())
+    n_docs = rows.count()
+    n_sample = min(ORDER_ROWS, n_docs)
+    sample = texts.where(F.pmod(F.xxhash64("rid", F.lit("order")), F.lit(max(1, n_docs))) < ORDER_ROWS).select("text")
     # a shingle in one of COMMON sampled texts; at most COMMON times the shingles of a mean text
     often = max(8, -(-n_sample // COMMON))
-    common = np.array(sorted(r[0] for r in sample.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= often).select("shingle").collect()), dtype=np.int64).view(np.uint64)
+    with shuffles_freed(spark):
+        common = np.array(sorted(r[0] for r in sample.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= often).select("shingle").collect()), dtype=np.int64).view(np.uint64)
     common.sort()
 
     points = scratch.store(rows.mapInArrow(_points(words, per_cent, common), f"rid long, doc_id {kind}, n long, d1 long, d2 long, firsts array<long>, counts binary"))
-    some = points.where("n > 0")
-    classes = some.groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep"))
-    reps = scratch.store(some.select("rid", "n", "firsts", "counts").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi"))
+    slim = scratch.store(points.select("rid", "doc_id", "n", "d1", "d2"))
+    some = slim.where("n > 0")
+    classes = scratch.store(some.groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep")))
+    reps = scratch.store(points.where("n > 0").select("rid", "n", "firsts", "counts").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi"))
+    scratch.drop(points)
 
     # first links: near copies to leaders
     first = reps.select("rid", F.col("firsts")[0].alias("shingle"))
@@ -229,12 +284,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataF
     roots = components(links, scratch)
 
     # blocks of texts that share a first shingle and are not all connected yet
-    known = scratch.store(reps.select("rid", "n", "firsts", "counts").join(roots, F.col("rid") == F.col("v"), "left").select("rid", "n", F.coalesce("root", "rid").alias("root"), "firsts", "counts"))
+    known = reps.join(roots, F.col("rid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "rid"))
     at = known.select("rid", "root", F.explode("firsts").alias("shingle"))
-    blocks = at.groupBy("shingle").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", F.ceil(F.col("m") / TILE).cast("int").alias("pages"))
+    blocks = scratch.store(at.groupBy("shingle").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "m", F.ceil(F.col("m") / TILE).cast("int").alias("pages")))
+    n_rows = blocks.agg(F.coalesce(F.sum(F.col("m") * F.col("pages")), F.lit(0))).first()[0]
+    calls = int(-(-n_rows // CALL_ROWS)) or 1
     paged = at.join(blocks, "shingle").withColumn("page", F.pmod(F.xxhash64("rid"), F.col("pages")).cast("int"))
     tiles = paged.select("rid", "shingle", "page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("other")).select("rid", "shingle", "page", F.least("page", "other").alias("x"), F.greatest("page", "other").alias("y"))
-    met = tiles.join(known.select("rid", "n", "root", "counts"), "rid").groupBy("shingle", "x", "y").applyInArrow(_tree_join(per_cent), "a long, b long")
+    met = tiles.join(known.select("rid", "n", "root", "counts"), "rid").withColumn("call", F.pmod(F.xxhash64("shingle", "x", "y"), F.lit(calls))).groupBy("call").applyInArrow(_tree_join(per_cent), "a long, b long")
     pairs = scratch.store(met.distinct())
 
     # verification on the sets of the texts in question
@@ -242,14 +299,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataF
     sets = scratch.store(texts.join(asked.hint("shuffle_hash"), "rid").mapInArrow(_sets(words), "rid long, shingles binary"))
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
     more = scratch.store(both.select("a", "b", "sa", "sb").mapInArrow(_verified(per_cent), "a long, b long"))
-    scratch.drop(known, sets, pairs)
+    scratch.drop(reps, blocks, sets, pairs)
 
     final = components(links.unionByName(more), scratch)
     member = some.select("rid", "doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).join(final, F.col("rep") == F.col("v"), "left").select("rid", "doc_id", "n", F.coalesce("root", "rep").alias("root"))
     member = scratch.store(member)
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = member.join(least, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root")
-    return linked.unionByName(points.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("root")))
+    return linked.unionByName(slim.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("root")))
 
 
 def op9_jaccard_join(spark, sf_dir):
