@@ -33,8 +33,10 @@ from ._components import components
 GROUPS, FINE_GROUPS, LONG_GROUPS, LONG, FANOUT = 64, 256, 1024, 1000, 16
 #: Rows of a task's call that joins many small blocks at once.
 CALL_ROWS = 50_000
-#: Documents of a leader group, and of a tile of a tree's block.
-LEADER_GROUP, TILE = 512, 1024
+#: Documents of a leader group, least hashes by which a document comes into such groups (common
+#: shingles included; large groups are dealt anew for each, so that their parts meet), and documents
+#: of a tree's tile.
+LEADER_GROUP, LEADER_SHINGLES, TILE = 512, 4, 1024
 #: The order of shingles comes from a sample of about this many documents: those in one of 500 are
 #: common. It only decides which shingles come first, never which pairs are found.
 ORDER_ROWS, COMMON = 20_000, 500
@@ -91,6 +93,7 @@ def _points(words: int, per_cent: int, common: np.ndarray):
             for b in _pieces(whole):
                 sets = shingle_sets(b.column("text"), words)
                 d1, d2, firsts, counts = [], [], [], []
+                least = [s[:LEADER_SHINGLES].astype(np.int64).tolist() for s in sets]
                 for s in sets:
                     with np.errstate(over="ignore"):
                         d1.append(int(mix(s, s).sum(dtype=np.uint64).astype(np.int64)))
@@ -102,7 +105,7 @@ def _points(words: int, per_cent: int, common: np.ndarray):
                         s = np.concatenate([s[~late][:k], s[late]])
                     firsts.append(s[:k].astype(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64))), pa.array(counts, pa.binary())], ["rid", "doc_id", "n", "d1", "d2", "firsts", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64))), pa.array(counts, pa.binary()), pa.array(least, pa.list_(pa.int64()))], ["rid", "doc_id", "n", "d1", "d2", "firsts", "counts", "least"])
 
     return run
 
@@ -268,17 +271,17 @@ def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataF
         common = np.array(sorted(r[0] for r in sample.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= often).select("shingle").collect()), dtype=np.int64).view(np.uint64)
     common.sort()
 
-    points = scratch.store(rows.mapInArrow(_points(words, per_cent, common), f"rid long, doc_id {kind}, n long, d1 long, d2 long, firsts array<long>, counts binary"))
+    points = scratch.store(rows.mapInArrow(_points(words, per_cent, common), f"rid long, doc_id {kind}, n long, d1 long, d2 long, firsts array<long>, counts binary, least array<long>"))
     slim = scratch.store(points.select("rid", "doc_id", "n", "d1", "d2"))
     some = slim.where("n > 0")
     classes = scratch.store(some.groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep")))
-    reps = scratch.store(points.where("n > 0").select("rid", "n", "firsts", "counts").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi"))
+    reps = scratch.store(points.where("n > 0").select("rid", "n", "firsts", "counts", "least").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi"))
     scratch.drop(points)
 
     # first links: near copies to leaders
-    first = reps.select("rid", F.col("firsts")[0].alias("shingle"))
+    first = reps.select("rid", F.explode("least").alias("shingle"))
     sizes = first.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1")
-    grouped = first.join(sizes, "shingle").select("rid", "shingle", F.pmod(F.xxhash64("rid"), F.ceil(F.col("m") / LEADER_GROUP)).alias("salt"))
+    grouped = first.join(sizes, "shingle").select("rid", "shingle", F.pmod(F.xxhash64("rid", "shingle"), F.ceil(F.col("m") / LEADER_GROUP)).alias("salt"))
     led = texts.join(grouped.hint("shuffle_hash"), "rid").groupBy("shingle", "salt").applyInArrow(_link_to_leaders(words, per_cent), "a long, b long")
     links = scratch.store(led)
     roots = components(links, scratch)
