@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_SPLITS = "spark.sql.files.minPartitionNum"
 #: Rows that a Python worker gets at once: whole texts are long.
 BATCH_ROWS = 1000
 
@@ -27,7 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """Adds a row number that tells repeated rows apart. The input must be a stored table
-    (or something as replayable), so that a task that runs again numbers its rows alike."""
+    (or something as replayable), so that a task that runs again numbers its rows alike. Spark
+    splits files by the cores it has at the time unless told a number; the session keeps the
+    first, so that executors that come or go between two reads change no row's number."""
+    spark = df.sparkSession
+    if not spark.conf.get(_SPLITS, None):
+        spark.conf.set(_SPLITS, str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
