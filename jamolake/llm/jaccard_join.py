@@ -33,6 +33,9 @@ from ._components import components
 GROUPS, FINE_GROUPS, LONG_GROUPS, LONG, FANOUT = 64, 256, 1024, 1000, 16
 #: Rows of a task's call that joins many small blocks at once.
 CALL_ROWS = 50_000
+#: A pair with several first shingles in common is met in the block of each. Where these are among
+#: the EARLIEST of both texts, the block of the least of them alone names the pair.
+EARLIEST = 16
 #: Documents of a leader group, least hashes by which a document comes into such groups (common
 #: shingles included; large groups are dealt anew for each, so that their parts meet), and documents
 #: of a tree's tile.
@@ -213,6 +216,18 @@ def block_pairs(block: np.ndarray, points: np.ndarray, sizes: np.ndarray, owner:
     return np.concatenate(left or [starts[:0]]), np.concatenate(right or [starts[:0]])
 
 
+def named_here(shingle: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether the block of that shingle names the pair, given the earliest first shingles of both
+    texts as rows: it is the least that the rows have in common, or they have none."""
+    out = np.empty(len(shingle), dtype=bool)
+    top = np.iinfo(np.int64).max
+    for at in range(0, len(shingle), 8192):
+        s = slice(at, at + 8192)
+        least = np.where((p[s][:, :, None] == q[s][:, None, :]).any(axis=2), p[s], top).min(axis=1)
+        out[s] = (least == top) | (least == shingle[s])
+    return out
+
+
 def _tree_join(per_cent: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("shingle", "ascending"), ("x", "ascending"), ("y", "ascending")])
@@ -223,10 +238,13 @@ def _tree_join(per_cent: int):
         fine = {r: opened_counts(c.as_py()) for r, c in once.items()}
         coarse = {r: f.reshape(-1, GROUPS).sum(axis=0) for r, f in fine.items()}
         points = np.stack([coarse[r] for r in rids.tolist()])
+        earliest = np.stack([np.resize(e.values.to_numpy(), EARLIEST) for e in group.column("earliest")])  # short ones repeat
         sizes = group.column("n").to_numpy()
         i, j = block_pairs(block, points, sizes, group.column("root").to_numpy(), per_cent)
         ok = (x[i] == y[i]) | (page[i] != page[j])  # pairs of one page have a tile of their own
         i, j = i[ok], j[ok]
+        ok = named_here(key[0][i], earliest[i], earliest[j])
+        i, j = i[ok], j[ok]
         a, b = np.minimum(rids[i], rids[j]), np.maximum(rids[i], rids[j])
         _, once = np.unique(np.stack([a, b]), axis=1, return_index=True)
         i, j, a, b = i[once], j[once], a[once], b[once]
@@ -294,7 +312,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataF
     calls = int(-(-n_rows // CALL_ROWS)) or 1
     paged = at.join(blocks, "shingle").withColumn("page", F.pmod(F.xxhash64("rid"), F.col("pages")).cast("int"))
     tiles = paged.select("rid", "shingle", "page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("other")).select("rid", "shingle", "page", F.least("page", "other").alias("x"), F.greatest("page", "other").alias("y"))
-    met = tiles.join(known.select("rid", "n", "root", "counts"), "rid").withColumn("call", F.pmod(F.xxhash64("shingle", "x", "y"), F.lit(calls))).groupBy("call").applyInArrow(_tree_join(per_cent), "a long, b long")
+    met = tiles.join(known.select("rid", "n", "root", "counts", F.slice("firsts", 1, EARLIEST).alias("earliest")), "rid").withColumn("call", F.pmod(F.xxhash64("shingle", "x", "y"), F.lit(calls))).groupBy("call").applyInArrow(_tree_join(per_cent), "a long, b long")
     pairs = scratch.store(met.distinct())
 
     # verification on the sets of the texts in question

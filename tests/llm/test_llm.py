@@ -353,6 +353,16 @@ def test_tree_pairs_lose_nothing():
     assert got == want and len(want) >= 30
 
 
+def test_pair_is_named_in_one_block():
+    rng = np.random.default_rng(9)
+    p, q = rng.integers(-20, 20, size=(200, 16)), rng.integers(-20, 20, size=(200, 16))
+    q[:20] = np.arange(100, 116)  # nothing in common with p
+    both = [set(x.tolist()) & set(y.tolist()) for x, y in zip(p, q)]
+    for s in range(-20, 20):
+        got = jaccard_join.named_here(np.full(200, s), p, q)
+        assert got.tolist() == [not c or min(c) == s for c in both]
+
+
 # 10 URLs
 
 @pytest.mark.parametrize("bound", [1000, 0])
