@@ -2,14 +2,15 @@
 
 Equal vectors are one point. Points are dealt to shards, each shard builds a graph, and every
 shard is asked for every block of points: beams widen until all they hold are hits no longer, and
-until an audit against brute force finds no less than the recall asked for. Cosines are verified
-in double precision, and a task returns counts and a spanning forest of its links, so that a
+until an audit of all shards against brute force finds no less than the recall asked for. The
+audit counts no point's hit on itself, averages over points that have other hits, and draws until
+it has tested enough of them. Cosines are verified in double precision, and a task returns counts and a spanning forest of its links, so that a
 group of thousands of copies does not become millions of pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,14 @@ from ._components import components
 
 #: Points of a shard at most, shards at least, points of a block that asks.
 SHARD_POINTS, LEAST_SHARDS, ASK = 100_000, 4, 2048
-DEGREE, BUILD_BEAM, FIRST_BEAM, AUDIT, RECALL = 16, 48, 24, 256, 0.99
+DEGREE, BUILD_BEAM, FIRST_BEAM, RECALL = 16, 48, 24, 0.99
+#: Points that an audit draws at first, and points with hits besides themselves that it must test:
+#: it draws four times as many until it has, or has drawn all. Where MOST_AUDIT points hold too few,
+#: recall cannot be told, and every query looks at every point.
+AUDIT, TESTED, MOST_AUDIT = 1024, 256, 65_536
 #: A beam wider than this share of a shard costs more than looking at every point, which is exact.
 WIDEST = 1 / 16
+EVERY = 2**30  # a beam that no shard allows
 NEAR = 1e-5  # single precision finds candidates this far below the threshold
 
 
@@ -229,29 +235,49 @@ class Graph:
                     else:
                         out[r] = i[h]
             todo, beam = np.array(again, dtype=np.int64), beam * 4
-        step = max(1, (16 << 20) // max(1, len(self.vectors)))
-        for a in range(0, len(todo), step):
-            rows = todo[a : a + step]
-            for r, sims in zip(rows, queries[rows] @ self.vectors.T):
-                out[r] = np.flatnonzero(sims >= threshold - NEAR)
+        for r, hits in zip(todo, self.scan(queries[todo], threshold)):
+            out[r] = hits
         if len(self.stray):
             for r, sims in enumerate(queries @ self.vectors[self.stray].T):
                 out[r] = np.union1d(out[r], self.stray[sims >= threshold - NEAR])
         return out
 
-    def audited_beam(self, threshold: float, recall: float = RECALL, audit: int = AUDIT) -> tuple[int, float]:
-        """The first beam, of ever wider ones, that finds that share of all hits of a sample of
-        the shard's own points, by brute force. Beyond WIDEST every point is looked at."""
-        rng = np.random.default_rng(3)
+    def scan(self, queries: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+        """Like within, by looking at every point."""
+        step = max(1, (16 << 20) // max(1, len(self.vectors)))
+        for a in range(0, len(queries), step):
+            for sims in queries[a : a + step] @ self.vectors.T:
+                yield np.flatnonzero(sims >= threshold - NEAR)
+
+    def judged(self, queries: np.ndarray, threshold: float, beam: int, verified: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query, how many verified hits there are and how many such a beam finds.
+        verified(k, hits) says which of query k's hits are, and leaves out the query itself."""
+        true = np.array([len(verified(k, hits)) for k, hits in enumerate(self.scan(queries, threshold))], dtype=np.int64)
+        found = np.zeros_like(true)
+        some = np.flatnonzero(true)
+        for k, hits in zip(some, self.within(queries[some], threshold, beam)):
+            found[k] = len(verified(k, hits))
+        return true, found
+
+    def audited_beam(self, threshold: float, recall: float = RECALL, audit: int = AUDIT, tested: int = TESTED) -> tuple[int, float]:
+        """The audit of a graph asked by its own points alone: (the first beam, of ever wider ones,
+        that finds that share of a point's hits on others, on average; the share it found)."""
         n = len(self.vectors)
-        sample = np.sort(rng.permutation(n)[:audit])
-        true = (self.vectors[sample] @ self.vectors.T) >= threshold
+        order = np.random.default_rng(3).permutation(n)
         beam = FIRST_BEAM
         while True:
-            got = sum(int(t[x].sum()) for t, x in zip(true, self.within(self.vectors[sample], threshold, beam)))
-            if got >= recall * true.sum() or beam > n * WIDEST:
-                return beam, got / max(1, int(true.sum()))
-            beam *= 2
+            own = order[:audit]
+            true, found = self.judged(self.vectors[own], threshold, beam, lambda k, hits: hits[(hits != own[k]) & (self.vectors[hits] @ self.vectors[own[k]] >= threshold)])
+            some = true > 0
+            share = float((found[some] / true[some]).mean()) if some.any() else 1.0
+            if beam > n * WIDEST:  # every point was looked at, or will be
+                return beam, share
+            if some.sum() < tested and audit < n:
+                audit, beam = (audit * 4, beam) if audit < MOST_AUDIT else (audit, EVERY)
+            elif share >= recall:
+                return beam, share
+            else:
+                beam *= 2
 
     def to_bytes(self) -> bytes:
         return pack(self.vectors.ravel(), *(x.astype(np.int32).ravel() for layer in self.layers for x in layer))
@@ -301,11 +327,12 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", shard_points: int = SHARD_POINTS) -> DataFrame:
-    """(id, n_links, component_id, kept, recall) for every row of vectors.
+    """(id, n_links, component_id, kept, recall, recall_tested) for every row of vectors.
 
     Rows are linked when their cosine, in double precision, is at least the threshold and they
-    are found: the audits of all shards against brute force decide how wide beams are, and
-    recall is the least that any shard's audit measured. Null and zero vectors, and those with
+    are found: an audit of all shards against brute force decides how wide beams are. recall is the
+    share of a point's links that it found, on average over points that have any (the least of
+    vectors of any length), and recall_tested the number of such points that it asked with. Null and zero vectors, and those with
     null or non-finite components, link with nothing, as do vectors of different lengths.
     component_id is the least id (null ids count as none) that links lead to; kept says whether it
     is the row's own, and is false for null ids. Repeated rows are linked. Extra columns are
@@ -328,15 +355,53 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
         group = group.sort_by("point")
         raw = _raw(group.column("raw"), dim)
         graph = Graph.build(_unit(raw).astype(np.float32))
-        beam, recall = graph.audited_beam(threshold)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": group.column("shard")[:1], "beam": pa.array([beam], pa.int32()), "recall": [recall], "graph": pa.array([graph.to_bytes()], pa.binary()), "members": pa.array([pack(group.column("point").to_numpy(), group.column("copies").to_numpy(), raw.ravel())], pa.binary())})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": group.column("shard")[:1], "graph": pa.array([graph.to_bytes()], pa.binary()), "members": pa.array([pack(group.column("point").to_numpy(), group.column("copies").to_numpy(), raw.ravel())], pa.binary())})
 
-    graphs = scratch.store(dealt.select("dim", "shard", "point", "copies", "raw").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, beam int, recall double, graph binary, members binary"))
+    graphs = scratch.store(dealt.select("dim", "shard", "point", "copies", "raw").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary, members binary"))
 
     def block(group: pa.Table) -> pa.Table:
         return pa.table({"dim": group.column("dim")[:1], "ask": group.column("ask")[:1], "shards": group.column("shards")[:1], "queries": pa.array([pack(group.column("point").to_numpy(), _raw(group.column("raw"), group.column("dim")[0].as_py()).ravel())], pa.binary())})
 
-    asks = dealt.select("dim", "ask", "shards", "point", "raw").groupBy("dim", "ask").applyInArrow(block, "dim int, ask int, shards int, queries binary")
+    def met(some: DataFrame, beams: dict[int, int]) -> DataFrame:
+        """Those points in blocks, each beside the graph of every shard."""
+        asks = some.select("dim", "ask", "shards", "point", "raw").groupBy("dim", "ask").applyInArrow(block, "dim int, ask int, shards int, queries binary")
+        wide = F.broadcast(spark.createDataFrame(list(beams.items()), "dim int, beam int"))
+        pairs = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(graphs, ["dim", "shard"]).join(wide, "dim")
+        return pairs.select("dim", "beam", "graph", "members", "queries").repartition(n_tasks)
+
+    def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, beam, graph, members, queries in zip(batch.column("dim").to_pylist(), batch.column("beam").to_pylist(), batch.column("graph"), batch.column("members"), batch.column("queries")):
+                graph = Graph.from_bytes(graph.as_py(), dim)
+                m_point, _, m_raw = unpack(members.as_py())
+                q_point, q_raw = unpack(queries.as_py())
+                m_unit, q_unit = _unit(m_raw.reshape(-1, dim)), _unit(q_raw.reshape(-1, dim))
+                true, found = graph.judged(q_unit.astype(np.float32), threshold, beam, lambda k, hits: hits[(m_unit[hits] @ q_unit[k] >= threshold) & (m_point[hits] != q_point[k])])
+                some = true > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), dim, dtype=np.int32)), pa.array(q_point[some]), pa.array(true[some]), pa.array(found[some])], ["dim", "point", "true", "found"])
+
+    n_tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, 20_000))
+    # one row for each length of vectors there is
+    n_points = {r["dim"]: r["n"] for r in sizes.collect()}
+    draws, beams, measured = dict.fromkeys(n_points, AUDIT), dict.fromkeys(n_points, FIRST_BEAM), {}
+    while open_ := [d for d in n_points if d not in measured]:
+        # a sample by hash: about as many points as are to be drawn, from all shards
+        place, share = F.pmod(F.xxhash64("point", F.lit("audit")), F.lit(2**31)), F.broadcast(spark.createDataFrame([(d, draws[d] / n_points[d] * 2**31, -(-draws[d] // ASK)) for d in open_], "dim int, upto double, blocks int"))
+        drawn = dealt.join(share, "dim").where(place < F.col("upto")).withColumn("ask", F.pmod(F.xxhash64("point", F.lit("ask")), F.col("blocks")).cast("int"))
+        judged = scratch.store(met(drawn, {d: beams[d] for d in open_}).mapInArrow(audit, "dim int, point long, true long, found long"))
+        each = judged.groupBy("dim", "point").agg((F.sum("found") / F.sum("true")).alias("share"))
+        seen = {r["dim"]: (r["share"], r["tested"]) for r in each.groupBy("dim").agg(F.avg("share").alias("share"), F.count("*").alias("tested")).collect()}
+        for d in open_:
+            found, tested = seen.get(d, (1.0, 0))
+            if tested < TESTED and draws[d] < n_points[d]:
+                if draws[d] < MOST_AUDIT:
+                    draws[d] *= 4
+                else:
+                    beams[d], measured[d] = EVERY, (1.0, tested)
+            elif found >= RECALL or beams[d] == EVERY:
+                measured[d] = (found, tested)
+            else:
+                beams[d] = beams[d] * 2 if beams[d] * 2 <= shard_points * WIDEST else EVERY
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,19 +422,16 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
                 nothing = np.full(len(q_point), -1, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([q_point, a[keep]])), pa.array(np.concatenate([nothing, b[keep]])), pa.array(np.concatenate([n_links, np.zeros(int(keep.sum()), dtype=np.int64)]))], ["a", "b", "n"])
 
-    met = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(graphs, ["dim", "shard"]).select("dim", "beam", "graph", "members", "queries")
-    n_tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, 20_000))
-    found = scratch.store(met.repartition(n_tasks).mapInArrow(search, "a long, b long, n long"))
+    found = scratch.store(met(dealt, beams).mapInArrow(search, "a long, b long, n long"))
     counts = found.where("b < 0").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b >= 0").select("a", "b"), scratch)
     per_point = points.join(counts, "point", "left").join(roots, F.col("point") == F.col("v"), "left").select("raw", F.coalesce("root", "point").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     member = scratch.store(rows.where("raw IS NOT NULL").join(per_point, "raw").select("vec_id", "n_links", "root"))
     least = member.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    recall = graphs.agg(F.min("recall").alias("recall"))
     alone = rows.where("raw IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = member.join(least, "root").select("vec_id", "n_links", "component_id").unionByName(alone)
-    measured = recall.first()[0]
-    return out.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(1.0 if measured is None else float(measured)).alias("recall"))
+    recall, tested = min((r for r, _ in measured.values()), default=1.0), sum(n for _, n in measured.values())
+    return out.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(float(recall)).alias("recall"), F.lit(tested).cast("long").alias("recall_tested"))
 
 
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

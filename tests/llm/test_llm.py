@@ -264,6 +264,34 @@ def test_graph_recall():
     assert all(np.array_equal(a, b) for a, b in zip(back.within(v[:5], 0.9, beam), g.within(v[:5], 0.9, beam)))
 
 
+def test_audit_leaves_out_self_hits():
+    rng = np.random.default_rng(9)
+    c = rng.normal(size=(1, 32))
+    for crowd in (0, 200):  # links are few, or outweighed by those of a large group
+        v = rng.normal(size=(400, 32))
+        v = vector_dedup._unit(np.concatenate([v, v[:40] + rng.normal(scale=0.05, size=(40, 32)), c + rng.normal(scale=0.02, size=(crowd, 32))])).astype(np.float32)
+        g = vector_dedup.Graph.build(v)
+        # outside the large group only the point itself is found by a beam
+        within = g.within
+        g.within = lambda q, t, beam: [x if len(x) > 2 or beam > len(v) * vector_dedup.WIDEST else x[[i for i, n in enumerate(x) if np.array_equal(v[n], r)]] for x, r in zip(within(q, t, beam), q)]
+        beam, recall = g.audited_beam(0.9)
+        assert beam > len(v) * vector_dedup.WIDEST and recall == 1
+
+
+def test_audit_tells_what_it_tested(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(3000, 16))
+    v = [list(map(float, x)) for x in np.concatenate([v, v[:20] + rng.normal(scale=0.05, size=(20, 16))])]
+    path = str(tmp_path / "e")
+    spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>").write.parquet(path)
+    got = vector_dedup.vector_groups(spark.read.parquet(path)).collect()
+    unit = vector_dedup._unit(np.array(v))
+    linked = int(((unit @ unit.T >= 0.9).sum(axis=1) > 1).sum())
+    # too few for a sample, so all points are asked, and the links found are the share that is told
+    assert {r["recall_tested"] for r in got} == {linked} and linked >= 40
+    assert {r["recall"] for r in got} != {0.0} and sum(r["n_links"] > 0 for r in got) >= 0.99 * linked
+
+
 # 6 substrings
 
 @pytest.mark.parametrize("window,least,size", [(35, 16, None), (35, 4, 3000), (5, 16, None)])
