@@ -57,7 +57,8 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
         if n >= words:
             out.append(np.unique(by_width[words][a : b - words + 1]))
         elif n:
-            out.append(windows(keys[a:b], n)[:1])
+            # names of different widths can be the same pairs of pairs, so the width is part of it
+            out.append(mix(windows(keys[a:b], n)[:1], np.full(1, n, dtype=np.uint64)))
         else:
             out.append(keys[:0])
     return out

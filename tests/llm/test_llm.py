@@ -370,6 +370,16 @@ def test_jaccard(spark, docs, rows, empty, n_words, per_cent):
     assert jaccard_join.jaccard_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("n_words,per_cent", [(4, 85), (5, 80)])
+def test_jaccard_of_short_texts(spark, tmp_path, n_words, per_cent):
+    texts = ["a a a", "a a a a", "a b c", "a b b c", "A  a a", "a a", "a", "a a a a a", "a a a a a a"]
+    path = str(tmp_path / "short")
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).write.parquet(path)
+    shingles = [{tuple(w[k : k + n_words]) for k in range(max(1, len(w) - n_words + 1))} for w in (words(lower(t)) for t in texts)]
+    want = Counter((i, min(j for j, y in enumerate(shingles) if x == y)) for i, x in enumerate(shingles))
+    assert counted(jaccard_join.jaccard_groups(spark.read.parquet(path), n_words, per_cent), "doc_id", "component_id") == want
+
+
 def test_tree_pairs_lose_nothing():
     rng = np.random.default_rng(8)
     base = rng.poisson(8, size=(30, jaccard_join.GROUPS))
