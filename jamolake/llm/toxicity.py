@@ -45,8 +45,10 @@ INVISIBLE = "­​‌‍⁠﻿"
 PUNCTUATION = "!\"#%&'()*+,-./:;<=>?[\\]^_`{}~" + "¡¿«»‐‑‒–—―‘’‚“”„•…‹›·"
 
 # 1 may stand for i or l, so both letters fold to one
-_FOLD = str.maketrans(LOOK_ALIKES | {"l": "i", "ӏ": "i", "ℓ": "i"} | dict.fromkeys(PUNCTUATION, " ") | dict.fromkeys(INVISIBLE))
-_NUMBER = re.compile(r"\b\d+\b")
+_FOLD = str.maketrans(LOOK_ALIKES | {"l": "i", "ӏ": "i", "ℓ": "i"})
+_SPACES = str.maketrans(dict.fromkeys(PUNCTUATION, " ") | dict.fromkeys(INVISIBLE))
+# a number stands alone between spaces or punctuation: a digit beside a letter or sign may pass for a letter
+_NUMBER = re.compile(r"(?<!\S)\d+(?!\S)")
 
 
 def fold(text: str | None) -> str:
@@ -55,7 +57,7 @@ def fold(text: str | None) -> str:
         return " "
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    words = _NUMBER.sub(" ", text).lower().translate(_FOLD).split()
+    words = _NUMBER.sub(" ", text.lower().translate(_SPACES)).translate(_FOLD).split()
     return f" {' '.join(words)} " if words else " "
 
 

@@ -186,6 +186,14 @@ def test_fold_and_match():
     assert hits(None) == hits("") == (0.0, 0) and hits("42 5 " * 1000) == (0.0, 0)
 
 
+def test_digits_beside_signs_are_folded():
+    lexicon = toxicity.Lexicon.of({"asshole": 2.0, "ass": 1.0})
+    a = lexicon.automaton()
+    hits = lambda s: toxicity.matched(a, toxicity.fold(s))
+    assert hits("4$$hole @55 (4$$) a$5, @$5!") == (6.0, 5) and hits("4\u200b$$h0le") == (2.0, 1)
+    assert toxicity.fold("455 4,55 -455% (455) 4:55 4_55 3.14 4\u200b55") == " "
+
+
 def test_toxicity_learns(spark, empty):
     rnd = random.Random(2)
     vocabulary = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(300)]
