@@ -30,6 +30,8 @@ from ._common import table
 #: bounded whatever the input. Documents are scored without any bound.
 FIT_ROWS = 20_000
 MAX_ENTRIES, MAX_EXCEPTIONS = 4096, 1024
+#: Labelled texts whose folded word pairs have this Jaccard similarity, in per cent, count once.
+COPY_PER_CENT = 80
 STEMS = (4, 5, 6, 7, 8, 9)
 LEAST_ODDS, MARGIN = 8.0, 10.0
 SMOOTH_WORDS = 20
@@ -168,6 +170,26 @@ def _sign(text):
     return F.array_min(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b)))
 
 
+def _uncopied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (toxic, sign) those that are no near copies of one kept before with the
+    same: an equal sign only says where to look."""
+    key, kept = None, []
+    for b in batches:
+        keep = []
+        for mine, text in zip(zip(b.column("toxic").to_pylist(), b.column("sign").to_pylist()), b.column("text").to_pylist()):
+            if mine != key:
+                key, kept = mine, []
+            words = fold(text).split()
+            pairs = set(zip(words, words[1:])) or {tuple(words)}
+            n = len(pairs)
+            # sets of too different sizes cannot be near copies
+            sized = (k for k in kept if 100 * min(n, len(k)) >= COPY_PER_CENT * max(n, len(k)))
+            keep.append(not any((100 + COPY_PER_CENT) * len(pairs & k) >= COPY_PER_CENT * (n + len(k)) for k in sized))
+            if keep[-1]:
+                kept.append(pairs)
+        yield b.select(["text", "toxic"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _chosen(counts: DataFrame, n_toxic: int, n_other: int) -> DataFrame:
     """Of (word, t, o) the features that toxic texts hold significantly more often, with weights."""
     rate_t, rate_o = (F.col("t") + 0.5) / (n_toxic + 1), (F.col("o") + 0.5) / (n_other + 1)
@@ -194,13 +216,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon:
     """Learns entries, weights, exception phrases and the score's curve from labels (doc_id,
     toxic), at most fit_rows of them. Rows with null labels or ids are left out; where an id is
-    labelled twice, toxic wins. Without examples of both classes the lexicon is empty and every
+    labelled twice, toxic wins. Of texts with one label and the same least word pair by hash, those
+    that share COPY_PER_CENT of their word pairs with one kept before, in order of doc_id and
+    text, are copies and left out; a text that only has the same least word pair stays. Without examples of both classes the lexicon is empty and every
     score is the share of toxic labels, at most 0.5."""
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     # at most fit_rows pairs of numbers are broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    # copies and most near copies of a text share its sign, and count once as evidence
-    sample = sample.withColumn("sign", _sign(F.col("text"))).dropDuplicates(["sign", "toxic"]).drop("sign").persist()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    # copies and most near copies of a text share its sign, and count once as evidence if they are proven
+    signed = sample.withColumn("sign", _sign(F.col("text"))).repartition("toxic", "sign").sortWithinPartitions("toxic", "sign", "doc_id", "text")
+    sample = signed.select("text", "toxic", "sign").mapInArrow(_uncopied, "text string, toxic long").persist()
     try:
         n = {bool(r[0]): r[1] for r in sample.groupBy("toxic").agg(F.count("*")).collect()}
         if not n.get(True) or not n.get(False):

@@ -194,6 +194,29 @@ def test_digits_beside_signs_are_folded():
     assert toxicity.fold("455 4,55 -455% (455) 4:55 4_55 3.14 4\u200b55") == " "
 
 
+def test_only_proven_copies_count_once():
+    import pyarrow as pa
+
+    base = [f"w{i}" for i in range(40)]
+    other = [f"v{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join(base).upper(), " ".join([*base, "x"]), " ".join([*base[:2], *other]), None, "", "a", "b"]
+    got = toxicity._uncopied(pa.RecordBatch.from_pydict({"text": [t], "toxic": [1], "sign": [5]}, pa.schema([("text", pa.string()), ("toxic", pa.int64()), ("sign", pa.int64())])) for t in texts)
+    assert [t for b in got for t in b.column("text").to_pylist()] == [texts[0], texts[3], None, "a", "b"]
+
+
+def test_equal_least_word_pair_is_no_copy(spark):
+    # a pair of words with a very low hash gives most texts one sign, yet all are evidence
+    rnd = random.Random(4)
+    pairs = spark.createDataFrame([(f"p{i} q{i}",) for i in range(20000)], "text string")
+    sign = toxicity._sign(F.col("text"))
+    pair = pairs.orderBy(F.xxhash64(F.split("text", " ")[0], F.split("text", " ")[1])).first()["text"]
+    rows = [(i, pair + " " + " ".join("".join(rnd.choices("cdefgh", k=6)) for _ in range(12)) + (" grumbo" if i % 2 else ""), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic long")
+    assert df.select(sign.alias("s")).distinct().count() < 40
+    lexicon = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert any(e.startswith(" grum") for e in lexicon.entries)
+
+
 def test_toxicity_learns(spark, empty):
     rnd = random.Random(2)
     vocabulary = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(300)]
