@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from ._common import WORD, Scratch, table, with_row_id
 
 BUCKETS, BUDGET = 16, 65_536
-#: Lengths up to this are told apart exactly; above it, boundaries lie on 64 steps a doubling.
+#: Lengths up to this are told apart exactly; above it, only 64 steps a doubling are, and a boundary
+#: is the longest length inside a step.
 #: The histogram that reaches the driver has at most EXACT + 64 * log2(longest / EXACT) bins.
 EXACT, STEPS = 1024, 64
 #: Documents of a bucket are dealt to shards of about this many, which are numbered apart.
@@ -67,12 +68,12 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length:
     scratch = Scratch(docs.sparkSession, "packing")
     length = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) if length is None else length
     sized = scratch.store(with_row_id(docs.select(F.col(id_col).alias("id"), length.cast("long").alias("n_tokens"))).withColumn("grid", boundary_grid(F.col("n_tokens"))))
-    bins = sorted(map(tuple, sized.groupBy("grid").agg(F.count("*"), F.sum("n_tokens")).collect()))
+    bins = sorted(map(tuple, sized.groupBy("grid").agg(F.count("*"), F.sum("n_tokens"), F.max("n_tokens")).select(F.greatest("max(n_tokens)", F.lit(1)), "count(1)", "sum(n_tokens)").collect()))
     bounds = optimal_boundaries(*(np.array([b[i] for b in bins], dtype=np.float64) for i in range(3)), buckets) or [1]
     rows = [sum(n for g, n, _ in bins if lo < g <= hi) for lo, hi in zip([0, *bounds], bounds)]
     shards = [max(1, -(-r // SHARD_ROWS)) for r in rows]
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]).cast("array<long>"), F.col("bucket") + 1)
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b < F.col("grid")))
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b < F.col("n_tokens")))
     placed = sized.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("id", "rid"), pick(shards)).cast("int"))
     firsts = placed.groupBy("bucket", "shard").agg(F.count("*").alias("m")).withColumn("first", F.coalesce(F.sum("m").over(W.partitionBy("bucket").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(W.partitionBy("bucket", "shard").orderBy("n_tokens", "id", "rid")) - 1

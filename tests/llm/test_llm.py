@@ -159,6 +159,19 @@ def test_pack(spark, docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_boundary_is_a_length(spark, tmp_path):
+    rnd = random.Random(12)
+    lengths = [0, 1, 5, 1024, 1025] + [rnd.randint(1030, 30000) for _ in range(300)]
+    path = str(tmp_path / "lengths")
+    spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, size long").write.parquet(path)
+    got = packing.pack(spark.read.parquet(path), buckets=6, length=F.col("size")).collect()
+    assert Counter(r["n_tokens"] for r in got) == Counter(lengths)
+    longest = defaultdict(int)
+    for r in got:
+        longest[r["bucket"]] = max(longest[r["bucket"]], r["n_tokens"])
+    assert all(r["boundary"] == max(1, longest[r["bucket"]]) for r in got) and len(longest) == 6
+
+
 def test_optimal_boundaries():
     rnd = random.Random(1)
     for _ in range(20):
