@@ -487,3 +487,62 @@ def test_pipeline(spark, rows, tmp_path):
     assert sizes[0] == len(rows) and sizes[1] == distinct and sizes[2] < distinct and sizes[4] == sizes[3]
     assert corpus_pipeline.run(spark, sf).count() == sizes[4]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_pipeline_decisions(spark, tmp_path):
+    """What each stage keeps of planted toxic, copied, nearly copied and clean texts."""
+    rnd = random.Random(13)
+    vocabulary = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(300)]
+    texts = [" ".join(rnd.choices(vocabulary, k=40) + (["grumbo", "snark" + rnd.choice("abcdef")] * 2 if i % 5 == 0 else [])) for i in range(400)]
+    toxic = {i for i in range(400) if i % 5 == 0}
+    for k in range(1, 60, 2):
+        toxic |= {len(texts) + j for j in range(3)} if k in toxic else set()
+        half = texts[k].split()
+        texts += [texts[k], texts[k] + " zz", " ".join([*half[:20], *rnd.choices(vocabulary, k=20), *half[40:]])]
+    texts += [None, "", " \t", "ha ha ha", "ha ha ha ha", "HA ha ha"]
+    sources = [rnd.choice(["s1", "s2", "s3", None]) for _ in texts]
+    order = rnd.sample(range(len(texts)), len(texts))
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, texts[i], "en", sources[i], len(texts[i] or "")) for i in order], SCHEMA).repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs, got = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{sf}/{name}")
+        docs = spark.read.parquet(f"{sf}/{name}")
+        got[name] = counted(docs, "doc_id")
+
+    clean = [i for i in range(len(texts)) if i not in toxic]
+    assert got["toxicity"] == Counter((i,) for i in clean) and len(clean) < len(texts)
+    last = {texts[i] or "": i for i in clean}
+    assert got["exact_dedup"] == Counter((i,) for i in last.values()) and len(last) < len(clean)
+    kept = sorted(last.values())
+    sets = {}
+    for i in kept:
+        w = words(lower(texts[i]))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    links = {i: {j for j in kept if i != j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} for i in kept}
+    root = reach(links, range(len(texts)))
+    near = [i for i in kept if root[i] == i]
+    assert got["near_dedup"] == Counter((i,) for i in near) and len(near) < len(kept)
+    # each row at most twice, and the words of each source as its weight asks, unless there are too few
+    have, taken = defaultdict(int), defaultdict(int)
+    for i in near:
+        have[sources[i]] += len(words(texts[i]))
+    for (i,), n in got["mixing"].items():
+        assert i in near and n <= 2
+        taken[sources[i]] += n * len(words(texts[i]))
+    names = ["s1", "s2", "s3", None]
+    weight, free, total = dict(zip(names, [3, 1, 2, 3])), set(names), 1.5 * sum(have.values())
+    while True:
+        left = total - sum(2 * have[s] for s in names if s not in free)
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 2 * have[s]}
+        if not over:
+            break
+        free -= over
+    assert all(abs(taken[s] - share.get(s, 2 * have[s])) <= 0.05 * share.get(s, 2 * have[s]) + 40 for s in names)
+    assert got["packing"] == got["mixing"]
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((r["doc_id"],) for r in rows) == got["mixing"]
+    assert all(r["n_tokens"] == len(words(texts[r["doc_id"]])) and r["padding"] == r["boundary"] - r["n_tokens"] >= 0 for r in rows)
+    assert len({(r["bucket"], r["batch"], r["slot"]) for r in rows}) == len(rows)
