@@ -10,8 +10,9 @@ would meet itself nearly everywhere. The trees are therefore built over texts th
 their first shingles in common (in an order of all shingles with common ones last, two similar
 sets share one of their first few), which loses no pair.
 
-Texts with equal sets are one point. Near copies are first linked to the leaders of small groups
-with the same first shingle; the trees then look only at pairs not yet connected, so a group of
+Texts with equal sets are one point. Small groups of texts with the same least shingle hash are
+linked first: every pair in such a group is verified unless it is connected already, so a group of
+near copies comes out whole. The trees then look only at pairs not yet connected, so a group of
 thousands of near copies does not become millions of pairs.
 """
 
@@ -36,10 +37,10 @@ CALL_ROWS = 50_000
 #: A pair with several first shingles in common is met in the block of each. Where these are among
 #: the EARLIEST of both texts, the block of the least of them alone names the pair.
 EARLIEST = 16
-#: Documents of a leader group, least hashes by which a document comes into such groups (common
-#: shingles included; large groups are dealt anew for each, so that their parts meet), and documents
-#: of a tree's tile.
-LEADER_GROUP, LEADER_SHINGLES, TILE = 512, 4, 1024
+#: Texts and shingles of a group of first links (a longer text has a group of its own), and least
+#: hashes by which a text comes into such groups (common shingles included; large groups are dealt
+#: anew for each, so that their parts meet); texts of a tree's tile.
+GROUP_TEXTS, GROUP_SHINGLES, GROUP_HASHES, TILE = 512, 4_000_000, 4, 1024
 #: The order of shingles comes from a sample of about this many documents: those in one of 500 are
 #: common. It only decides which shingles come first, never which pairs are found.
 ORDER_ROWS, COMMON = 20_000, 500
@@ -97,7 +98,7 @@ def _points(words: int, per_cent: int, common: np.ndarray):
             for b in _pieces(whole):
                 sets = shingle_sets(b.column("text"), words)
                 d1, d2, firsts, counts = [], [], [], []
-                least = [s[:LEADER_SHINGLES].astype(np.int64).tolist() for s in sets]
+                least = [s[:GROUP_HASHES].astype(np.int64).tolist() for s in sets]
                 for s in sets:
                     with np.errstate(over="ignore"):
                         d1.append(int(mix(s, s).sum(dtype=np.uint64).astype(np.int64)))
@@ -144,22 +145,30 @@ def similar(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
     return 100 * both >= per_cent * (len(a) + len(b) - both) and both > 0
 
 
-def _link_to_leaders(words: int, per_cent: int):
+def group_links(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what similar pairs of these sets connect: a spanning forest. Every
+    pair is looked at, but for those connected by then and those whose group counts cannot overlap
+    enough."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    points = np.stack([np.bincount((s % np.uint64(FINE_GROUPS)).astype(np.int64), minlength=FINE_GROUPS) for s in sets]).astype(np.int32)
+    tree = np.arange(len(sets))  # of each set, the least of those it is connected with
+    out = []
+    for i in range(1, len(sets)):
+        bound = np.minimum(points[:i], points[i]).sum(axis=1)
+        j = np.flatnonzero(bound >= np.maximum(least_overlap(sizes[:i] + sizes[i], per_cent), 1))
+        for k in j[np.argsort(-bound[j], kind="stable")].tolist():
+            if tree[k] != tree[i] and similar(sets[i], sets[k], per_cent):
+                out.append((i, k))
+                low, high = sorted((tree[i], tree[k]))
+                tree[tree == high] = low
+    return out
+
+
+def _link_in_groups(words: int, per_cent: int):
     def run(group: pa.Table) -> pa.Table:
-        rids = group.column("rid").to_pylist()
-        sets = shingle_sets(group.column("text"), words)
-        order = sorted(range(len(rids)), key=lambda i: (len(sets[i]), rids[i]))
-        leaders: list[int] = []
-        a, b = [], []
-        for i in order:
-            for j in leaders:
-                if 100 * len(sets[j]) >= per_cent * len(sets[i]) and similar(sets[i], sets[j], per_cent):
-                    a.append(rids[i])
-                    b.append(rids[j])
-                    break
-            else:
-                leaders.append(i)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        rids = group.column("rid").to_numpy()
+        links = np.array(group_links(shingle_sets(group.column("text"), words), per_cent), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(rids[links[:, 0]]), "b": pa.array(rids[links[:, 1]])})
 
     return run
 
@@ -297,12 +306,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataF
     reps = scratch.store(points.where("n > 0").select("rid", "n", "firsts", "counts", "least").join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi"))
     scratch.drop(points)
 
-    # first links: near copies to leaders
-    first = reps.select("rid", F.explode("least").alias("shingle"))
-    sizes = first.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1")
-    grouped = first.join(sizes, "shingle").select("rid", "shingle", F.pmod(F.xxhash64("rid", "shingle"), F.ceil(F.col("m") / LEADER_GROUP)).alias("salt"))
-    led = texts.join(grouped.hint("shuffle_hash"), "rid").groupBy("shingle", "salt").applyInArrow(_link_to_leaders(words, per_cent), "a long, b long")
-    links = scratch.store(led)
+    # first links: inside small groups of texts with one of their least hashes in common
+    first = reps.select("rid", "n", F.explode("least").alias("shingle"))
+    dealt = F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("n") / GROUP_SHINGLES))
+    sizes = first.groupBy("shingle").agg(F.count("*").alias("m"), dealt.alias("salts")).where("m > 1")
+    grouped = first.join(sizes, "shingle").select("rid", "shingle", F.pmod(F.xxhash64("rid", "shingle"), F.col("salts")).alias("salt"))
+    near = texts.join(grouped.hint("shuffle_hash"), "rid").groupBy("shingle", "salt").applyInArrow(_link_in_groups(words, per_cent), "a long, b long")
+    links = scratch.store(near)
     roots = components(links, scratch)
 
     # blocks of texts that share a first shingle and are not all connected yet
