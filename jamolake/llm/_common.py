@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_SPLITS = "spark.sql.files.minPartitionNum"
 #: Rows that a Python worker gets at once: whole texts are long.
 BATCH_ROWS = 1000
 
@@ -27,57 +27,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
-    """Adds a row number that tells repeated rows apart. The input must be a stored table
-    (or something as replayable), so that a task that runs again numbers its rows alike. Spark
-    splits files by the cores it has at the time unless told a number; the session keeps the
-    first, so that executors that come or go between two reads change no row's number."""
-    spark = df.sparkSession
-    if not spark.conf.get(_SPLITS, None):
-        spark.conf.set(_SPLITS, str(spark.sparkContext.defaultParallelism))
+    """Adds a row number that tells repeated rows apart. Numbers differ from one reading to the
+    next, so the table has to be stored with them before anything reads it twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """That name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
 class Scratch:
-    """Intermediate tables in the shared folder that the session names in
-    spark.checkpoint.dir; a folder of our own only where that is unset. Cuts lineage,
-    survives lost executors, and drops what later steps no longer read."""
+    """Intermediate tables in the shared folder that the session names in spark.checkpoint.dir.
+    Where that is unset a local session gets a folder of its own; a cluster gets an error, as
+    its executors share no temporary folder. Cuts lineage, survives lost executors, and drops
+    what later steps no longer read. Results read what is left, so it stays until clear()."""
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = f"file://{tempfile.gettempdir()}/jamolake-scratch"
         self.spark, self.base = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def store(self, df: DataFrame) -> DataFrame:
-        """Writes df, frees its shuffle files, and returns the stored table."""
+    def store(self, df: DataFrame, batch_rows: int = BATCH_ROWS, compression: str | None = None) -> DataFrame:
+        """Writes df, frees its shuffle files, and returns the stored table. Python workers get
+        batch_rows rows at once."""
         path = f"{self.base}/{self.n}"
         self.n += 1
-        with shuffles_freed(self.spark):
-            df.write.parquet(path)
+        with shuffles_freed(self.spark, batch_rows):
+            df.write.parquet(path, compression=compression)
         out = self.spark.read.parquet(path)
         out._scratch_path = path
         return out
 
+    def numbered(self, df: DataFrame, name: str = "rid") -> DataFrame:
+        """df stored with a row number."""
+        return self.store(with_row_id(df, name), compression="zstd")
+
     def drop(self, *dfs: DataFrame) -> None:
         """Deletes stored tables that nothing reads any more."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in dfs:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        """Deletes all stored tables; for callers that have written what was made of them."""
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Within it, a query's shuffle files go when the query ends, and Python workers get texts in
-    batches of BATCH_ROWS."""
+def shuffles_freed(spark: SparkSession, batch_rows: int = BATCH_ROWS):
+    """Within it, a query's shuffle files go when the query ends, and Python workers get at most
+    batch_rows rows at once."""
     before = {k: spark.conf.get(k) for k in (_CLEANUP, _BATCH)}
     spark.conf.set(_CLEANUP, "true")
-    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(before[_BATCH]) or BATCH_ROWS)))
+    spark.conf.set(_BATCH, str(min(batch_rows, int(before[_BATCH]) or batch_rows)))
     try:
         yield
     finally:

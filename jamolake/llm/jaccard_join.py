@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import pack, steps, unpack
-from ._common import Scratch, mix, shuffles_freed, table, tokenize, windows, with_row_id, word_keys
+from ._common import Scratch, mix, shuffles_freed, table, tokenize, windows, word_keys
 from ._components import components
 
 #: Groups of the trees' points. Pairs of points meet again on finer groups, of which texts of more
@@ -274,8 +274,9 @@ def _verified(per_cent: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
-    """(rid, doc_id, n_shingles, component_id, root) for every row of docs. root names the component.
+def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80, row_id: str | None = None) -> DataFrame:
+    """(rid, doc_id, n_shingles, component_id, root) for every row of docs. root names the component;
+    rid is a row's number, that of the column row_id if docs has been stored with one.
 
     Rows are linked when 100 * intersection >= per_cent * union of their shingle sets;
     component_id is the least doc_id that links lead to, a row's own included (null ids count
@@ -287,7 +288,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataF
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     kind = dict(docs.dtypes)["doc_id"]
-    rows = with_row_id(docs.select("doc_id", "text"))
+    rows = docs.select(F.col(row_id).alias("rid"), "doc_id", "text") if row_id else scratch.numbered(docs.select("doc_id", "text"))
     texts = rows.select("rid", "text")
 
     n_docs = rows.count()
@@ -331,12 +332,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataF
     sets = scratch.store(texts.join(asked.hint("shuffle_hash"), "rid").mapInArrow(_sets(words), "rid long, shingles binary"))
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
     more = scratch.store(both.select("a", "b", "sa", "sb").mapInArrow(_verified(per_cent), "a long, b long"))
-    scratch.drop(reps, blocks, sets, pairs)
+    scratch.drop(reps, blocks, sets, pairs, *([] if row_id else [rows]))
 
     final = components(links.unionByName(more), scratch)
     member = some.select("rid", "doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).join(final, F.col("rep") == F.col("v"), "left").select("rid", "doc_id", "n", F.coalesce("root", "rep").alias("root"))
     member = scratch.store(member)
-    least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # stored, so that a hot component's rows can be split over tasks
+    least = scratch.store(member.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     linked = member.join(least, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root")
     return linked.unionByName(slim.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("rid").alias("root")))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, shuffles_freed, table, with_row_id
+from ._common import Scratch, shuffles_freed, table
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -72,19 +72,20 @@ def _records(date: str):
     return run
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str | None = "gzip", file_bytes: int = FILE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str | None = "gzip", file_bytes: int = FILE_BYTES, scratch: Scratch | None = None) -> None:
     """Writes pages (page_id, url, html) as WARC records into the folder path.
 
     Of rows with equal payloads of at least min_bytes, the one with the largest page_id (null
     ids smallest, one of any repeated rows) is the response and the others revisit it. Null html
     is an empty payload. An empty table leaves an empty archive.
     """
-    rows = with_row_id(pages.select("page_id", "url", "html"))
+    scratch = scratch or Scratch(pages.sparkSession, "warc")
     # payloads are equal if their SHA-256 and lengths are; digests and ids alone are grouped
     data = F.coalesce("html", F.lit("")).cast("binary")
-    rows = rows.withColumn("digest", F.sha2(data, 256)).withColumn("n", F.length(data).cast("long"))
+    rows = scratch.numbered(pages.select("page_id", "url", "html", F.sha2(data, 256).alias("digest"), F.length(data).cast("long").alias("n")))
     long_enough = F.col("n") >= min_bytes
-    keep = rows.where(long_enough).groupBy("digest", "n").agg(F.max(F.struct("page_id", "rid"))["rid"].alias("keep_rid"))
+    # stored, so that rows of a hot payload can be split over tasks
+    keep = scratch.store(rows.where(long_enough).groupBy("digest", "n").agg(F.max(F.struct("page_id", "rid"))["rid"].alias("keep_rid")))
     # two numbers come to the driver
     total, n = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     marked = rows.join(keep, ["digest", "n"], "left").withColumn("keep_rid", F.when(long_enough, F.col("keep_rid")).otherwise(F.col("rid")))
@@ -92,6 +93,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     records = marked.select("rid", "page_id", "url", "html", "keep_rid").mapInArrow(_records(date), "value string")
     with shuffles_freed(pages.sparkSession):
         records.write.option("maxRecordsPerFile", per_file).text(path, compression=compression, lineSep=END)
+    scratch.drop(rows, keep)
 
 
 def _unpacked(data: bytes) -> bytes:
@@ -164,7 +166,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def captures_with_origin(assembled: DataFrame) -> DataFrame:
-    """Adds origin, the page and payload of the response that a revisit refers to."""
+    """Adds page_id (null where the metadata name none, or one that is no whole number) and origin,
+    the page and payload of the response that a revisit refers to."""
     page = F.regexp_extract(F.col("metadata.block").cast("string"), r"page-id: (-?\d+)", 1)
     rows = assembled.withColumn("page_id", F.when(page != "", page).cast("long"))
     origin = rows.where("type = 'response'").select(F.col("capture").alias("o_capture"), F.struct("page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest")).alias("origin"))
@@ -174,9 +177,10 @@ def captures_with_origin(assembled: DataFrame) -> DataFrame:
 def op7_warc(spark, sf_dir):
     scratch = Scratch(spark, "warc")
     archive = f"{scratch.base}/archive"
-    write_archives(table(spark, sf_dir, "pages"), archive)
+    write_archives(table(spark, sf_dir, "pages"), archive, scratch=scratch)
     records = scratch.store(read_records(spark, archive, with_block=False))
-    c = captures_with_origin(assemble(records))
+    # stored, so that the revisits of a hot response can be split over tasks
+    c = captures_with_origin(scratch.store(assemble(records)))
     return c.select(
         "page_id",
         F.coalesce("response.payload_bytes", "origin.payload_bytes").alias("payload_bytes"),
