@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import WORD, Scratch, table, with_row_id
+from ._common import WORD, Scratch, table
 
 NEWTON_STEPS, MAX_ROUNDS, TOLERANCE = 12, 6, 1e-9
 #: Documents of one source and size are dealt to this many groups before copies are handed out.
@@ -51,9 +51,10 @@ def _tilts(cells: DataFrame, cap: float, scratch: Scratch) -> DataFrame:
     x = F.col("size") / F.col("scale")
     rate = F.least(F.lit(float(cap)), F.exp(F.least(F.col("tilt") * x, top)))
     mass = F.col("size") * F.col("n")
+    exact = lambda c: F.sum(c.cast("decimal(28,9)")).cast("double")  # noqa: E731  the same in whatever order rows come
     for _ in range(MAX_ROUNDS):
         for _ in range(NEWTON_STEPS):
-            sums = cells.select("k", "size", "n").join(state, "k").groupBy("k", "target", "scale", "lo", "hi", "tilt").agg(F.sum(mass * rate).alias("got"), F.sum(F.when(F.col("tilt") * x < top, mass * rate * x).otherwise(0.0)).alias("slope"))
+            sums = cells.select("k", "size", "n").join(state, "k").groupBy("k", "target", "scale", "lo", "hi", "tilt").agg(exact(mass * rate).alias("got"), exact(F.when(F.col("tilt") * x < top, mass * rate * x).otherwise(0.0)).alias("slope"))
             over = F.col("got") > F.col("target")
             step = F.when(F.col("slope") > 0, F.col("tilt") - (F.col("got") - F.col("target")) / F.col("slope"))
             lo, hi = F.when(over, F.col("lo")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("hi"))
@@ -70,17 +71,21 @@ def _handed_out(n: Column, share: Column, before: Column) -> Column:
     return F.floor(before + n * share + 0.5) - F.floor(before + 0.5)
 
 
-def mix(docs: DataFrame, weights: list[float], total: float = 1.5, cap: float = 2.0, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(id, size, source_size, target, copies, taken) for every row of docs.
+def mix(docs: DataFrame, weights: list[float], total: float = 1.5, cap: float = 2.0, size: Column | None = None, id_col: str = "doc_id", source_col: str = "source", row_id: str | None = None) -> DataFrame:
+    """(id, size, source_size, target, copies, taken, rid) for every row of docs.
 
     size is the number of words of `text` unless given. copies is a whole number up to cap (a
     whole number); taken = copies * size. Null sources are one source, the last; null texts have
     size 0 and rate 1. Rows that repeat are mixed one by one. Sources without words have target
-    0. An empty table gives no rows. The same table gives the same mix again.
+    0. An empty table gives no rows. The same rows give the same mix again, however they are
+    stored or split: ids and texts decide, and rows that are equal in both take each other's
+    place. All sources meet in one task, one row each. rid is a row's number, that of the column
+    row_id if docs has been stored with one.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long") if size is None else size
-    sized = scratch.store(with_row_id(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))))
+    by = F.xxhash64(F.col(id_col), *[F.col(c) for c in ("text",) if c in docs.columns])
+    sized = scratch.store(docs.select((F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), by.alias("by")))
     counts = scratch.store(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     targets = scratch.store(source_targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, total, cap))
     cells = scratch.store(counts.join(targets, counts["source"].eqNullSafe(targets["source"])).select("k", "size", "n", "source_size", "target"))
@@ -102,13 +107,13 @@ def mix(docs: DataFrame, weights: list[float], total: float = 1.5, cap: float =
     planned = scratch.store(c.select("k", "size", "source_size", "target", "base", "n", "extra"))
 
     # which documents get the extra copy: even shares of the dealt groups, then hash order within
-    dealt = sized.join(targets.select("k", "source"), sized["source"].eqNullSafe(targets["source"])).select("id", "rid", "k", "size", F.pmod(F.xxhash64("id", "rid"), F.lit(DEALT)).alias("g"))
+    dealt = sized.join(targets.select("k", "source"), sized["source"].eqNullSafe(targets["source"])).select("id", "rid", "by", "k", "size", F.pmod("by", F.lit(DEALT)).alias("g"))
     groups = dealt.groupBy("k", "size", "g").agg(F.count("*").alias("m")).join(planned, ["k", "size"])
     prior = F.coalesce(F.sum("m").over(W.partitionBy("k", "size").orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # of the first `prior` documents floor(prior * extra / n) are chosen, so the whole cell gets exactly `extra`
     upto = lambda p: F.floor(p * F.col("extra") / F.col("n"))
     groups = groups.withColumn("prior", prior).select("k", "size", "g", "source_size", "target", "base", (F.when(F.col("prior") + F.col("m") == F.col("n"), F.col("extra")).otherwise(upto(F.col("prior") + F.col("m"))) - upto(F.col("prior"))).alias("chosen"))
-    place = F.row_number().over(W.partitionBy("k", "size", "g").orderBy(F.xxhash64("id", "rid", F.lit("copies")), "rid"))
+    place = F.row_number().over(W.partitionBy("k", "size", "g").orderBy(F.xxhash64("by", F.lit("copies")), "id", "rid"))
     return (
         dealt.join(groups, ["k", "size", "g"])
         .withColumn("copies", (F.col("base") + F.when(place <= F.col("chosen"), 1).otherwise(0)).cast("long"))
