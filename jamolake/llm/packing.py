@@ -15,43 +15,48 @@ from pyspark.sql import Window as W
 from ._common import WORD, Scratch, table, with_row_id
 
 BUCKETS, BUDGET = 16, 65_536
-#: Lengths up to this are told apart exactly; above it, only 64 steps a doubling are, and a boundary
-#: is the longest length inside a step.
-#: The histogram that reaches the driver has at most EXACT + 64 * log2(longest / EXACT) bins.
-EXACT, STEPS = 1024, 64
 #: Documents of a bucket are dealt to shards of about this many, which are numbered apart.
 SHARD_ROWS = 200_000
 
 
-def boundary_grid(length: Column) -> Column:
-    """The least boundary on the grid that holds a length."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length - 1, F.lit(EXACT)).cast("double")))) / STEPS
-    return F.when(length <= EXACT, F.greatest(length, F.lit(1))).otherwise((F.ceil(length / step) * step).cast("long")).cast("long")
-
-
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, buckets: int) -> list[int]:
     """Boundaries (ascending, the last is the longest) with the least padding: sum over documents
     of boundary - length. lengths are the distinct candidates in order, counts the documents at
-    each, totals their true tokens. Ties take the later split."""
+    each, totals their true tokens. Ties take the later split.
+
+    With c and t the running counts and totals, closing a bucket at length x that was opened
+    after place i costs best[i] + t[i] - c[i] * x and what depends on x alone. These are lines in
+    x of falling slope, asked at rising x, so their lower envelope gives each round in one pass.
+    Whole numbers keep it exact."""
     n = len(lengths)
     if n == 0:
         return []
-    c, t = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(totals)])
-    best = np.where(np.arange(n + 1) == 0, 0.0, np.inf)
+    x = [int(v) for v in lengths]
+    c, t = ([0, *np.cumsum(np.asarray(v, dtype=np.int64)).tolist()] for v in (counts, totals))
+    best: list[int | None] = [0, *[None] * n]
     back = []
     for _ in range(min(buckets, n)):
-        new, arg = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
+        new: list[int | None] = [None] * (n + 1)
+        arg, lines, at = [0] * (n + 1), [], 0
         for j in range(1, n + 1):
-            cost = best[:j] + lengths[j - 1] * (c[j] - c[:j]) - (t[j] - t[:j])
-            arg[j] = len(cost) - 1 - int(np.argmin(cost[::-1]))
-            new[j] = cost[arg[j]]
+            if best[j - 1] is not None:
+                line = (-c[j - 1], best[j - 1] + t[j - 1], j - 1)
+                while len(lines) > 1 and (line[1] - lines[-2][1]) * (lines[-2][0] - lines[-1][0]) <= (lines[-1][1] - lines[-2][1]) * (lines[-2][0] - line[0]):
+                    lines.pop()
+                lines.append(line)
+            if not lines:
+                continue
+            at = min(at, len(lines) - 1)
+            value = lines[at][0] * x[j - 1] + lines[at][1]
+            while at + 1 < len(lines) and (other := lines[at + 1][0] * x[j - 1] + lines[at + 1][1]) <= value:
+                at, value = at + 1, other
+            new[j], arg[j] = value + x[j - 1] * c[j] - t[j], lines[at][2]
         back.append(arg)
-        best = np.minimum(new, np.inf)
-        best[0] = np.inf
+        best = new
     # the last round has min(buckets, n) buckets exactly, and more buckets never pad more
     out, j = [], n
     for arg in reversed(back):
-        out.append(int(lengths[j - 1]))
+        out.append(x[j - 1])
         j = arg[j]
     return sorted(out)
 
@@ -63,14 +68,20 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length:
     a batch; a batch has at most max(1, budget // boundary) documents, and all but a bucket's
     last are full. Documents longer than the budget stand alone (over_budget). Null and empty
     texts have 0 tokens and go with the shortest. Repeated rows each get a slot; an empty table
-    gives no rows. n_tokens is the number of words of `text` unless a length is given.
+    gives no rows; columns other than the id and text are not read. n_tokens is the number of words
+    of `text` unless a length is given.
+
+    The histogram of lengths reaches the driver. Of m tokens in all it has at most sqrt(2 * m)
+    entries, as that many distinct lengths sum up to m: a million for 5e11 tokens.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     length = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) if length is None else length
-    sized = scratch.store(with_row_id(docs.select(F.col(id_col).alias("id"), length.cast("long").alias("n_tokens"))).withColumn("grid", boundary_grid(F.col("n_tokens"))))
-    bins = sorted(map(tuple, sized.groupBy("grid").agg(F.count("*"), F.sum("n_tokens"), F.max("n_tokens")).select(F.greatest("max(n_tokens)", F.lit(1)), "count(1)", "sum(n_tokens)").collect()))
-    bounds = optimal_boundaries(*(np.array([b[i] for b in bins], dtype=np.float64) for i in range(3)), buckets) or [1]
-    rows = [sum(n for g, n, _ in bins if lo < g <= hi) for lo, hi in zip([0, *bounds], bounds)]
+    sized = scratch.store(with_row_id(docs.select(F.col(id_col).alias("id"), length.cast("long").alias("n_tokens"))))
+    length = F.greatest("n_tokens", F.lit(1)).alias("length")
+    bins = sized.groupBy(length).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("total")).toPandas().sort_values("length")
+    bounds = optimal_boundaries(bins.length.to_numpy(), bins.n.to_numpy(), bins.total.to_numpy(), buckets) or [1]
+    upto = np.concatenate([[0], np.cumsum(bins.n.to_numpy())])[np.searchsorted(bins.length.to_numpy(), [0, *bounds], "right")]
+    rows = np.diff(upto).tolist()
     shards = [max(1, -(-r // SHARD_ROWS)) for r in rows]
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]).cast("array<long>"), F.col("bucket") + 1)
     bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b < F.col("n_tokens")))
