@@ -4,8 +4,12 @@ Equal vectors are one point. Points are dealt to shards, each shard builds a gra
 shard is asked for every block of points: beams widen until all they hold are hits no longer, and
 until an audit of all shards against brute force finds no less than the recall asked for. The
 audit counts no point's hit on itself, averages over points that have other hits, and draws until
-it has tested enough of them. Cosines are verified in double precision, and a task returns counts and a spanning forest of its links, so that a
-group of thousands of copies does not become millions of pairs.
+it has tested enough of them. Cosines are verified in double precision, and a task returns counts
+and a spanning forest of its links, so that a group of thousands of copies does not become millions
+of pairs.
+
+Queries travel to graphs: a task opens the graph of one shard once and streams the blocks that ask
+it. Of two points the one with the lesser number asks, so a link is decided once and counts for both.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import pack, unpack
-from ._common import Scratch, table, with_row_id
+from ._common import Scratch, table
 from ._components import components
 
 #: Points of a shard at most, shards at least, points of a block that asks.
@@ -270,7 +274,7 @@ class Graph:
             true, found = self.judged(self.vectors[own], threshold, beam, lambda k, hits: hits[(hits != own[k]) & (self.vectors[hits] @ self.vectors[own[k]] >= threshold)])
             some = true > 0
             share = float((found[some] / true[some]).mean()) if some.any() else 1.0
-            if beam > n * WIDEST:  # every point was looked at, or will be
+            if beam > max(FIRST_BEAM, n * WIDEST):  # every point was looked at
                 return beam, share
             if some.sum() < tested and audit < n:
                 audit, beam = (audit * 4, beam) if audit < MOST_AUDIT else (audit, EVERY)
@@ -341,7 +345,7 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     kind = dict(vectors.dtypes)[id_col]
-    rows = with_row_id(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"))).select("rid", "vec_id", "embedding")
+    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"))
     rows = scratch.store(rows.mapInArrow(_packed, f"rid long, vec_id {kind}, raw binary"))
     # equal vectors are one point, told by all their bytes
     points = scratch.store(rows.where("raw IS NOT NULL").groupBy("raw").agg(F.min("rid").alias("point"), F.count("*").alias("copies")).withColumn("dim", (F.length("raw") / 8).cast("int")))
@@ -360,27 +364,44 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
     graphs = scratch.store(dealt.select("dim", "shard", "point", "copies", "raw").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary, members binary"))
 
     def block(group: pa.Table) -> pa.Table:
-        return pa.table({"dim": group.column("dim")[:1], "ask": group.column("ask")[:1], "shards": group.column("shards")[:1], "queries": pa.array([pack(group.column("point").to_numpy(), _raw(group.column("raw"), group.column("dim")[0].as_py()).ravel())], pa.binary())})
+        return pa.table({"dim": group.column("dim")[:1], "ask": group.column("ask")[:1], "shards": group.column("shards")[:1], "queries": pa.array([pack(group.column("point").to_numpy(), group.column("copies").to_numpy(), _raw(group.column("raw"), group.column("dim")[0].as_py()).ravel())], pa.binary())})
 
     def met(some: DataFrame, beams: dict[int, int]) -> DataFrame:
-        """Those points in blocks, each beside the graph of every shard."""
-        asks = some.select("dim", "ask", "shards", "point", "raw").groupBy("dim", "ask").applyInArrow(block, "dim int, ask int, shards int, queries binary")
-        wide = F.broadcast(spark.createDataFrame(list(beams.items()), "dim int, beam int"))
-        pairs = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).join(graphs, ["dim", "shard"]).join(wide, "dim")
-        return pairs.select("dim", "beam", "graph", "members", "queries").repartition(n_tasks)
+        """The graph of every shard, as often as tasks ask it, before those points in blocks."""
+        asks = scratch.store(some.select("dim", "ask", "shards", "point", "copies", "raw").groupBy("dim", "ask").applyInArrow(block, "dim int, ask int, shards int, queries binary"))
+        # blocks of a shard are dealt over tasks; there are never more of these than blocks
+        per_dim = asks.groupBy("dim", "shards").agg(F.greatest(F.lit(1), F.least(F.count("*"), F.ceil(F.lit(n_tasks) / F.col("shards")))).cast("int").alias("salts"))
+        wide = F.broadcast(per_dim.join(F.broadcast(spark.createDataFrame(list(beams.items()), "dim int, beam int")), "dim"))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        nothing = F.lit(None).cast("binary")
+        left = graphs.join(wide, "dim").select("dim", "shard", each("salts").alias("salt"), "beam", "graph", "members", nothing.alias("queries"))
+        # one row a shard that has a graph
+        there = F.broadcast(graphs.select("dim", "shard"))
+        right = asks.join(wide.drop("shards"), "dim").join(there, "dim").select("dim", "shard", F.pmod(F.xxhash64("ask"), F.col("salts")).cast("int").alias("salt"), "beam", nothing.alias("graph"), nothing.alias("members"), "queries")
+        return left.unionByName(right).repartition(2 * n_tasks, "dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", F.col("queries").isNotNull())
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(dim, graph, members, None), then the same with (beam, queries) for each block that asks."""
+        dim = graph = members = None
+        for batch in batches:
+            for d, beam, g, m, q in zip(batch.column("dim").to_pylist(), batch.column("beam").to_pylist(), batch.column("graph"), batch.column("members"), batch.column("queries")):
+                if g.is_valid:
+                    point, copies, raw = unpack(m.as_py())
+                    dim, graph, members = d, Graph.from_bytes(g.as_py(), d), (point, copies, _unit(raw.reshape(-1, d)))
+                    yield dim, graph, members, None
+                else:
+                    point, copies, raw = unpack(q.as_py())
+                    yield dim, graph, members, (beam, point, copies, _unit(raw.reshape(-1, dim)))
 
     def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, beam, graph, members, queries in zip(batch.column("dim").to_pylist(), batch.column("beam").to_pylist(), batch.column("graph"), batch.column("members"), batch.column("queries")):
-                graph = Graph.from_bytes(graph.as_py(), dim)
-                m_point, _, m_raw = unpack(members.as_py())
-                q_point, q_raw = unpack(queries.as_py())
-                m_unit, q_unit = _unit(m_raw.reshape(-1, dim)), _unit(q_raw.reshape(-1, dim))
+        for dim, graph, (m_point, _, m_unit), ask in asked(batches):
+            if ask:
+                beam, q_point, _, q_unit = ask
                 true, found = graph.judged(q_unit.astype(np.float32), threshold, beam, lambda k, hits: hits[(m_unit[hits] @ q_unit[k] >= threshold) & (m_point[hits] != q_point[k])])
                 some = true > 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), dim, dtype=np.int32)), pa.array(q_point[some]), pa.array(true[some]), pa.array(found[some])], ["dim", "point", "true", "found"])
 
-    n_tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, 20_000))
+    n_tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, 20_000))
     # one row for each length of vectors there is
     n_points = {r["dim"]: r["n"] for r in sizes.collect()}
     draws, beams, measured = dict.fromkeys(n_points, AUDIT), dict.fromkeys(n_points, FIRST_BEAM), {}
@@ -388,7 +409,7 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
         # a sample by hash: about as many points as are to be drawn, from all shards
         place, share = F.pmod(F.xxhash64("point", F.lit("audit")), F.lit(2**31)), F.broadcast(spark.createDataFrame([(d, draws[d] / n_points[d] * 2**31, -(-draws[d] // ASK)) for d in open_], "dim int, upto double, blocks int"))
         drawn = dealt.join(share, "dim").where(place < F.col("upto")).withColumn("ask", F.pmod(F.xxhash64("point", F.lit("ask")), F.col("blocks")).cast("int"))
-        judged = scratch.store(met(drawn, {d: beams[d] for d in open_}).mapInArrow(audit, "dim int, point long, true long, found long"))
+        judged = scratch.store(met(drawn, {d: beams[d] for d in open_}).mapInArrow(audit, "dim int, point long, true long, found long"), batch_rows=1)
         each = judged.groupBy("dim", "point").agg((F.sum("found") / F.sum("true")).alias("share"))
         seen = {r["dim"]: (r["share"], r["tested"]) for r in each.groupBy("dim").agg(F.avg("share").alias("share"), F.count("*").alias("tested")).collect()}
         for d in open_:
@@ -404,30 +425,43 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
                 beams[d] = beams[d] * 2 if beams[d] * 2 <= shard_points * WIDEST else EVERY
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, beam, graph, members, queries in zip(batch.column("dim").to_pylist(), batch.column("beam").to_pylist(), batch.column("graph"), batch.column("members"), batch.column("queries")):
-                graph = Graph.from_bytes(graph.as_py(), dim)
-                m_point, m_copies, m_raw = unpack(members.as_py())
-                q_point, q_raw = unpack(queries.as_py())
-                m_unit, q_unit = _unit(m_raw.reshape(-1, dim)), _unit(q_raw.reshape(-1, dim))
-                n_links = np.zeros(len(q_point), dtype=np.int64)
-                a, b = [], []
-                for k, hits in enumerate(graph.within(q_unit.astype(np.float32), threshold, beam)):
-                    hits = hits[(m_unit[hits] @ q_unit[k] >= threshold) & (m_point[hits] != q_point[k])]
-                    n_links[k] = m_copies[hits].sum()
-                    a.append(np.full(len(hits), q_point[k]))
-                    b.append(m_point[hits])
-                a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (a, b))
-                keep = _forest(a, b)
-                nothing = np.full(len(q_point), -1, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([q_point, a[keep]])), pa.array(np.concatenate([nothing, b[keep]])), pa.array(np.concatenate([n_links, np.zeros(int(keep.sum()), dtype=np.int64)]))], ["a", "b", "n"])
-
-    found = scratch.store(met(dealt, beams).mapInArrow(search, "a long, b long, n long"))
+        def rows(a, b, n):
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+
+        def counted(point, n):
+            some = n > 0
+            return rows(point[some], np.full(int(some.sum()), -1, dtype=np.int64), n[some])
+
+        of_members = None  # links of the graph's own points that blocks have found so far
+        for _, graph, (m_point, m_copies, m_unit), ask in asked(batches):
+            if not ask:
+                if of_members:
+                    yield counted(*of_members)
+                of_members = m_point, np.zeros(len(m_point), dtype=np.int64)
+                continue
+            beam, q_point, q_copies, q_unit = ask
+            n_links = np.zeros(len(q_point), dtype=np.int64)
+            a, b = [q_point[:0]], [q_point[:0]]
+            for k, hits in enumerate(graph.within(q_unit.astype(np.float32), threshold, beam)):
+                hits = hits[(m_point[hits] > q_point[k]) & (m_unit[hits] @ q_unit[k] >= threshold)]
+                n_links[k] = m_copies[hits].sum()
+                of_members[1][hits] += q_copies[k]
+                a.append(np.full(len(hits), q_point[k]))
+                b.append(m_point[hits])
+            a, b = np.concatenate(a), np.concatenate(b)
+            keep = _forest(a, b)
+            yield rows(a[keep], b[keep], np.zeros(int(keep.sum()), dtype=np.int64))
+            yield counted(q_point, n_links)
+        if of_members:
+            yield counted(*of_members)
+
+    found = scratch.store(met(dealt, beams).mapInArrow(search, "a long, b long, n long"), batch_rows=1)
     counts = found.where("b < 0").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b >= 0").select("a", "b"), scratch)
     per_point = points.join(counts, "point", "left").join(roots, F.col("point") == F.col("v"), "left").select("raw", F.coalesce("root", "point").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     member = scratch.store(rows.where("raw IS NOT NULL").join(per_point, "raw").select("vec_id", "n_links", "root"))
-    least = member.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    # stored, so that a hot component's rows can be split over tasks
+    least = scratch.store(member.groupBy("root").agg(F.min("vec_id").alias("component_id")))
     alone = rows.where("raw IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = member.join(least, "root").select("vec_id", "n_links", "component_id").unionByName(alone)
     recall, tested = min((r for r, _ in measured.values()), default=1.0), sum(n for _, n in measured.values())
