@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -123,6 +124,36 @@ def test_mix(spark, docs, rows, empty):
     assert mixing.mix(empty, [1.0]).count() == 0
 
 
+def test_mix_reruns_agree(spark, rows, tmp_path):
+    """Files, splits and order of rows change nothing."""
+    rnd, seen = random.Random(3), []
+    for files in (1, 9):
+        spark.createDataFrame(rnd.sample(rows, len(rows)), SCHEMA).repartition(files).write.parquet(f"{tmp_path}/{files}")
+        seen.append(counted(mixing.mix(spark.read.parquet(f"{tmp_path}/{files}"), [3.0, 1.0, 2.0]), "doc_id", "taken"))
+    assert seen[0] == seen[1]
+
+
+def test_mix_tilts(spark, tmp_path):
+    """Mean copies of documents of like size are the rates that solve the dual, found by bisection."""
+    rnd = random.Random(4)
+    sizes = {s: [rnd.randint(1, 40) ** 2 for _ in range(3000)] for s in "ab"}
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(f"{s}{i}", s, n) for s in sizes for i, n in enumerate(sizes[s])], "doc_id string, source string, n long").write.parquet(path)
+    got = mixing.mix(spark.read.parquet(path), [1.0, 3.0], total=1.0, size=F.col("n")).collect()
+    for s in sizes:
+        mine = [r for r in got if r["doc_id"][0] == s]
+        mean, target = sum(sizes[s]) / 3000, mine[0]["target"]
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * min(2.0, math.exp(min(mid * n / mean, 1))) for n in sizes[s]) < target else (lo, mid)
+        rate = lambda n: min(2.0, math.exp(min(lo * n / mean, 1)))
+        for band in range(0, 1600, 400):
+            some = [r for r in mine if band < r["size"] <= band + 400]
+            assert len(some) > 300 and abs(sum(r["copies"] for r in some) / len(some) - sum(rate(r["size"]) for r in some) / len(some)) < 0.02
+        assert abs(sum(r["taken"] for r in mine) - target) <= 2000
+
+
 # 2 language model
 
 def test_lm(spark, docs, rows, empty):
@@ -188,6 +219,19 @@ def test_optimal_boundaries():
         assert cost(got) == best and got[-1] == lengths[-1]
 
 
+def test_boundaries_are_optimal_over_all_lengths():
+    """Against the plain recurrence, with lengths far beyond a thousand and hundreds of them."""
+    rnd = random.Random(2)
+    for _ in range(5):
+        x = sorted(rnd.sample(range(1, 20_000), 150))
+        n = [rnd.randint(1, 50) if rnd.random() < 0.9 else 5000 for _ in x]
+        best = [0.0] + [math.inf] * len(x)
+        for _ in range(6):
+            best = [math.inf] + [min(best[i] + sum(c * (x[j - 1] - v) for v, c in zip(x[i:j], n[i:j])) for i in range(j)) for j in range(1, len(x) + 1)]
+        got = packing.optimal_boundaries(np.array(x), np.array(n), np.array(x) * n, 6)
+        assert sum(c * (min(b for b in got if b >= v) - v) for v, c in zip(x, n)) == best[-1] and got == sorted(set(got)) and got[-1] == x[-1]
+
+
 # 4 toxicity
 
 def test_fold_and_match():
@@ -308,6 +352,47 @@ def test_graph_recall():
     assert all(np.array_equal(a, b) for a, b in zip(back.within(v[:5], 0.9, beam), g.within(v[:5], 0.9, beam)))
 
 
+def test_audit_of_a_small_graph():
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(150, 16))
+    g = vector_dedup.Graph.build(vector_dedup._unit(np.concatenate([v, v + rng.normal(scale=0.03, size=v.shape)])).astype(np.float32))
+    within = g.within
+    g.within = lambda q, t, beam: within(q, t, beam) if beam > vector_dedup.FIRST_BEAM else [np.zeros(0, dtype=np.int64)] * len(q)
+    beam, recall = g.audited_beam(0.9)
+    assert beam > vector_dedup.FIRST_BEAM and recall == 1
+
+
+@pytest.fixture
+def shipped_whole():
+    """Workers get the module as the test has patched it."""
+    cloudpickle.register_pickle_by_value(vector_dedup)
+    yield
+    cloudpickle.unregister_pickle_by_value(vector_dedup)
+
+
+def test_weak_searches_widen_and_links_count_for_both(spark, tmp_path, monkeypatch, shipped_whole):
+    """A search that finds nothing with its first beams fails the audit; one that misses half its
+    hits unaudited still gives both ends of a link the same links."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(400, 16))
+    v = [list(map(float, x)) for x in np.concatenate([v, v + rng.normal(scale=0.05, size=v.shape)])]
+    path = str(tmp_path / "e")
+    spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>").write.parquet(path)
+    links = brute_links(v, 0.9)
+    assert sum(map(len, links.values())) >= 800
+    within = vector_dedup.Graph.within
+    monkeypatch.setattr(vector_dedup.Graph, "within", lambda self, q, t, beam: within(self, q, t, beam) if beam > 100 else [np.zeros(0, dtype=np.int64)] * len(q))
+    got = vector_dedup.vector_groups(spark.read.parquet(path)).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {i: len(x) for i, x in links.items()}
+    monkeypatch.setattr(vector_dedup, "RECALL", 0.0)
+    monkeypatch.setattr(vector_dedup.Graph, "within", lambda self, q, t, beam: [h[h % 2 == 0] for h in within(self, q, t, beam)])
+    got = vector_dedup.vector_groups(spark.read.parquet(path)).collect()
+    counts, groups = {r["vec_id"]: r["n_links"] for r in got}, Counter(r["component_id"] for r in got)
+    pairs = [c for c, n in groups.items() if n == 2]
+    assert 50 < len(pairs) < 400 and all(counts[r["vec_id"]] == 1 for r in got if r["component_id"] in pairs)
+    assert all(counts[r["vec_id"]] == 0 for r in got if groups[r["component_id"]] == 1)
+
+
 def test_audit_leaves_out_self_hits():
     rng = np.random.default_rng(9)
     c = rng.normal(size=(1, 32))
@@ -424,6 +509,45 @@ def test_jaccard_of_short_texts(spark, tmp_path, n_words, per_cent):
     assert counted(jaccard_join.jaccard_groups(spark.read.parquet(path), n_words, per_cent), "doc_id", "component_id") == want
 
 
+def test_group_links_connect_all():
+    rnd = random.Random(5)
+    base = [rnd.sample(range(10_000), 60) for _ in range(3)]
+    sets = [np.unique(np.array([x if rnd.random() > 0.06 else rnd.randrange(10_000) for x in rnd.choice(base)], dtype=np.uint64)) for _ in range(120)] + [np.zeros(0, dtype=np.uint64)] * 2
+    links = {i: {j for j in range(len(sets)) if i != j and jaccard_join.similar(sets[i], sets[j], 85)} for i in range(len(sets))}
+    got = jaccard_join.group_links(sets, 85)
+    assert all(j in links[i] for i, j in got)
+    forest = {i: {j for p in got if i in p for j in p if j != i} for i in range(len(sets))}
+    ids = range(len(sets))
+    assert reach(forest, ids) == reach(links, ids) and len(got) == len(sets) - len(set(reach(links, ids).values()))
+
+
+def test_candidates_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """Groups of near copies that differ from each other about as much as the threshold allows, and a
+    passage that many texts share: five times the rows name about five times the candidates at most."""
+    made, store = [], common.Scratch.store
+
+    def watched(self, df, *a, **k):
+        out = store(self, df, *a, **k)
+        made.append(out)
+        return out
+
+    monkeypatch.setattr(common.Scratch, "store", watched)
+    monkeypatch.setattr(common.Scratch, "drop", lambda self, *dfs: None)
+    rnd, rows = random.Random(6), []
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(3000)]
+    bases = [rnd.choices(vocabulary, k=150) for _ in range(3)]
+    passage = rnd.choices(vocabulary, k=100)
+    for size in (60, 300):
+        texts = [" ".join(w if rnd.random() > 0.01 else rnd.choice(vocabulary) for w in b) for b in bases for _ in range(size)]
+        texts += [" ".join([*rnd.choices(vocabulary, k=15), *passage, *rnd.choices(vocabulary, k=15)]) for _ in range(size)]
+        path = f"{tmp_path}/{size}"
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+        made.clear()
+        jaccard_join.jaccard_groups(spark.read.parquet(path), 4, 85).count()
+        rows.append(sum(d.count() for d in made if d.columns == ["a", "b"]))
+    assert rows[0] >= 60 and rows[1] <= 8 * rows[0]
+
+
 def test_tree_pairs_lose_nothing():
     rng = np.random.default_rng(8)
     base = rng.poisson(8, size=(30, jaccard_join.GROUPS))
@@ -470,6 +594,37 @@ def test_urls(spark, bound):
     assert none.where("verdict = 'allow' AND rule IS NULL").count() == len(pages)
 
 
+# the registered queries
+
+def test_queries(spark, docs, rows, tmp_path):
+    """Column names, and the rules that belong to a query rather than its operator."""
+    from jamolake.llm.queries import QUERIES
+
+    sf = str(tmp_path)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(i, [1.0, float(i % 5)], 0) for i in range(30)], "vec_id long, embedding array<float>, label int").write.parquet(f"{sf}/embeddings.parquet")
+    spark.createDataFrame([(i, f"http://www.example.com/en/{i % 9}", "x" * (i % 4) or None) for i in range(20)], "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
+    want = {
+        "op1": ["doc_id", "size", "source_size", "target", "taken"], "op2": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], "op3": ["doc_id"],
+        "op4": ["doc_id", "held_out", "score", "predicted"], "op5": ["vec_id", "n_links", "component_id", "kept"], "op6": ["doc_id", "n_words", "n_removed", "kept_sha256"],
+        "op7": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], "op8": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], "op9": ["doc_id", "n_shingles", "component_id"], "op10": ["page_id", "host", "path", "rule", "verdict"],
+    }
+    got = {}
+    for name, query in QUERIES.items():
+        op = name.split("_")[0]
+        df = query(spark, sf)
+        assert set(want[op]) <= set(df.columns)
+        got[op] = df.collect()
+    ids = Counter(r[0] for r in rows)
+    assert all(Counter(r["doc_id"] for r in got[op]) == ids for op in ("op1", "op2", "op3", "op4", "op6", "op8", "op9"))
+    held = lambda i, n, k: zlib.crc32(str(i).encode()) % n == k
+    assert all(r["held_out"] == held(r["doc_id"], 7, 2) for r in got["op2"]) and all(r["held_out"] == held(r["doc_id"], 3, 1) and r["predicted"] == (r["score"] >= 0.7) for r in got["op4"])
+    last = {i % 4: i for i in range(20)}
+    assert all((r["record_type"], r["refers_to"]) == (("response", None) if last[r["page_id"] % 4] == r["page_id"] else ("revisit", last[r["page_id"] % 4])) and r["payload_bytes"] == r["page_id"] % 4 for r in got["op7"])
+    assert {r["verdict"] for r in got["op10"]} == {"allow", "block"} and len(got["op5"]) == 30
+
+
 # pipeline
 
 def test_pipeline(spark, rows, tmp_path):
