@@ -10,61 +10,73 @@ import difflib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .phonology import LINKING
+
 ALIGNMENT = T.ArrayType(T.StructType().add("position", T.IntegerType()).add("expected", T.StringType()).add("actual", T.StringType()).add("status", T.StringType()))
 OPCODES = T.ArrayType(T.StructType().add("type", T.StringType()).add("ref", T.StringType()).add("hyp", T.StringType()))
 
 
-#: Cells of the cost tables that are filled side by side.
+DIAGNOSIS = T.StructType().add("correct", T.IntegerType()).add("substitution", T.IntegerType()).add("insertion", T.IntegerType()).add("deletion", T.IntegerType()).add("linking", T.IntegerType()).add("subs", T.ArrayType(T.StructType().add("exp", T.StringType()).add("act", T.StringType())))
+
+#: Cells of the cost tables that are filled side by side. A longer pair has a table of its own, a
+#: byte a cell.
 CELLS = 4_000_000
-STATUS = np.array(["correct", "substitution", "insertion", "deletion"], dtype=object)
+STATUS = ["correct", "substitution", "insertion", "deletion"]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
 
+_SILENT, _LINKING = _codes("ㅇ")[0], _codes("".join(LINKING))
 
-def _align_together(pairs: list[tuple[str, str]]) -> list[list[dict]]:
-    """Unit-cost alignments; read from the end, a match goes before a substitution, that before an
-    insertion, and a deletion comes last. All pairs' tables are filled and read in step."""
+
+def _steps_together(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Unit-cost alignments as places in STATUS; read from the end, a match goes before a
+    substitution, that before an insertion, and a deletion comes last. All pairs' tables are
+    filled and read in step. Costs beside each other differ by one at most, so the tables hold
+    them modulo 256."""
     k = len(pairs)
     n, m = (np.array([len(p[s]) for p in pairs]) for s in (0, 1))
-    a, b = np.full((k, n.max(initial=0)), -1), np.full((k, m.max(initial=0)), -2)
+    a, b = np.full((k, n.max(initial=0)), 2**32 - 1, dtype=np.uint32), np.full((k, m.max(initial=0)), 2**32 - 2, dtype=np.uint32)
     for r, (e, x) in enumerate(pairs):
-        a[r, : len(e)] = np.frombuffer(e.encode("utf-32-le"), "<u4")
-        b[r, : len(x)] = np.frombuffer(x.encode("utf-32-le"), "<u4")
-    ramp = np.arange(b.shape[1] + 1, dtype=np.int32)
-    cost = np.empty((a.shape[1] + 1, k, b.shape[1] + 1), dtype=np.int32)
-    cost[0] = ramp
+        a[r, : len(e)] = e
+        b[r, : len(x)] = x
+    kind = np.int16 if a.shape[1] + b.shape[1] < 2**14 else np.int32
+    ramp = np.arange(b.shape[1] + 1, dtype=kind)
+    cost = np.empty((a.shape[1] + 1, k, b.shape[1] + 1), dtype=np.uint8)
+    last = np.repeat(ramp[None, :], k, axis=0)
+    cost[0] = last
     for i in range(1, a.shape[1] + 1):
-        row = cost[i - 1] + 1
-        np.minimum(row[:, 1:], cost[i - 1][:, :-1] + (b != a[:, i - 1 : i]), out=row[:, 1:])
+        row = last + kind(1)
+        np.minimum(row[:, 1:], last[:, :-1] + (b != a[:, i - 1 : i]), out=row[:, 1:])
         # insertions spread to the right as a running minimum
-        cost[i] = np.minimum.accumulate(row - ramp, axis=1) + ramp
+        row -= ramp
+        np.minimum.accumulate(row, axis=1, out=row)
+        row += ramp
+        cost[i], last = row, row
     steps, i, j, rows = [], n.copy(), m.copy(), np.arange(k)
     while (live := (i > 0) | (j > 0)).any():
         up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
         both = (i > 0) & (j > 0)
-        here = cost[i, rows, j]
+        before = cost[i, rows, j] - np.uint8(1)
         same = both & (a[rows, up] == b[rows, left]) if a.size and b.size else both
-        swap = both & (here == cost[up, rows, left] + 1)
-        add = (j > 0) & (here == cost[i, rows, left] + 1)
-        kind = np.where(same, 0, np.where(swap, 1, np.where(add, 2, 3)))
-        steps.append(np.where(live, kind, -1))
-        i, j = i - (live & (kind != 2)), j - (live & (kind != 3))
-    table = np.array(steps).T if steps else np.zeros((k, 0), dtype=int)
-    out = []
-    for (e, x), line in zip(pairs, table):
-        e_at, x_at, path = 0, 0, []
-        for kind in line[line >= 0][::-1]:
-            expected, actual = (e[e_at] if kind != 2 else None), (x[x_at] if kind != 3 else None)
-            e_at, x_at = e_at + (kind != 2), x_at + (kind != 3)
-            path.append({"position": len(path), "expected": expected, "actual": actual, "status": STATUS[kind]})
-        out.append(path)
-    return out
+        swap = both & (before == cost[up, rows, left])
+        add = (j > 0) & (before == cost[i, rows, left])
+        what = np.where(same, 0, np.where(swap, 1, np.where(add, 2, 3))).astype(np.int8)
+        steps.append(np.where(live, what, np.int8(-1)))
+        i, j = i - (live & (what != 2)), j - (live & (what != 3))
+    table = np.array(steps).T if steps else np.zeros((k, 0), dtype=np.int8)
+    return [line[line >= 0][::-1] for line in table]
 
 
-def align_all(pairs: list[tuple[str, str]]) -> list[list[dict]]:
-    """_align_together() in groups of pairs of like size."""
+def steps_of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """_steps_together() in groups of pairs of like size."""
     order = sorted(range(len(pairs)), key=lambda r: (len(pairs[r][0]), len(pairs[r][1])))
     out: list = [None] * len(pairs)
     at = 0
@@ -76,12 +88,25 @@ def align_all(pairs: list[tuple[str, str]]) -> list[list[dict]]:
             if to > at and (to - at + 1) * (len(e) + 1) * widest > CELLS:
                 break
             to += 1
-        for r, path in zip(order[at:to], _align_together([pairs[r] for r in order[at:to]])):
+        for r, path in zip(order[at:to], _steps_together([pairs[r] for r in order[at:to]])):
             out[r] = path
         at = to
     return out
 
 
+def align_all(pairs: list[tuple[str, str]]) -> list[list[dict]]:
+    """The steps of each pair with their letters."""
+    out = []
+    for (e, x), kinds in zip(pairs, steps_of([(_codes(e), _codes(x)) for e, x in pairs])):
+        e_at, x_at, path = 0, 0, []
+        for kind in kinds.tolist():
+            expected, actual = (e[e_at] if kind != 2 else None), (x[x_at] if kind != 3 else None)
+            e_at, x_at = e_at + (kind != 2), x_at + (kind != 3)
+            path.append({"position": len(path), "expected": expected, "actual": actual, "status": STATUS[kind]})
+        out.append(path)
+    return out
+
+
 @F.pandas_udf(ALIGNMENT)
 def align(expected: pd.Series, actual: pd.Series) -> pd.Series:
     """Alignment of two letter strings; null if either is."""
@@ -93,6 +118,55 @@ def align(expected: pd.Series, actual: pd.Series) -> pd.Series:
     return out
 
 
+@F.arrow_udf(DIAGNOSIS)
+def diagnose(expected: pa.Array, actual: pa.Array) -> pa.Array:
+    """What the alignment of two letter strings shows: the number of steps of each kind, of lost silent
+    initials right after a consonant, and the substitutions in order. Nulls count as empty."""
+    pairs = [(_codes(e or ""), _codes(a or "")) for e, a in zip(expected.to_pylist(), actual.to_pylist())]
+    numbers, ends, exp, act = [], [0], [_codes("")], [_codes("")]
+    for (e, x), kinds in zip(pairs, steps_of(pairs)):
+        # steps but insertions are the expected letters, steps but deletions the actual ones
+        of_e, of_x = kinds[kinds != 2], kinds[kinds != 3]
+        linked = (of_e[1:] == 3) & (e[1:] == _SILENT) & np.isin(e[:-1], _LINKING)
+        numbers.append((*np.bincount(kinds, minlength=4), linked.sum()))
+        exp.append(e[of_e == 1])
+        act.append(x[of_x == 1])
+        ends.append(ends[-1] + len(exp[-1]))
+    letters = lambda parts: pa.array(list(np.concatenate(parts).tobytes().decode("utf-32-le")), pa.string())
+    subs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([letters(exp), letters(act)], ["exp", "act"]))
+    columns = np.array(numbers, dtype=np.int32).reshape(-1, 5).T
+    return pa.StructArray.from_arrays([*(pa.array(c) for c in columns), subs], ["correct", "substitution", "insertion", "deletion", "linking", "subs"])
+
+
+@F.pandas_udf(OPCODES)
+def align_common(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Letters in common, inserted and deleted along a longest common subsequence, white space left
+    out; read from the end, a match goes first and an insertion before a deletion on ties."""
+
+    def one(r, h):
+        r, h = "".join(r.split()), "".join(h.split())
+        a, b = _codes(r), _codes(h)
+        best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
+        for i in range(1, len(a) + 1):
+            row = best[i - 1].copy()
+            row[1:] = np.where(b == a[i - 1], np.maximum(row[1:], best[i - 1][:-1] + 1), row[1:])
+            best[i] = np.maximum.accumulate(row)
+        i, j, out = len(a), len(b), []
+        while i or j:
+            if i and j and a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                out.append({"type": "equal", "ref": r[i], "hyp": h[j]})
+            elif j and (not i or best[i, j - 1] >= best[i - 1, j]):
+                j -= 1
+                out.append({"type": "insert", "ref": "", "hyp": h[j]})
+            else:
+                i -= 1
+                out.append({"type": "delete", "ref": r[i], "hyp": ""})
+        return out[::-1]
+
+    return pd.Series([None if r is None or h is None else one(r, h) for r, h in zip(reference, hypothesis)])
+
+
 @F.pandas_udf(OPCODES)
 def opcodes(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Blocks that are equal, replaced, deleted or inserted, by longest common runs."""
@@ -138,6 +212,18 @@ def cer_plain(reference: Column, hypothesis: Column) -> Column:
     return F.levenshtein(hypothesis, reference) / F.nullif(F.length(reference), F.lit(0))
 
 
+def cer_library(reference: Column, hypothesis: Column) -> Column:
+    """Variant B as a corpus is scored: an empty hypothesis counts as one space, and a row that cannot
+    be scored as 1."""
+    return F.coalesce(cer_plain(reference, F.when(hypothesis == "", " ").otherwise(hypothesis)), F.lit(1.0))
+
+
+def cer_any_space(reference: Column, hypothesis: Column) -> Column:
+    """Without any white space, over at least one character."""
+    r, h = F.regexp_replace(reference, r"\s", ""), F.regexp_replace(hypothesis, r"\s", "")
+    return F.levenshtein(r, h) / F.greatest(F.length(r), F.lit(1))
+
+
 def cer_squeezed(reference: Column, hypothesis: Column) -> Column:
     """Variant C: without spaces, over at least one character."""
     r, h = without_spaces(reference), without_spaces(hypothesis)

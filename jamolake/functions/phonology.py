@@ -12,10 +12,11 @@ TENSE = {"ㄱ": "ㄲ", "ㄷ": "ㄸ", "ㅂ": "ㅃ", "ㅅ": "ㅆ", "ㅈ": "ㅉ"}
 PALATAL = {"ㄷ": "ㅈ", "ㅌ": "ㅊ"}
 NASAL = {"ㄱ": "ㅇ", "ㄷ": "ㄴ", "ㅂ": "ㅁ"}
 CATEGORIES = ["tensification", "palatalization", "nasalization", "linking"]
-CLASSES = {
-    "파열음(연)": "ㄱㄷㅂ", "파열음(경)": "ㄲㄸㅃ", "파열음(격)": "ㅋㅌㅍ", "파찰음(연)": "ㅈ", "파찰음(경)": "ㅉ", "파찰음(격)": "ㅊ",
-    "마찰음(연)": "ㅅ", "마찰음(경)": "ㅆ", "마찰음": "ㅎ", "비음": "ㄴㅁㅇ", "유음": "ㄹ", "저모음": "ㅏ", "중모음": "ㅓ",
-    "고모음(원순)": "ㅗㅜ", "고모음": "ㅡ", "고모음(전설)": "ㅣ", "중모음(전설)": "ㅐㅔ", "이중모음": "ㅑㅕㅛㅠ",
+# The articulation class of each letter.
+SOUND_CLASS = {
+    "ㄱ": "파열음(연)", "ㄷ": "파열음(연)", "ㅂ": "파열음(연)", "ㄲ": "파열음(경)", "ㄸ": "파열음(경)", "ㅃ": "파열음(경)", "ㅋ": "파열음(격)", "ㅌ": "파열음(격)", "ㅍ": "파열음(격)",
+    "ㅈ": "파찰음(연)", "ㅉ": "파찰음(경)", "ㅊ": "파찰음(격)", "ㅅ": "마찰음(연)", "ㅆ": "마찰음(경)", "ㅎ": "마찰음", "ㄴ": "비음", "ㅁ": "비음", "ㅇ": "비음", "ㄹ": "유음",
+    "ㅏ": "저모음", "ㅓ": "중모음", "ㅗ": "고모음(원순)", "ㅜ": "고모음(원순)", "ㅡ": "고모음", "ㅣ": "고모음(전설)", "ㅐ": "중모음(전설)", "ㅔ": "중모음(전설)", "ㅑ": "이중모음", "ㅕ": "이중모음", "ㅛ": "이중모음", "ㅠ": "이중모음",
 }
 
 #: Consonants before a silent initial that make its loss a link; the silent one itself does not.
@@ -27,12 +28,13 @@ def _map(pairs: dict) -> Column:
 
 
 def classify(expected: Column, actual: Column) -> Column:
-    rules = {e + a: name for name, table in zip(CATEGORIES[2::-1], (NASAL, PALATAL, TENSE)) for e, a in table.items()}
-    return F.coalesce(F.element_at(_map(rules), F.concat(expected, actual)), F.lit("other"))
+    pair = F.concat(expected, actual)
+    of = lambda rule: pair.isin([e + a for e, a in rule.items()])
+    return F.when(of(TENSE), "tensification").when(of(PALATAL), "palatalization").when(of(NASAL), "nasalization").otherwise("other")
 
 
 def sound_class(jamo: Column) -> Column:
-    return F.element_at(_map({c: name for name, letters in CLASSES.items() for c in letters}), jamo)
+    return F.element_at(_map(SOUND_CLASS), jamo)
 
 
 def linking_count(alignment: Column) -> Column:
@@ -43,17 +45,11 @@ def linking_count(alignment: Column) -> Column:
     return F.size(hits)
 
 
-def substitutions(alignment: Column) -> Column:
-    """array<struct<exp, act>> in order."""
-    return F.transform(F.filter(alignment, lambda s: s["status"] == "substitution"), lambda s: F.struct(s["expected"].alias("exp"), s["actual"].alias("act")))
-
-
-def rule_counts(alignment: Column) -> Column:
+def rule_counts(subs: Column, linking: Column) -> Column:
     """struct of the hits of each category, other substitutions included."""
-    subs = substitutions(alignment)
     kinds = F.transform(subs, lambda s: classify(s["exp"], s["act"]))
     count = lambda name: F.size(F.filter(kinds, lambda k: k == name))
-    return F.struct(*[count(c).alias(c) for c in CATEGORIES[:3]], linking_count(alignment).alias("linking"), count("other").alias("other"))
+    return F.struct(*[count(c).alias(c) for c in CATEGORIES[:3]], linking.alias("linking"), count("other").alias("other"))
 
 
 def jamo_feedback(reference: Column, hypothesis: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Usual sentence endings and particles.
 COHERENT_ENDINGS = "다요까죠네서에을를고"
 
 
@@ -78,5 +79,29 @@ def bar(score: Column, cells: int = 20) -> Column:
 
 def match_rate(a: Column, b: Column) -> Column:
     """Characters that agree, place by place, over the longer length; 0 for two empty texts."""
-    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(a), F.length(b)))), lambda i: (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))) & (i <= F.least(F.length(a), F.length(b)))))
-    return F.coalesce(same / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0)), F.lit(0.0))
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y) & (x != ""))
+    return F.coalesce(F.size(F.filter(same, lambda x: F.coalesce(x, F.lit(False)))) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0)), F.lit(0.0))
+
+
+def nearly_matches(a: Column, b: Column) -> Column:
+    """More than half agree, of texts of more than three characters."""
+    return (match_rate(a, b) > 0.5) & (F.length(a) > 3) & (F.length(b) > 3)
+
+
+def or_empty(value: Column) -> Column:
+    """A text, '' for null: fields of a missing struct too."""
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def in_folder(path: Column, folders: dict[str, str]) -> Column:
+    """A path with some of its parts replaced, in that order."""
+    for old, new in folders.items():
+        path = F.replace(path, F.lit(old), F.lit(new))
+    return path
+
+
+def label_of(transcript: Column, label: Column, again: Column, provider) -> Column:
+    """The stored label, or where asked the transcript's pronunciation by that provider (a function
+    of a column); null if what it is taken from is blank."""
+    said, kept = strip(provider(strip(transcript))), strip(label)
+    return F.when(again & ~is_blank(transcript), said).when(~again & ~is_blank(label), kept)

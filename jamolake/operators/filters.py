@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank
+from ..functions.text import is_blank, strip
 
 
 def duration_within(duration: Column, low: float = 0.5, high: float = 25.0) -> Column:
@@ -36,3 +36,12 @@ def usable_label(label: Column, least: int = 2) -> Column:
 
 def corrected(cer: Column, below: float = 0.15) -> Column:
     return cer < below
+
+
+def exact_match(a: Column, b: Column) -> Column:
+    return strip(a) == strip(b)
+
+
+def worth_scoring(n_samples: Column, output: Column, rate: int = 16_000, least: float = 0.3) -> Column:
+    """A signal that is long enough, and an output that is not empty."""
+    return (n_samples >= least * rate) & (F.coalesce(output, F.lit("")) != "")

@@ -11,20 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.alignment import align
+from ..functions.alignment import diagnose
 from ..functions.hangul import jamo_string
-from ..functions.phonology import CATEGORIES, rule_counts, substitutions
+from ..functions.phonology import CATEGORIES, rule_counts
 from ..functions.text import is_coherent, strip
 
 
 def evaluate(pairs: DataFrame) -> DataFrame:
-    """(utt, speaker_id, x, y) to evaluation rows."""
-    a = pairs.withColumn("jx", jamo_string(F.col("x"))).withColumn("jy", jamo_string(F.col("y"))).withColumn("alignment", align("jx", "jy"))
-    c = a.withColumn("counts", rule_counts(F.col("alignment"))).withColumn("subs", substitutions(F.col("alignment")))
-    edits = F.size(F.filter("alignment", lambda s: s["status"] != "correct"))
+    """(utt, speaker_id, x, y) to evaluation rows, with the steps of each kind besides."""
+    d = pairs.withColumn("jx", jamo_string(F.col("x"))).withColumn("jy", jamo_string(F.col("y"))).withColumn("steps", diagnose("jx", "jy"))
+    edits = F.col("steps.substitution") + F.col("steps.insertion") + F.col("steps.deletion")
+    c = d.withColumn("counts", rule_counts(F.col("steps.subs"), F.col("steps.linking"))).withColumn("edit_distance", edits)
     hits = sum((F.col(f"counts.{k}") for k in CATEGORIES[1:]), F.col(f"counts.{CATEGORIES[0]}"))
-    e = c.withColumn("edit_distance", edits).withColumn("rule_hits", hits)
-    return e.select("utt", "speaker_id", "x", "y", (strip(F.col("x")) != strip(F.col("y"))).alias("is_raw"), is_coherent(F.col("x")).alias("coherent"), "edit_distance", F.length("jx").alias("n_jamo_x"), F.length("jy").alias("n_jamo_y"), "rule_hits", F.when(F.col("edit_distance") > 0, F.col("rule_hits") / F.col("edit_distance")).otherwise(0.0).alias("ratio"), "counts", "subs", "alignment")
+    e = c.withColumn("rule_hits", hits)
+    return e.select("utt", "speaker_id", "x", "y", (strip(F.col("x")) != strip(F.col("y"))).alias("is_raw"), is_coherent(F.col("x")).alias("coherent"), "edit_distance", F.length("jx").alias("n_jamo_x"), F.length("jy").alias("n_jamo_y"), "rule_hits", F.when(F.col("edit_distance") > 0, F.col("rule_hits") / F.col("edit_distance")).otherwise(0.0).alias("ratio"), "counts", F.col("steps.subs").alias("subs"), "steps")
 
 
 def share(flag: Column) -> Column:
@@ -57,15 +57,25 @@ def corpus_metrics(rows: DataFrame, *by: str) -> DataFrame:
 def subset_report(rows: DataFrame) -> DataFrame:
     """The metrics of all rows and of the coherent ones, and the coherent share."""
     twice = rows.withColumn("subset", F.explode(F.when(F.col("coherent"), F.array(F.lit("full"), F.lit("coherent"))).otherwise(F.array(F.lit("full")))))
-    return corpus_metrics(twice, "subset")
+    total = F.max(F.when(F.col("subset") == "full", F.col("n_samples"))).over(W.partitionBy())  # of two rows
+    return corpus_metrics(twice, "subset").withColumn("share_of_all", F.bround(F.col("n_samples") / F.greatest(total, F.lit(1)), 4))
+
+
+def _entries() -> Column:
+    """Substitutions with their place, and whether a pair is there for the first time."""
+    pairs = F.transform("subs", lambda s: F.concat(s["exp"], s["act"]))
+    return F.transform("subs", lambda s, i: F.struct(s["exp"].alias("exp"), s["act"].alias("act"), i.alias("pos"), (F.array_position(pairs, F.concat(s["exp"], s["act"])) == i + 1).alias("new")))
+
+
+def _counted() -> list[Column]:
+    return [F.count("*").alias("n"), F.count_if("new").alias("n_utts"), F.min(F.struct("utt", "pos")).alias("first")]
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """Per speaker and substitution: occurrences, utterances that hold it, and where it came first."""
-    each = rows.where("speaker_id <> ''").select("speaker_id", "utt", F.posexplode("subs").alias("pos", "sub")).select("speaker_id", "utt", "pos", "sub.exp", "sub.act")
-    # per utterance first: a speaker with a third of all rows is then counted in small sums
-    per_utt = each.groupBy("speaker_id", "utt", "exp", "act").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    return per_utt.groupBy("speaker_id", "exp", "act").agg(F.sum("n").alias("n"), F.count("*").alias("n_utts"), F.min(F.struct("utt", "pos")).alias("first"))
+    """Per speaker and substitution: occurrences, utterances that hold it, and where it came first.
+    Summed before the shuffle, so a speaker with a third of all rows is counted in parts."""
+    each = rows.where("speaker_id <> ''").select("speaker_id", "utt", F.inline(_entries()))
+    return each.groupBy("speaker_id", "exp", "act").agg(*_counted())
 
 
 def top_pairs(counts: DataFrame, k: int) -> DataFrame:
@@ -73,14 +83,27 @@ def top_pairs(counts: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def speakers(rows: DataFrame, min_utts: int = 3) -> DataFrame:
-    return rows.where("speaker_id <> ''").groupBy("speaker_id").agg(F.count("*").alias("n_utterances"), F.min("utt").alias("first_utt"), *[F.sum(F.col(f"counts.{k}")).cast("long").alias(f"total_{k}") for k in CATEGORIES], *[F.count_if(F.col(f"counts.{k}") > 0).alias(f"utts_{k}") for k in CATEGORIES]).where(F.col("n_utterances") >= min_utts)
+def speakers(rows: DataFrame, min_utts: int = 3, k: int = 5) -> DataFrame:
+    """Per speaker with enough utterances: counts by category, and the top substitutions (patterns;
+    null if there are none). One pass over the rows: an entry without letters stands for the
+    utterance itself. A speaker has as many pairs as there are of letters, so a window is small."""
+    own = F.struct(F.lit(None).cast("string").alias("exp"), F.lit(None).cast("string").alias("act"), F.lit(-1).alias("pos"), F.lit(True).alias("new"))
+    each = rows.where("speaker_id <> ''").select("speaker_id", "utt", *[F.col(f"counts.{c}").alias(c) for c in CATEGORIES], F.inline(F.concat(F.array(own), _entries())))
+    mine = F.col("exp").isNull()
+    totals = [F.sum(F.when(mine, F.col(c)).otherwise(0)).alias(f"total_{c}") for c in CATEGORIES] + [F.count_if(mine & (F.col(c) > 0)).alias(f"utts_{c}") for c in CATEGORIES]
+    order = W.partitionBy("speaker_id").orderBy(F.col("exp").isNotNull(), F.desc("n"), "first")
+    ranked = each.groupBy("speaker_id", "exp", "act").agg(*_counted(), *totals).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") <= k)
+    of = lambda c: F.max(F.when(mine, F.col(c)))
+    top = F.sort_array(F.collect_list(F.when(~mine, F.struct("rank", "exp", "act", "n", "n_utts"))))
+    out = ranked.groupBy("speaker_id").agg(of("n").alias("n_utterances"), of("first.utt").alias("first_utt"), *[of(f"{t}_{c}").alias(f"{t}_{c}") for t in ("total", "utts") for c in CATEGORIES], top.alias("patterns"))
+    return out.where(F.col("n_utterances") >= min_utts).withColumn("patterns", F.when(F.size("patterns") > 0, F.col("patterns")))
 
 
 def consistency(rows: DataFrame, min_utts: int = 3) -> DataFrame:
     """M5: of each speaker with enough utterances, the most frequent substitution and the share of
     their utterances that hold it."""
-    return top_pairs(pair_counts(rows), 1).join(speakers(rows, min_utts), "speaker_id").select("speaker_id", "n_utterances", "exp", "act", (F.col("n_utts") / F.col("n_utterances")).alias("consistency"))
+    top = speakers(rows, min_utts, 1).where("patterns IS NOT NULL").withColumn("p", F.col("patterns")[0])
+    return top.select("speaker_id", "n_utterances", "p.exp", "p.act", (F.col("p.n_utts") / F.col("n_utterances")).alias("consistency"))
 
 
 def consistency_report(per_speaker: DataFrame) -> DataFrame:
@@ -95,9 +118,19 @@ def weakness() -> Column:
 
 def profiles(rows: DataFrame, min_utts: int = 3, k: int = 5) -> DataFrame:
     """Per speaker: counts and shares by category, the weakest one and the top substitutions."""
-    top = top_pairs(pair_counts(rows), k).groupBy("speaker_id").agg(F.sort_array(F.collect_list(F.struct("rank", "exp", "act", "n", "n_utts"))).alias("patterns"))
     rates = [F.bround(F.col(f"utts_{c}") / F.col("n_utterances"), 4).alias(f"rate_{c}") for c in CATEGORIES]
-    return speakers(rows, min_utts).join(top, "speaker_id", "left").select("*", *rates, weakness().alias("weakness")).orderBy(F.desc("n_utterances"), "first_utt")
+    return speakers(rows, min_utts, k).select("*", *rates, weakness().alias("weakness")).orderBy(F.desc("n_utterances"), "first_utt")
+
+
+def top_substitutions(rows: DataFrame, k: int = 15) -> DataFrame:
+    """The substitutions seen most often, the one that came first on ties."""
+    subs = rows.select("utt", F.posexplode("subs").alias("pos", "s")).groupBy("s.exp", "s.act").agg(F.count("*").alias("n"), F.min(F.struct("utt", "pos")).alias("first"))
+    return subs.orderBy(F.desc("n"), "first").limit(k).select("exp", "act", "n")
+
+
+def high_disclosure(rows: DataFrame, k: int = 5) -> DataFrame:
+    """The coherent rows that show most: raw outputs first, then those with most edits, then the first."""
+    return rows.where("coherent").orderBy(F.desc("is_raw"), F.desc("edit_distance"), "utt").limit(k)
 
 
 def best_per_category(rows: DataFrame) -> DataFrame:

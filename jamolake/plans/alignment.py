@@ -94,13 +94,14 @@ def aligned(spark, sf):
 
 @query("aln_steps")
 def aln_steps(spark, sf):
-    steps = aligned(spark, sf).select("utt", F.explode("alignment").alias("s")).select("utt", "s.status")
-    return steps.groupBy("utt").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("correct", "substitution", "insertion", "deletion")])
+    return aligned(spark, sf).select("utt", *[F.col(f"steps.{s}").cast("long").alias(s) for s in ("correct", "substitution", "insertion", "deletion")])
 
 
 @query("aln_score")
 def aln_score(spark, sf):
-    return aligned(spark, sf).select("utt", F.bround(a.alignment_score(F.col("alignment")), 4).alias("score"), F.size(a.alignment_errors(F.col("alignment"))).alias("errors"), "edit_distance", "rule_hits", "ratio")
+    n = F.col("steps.correct") + F.col("edit_distance")
+    score = F.when(n > 0, F.col("steps.correct") / n).otherwise(0.0)
+    return aligned(spark, sf).select("utt", F.bround(score, 4).alias("score"), F.col("edit_distance").alias("errors"), "edit_distance", "rule_hits", "ratio")
 
 
 @query("aln_opcodes")
@@ -160,8 +161,7 @@ def win_best_per_category(spark, sf):
 
 @query("agg_top_substitutions")
 def agg_top_substitutions(spark, sf):
-    subs = aligned(spark, sf).select("utt", F.posexplode("subs").alias("pos", "s")).groupBy("s.exp", "s.act").agg(F.count("*").alias("n"), F.min(F.struct("utt", "pos")).alias("first"))
-    return subs.orderBy(F.desc("n"), "first").limit(15).select("exp", "act", "n")
+    return m.top_substitutions(aligned(spark, sf))
 
 
 @query("snk_markdown_report")

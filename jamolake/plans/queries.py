@@ -1,9 +1,9 @@
 """Registry of the library's queries and of the SQL they are checked against."""
 
-from . import alignment, arrays, relational, text
+from . import alignment, arrays, names, relational, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (text, alignment, arrays, relational):
+for _m in (text, alignment, names, arrays, relational):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

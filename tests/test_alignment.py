@@ -1,3 +1,5 @@
+import functools
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -11,23 +13,22 @@ LETTERS = st.text("ㄱㄴㅏㅇ ", max_size=9)
 
 
 def slow(e, x):
-    n, k = len(e), len(x)
-    cost = [[i + j for j in range(k + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, k + 1):
-            cost[i][j] = min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (e[i - 1] != x[j - 1]))
-    out, i, j = [], n, k
-    while i or j:
-        if i and j and e[i - 1] == x[j - 1]:
-            i, j, s = i - 1, j - 1, "correct"
-        elif i and j and cost[i][j] == cost[i - 1][j - 1] + 1:
-            i, j, s = i - 1, j - 1, "substitution"
-        elif j and cost[i][j] == cost[i][j - 1] + 1:
-            j, s = j - 1, "insertion"
-        else:
-            i, s = i - 1, "deletion"
-        out.append(s)
-    return out[::-1], cost[n][k]
+    """The statuses of the alignment, and its cost, by recursion on the ends of both texts."""
+
+    @functools.cache
+    def cost(i, j):
+        if not (i and j):
+            return i + j
+        return min(cost(i - 1, j - 1) + (e[i - 1] != x[j - 1]), cost(i - 1, j) + 1, cost(i, j - 1) + 1)
+
+    def path(i, j):
+        if not (i or j):
+            return []
+        moves = [("correct", i and j and e[i - 1] == x[j - 1], 1, 1), ("substitution", i and j and cost(i, j) == cost(i - 1, j - 1) + 1, 1, 1), ("insertion", j and cost(i, j) == cost(i, j - 1) + 1, 0, 1), ("deletion", i, 1, 0)]
+        name, _, up, left = next(m for m in moves if m[1])
+        return [*path(i - up, j - left), name]
+
+    return path(len(e), len(x)), cost(len(e), len(x))
 
 
 @settings(max_examples=150, deadline=None)
@@ -43,7 +44,8 @@ def test_paths(pairs):
 def test_small_cases(spark):
     df = spark.createDataFrame([("닥뽀끔", "박뿌금"), ("학꾜에 감니다", "학꾜에 갑니다"), ("", ""), (None, "x")], "x string, y string")
     df = df.withColumn("al", a.align(F.array_join(text_to_jamo(F.col("x")), ""), F.array_join(text_to_jamo(F.col("y")), "")))
-    rows = df.select(p.substitutions(F.col("al")).alias("s"), a.alignment_score(F.col("al")).alias("score")).collect()
+    df = df.withColumn("d", a.diagnose(F.array_join(text_to_jamo(F.col("x")), ""), F.array_join(text_to_jamo(F.col("y")), "")))
+    rows = df.select(F.col("d.subs").alias("s"), a.alignment_score(F.col("al")).alias("score")).collect()
     assert [tuple(s) for s in rows[0]["s"]] == [("ㄷ", "ㅂ"), ("ㅗ", "ㅜ"), ("ㄲ", "ㄱ")]
     assert [tuple(s) for s in rows[1]["s"]] == [("ㅁ", "ㅂ")]
     assert rows[2]["score"] == 0.0
@@ -83,3 +85,11 @@ def test_sequence_matching(spark):
     got = df.select(a.opcodes("r", "h").alias("o"), a.similarity("r", "h").alias("s")).collect()
     assert [o["type"] for o in got[0]["o"]] == ["equal", "replace", "equal"] and got[0]["s"] == 0.75
     assert got[1]["s"] == 1.0
+
+
+def test_long_and_empty_pairs_align():
+    """Costs beyond 256, tables side by side of very different sizes, and nothing at all."""
+    e, x = "ab" * 400, "c" * 350
+    (path,) = a.align_all([(e, x)])
+    assert [s["status"] for s in path].count("substitution") == 350 and len(path) == 800
+    assert a.align_all([("", ""), ("", "ab"), ("ab", "")])[0] == [] and a.align_all([]) == []
