@@ -7,8 +7,7 @@ import wave
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -68,10 +67,14 @@ def merge_repeats(best: Column, blank: int = 0) -> Column:
     return F.transform(kept, lambda x: x["v"])
 
 
-def pad_labels(labels: Column, *batch: str) -> Column:
-    """Padded to the longest of the batch with -100."""
-    longest = F.max(F.size(labels)).over(W.partitionBy(*batch))
-    return F.concat(labels, F.array_repeat(F.lit(PAD_LABEL), longest - F.size(labels)))
+def pad_batches(rows: DataFrame, labels: str, batch: str, start: int | None = None) -> DataFrame:
+    """rows with labels padded to the longest of their batch; where every row of a batch begins with
+    the start label, it is taken off. Batches are summed up and joined back, so no task needs one
+    whole."""
+    first = F.coalesce(F.try_element_at(F.col(labels), F.lit(1)) == start, F.lit(False)) if start is not None else F.lit(False)
+    per = rows.groupBy(batch).agg(F.max(F.size(labels)).alias("_longest"), F.bool_and(first).alias("_same"))
+    out = rows.join(per, batch).withColumn(labels, F.concat(labels, F.array_repeat(F.lit(PAD_LABEL), F.col("_longest") - F.size(labels))))
+    return out.withColumn(labels, F.when(F.col("_same"), F.slice(labels, 2, F.greatest(F.lit(0), F.col("_longest") - 1))).otherwise(F.col(labels))).drop("_longest", "_same")
 
 
 def unmask(labels: Column, pad: int = 0) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -24,9 +25,37 @@ def latest_by_key(rows: DataFrame, key: str, value: str, order: str) -> DataFram
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
-def best_match(left: DataFrame, right: DataFrame, key: str, order: str, score: Column, accept: float = 0.5) -> DataFrame:
+def best_match(left: DataFrame, right: DataFrame, key: str, order: str, score: Column, accept: float = 0.5, bound: Column | None = None) -> DataFrame:
     """For each left row (left_id) the right row of the same key with the highest score above accept,
-    the first by order on ties. The sides meet inside a key only, and each left row keeps one
-    partner while the pairs are made."""
-    scored = left.join(right, key).withColumn("score", score).where(F.col("score") > accept)
+    the first by order on ties. The sides meet inside a key only, each left row keeps one partner
+    while the pairs are made, and pairs whose bound (no less than the score, and cheap) is not
+    above accept are left out before they are scored."""
+    pairs = left.join(right, key)
+    scored = (pairs if bound is None else pairs.where(bound > accept)).withColumn("score", score).where(F.col("score") > accept)
     return scored.groupBy(key, "left_id").agg(F.max_by(F.struct("score", order), F.struct("score", -F.col(order))).alias("best")).select(key, "left_id", "best.*")
+
+
+def match_chunks(chunks: DataFrame, sentences: DataFrame, key: str, score: Column, first: int = 10, width: int = 30, accept: float = 0.5) -> DataFrame:
+    """best_match() of the first chunks (left_id, place, chunk; empty ones skipped) of each key with its
+    sentences (other, sentence), both cut to a width. The limits are those of the report it is for."""
+    left = chunks.where((F.col("place") < first) & (F.col("chunk") != "")).select(key, "left_id", F.substring("chunk", 1, width).alias("chunk"))
+    right = sentences.select(key, "other", F.substring("sentence", 1, width).alias("sentence"))
+    n, m = F.length("chunk"), F.length("sentence")
+    return best_match(left, right, key, "other", score, accept, 2 * F.least(n, m) / (n + m))
+
+
+def paired(x: DataFrame, y: DataFrame, key: str) -> DataFrame:
+    """The outputs of two producers for the same input on one row."""
+    return x.join(y, key)
+
+
+def pair_by_place(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+    """The n-th row of a key on the left with the n-th on the right, as far as the shorter goes."""
+    w = W.partitionBy(key).orderBy(order)
+    placed = lambda df: df.withColumn("place", F.row_number().over(w)).drop(order)
+    return placed(left).join(placed(right), [key, "place"])
+
+
+def first_match(left: DataFrame, right: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first left row in that order whose key is on the right too."""
+    return left.join(right.select(key), key, "left_semi").orderBy(*order).limit(1)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank, split_transcript
+
 
 def merge_regions(points: DataFrame, key: str, at: str, gap: float, least: float = 0.0) -> DataFrame:
     """Islands of points less than gap seconds apart: (key, start, end, duration, n_points, region).
@@ -48,3 +50,32 @@ def reject_reason(checks: dict[str, Column]) -> Column:
 
 def reason_counts(sessions: DataFrame, reason: str = "reason") -> DataFrame:
     return sessions.groupBy(reason).agg(F.count("*").alias("n")).orderBy(F.desc("n"), reason)
+
+
+def segment_sessions(sessions: DataFrame, tolerance: float = 0.10, low: float = 0.5, high: float = 20.0) -> DataFrame:
+    """Sessions (any columns, with read_error, transcript, wav and regions: array<struct<start, end,
+    duration>>) with sentences, n_regions, n_sentences, reason and pairs: the regions and sentences
+    of a session that passes, as far as the shorter goes, each with its index and whether its
+    duration is within bounds. The cascade looks at one check after another, in that order."""
+    r, s = F.size(F.coalesce("regions", F.array())), F.size("sentences")
+    d = sessions.withColumn("sentences", F.coalesce(split_transcript(F.col("transcript")), F.array().cast("array<string>")))
+    d = d.withColumn("n_regions", r).withColumn("n_sentences", s)
+    reason = reject_reason({"read_error": F.col("read_error"), "no_transcript": is_blank(F.col("transcript")), "no_wav": F.col("wav").isNull(), "no_sentences": s == 0, "no_regions": r == 0, "count_mismatch": ~count_gate(r, s, tolerance)})
+    zipped = F.transform(F.arrays_zip("regions", "sentences"), lambda p, i: F.struct(i.alias("index"), p["regions"]["start"].alias("start"), p["regions"]["end"].alias("end"), p["regions"]["duration"].alias("duration"), p["sentences"].alias("sentence"), p["regions"]["duration"].between(low, high).alias("fits")))
+    pairs = F.slice(zipped, 1, F.least(r, s))
+    return d.withColumn("reason", reason).withColumn("pairs", F.when(F.col("reason") == "passed", pairs).otherwise(F.slice(zipped, 1, 0)))
+
+
+def session_segments(segmented: DataFrame, *keys: str) -> DataFrame:
+    """One row a segment of fitting duration: the keys, n_regions, n_sentences, index (as counted
+    before others were left out), start, end, duration, sentence."""
+    return segmented.select(*keys, "n_regions", "n_sentences", F.inline("pairs")).where("fits").drop("fits")
+
+
+def session_reasons(segmented: DataFrame) -> DataFrame:
+    """(reason, n): sessions by reason, those that do not agree also by their numbers, and segments of
+    unfit duration."""
+    mismatch = F.when(F.col("reason") == "count_mismatch", F.format_string("mismatch_n%d_m%d", "n_regions", "n_sentences"))
+    whole = segmented.select(F.explode(F.array_compact(F.array("reason", mismatch))).alias("reason"), F.lit(1).alias("n"))
+    unfit = segmented.select(F.lit("bad_duration").alias("reason"), F.size(F.filter("pairs", lambda p: ~p["fits"])).alias("n")).where("n > 0")
+    return whole.unionByName(unfit).groupBy("reason").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "reason")

@@ -48,18 +48,29 @@ def arr_ctc_greedy(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.array_join(F.transform(x.greedy_decode(frames), lambda v: v.cast("string")), " ").alias("labels"))
 
 
-@query("arr_pad_mask", f"""WITH {UTT}, n AS (SELECT utt, conv_id, length({sql_jamo('cx')}) AS n FROM utt), w AS (SELECT utt, n, max(n) OVER (PARTITION BY conv_id) AS m FROM n)
-SELECT utt, m::BIGINT AS padded, (m - n)::BIGINT AS n_pad FROM w""")
+_TOKENS = "map {" + ", ".join(f"'{c}': {i}" for c, i in h.VOCABULARY.items() if len(c) == 1) + "}"
+_LABELS = f"""WITH {UTT}, e AS (SELECT utt, conv_id, list_transform(string_split({sql_jamo('cx')}, ''), lambda c: coalesce({_TOKENS}[c], {h.UNKNOWN})) AS l FROM utt),
+w AS (SELECT utt, l, max(len(l)) OVER (PARTITION BY conv_id) AS m, min(l[1] = 5) OVER (PARTITION BY conv_id) AS same FROM e),
+d AS (SELECT utt, list_concat(l, list_transform(range(m - len(l)), lambda i: {{pad}})) AS l, same FROM w) SELECT utt, array_to_string(CASE WHEN same THEN l[2:] ELSE l END, ' ') AS labels FROM d"""
+
+
+def _padded(spark, sf):
+    l = utterances(spark, sf).select("utt", "conv_id", h.encode(h.jamo_string(F.col("x"))).alias("labels"))
+    return x.pad_batches(l, "labels", "conv_id", start=5)
+
+
+def _shown(labels):
+    return F.array_join(F.transform(labels, lambda v: v.cast("string")), " ")
+
+
+@query("arr_pad_mask", _LABELS.replace("{pad}", "-100"))
 def arr_pad_mask(spark, sf):
-    l = utterances(spark, sf).withColumn("l", h.encode(h.jamo_string(F.col("x")))).withColumn("l", x.pad_labels(F.col("l"), "conv_id"))
-    return l.select("utt", F.size("l").cast("long").alias("padded"), F.size(F.filter("l", lambda v: v == x.PAD_LABEL)).cast("long").alias("n_pad"))
+    return _padded(spark, sf).select("utt", _shown(F.col("labels")).alias("labels"))
 
 
-@query("arr_unmask", f"""WITH {UTT}, n AS (SELECT utt, conv_id, length({sql_jamo('cx')}) AS n FROM utt), w AS (SELECT utt, n, max(n) OVER (PARTITION BY conv_id) AS m FROM n)
-SELECT utt, (m - n)::BIGINT AS n_zero FROM w""")
+@query("arr_unmask", _LABELS.replace("{pad}", "0"))
 def arr_unmask(spark, sf):
-    l = utterances(spark, sf).withColumn("l", x.unmask(x.pad_labels(h.encode(h.jamo_string(F.col("x"))), "conv_id")))
-    return l.select("utt", F.size(F.filter("l", lambda v: v == 0)).cast("long").alias("n_zero"))
+    return _padded(spark, sf).select("utt", _shown(x.unmask(F.col("labels"))).alias("labels"))
 
 
 @query("arr_chunk30", """WITH n AS (SELECT p_partkey, (p_retailprice * 2000)::BIGINT AS n FROM part)

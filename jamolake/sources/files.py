@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import decode_wav
-from ..functions.text import first_filled, path_stem
+from ..functions.g2p import g2p
+from ..functions.text import first_filled, or_empty, path_stem, strip
+from ..operators.filters import duration_between, filled
+from ..operators.splits import seeded_sample
 
 SPLITS = ["train", "validation", "test"]
 #: A segment record; sources may have fewer of its fields.
@@ -22,7 +25,8 @@ SESSION = T.StructType([
     T.StructField("Patient_info", T.StructType([T.StructField("Sex", T.StringType()), T.StructField("Age", T.StringType())])),
     T.StructField("Disease_info", T.StructType([T.StructField(n, T.StringType()) for n in ("Type", "Subcategory1", "Subcategory2")])),
 ])
-KEYWORDS = ["start", "end", "time", "timestamp", "begin", "stop", "offset", "duration", "segment", "utterance", "sentence", "interval", "onset", "span", "frame", "sec", "ms"]
+# Parts of a field's name, in this spelling, that tell of times or segments.
+KEYWORDS = ["time", "start", "end", "duration", "begin", "offset", "Time", "Start", "End", "Duration", "Begin", "Offset", "sentence", "Sentence", "segment", "Segment", "utterance"]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -49,8 +53,52 @@ def read_splits(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """Label documents below a folder, one row each, with path; broken ones have read_error."""
+def load_samples(spark: SparkSession, folder: str, split: str, n: int, low: float, high: float, seed: int = 42, filled_fields: tuple[str, ...] = ("wav_path",), audio: DataFrame | None = None) -> DataFrame:
+    """A sample of a split's records to evaluate on: durations between low and high, both excluded,
+    those fields not blank, and the file there if an index of audio (path) is given; n rows in hash
+    order of the path, all for n <= 0."""
+    rows = read_split(spark, folder, split).where(duration_between(F.col("duration"), low, high) & filled(*[F.col(c) for c in filled_fields]))
+    if audio is not None:
+        rows = rows.join(audio.select(F.col("path").alias("wav_path")), "wav_path", "left_semi")
+    return seeded_sample(rows, "wav_path", n, seed)
+
+
+def load_audio_samples(spark: SparkSession, folder: str, n: int = 200, low: float = 1.0, high: float = 10.0, seed: int = 42, audio: DataFrame | None = None) -> DataFrame:
+    """Recordings to run both recognisers on; only the path has to be there."""
+    return load_samples(spark, folder, "test", n, low, high, seed, audio=audio)
+
+
+def load_test_data(spark: SparkSession, folder: str, n: int = 200, low: float = 1.0, high: float = 20.0, seed: int = 42, audio: DataFrame | None = None) -> DataFrame:
+    """Recordings to score against their transcript and label."""
+    return load_samples(spark, folder, "test", n, low, high, seed, ("wav_path", "transcript", "label"), audio)
+
+
+def read_pairs(spark: SparkSession, segments: str, split: str, documents: str, audio: str, provider=g2p) -> DataFrame:
+    """(wav_path, transcript, label, speaker_id, sex, age): a split's segments if there are any files of
+    it, else the label documents that have audio, labelled with their pronunciation."""
+    if exists(spark, f"{segments}/{split}_npy.jsonl") or exists(spark, f"{segments}/{split}.jsonl"):
+        rows = read_split(spark, segments, split).where(filled(F.col("label"), F.col("wav_path")))
+        return rows.select("wav_path", "transcript", "label", "speaker_id", "sex", "age")
+    d = read_sessions(spark, documents).where(~F.col("read_error")).select(path_stem(F.coalesce("File_id", F.lit(""))).alias("stem"), strip(F.col("Transcript")).alias("transcript"), or_empty(F.col("Patient_info.Sex")).alias("sex"), or_empty(F.col("Patient_info.Age")).alias("age"))
+    d = d.where(filled(F.col("transcript"))).join(audio_index(spark, audio), "stem")
+    return d.select(F.col("path").alias("wav_path"), "transcript", strip(provider(F.col("transcript"))).alias("label"), F.col("stem").alias("speaker_id"), "sex", "age")
+
+
+def read_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """The decoded cache that sinks.write_signals wrote; empty (stem, signal) if there is none."""
+    return spark.read.parquet(folder) if exists(spark, folder) else spark.createDataFrame([], "stem string, signal array<float>")
+
+
+def first_documents(spark: SparkSession, folder: str, n: int) -> list[str]:
+    """The paths of the first n label documents in order; names alone are read. For trial runs, so n
+    is small."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(folder)
+    return [r["path"] for r in files.select("path").orderBy("path").limit(n).collect()]
+
+
+def read_sessions(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """Label documents below a folder (or those paths), one row each, with path; broken ones have
+    read_error."""
     schema = T.StructType([*SESSION.fields, T.StructField("_broken", T.StringType())])
     rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_broken").json(folder).withColumn("path", F.input_file_name())
     return rows.withColumn("read_error", F.col("_broken").isNotNull()).drop("_broken")
@@ -98,8 +146,8 @@ def schema_paths(schema: T.DataType, depth: int = 3, prefix: str = "") -> list[t
 
 
 def time_fields(schema: T.StructType, keywords: list[str] = KEYWORDS) -> list[tuple[str, str]]:
-    """Fields whose own name holds one of the keywords."""
-    return [(p, t) for p, t in schema_paths(schema, 99) if any(k in p.rsplit(".", 1)[-1].lower() for k in keywords)]
+    """Fields whose own name holds one of the keywords, spelled like that."""
+    return [(p, t) for p, t in schema_paths(schema, 99) if any(k in p.rsplit(".", 1)[-1] for k in keywords)]
 
 
 def count_lines(spark: SparkSession, pattern: str) -> DataFrame:
