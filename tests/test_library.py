@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from jamolake.functions import arrays as x
 from jamolake.functions import text as t
-from jamolake.operators import segments, splits
+from jamolake.operators import report, segments, splits
 from jamolake.plans import queries as library
 from jamolake.sources import files, sinks
 from jamolake.streaming import sessions
@@ -131,3 +131,73 @@ def test_stream_equals_batch(spark, tmp_path):
     want = sessions.session_regions(events.withColumn("ts", F.col("ts").cast("timestamp"))).select("user_id", "start", "n_events")
     got = spark.table("regions").select("user_id", "start", "n_events")
     assert got.exceptAll(want).isEmpty() and got.count() >= want.count() - 20
+
+
+def test_loaders_of_samples(spark, tmp_path):
+    """Bounds excluded, blank fields, files that are not there, malformed lines; and the other source
+    of pairs where there are no segments."""
+    folder, audio = tmp_path / "segments", tmp_path / "audio"
+    folder.mkdir(), audio.mkdir()
+    for name in ("a", "b", "c", "d"):
+        (audio / f"{name}.wav").write_bytes(b"x")
+    index = files.audio_index(spark, str(audio)).withColumn("path", F.concat(F.lit("/x/"), F.regexp_extract("path", r"([^/]+)$", 1)))
+    lines = [{"wav_path": f"/x/{n}.wav", "transcript": t, "label": "l", "duration": s} for n, t, s in [("a", "t", 5.0), ("b", " ", 5.0), ("c", "t", 10.0), ("d", "t", 1.0), ("e", "t", 5.0)]]
+    (folder / "test.jsonl").write_text("\n".join([*map(json.dumps, lines), "{broken", "", json.dumps({"wav_path": "", "duration": 3.0})]))
+    paths = lambda df: sorted(r["wav_path"] for r in df.collect())
+    assert paths(files.load_audio_samples(spark, str(folder))) == ["/x/a.wav", "/x/b.wav", "/x/e.wav"]
+    assert paths(files.load_audio_samples(spark, str(folder), audio=index)) == ["/x/a.wav", "/x/b.wav"]
+    assert len(paths(files.load_audio_samples(spark, str(folder), n=2))) == 2
+    assert paths(files.load_test_data(spark, str(folder), audio=index)) == ["/x/a.wav", "/x/c.wav"]
+    docs = tmp_path / "labels" / "deep"
+    docs.mkdir(parents=True)
+    for stem, text in (("a", " 먹어요 "), ("b", " "), ("z", "x")):
+        (docs / f"{stem}.json").write_text(json.dumps({"File_id": f"{stem}.wav", "Transcript": text, "Patient_info": {"Sex": "F"}}, ensure_ascii=False))
+    (docs / "c.json").write_text("{")
+    (pair,) = files.read_pairs(spark, str(tmp_path / "none"), "train", str(tmp_path / "labels"), str(audio)).collect()
+    assert (pair["transcript"], pair["label"], pair["speaker_id"], pair["sex"], pair["age"]) == ("먹어요", "머거요", "a", "F", "")
+    assert paths(files.read_pairs(spark, str(folder), "test", "", "")) == [f"/x/{n}.wav" for n in "abcde"]
+    assert [p.rsplit("/", 1)[1] for p in files.first_documents(spark, str(tmp_path / "labels"), 2)] == ["a.json", "b.json"]
+    assert files.read_sessions(spark, files.first_documents(spark, str(tmp_path / "labels"), 2)).count() == 2
+
+
+def test_segment_writer_goes_on(spark, tmp_path):
+    folder = f"file://{tmp_path}/wav"
+    rows = spark.createDataFrame([("s", i, i * 0.1, i * 0.1 + 0.1, [0.5] * 8000) for i in range(4)], "stem string, index int, start double, end double, signal array<float>")
+    assert {(r["name"], r["written"]) for r in sinks.write_segments(rows.where("index < 2"), folder).collect()} == {("s_seg0000.wav", True), ("s_seg0001.wav", True)}
+    (tmp_path / "wav" / "s_seg0000.wav").write_bytes(b"kept")
+    assert {r["name"]: r["written"] for r in sinks.write_segments(rows, folder).collect()} == {f"s_seg{i:04d}.wav": i > 1 for i in range(4)}
+    assert (tmp_path / "wav" / "s_seg0000.wav").read_bytes() == b"kept"
+    with wave.open(str(tmp_path / "wav" / "s_seg0003.wav")) as w:
+        assert w.getnframes() == 1600 and w.getframerate() == 16000
+    assert len(list((tmp_path / "wav").iterdir())) == 4
+
+
+def test_written_vocabulary_and_report(spark, tmp_path):
+    sinks.write_vocabulary(spark, f"{tmp_path}/v")
+    text = "".join(p.read_text() for p in (tmp_path / "v").glob("part-*"))
+    assert json.loads(text)["<pad>"] == 0 and len(json.loads(text)) == 56
+    sections = [report.markdown_table(spark.createDataFrame([(1, "x")], "k int, v string"), t, ["k"]) for t in ("A", "B")]
+    sinks.write_text(report.joined_report(sections), f"{tmp_path}/r")
+    assert "".join(p.read_text() for p in (tmp_path / "r").glob("part-*")) == "## A\n| k | v |\n|---|---|\n| 1 | x |\n\n## B\n| k | v |\n|---|---|\n| 1 | x |\n"
+    sinks.write_signals(spark.createDataFrame([("a", [0.5]), ("b", None)], "stem string, signal array<float>"), f"{tmp_path}/s")
+    assert files.read_signals(spark, f"{tmp_path}/s").count() == 1 and files.read_signals(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_batches_lose_a_common_start(spark):
+    df = spark.createDataFrame([(1, 1, [7, 1]), (2, 1, [7, 1, 2]), (3, 2, [7]), (4, 2, [1, 7]), (5, 3, [])], "k int, b int, l array<int>")
+    got = {r["k"]: r["l"] for r in x.pad_batches(df, "l", "b", start=7).collect()}
+    assert got == {1: [1, -100], 2: [1, 2], 3: [7, -100], 4: [1, 7], 5: []}
+
+
+def test_places(spark):
+    df = spark.range(1000).withColumn("s", F.when(F.col("id") % 9 != 0, F.concat(F.lit("p/"), F.md5(F.col("id").cast("string")))))
+    got = splits.placed_rows(df, "s", "id", ranges=16, sample=100).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, 1001)) and [r["id"] for r in got] == [r["id"] for r in df.orderBy("s", "id").collect()]
+    assert splits.positional_split(df.where("false"), "s", "id").count() == 0
+
+
+def test_keywords_keep_their_spelling():
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("items", "section", "startTime", "ENDTIME", "Utterance", "x_offset")])
+    assert [p for p, _ in files.time_fields(schema)] == ["startTime", "x_offset"]
