@@ -12,6 +12,7 @@ apart by 96 bits.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,13 @@ def _reply(part, keys, more):
     several = np.concatenate([m[-1] for m in more]).astype(np.int64)
     repeated = np.bincount(inverse, weights=1 + several)[inverse] > 1
     starts = np.concatenate([[0], ends[:-1]])
-    return [pack(np.array([b - a]), np.packbits(repeated[a:b])) for a, b in zip(starts, ends)], []
+    return [pack(np.array([b - a]), np.packbits(repeated[a:b])) for a, b in zip(starts, ends)], [(-1, pack(np.array([repeated.sum()])))]
+
+
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers of repeated windows that the parts found."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([int(unpack(p.as_py())[0][0]) for p in b.column("payload")], pa.int64())], ["n"])
 
 
 def covered_words(text: _Text, widths: list[int], got: list[tuple[int, bytes]], bits: int) -> np.ndarray:
@@ -145,12 +152,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
             asked = with_answers(blocks, answers, lambda block, rows, got, keys=keys: pa.Table.from_batches([packed_batch(keys(block, _Text(rows), got) if rows is not None else [])]), PACKED)
         found = scratch.store(answer(asked, _reply))
         answers = found if answers is None else answers.unionByName(found)
+        if ended := not found.where("block < 0").select("payload").mapInArrow(_survivors, "n long").agg(F.sum("n")).first()[0]:
+            break  # nothing repeats at this length, so nothing does at the next
 
     fields = [("doc_id", None), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())][: 5 if with_text else 4]
 
     def finish(block, rows, got):
         text = _Text(rows)
-        gone = covered_words(text, widths, got, bits)
+        gone = np.zeros(len(text.keys), dtype=bool) if ended else covered_words(text, widths, got, bits)
         lost = np.concatenate([[0], np.cumsum(gone)])
         words, kept_ids = text.words.to_pylist(), text.ids
         out = []
