@@ -170,6 +170,32 @@ def test_lm(spark, docs, rows, empty):
     assert all(r["score"] == 0 for r in lm_scoring.score(docs, F.lit(False)).select("score").collect())
 
 
+def test_interpolated_score(spark, docs, rows, monkeypatch):
+    """The score in plain Python, from the weights that were learned."""
+    seen, learn = [], lm_scoring.learn_weights
+    monkeypatch.setattr(lm_scoring, "learn_weights", lambda *a, **k: seen.append(learn(*a, **k)) or seen[-1])
+    train = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    got = lm_scoring.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, block_bytes=3000).collect()
+    (weights,) = seen
+    texts = [(i, [*words(lower(t)), None]) for i, t, *_ in rows]
+    one, two = Counter(), Counter()
+    for i, t in texts:
+        if train(i):
+            one.update([*t, "start of text"])
+            two.update(zip(["start of text", *t], t))
+    n, v = sum(c for w, c in one.items() if w != "start of text"), len(one) - 1
+
+    def probability(before, token):
+        w = weights[0 if not one[before] else min(1 + int(math.log2(one[before])), lm_scoring.BUCKETS - 1)]
+        return w[0] * (two[before, token] / one[before] if one[before] else 0) + w[1] * one[token] / n + w[2] / (v + 1)
+
+    want = defaultdict(list)
+    for i, t in texts:
+        want[i].append(sum(math.log10(probability(b, x)) for b, x in zip(["start of text", *t], t)))
+    assert len(got) == len(rows) and all(any(abs(r["score"] - w) < 1e-6 for w in want[r["doc_id"]]) for r in got)
+    assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all()
+
+
 def test_learned_weights():
     w = lm_scoring.learn_weights(np.array([3, 3]), np.array([0.5, 0.0]), np.array([0.01, 0.01]), np.array([90.0, 10.0]), 1e-4)
     assert w[3, 0] > 0.8 and np.allclose(w.sum(axis=1), 1) and w[0, 0] == 0
@@ -441,6 +467,15 @@ def test_substrings(spark, docs, rows, empty, window, least, size):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_stops_where_nothing_repeats(spark, tmp_path, monkeypatch):
+    made, store = [], common.Scratch.store
+    monkeypatch.setattr(common.Scratch, "store", lambda self, df, *a, **k: made.append(1) or store(self, df, *a, **k))
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(5)], "doc_id long, text string").write.parquet(path)
+    got = substring_dedup.substring_dedup(spark.read.parquet(path), 20, least_level=5).collect()
+    assert all(r["n_removed"] == 0 and r["n_words"] == 60 for r in got) and len(got) == 5 and len(made) < 4  # blocks, and three levels otherwise
+
+
 # 7 WARC
 
 def test_warc(spark, tmp_path):
