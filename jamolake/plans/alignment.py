@@ -19,7 +19,7 @@ _D = f"{UTT}, d AS (SELECT utt, conv_id, role, {_JX} AS jx, {_JY} AS jy, levensh
 
 def distances(spark, sf):
     j = utterances(spark, sf).select("utt", "conv_id", "role", h.jamo_string(F.col("x")).alias("jx"), h.jamo_string(F.col("y")).alias("jy"))
-    return j.withColumn("edits", a.edit_distance(F.col("jx"), F.col("jy")).cast("long"))
+    return j.withColumn("edits", a.edit_distance("jx", "jy").cast("long"))
 
 
 _Q = "round_even(avg({v}), 4) AS m2_mean, round_even(quantile_cont({v}, 0.5), 4) AS m2_median, round_even(quantile_cont({v}, 0.25), 4) AS m2_p25, round_even(quantile_cont({v}, 0.75), 4) AS m2_p75"
@@ -47,7 +47,7 @@ _C = f"{_D}, c AS (SELECT utt, conv_id, role, edits, length(jx) AS n, edits / nu
 
 
 def rates(spark, sf):
-    return distances(spark, sf).select("utt", "conv_id", "role", "edits", F.length("jx").alias("n"), a.cer_plain(F.col("jx"), F.col("jy")).alias("cer"))
+    return distances(spark, sf).select("utt", "conv_id", "role", "edits", F.length("jx").alias("n"), (F.col("edits") / F.nullif(F.length("jx"), F.lit(0))).alias("cer"))
 
 
 @query("agg_cer_summary", f"WITH {_C} SELECT role, round_even(avg(cer), 4) AS cer_mean, round_even(quantile_cont(cer, 0.5), 4) AS cer_median, round_even(stddev_pop(cer), 4) AS cer_std FROM c GROUP BY role")

@@ -93,3 +93,9 @@ def test_long_and_empty_pairs_align():
     (path,) = a.align_all([(e, x)])
     assert [s["status"] for s in path].count("substitution") == 350 and len(path) == 800
     assert a.align_all([("", ""), ("", "ab"), ("ab", "")])[0] == [] and a.align_all([]) == []
+
+
+def test_distances(spark):
+    pairs = [("kitten", "sitting"), ("", "abc"), ("ab" * 400, "ba" * 390), (None, "x"), ("가나", "가다"), ("", "")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(a.edit_distance("a", "b").alias("d"), F.levenshtein("a", "b").alias("l")).collect()
+    assert [r["d"] for r in got] == [r["l"] for r in got]
