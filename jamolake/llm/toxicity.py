@@ -29,7 +29,6 @@ from ._common import table
 #: Labelled rows that the lexicon is fitted on: a sample in hash order of the ids, so its size is
 #: bounded whatever the input. Documents are scored without any bound.
 FIT_ROWS = 20_000
-MAX_ENTRIES, MAX_EXCEPTIONS = 4096, 1024
 #: Labelled texts whose folded word pairs have this Jaccard similarity, in per cent, count once.
 COPY_PER_CENT = 80
 STEMS = (4, 5, 6, 7, 8, 9)
@@ -218,8 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon
     toxic), at most fit_rows of them. Rows with null labels or ids are left out; where an id is
     labelled twice, toxic wins. Of texts with one label and the same least word pair by hash, those
     that share COPY_PER_CENT of their word pairs with one kept before, in order of doc_id and
-    text, are copies and left out; a text that only has the same least word pair stays. Without examples of both classes the lexicon is empty and every
-    score is the share of toxic labels, at most 0.5."""
+    text, are copies and left out; a text that only has the same least word pair stays. Every word
+    and beginning that passes the test is an entry, and every pair with a match that is far more
+    frequent in other texts an exception, so the words of the sample bound their number. Without
+    examples of both classes the lexicon is empty and every score is the share of toxic labels,
+    at most 0.5."""
     chosen = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     # at most fit_rows pairs of numbers are broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
@@ -236,11 +238,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon
         whole = words.select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("word"), "t", "o")
         # a beginning counts each text once for each of its words there, so it is capped at the class
         stems = words.select(F.explode(F.array(*[F.when(F.length("word") > k, F.concat(F.lit(" "), F.substring("word", 1, k))) for k in STEMS])).alias("word"), "t", "o").where("word IS NOT NULL").groupBy("word").agg(F.least(F.sum("t"), F.lit(n[True])).alias("t"), F.least(F.sum("o"), F.lit(n[False])).alias("o"), F.count(F.when(F.col("t") > 0, 1)).alias("words")).where("words >= 3").drop("words")
-        kept = _chosen(whole.unionByName(stems), n[True], n[False]).orderBy(F.desc("weight"), "word").limit(MAX_ENTRIES).collect()
+        kept = _chosen(whole.unionByName(stems), n[True], n[False]).orderBy("word").collect()
         entries = {r["word"]: r["weight"] for r in kept}
         # a longer beginning, or a word, that says hardly more than a beginning that stands already adds nothing
         entries = {e: w for e, w in entries.items() if not any(len(e.rstrip()) > k + 1 and w <= entries.get(e.rstrip()[: k + 1], -math.inf) + 0.5 for k in STEMS)}
-        phrases = sample.mapInArrow(_phrases(entries), schema).groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).where((F.col("o") >= 3) & (F.col("o") * n[True] > F.col("t") * n[False] * 2)).orderBy(F.desc("o"), "word").limit(MAX_EXCEPTIONS)
+        phrases = sample.mapInArrow(_phrases(entries), schema).groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).where((F.col("o") >= 3) & (F.col("o") * n[True] > F.col("t") * n[False] * 2)).orderBy("word")
         lexicon = Lexicon(entries, [r["word"] for r in phrases.collect()])
         # fit_rows pairs of a number and a label at most
         scored = sample.mapInArrow(_weighed(lexicon.automaton()), "toxic long, weight double, matches long, n_words long")
