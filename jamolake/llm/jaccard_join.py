@@ -310,7 +310,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80, row_id:
     # first links: inside small groups of texts with one of their least hashes in common
     first = reps.select("rid", "n", F.explode("least").alias("shingle"))
     dealt = F.ceil(F.greatest(F.count("*") / GROUP_TEXTS, F.sum("n") / GROUP_SHINGLES))
-    sizes = first.groupBy("shingle").agg(F.count("*").alias("m"), dealt.alias("salts")).where("m > 1")
+    # stored, so that a hot shingle's rows can be split over tasks
+    sizes = scratch.store(first.groupBy("shingle").agg(F.count("*").alias("m"), dealt.alias("salts")).where("m > 1"))
     grouped = first.join(sizes, "shingle").select("rid", "shingle", F.pmod(F.xxhash64("rid", "shingle"), F.col("salts")).alias("salt"))
     near = texts.join(grouped.hint("shuffle_hash"), "rid").groupBy("shingle", "salt").applyInArrow(_link_in_groups(words, per_cent), "a long, b long")
     links = scratch.store(near)
