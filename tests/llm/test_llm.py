@@ -3,6 +3,7 @@ repeated rows, empty tables and clashing extra columns."""
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -18,6 +19,7 @@ import corpus_pipeline
 from jamolake.llm import exact_dedup, jaccard_join, lm_scoring, mixing, packing, substring_dedup, toxicity, url_filter, vector_dedup, warc
 from jamolake.llm import _blocks as blocks
 from jamolake.llm import _common as common
+from jamolake.llm import _components
 from jamolake.llm._components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,6 +94,22 @@ def test_components(spark):
     assert got[3] == 1 and got[21] == 7 and got[130] == 100 and 5 not in got
 
 
+@pytest.mark.parametrize("hub", [0, 500, 999])
+def test_components_of_hubs(spark, hub):
+    rnd = random.Random(hub)
+    edges = [(hub, rnd.randrange(400, 1000)) for _ in range(400)] + [(rnd.randrange(400), rnd.randrange(400)) for _ in range(150)] + [(1, 1)]
+    links = {v: set() for e in edges for v in e}
+    for a, b in edges:
+        links[a].add(b)
+        links[b].add(a)
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["v"]: r["root"] for r in components(df, common.Scratch(spark, "t")).collect()}
+    assert got == {v: root for v, root in reach(links, range(1000)).items() if links[v] - {v}}
+    # every salt of a vertex learns the same, and no edge gets lost or doubled
+    dealt = _components._with_least(df.distinct().toDF("u", "v"), F.min("v"), 7)
+    assert sorted(tuple(r) for r in dealt.collect()) == sorted((a, b, min(y for x, y in edges if x == a)) for a, b in set(edges))
+
+
 # 1 mixing
 
 def test_mix(spark, docs, rows, empty):
@@ -269,6 +287,36 @@ def test_fold_and_match():
     assert hits(None) == hits("") == (0.0, 0) and hits("42 5 " * 1000) == (0.0, 0)
 
 
+def brute_matched(lexicon, folded):
+    """Every entry and phrase held against every place."""
+    inside = lambda a, b: any(x <= a and b <= x + len(e) - 1 for e in lexicon.exceptions for x in range(len(folded)) if folded.startswith(e, x))
+    best = [max((e for e in lexicon.entries if folded.startswith(e, i)), key=len, default=None) for i in range(len(folded))]
+    kept = [e for i, e in enumerate(best) if e and not inside(i, i + len(e) - 2)]
+    return sum(lexicon.entries[e] for e in kept), len(kept)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matches_are_those_of_a_scan(seed):
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choices("abo", k=rnd.randint(1, 4))) for _ in range(40)]
+    words = {w + rnd.choice(["", "*"]): rnd.randint(1, 9) for w in rnd.sample(vocabulary, 12)}
+    lexicon = toxicity.Lexicon.of(words, tuple(" ".join(rnd.choices(vocabulary, k=2)) for _ in range(12)))
+    automaton = lexicon.automaton()
+    for _ in range(60):
+        folded = toxicity.fold(" ".join(rnd.choices(vocabulary, k=rnd.randint(0, 30))))
+        assert toxicity.matched(automaton, folded) == brute_matched(lexicon, folded)
+
+
+def test_lexicon_has_no_cap(spark):
+    # 4,500 toxic words, too short for beginnings, each in 30 texts whose word order differs
+    rnd = random.Random(6)
+    names = ["".join(x) for x in itertools.islice(itertools.product("abcdefghjk", repeat=4), 4500)]
+    rows = [(i, " ".join(rnd.sample(names[i % 15 * 300 :][:300], 300)), 1) for i in range(450)] + [(i, f"calm w{i}", 0) for i in range(450, 1650)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic long")
+    lexicon = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert {toxicity.fold(n) for n in names} <= lexicon.entries.keys()
+
+
 def test_digits_beside_signs_are_folded():
     lexicon = toxicity.Lexicon.of({"asshole": 2.0, "ass": 1.0})
     a = lexicon.automaton()
