@@ -6,6 +6,7 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_bytes(b: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about that many bytes of a text column each; a longer text stands alone."""
+    sizes = pc.binary_length(b.column(column).cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 # --- tokens and hashes inside tasks (numpy and Arrow) -----------------------------------------
 
 def tokenize(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:

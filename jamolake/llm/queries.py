@@ -1,6 +1,6 @@
 """The registered query of each training-data operator, and its SQL where SQL can express it."""
 
-from . import exact_dedup, jaccard_join, lm_scoring, mixing, packing, substring_dedup, toxicity, url_filter, vector_dedup, warc
+from . import collocations, exact_dedup, jaccard_join, lm_scoring, mixing, packing, quality, substring_dedup, toxicity, url_filter, vector_dedup, warc, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,8 +13,12 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_quality": quality.op12_quality,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
