@@ -228,9 +228,11 @@ class Whitener:
         return (x - self.middle).astype(np.float64) - rest
 
     def whiten(self, x: np.ndarray) -> np.ndarray:
-        """Rows by components; nan where a component has no variance."""
+        """Rows by components; nan where a component has no variance. einsum adds in the same order however
+        many rows there are, which a matrix product does not."""
+        across = np.einsum("ij,kj->ik", self.centred(x), np.ascontiguousarray(self.directions.T))
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(self.live, self.centred(x) @ self.directions / np.sqrt(np.where(self.live, self.values, 1.0)), np.nan)
+            return np.where(self.live, across / np.sqrt(np.where(self.live, self.values, 1.0)), np.nan)
 
     def deviations(self, x: np.ndarray) -> list[int]:
         """Sum over dimensions of (n * x - S)^2, exactly."""
