@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, Scratch, by_bytes, mix, table, with_row_id
+from ._common import LOWER, UPPER, Scratch, by_bytes, mix, table
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bits of a bitmap of frequent fingerprints (8 MB). More make it sharper, none change a result.
@@ -160,7 +160,7 @@ def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
 
 
 def _spelled(docs: DataFrame, longest: int, bitmaps) -> DataFrame:
-    """(lang, n_words, phrase, a, rid, word): for each task, text of the n-grams that pass all bitmaps, and
+    """(lang, n_words, phrase, a, id, word): for each task, text of the n-grams that pass all bitmaps, and
     where one occurs; n_words = 0 holds the number of words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,15 +168,15 @@ def _spelled(docs: DataFrame, longest: int, bitmaps) -> DataFrame:
             for piece in by_bytes(b, "text", STEP_BYTES):
                 yield from _texts(piece, longest, bitmaps.value)
 
-    return docs.select("text", "lang", "rid").mapInArrow(run, "lang string, n_words int, phrase string, a long, rid long, word long")
+    return docs.select("text", "lang", "id").mapInArrow(run, "lang string, n_words int, phrase string, a long, id long, word long")
 
 
 def _texts(piece: pa.RecordBatch, longest: int, bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     g = Grams(piece.column("text"), piece.column("lang"))
-    w, rids = g.words, piece.column("rid").to_numpy(zero_copy_only=False)
+    w, ids = g.words, piece.column("id")
     first = np.searchsorted(w.text, w.text)  # place of the first word of each word's text
     cols = [pa.array(g.langs, pa.string()), pa.array([0] * len(g.langs), pa.int32()), pa.array([""] * len(g.langs)), pa.array(np.bincount(g.lang, minlength=len(g.langs)).astype(np.int64))]
-    names = ["lang", "n_words", "phrase", "a", "rid", "word"]
+    names = ["lang", "n_words", "phrase", "a", "id", "word"]
     yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(g.langs), pa.int64()), pa.nulls(len(g.langs), pa.int64())], names)
     for n in range(1, longest + 1):
         at, prints = g.passing(n, bitmaps)
@@ -195,12 +195,12 @@ def _texts(piece: pa.RecordBatch, longest: int, bitmaps: list[np.ndarray]) -> It
         parts = [w.distinct.take(pa.array(w.ids[places + k])) for k in range(n)]
         phrase = parts[0] if n == 1 else pa.compute.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
         lang = pa.array(g.langs, pa.string()).take(pa.array(g.lang[places]))
-        yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(places), n, np.int32)), phrase.cast(pa.string()), pa.array(counts), pa.array(rids[w.text[places]]), pa.array(places - first[places])], names)
+        yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(places), n, np.int32)), phrase.cast(pa.string()), pa.array(counts), ids.take(pa.array(w.text[places])), pa.array(places - first[places])], names)
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(lang, n_words, phrase, a, rid, word) of docs (rid, text, lang): phrases of up to `longest` words
-    with at least `least` occurrences, and an occurrence (row number, number of its first word in it); the row
+    """(lang, n_words, phrase, a, id, word) of docs (id, text, lang): phrases of up to `longest` words with
+    at least `least` occurrences, and an occurrence (least id, number of its first word in that text); the row
     with n_words = 0 has a language's number of words."""
     sc, bitmaps = docs.sparkSession.sparkContext, []
     for n in range(1, longest + 1):
@@ -208,8 +208,8 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, long
         counted = scratch.store(_counted(docs, n, shared).where(F.col("a") >= least))
         bitmaps.append(_bitmap(counted, filter_bits))
         scratch.drop(counted)
-    texts = _spelled(docs, longest, sc.broadcast(bitmaps)).groupBy("lang", "n_words", "phrase").agg(F.sum("a").alias("a"), F.min(F.struct("rid", "word")).alias("at"))
-    return scratch.store(texts.where((F.col("n_words") == 0) | (F.col("a") >= least)).select("lang", "n_words", "phrase", "a", F.col("at.rid").alias("rid"), F.col("at.word").alias("word")))
+    texts = _spelled(docs, longest, sc.broadcast(bitmaps)).groupBy("lang", "n_words", "phrase").agg(F.sum("a").alias("a"), F.min("id").alias("id"), F.min_by("word", "id").alias("word"))
+    return scratch.store(texts.where((F.col("n_words") == 0) | (F.col("a") >= least)))
 
 
 def _part(phrase: str, first: Column, n: Column) -> Column:
@@ -217,7 +217,7 @@ def _part(phrase: str, first: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), first, n), " ")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, absorbed: int = 80, text: str = "text", lang: str = "lang", filter_bits: int = FILTER_BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, absorbed: int = 80, text: str = "text", lang: str = "lang", id_col: str = "doc_id", filter_bits: int = FILTER_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score, example): each language's first `top` phrases.
 
     Texts are lower-cased (A-Z) and split into pieces at .,;:!? and line ends, pieces into words at spaces
@@ -225,14 +225,15 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     least floor(2000000 * a / (l + r)) of the counts of both sides, the earliest cut of equal ones. A phrase
     that lies inside a longer one with at least `absorbed` percent of its occurrences is left out. Null texts
     have no words, a null language is `und`; repeated rows count each; an empty table gives no rows.
-    example is a place where the phrase occurs: (row, word), with the row as a struct of all of docs'
-    columns but text. Ties are in order of a, then of the phrase's bytes."""
+    example is a place where the phrase occurs: the least id of a row that has it (null if all such ids are)
+    and the number of its first word there (of rows with equal ids, in any of them). Ties are in order of a,
+    then of the phrase's bytes. docs is read once for each length and once more, and nothing of it is stored."""
     scratch = Scratch(docs.sparkSession, "collocations")
-    rows = scratch.store(with_row_id(docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))), compression="zstd")
+    rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(id_col).cast("long").alias("id"))
     found = frequent_phrases(rows, scratch, least, longest, filter_bits)
     counts = found.where("n_words > 0").select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
     totals = found.where("n_words = 0").select("lang", F.col("a").alias("n"))
-    candidates = found.where("n_words > 1").select("lang", "phrase", "n_words", "a", "rid", "word")
+    candidates = found.where("n_words > 1").select("lang", "phrase", "n_words", "a", "id", "word")
 
     cut = candidates.select("lang", "phrase", "n_words", "a", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k"))
     cut = cut.select("*", _part("phrase", F.lit(1), F.col("k")).alias("left"), _part("phrase", F.col("k") + 1, F.col("n_words") - F.col("k")).alias("right"))
@@ -245,10 +246,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     inner = inner.select("lang", _part("phrase", F.col("x.i"), F.col("x.m")).alias("phrase"), "longer").groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
 
     kept = candidates.join(inner, ["lang", "phrase"], "left").where(F.expr(f"longer IS NULL OR cast(longer as decimal(19,0)) * 100BD < cast(a as decimal(19,0)) * {int(absorbed)}BD"))
-    scored = kept.join(weakest, ["lang", "phrase"]).select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"), "rid", "word")
+    scored = kept.join(weakest, ["lang", "phrase"]).select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"), "id", "word")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     best = scored.withColumn("rank", rank).where(F.col("rank") <= top)
-    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", F.struct("rid", "word").alias("example"))
+    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", F.struct("id", "word").alias("example"))
 
 
 def op13_collocations(spark, sf_dir):

@@ -254,14 +254,14 @@ def test_fingerprints_and_collisions(spark, monkeypatch):
     # with all names in eight classes fingerprints collide all the time, and texts still decide
     monkeypatch.setattr(collocations, "mix", lambda a, b: (a ^ b) & np.uint64(7))
     rows = corpus(3)[:30]
-    piece = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[2] or "und" for r in rows]), pa.array(range(30), pa.int64())], ["text", "lang", "rid"])
+    piece = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[2] or "und" for r in rows]), pa.array(range(30), pa.int64())], ["text", "lang", "id"])
     full = [np.full(1, 2**64 - 1, dtype=np.uint64)] * 4
     counts, where = Counter(), {}
     for b in collocations._texts(piece, 4, full):
         for r in b.to_pylist():
             counts[r["lang"], r["phrase"]] += r["a"] if r["n_words"] else 0
             if r["n_words"]:
-                where[r["lang"], r["phrase"]] = (r["rid"], r["word"])
+                where[r["lang"], r["phrase"]] = (r["id"], r["word"])
     want = Counter()
     for _, text, lang, *_ in rows:
         for p in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(str.maketrans(common.UPPER, common.LOWER))):
