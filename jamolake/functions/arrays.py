@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import wave
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
 
-SAMPLE_RATE = 16_000
+from .signals import SAMPLE_RATE
+
 STRIDES = [5, 2, 2, 2, 2, 2, 2]
 PAD_LABEL = -100
 
@@ -85,38 +80,3 @@ def chunk_offsets(length: Column, chunk: int = 30 * SAMPLE_RATE, most: int = 20,
     """First samples of up to `most` chunks; a rest shorter than least is left out."""
     n = F.least(F.lit(most), F.ceil(length / chunk))
     return F.filter(F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<bigint>")), lambda i: i * chunk), lambda s: length - s >= least)
-
-
-@F.pandas_udf(ArrayType(FloatType()))
-def decode_wav(content: pd.Series) -> pd.Series:
-    """16-bit PCM WAV bytes as mono samples at 16 kHz; null for anything else."""
-
-    def one(data):
-        try:
-            with wave.open(io.BytesIO(data)) as w:
-                if w.getsampwidth() != 2:
-                    return None
-                x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768
-                n = int(len(x) * SAMPLE_RATE / w.getframerate())
-                return x.astype("f4") if w.getframerate() == SAMPLE_RATE else np.interp(np.arange(n) * w.getframerate() / SAMPLE_RATE, np.arange(len(x)), x).astype("f4")
-        except (wave.Error, EOFError, TypeError):
-            return None
-
-    return content.map(one)
-
-
-@F.pandas_udf(ArrayType(FloatType()))
-def trim_silence(signal: pd.Series) -> pd.Series:
-    """Without the ends that lie 25 dB below the loudest frame; as it is if less than 0.3 s stays."""
-
-    def one(x):
-        if x is None or not len(x):
-            return x
-        x = np.asarray(x, dtype="f4")
-        hop, frame = 512, 2048
-        level = np.array([np.sqrt((x[i : i + frame] ** 2).mean()) for i in range(0, len(x), hop)])
-        loud = np.flatnonzero(level > level.max() * 10 ** (-25 / 20))
-        out = x[loud[0] * hop : min(len(x), (loud[-1] + 1) * hop)] if len(loud) else x
-        return out if len(out) >= 0.3 * SAMPLE_RATE else x
-
-    return signal.map(one)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ def count_gate(n: Column, m: Column, tolerance: float = 0.10) -> Column:
 
 
 #: Why a session is rejected, in the order in which the checks are made.
-REASONS = ["read_error", "no_transcript", "no_wav", "no_sentences", "no_regions", "count_mismatch"]
+REASONS = ["read_error", "no_transcript", "no_wav", "no_sentences", "load_error", "vad_error", "no_regions", "no_segments", "count_mismatch", "no_pairs"]
 
 
 def reject_reason(checks: dict[str, Column]) -> Column:
@@ -56,11 +56,12 @@ def segment_sessions(sessions: DataFrame, tolerance: float = 0.10, low: float =
     """Sessions (any columns, with read_error, transcript, wav and regions: array<struct<start, end,
     duration>>) with sentences, n_regions, n_sentences, reason and pairs: the regions and sentences
     of a session that passes, as far as the shorter goes, each with its index and whether its
-    duration is within bounds. The cascade looks at one check after another, in that order."""
+    duration is within bounds. The cascade looks at one check after another, in the order of REASONS;
+    those of load_error, vad_error, no_segments and no_pairs are boolean columns that a session may have."""
     r, s = F.size(F.coalesce("regions", F.array())), F.size("sentences")
     d = sessions.withColumn("sentences", F.coalesce(split_transcript(F.col("transcript")), F.array().cast("array<string>")))
     d = d.withColumn("n_regions", r).withColumn("n_sentences", s)
-    reason = reject_reason({"read_error": F.col("read_error"), "no_transcript": is_blank(F.col("transcript")), "no_wav": F.col("wav").isNull(), "no_sentences": s == 0, "no_regions": r == 0, "count_mismatch": ~count_gate(r, s, tolerance)})
+    reason = reject_reason({"read_error": F.col("read_error"), "no_transcript": is_blank(F.col("transcript")), "no_wav": F.col("wav").isNull(), "no_sentences": s == 0, "no_regions": r == 0, "count_mismatch": ~count_gate(r, s, tolerance)} | {c: F.col(c) for c in ("load_error", "vad_error", "no_segments", "no_pairs") if c in sessions.columns})
     zipped = F.transform(F.arrays_zip("regions", "sentences"), lambda p, i: F.struct(i.alias("index"), p["regions"]["start"].alias("start"), p["regions"]["end"].alias("end"), p["regions"]["duration"].alias("duration"), p["sentences"].alias("sentence"), p["regions"]["duration"].between(low, high).alias("fits")))
     pairs = F.slice(zipped, 1, F.least(r, s))
     return d.withColumn("reason", reason).withColumn("pairs", F.when(F.col("reason") == "passed", pairs).otherwise(F.slice(zipped, 1, 0)))
@@ -79,3 +80,18 @@ def session_reasons(segmented: DataFrame) -> DataFrame:
     whole = segmented.select(F.explode(F.array_compact(F.array("reason", mismatch))).alias("reason"), F.lit(1).alias("n"))
     unfit = segmented.select(F.lit("bad_duration").alias("reason"), F.size(F.filter("pairs", lambda p: ~p["fits"])).alias("n")).where("n > 0")
     return whole.unionByName(unfit).groupBy("reason").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "reason")
+
+
+def observed(segmented: DataFrame, name: str = "sessions") -> tuple[DataFrame, Observation]:
+    """segmented with counters that fill while it is written or counted: sessions in all, each reason's and
+    `passed`, and segments of unfit and fitting duration. They come with the rows of the one job, without
+    another read; get() of the observation waits for that job."""
+    watch = Observation(name)
+    pairs = lambda fits: F.coalesce(F.sum(F.size(F.filter("pairs", lambda p: p["fits"] == fits))), F.lit(0)).cast("long")
+    counts = [F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in [*REASONS, "passed"]]
+    return segmented.observe(watch, F.count(F.lit(1)).alias("total"), *counts, pairs(False).alias("bad_duration"), pairs(True).alias("segments")), watch
+
+
+def counters(spark: SparkSession, watch: Observation) -> DataFrame:
+    """(reason, n) of a finished job's counters."""
+    return spark.createDataFrame(sorted(watch.get.items()), "reason string, n long")

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrays import decode_wav
 from ..functions.g2p import g2p
+from ..functions.signals import SAMPLE_RATE
 from ..functions.text import first_filled, or_empty, path_stem, strip
 from ..operators.filters import duration_between, filled
 from ..operators.splits import seeded_sample
+from . import wav
 
 SPLITS = ["train", "validation", "test"]
 #: A segment record; sources may have fewer of its fields.
@@ -38,8 +39,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def read_split(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """Segment records of a JSON-lines split; malformed and blank lines are dropped. Prefers the
-    cached form, and is empty if there is no such split."""
-    for name in (f"{split}_npy.jsonl", f"{split}.jsonl"):
+    cached form, takes what sinks.write_splits wrote too, and is empty if there is no such split."""
+    for name in (f"{split}_npy.jsonl", f"{split}.jsonl", f"split={split}"):
         if exists(spark, f"{folder}/{name}"):
             return spark.read.schema(SEGMENT).option("mode", "DROPMALFORMED").json(f"{folder}/{name}")
     return spark.createDataFrame([], SEGMENT)
@@ -110,10 +111,18 @@ def audio_index(spark: SparkSession, folder: str, pattern: str = "*.wav") -> Dat
     return files.select(path_stem(F.col("path")).alias("stem"), "path").groupBy("stem").agg(F.max("path").alias("path"))
 
 
-def read_audio(spark: SparkSession, folder: str) -> DataFrame:
-    """(stem, path, signal): 16 kHz mono samples, null where a file is no 16-bit PCM WAV."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(folder)
-    return files.select(path_stem(F.col("path")).alias("stem"), "path", decode_wav("content").alias("signal"))
+def read_audio(spark: SparkSession, folder: str, low: float | None = None, high: float | None = None) -> DataFrame:
+    """(stem, path, signal): mono samples at 16 kHz, null where a file is no WAV file; recordings of between low
+    and high seconds, both included, where these are given, told by headers alone."""
+    wav.register(spark)
+    bounds = {k: v for k, v in (("minDuration", low), ("maxDuration", high)) if v is not None}
+    return spark.read.format("wav").schema("stem string, path string, signal array<float>").option("rate", SAMPLE_RATE).options(**bounds).load(folder)
+
+
+def audio_durations(spark: SparkSession, folder: str) -> DataFrame:
+    """(stem, path, rate, channels, n_samples, duration, error) of WAV files; no samples are read."""
+    wav.register(spark)
+    return spark.read.format("wav").schema("stem string, path string, rate int, channels int, n_samples long, duration double, error string").load(folder)
 
 
 def read_results(spark: SparkSession, path: str, row: T.StructType) -> DataFrame:

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hangul import VOCABULARY
-from .files import exists
+from . import wav
 
 
 def write_splits(rows: DataFrame, folder: str) -> None:
@@ -34,43 +29,16 @@ def segment_signal(signal: Column, start: Column, end: Column, rate: int = 16_00
     return F.slice(signal, a + 1, F.greatest(F.lit(0), b - a))
 
 
-def wav_bytes(signal: Column, rate: int = 16_000) -> Column:
-    """A 16-bit mono WAV file's bytes: the header as fixed hexadecimal, sizes and samples after it."""
-    le = lambda v, n: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex(F.shiftright(F.lit(v) if isinstance(v, int) else v, 0).bitwiseAND(0xFFFFFFFF).cast("long") % 4294967296), 8, "0").substr(9 - 2 * (i + 1), F.lit(2))), ""))
-    sample = lambda v: F.lpad(F.hex(F.pmod((F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v.cast("double"))) * 32767).cast("long"), F.lit(65536))), 4, "0")
-    data = F.unhex(F.array_join(F.transform(signal, lambda v: F.concat(sample(v).substr(3, 2), sample(v).substr(1, 2))), ""))
-    size = F.size(signal) * 2
-    text = lambda s: F.lit(s).cast("binary")
-    return F.concat(text("RIFF"), le(size + 36, 4), text("WAVEfmt "), le(16, 4), le(1, 2), le(1, 2), le(rate, 4), le(rate * 2, 4), le(2, 2), le(16, 2), text("data"), le(size, 4), data)
-
-
 def write_segments(segments: DataFrame, folder: str, rate: int = 16_000) -> DataFrame:
-    """Writes segments (stem, index, start, end, signal) as WAV files, named by segment_name, and
-    returns (name, written): files that are there already are left as they are, so that a run that
-    was cut short goes on. Each task writes its own rows to the folder's URI (file:, hdfs:, s3:
-    and gs: as Arrow opens them); a file gets its name when it is whole."""
+    """Writes segments (stem, index, start, end, signal) as 16-bit WAV files, named by segment_name, and
+    returns what then lies in the folder (path, stem, n_samples, duration). It writes at once, and only
+    when all tasks have succeeded do files get their names; those that are there already are left as they
+    are, so that a run that was cut short goes on."""
     spark = segments.sparkSession
-    there = exists(spark, f"{folder}/*.wav")
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")) if there else spark.createDataFrame([], "name string")
-    rows = segments.select(segment_name(F.col("stem"), F.col("index")).alias("name"), wav_bytes(segment_signal(F.col("signal"), F.col("start"), F.col("end"), rate), rate).alias("content"))
-    new = rows.join(names, "name", "left_anti")
-    written = new.mapInArrow(_write_files(folder), "name string, written boolean")
-    return written.unionByName(rows.select("name").join(names, "name", "left_semi").withColumn("written", F.lit(False)))
-
-
-def _write_files(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = pafs.FileSystem.from_uri(folder)
-        store.create_dir(path)
-        for b in batches:
-            for name, content in zip(b.column("name").to_pylist(), b.column("content")):
-                part = f"{path}/.{name}.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
-                    out.write(content.as_py())
-                store.move(part, f"{path}/{name}")
-            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array([True] * b.num_rows)], ["name", "written"])
-
-    return run
+    wav.register(spark)
+    rows = segments.select(segment_name(F.col("stem"), F.col("index")).alias("name"), segment_signal(F.col("signal"), F.col("start"), F.col("end"), rate).alias("signal"))
+    rows.write.format("wav").mode("append").option("rate", rate).save(folder)
+    return spark.read.format("wav").schema("path string, stem string, n_samples long, duration double").load(folder)
 
 
 def write_text(report: DataFrame, path: str) -> None:
@@ -83,10 +51,5 @@ def write_vocabulary(spark: SparkSession, path: str) -> None:
     spark.range(1).select(F.to_json(F.create_map(*[F.lit(x) for kv in VOCABULARY.items() for x in kv])).alias("value")).coalesce(1).write.text(path)
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    """A nested document of one row."""
-    rows.coalesce(1).write.json(path)
-
-
 def vocabulary_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(VOCABULARY.items()), "token string, id int")

@@ -1,8 +1,5 @@
-import io
 import json
-import wave
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,19 +99,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.vocabulary_table(spark).count() == 56
 
 
-def test_wav(spark, tmp_path):
-    signal = np.sin(np.arange(1600) / 10).astype("f4")
-    df = spark.createDataFrame([(signal.tolist(),)], "s array<float>").select(sinks.wav_bytes(sinks.segment_signal(F.col("s"), F.lit(0.01), F.lit(0.05))).alias("content"))
-    content = bytes(df.first()[0])
-    with wave.open(io.BytesIO(content)) as w:
-        assert (w.getframerate(), w.getnchannels(), w.getnframes()) == (16000, 1, 640)
-    (tmp_path / "a_1.wav").write_bytes(content)
-    (tmp_path / "b.wav").write_bytes(b"nothing")
-    got = {r["stem"]: r["signal"] for r in files.read_audio(spark, str(tmp_path)).collect()}
-    assert got["b"] is None and np.allclose(got["a_1"], signal[160:800], atol=1e-4)
-    assert files.audio_index(spark, str(tmp_path)).count() == 2
-
-
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{DIR}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
@@ -160,18 +144,6 @@ def test_loaders_of_samples(spark, tmp_path):
     assert files.read_sessions(spark, files.first_documents(spark, str(tmp_path / "labels"), 2)).count() == 2
 
 
-def test_segment_writer_goes_on(spark, tmp_path):
-    folder = f"file://{tmp_path}/wav"
-    rows = spark.createDataFrame([("s", i, i * 0.1, i * 0.1 + 0.1, [0.5] * 8000) for i in range(4)], "stem string, index int, start double, end double, signal array<float>")
-    assert {(r["name"], r["written"]) for r in sinks.write_segments(rows.where("index < 2"), folder).collect()} == {("s_seg0000.wav", True), ("s_seg0001.wav", True)}
-    (tmp_path / "wav" / "s_seg0000.wav").write_bytes(b"kept")
-    assert {r["name"]: r["written"] for r in sinks.write_segments(rows, folder).collect()} == {f"s_seg{i:04d}.wav": i > 1 for i in range(4)}
-    assert (tmp_path / "wav" / "s_seg0000.wav").read_bytes() == b"kept"
-    with wave.open(str(tmp_path / "wav" / "s_seg0003.wav")) as w:
-        assert w.getnframes() == 1600 and w.getframerate() == 16000
-    assert len(list((tmp_path / "wav").iterdir())) == 4
-
-
 def test_written_vocabulary_and_report(spark, tmp_path):
     sinks.write_vocabulary(spark, f"{tmp_path}/v")
     text = "".join(p.read_text() for p in (tmp_path / "v").glob("part-*"))
