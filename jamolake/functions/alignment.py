@@ -7,7 +7,8 @@ wanted, come from Arrow UDFs that work on many pairs at once: built-in functions
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,9 +25,11 @@ OPCODES = T.ArrayType(T.StructType().add("type", T.StringType()).add("ref", T.St
 
 DIAGNOSIS = T.StructType().add("correct", T.IntegerType()).add("substitution", T.IntegerType()).add("insertion", T.IntegerType()).add("deletion", T.IntegerType()).add("linking", T.IntegerType()).add("subs", T.ArrayType(T.StructType().add("exp", T.StringType()).add("act", T.StringType())))
 
-#: Cells of the cost tables that are filled side by side. A longer pair has a table of its own, a
-#: byte a cell.
-CELLS = 4_000_000
+#: Words of each of the four tables that are filled side by side. A long pair stands alone, and its table
+#: is never there as a whole.
+CELLS = 2_000_000
+#: Pairs whose distances are found together, and letters of a text from which on a pair stands alone.
+GROUP, LONG = 2048, 2048
 STATUS = ["correct", "substitution", "insertion", "deletion"]
 
 
@@ -47,50 +50,117 @@ def _side_by_side(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     return a, b, n, m
 
 
-def _cost_rows(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
-    """Row by row the tables of unit costs of all pairs: (pair, letters of b)."""
-    kind = np.int16 if a.shape[1] + b.shape[1] < 2**14 else np.int32
-    ramp = np.arange(b.shape[1] + 1, dtype=kind)
-    last = np.repeat(ramp[None, :], len(a), axis=0)
-    yield last
+def _next_row(last: np.ndarray, letter: np.ndarray, b: np.ndarray, ramp: np.ndarray) -> np.ndarray:
+    """The next row of a table of unit costs, of one pair or (along the first axis) of many."""
+    row = last + last.dtype.type(1)
+    np.minimum(row[..., 1:], last[..., :-1] + (b != letter), out=row[..., 1:])
+    # insertions spread to the right as a running minimum
+    row -= ramp
+    np.minimum.accumulate(row, axis=-1, out=row)
+    row += ramp
+    return row
+
+
+def _columns(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Column by column the tables of unit costs of all pairs, as signs of steps, 64 rows a word: words (word,
+    pair) of rows whose cost is above or below that of the column before, and of the row above. One
+    round of word operations moves all pairs on; what leaves a word at the top enters the next."""
+    k, words = len(a), max(1, -(-a.shape[1] // 64))
+    letters = np.unique(a)
+
+    def code(x):
+        at = np.searchsorted(letters, x)
+        return np.where(letters[np.minimum(at, len(letters) - 1)] == x, at, len(letters)) if len(letters) else np.zeros(x.shape, np.int64)
+
+    a_at, b_at, rows, one, top = code(a), code(b).T.copy(), np.arange(k), np.uint64(1), np.uint64(63)
+    equal = np.zeros((len(letters) + 1, words, k), dtype=np.uint64)
     for i in range(a.shape[1]):
-        row = last + kind(1)
-        np.minimum(row[:, 1:], last[:, :-1] + (b != a[:, i : i + 1]), out=row[:, 1:])
-        # insertions spread to the right as a running minimum
-        row -= ramp
-        np.minimum.accumulate(row, axis=1, out=row)
-        row += ramp
-        yield row
-        last = row
+        equal[a_at[:, i], i >> 6, rows] |= one << np.uint64(i & 63)
+    equal[len(letters)] = 0
+    up, down = np.full((words, k), ~np.uint64(0)), np.zeros((words, k), dtype=np.uint64)
+    for at in b_at:
+        same = equal[at, :, rows].T
+        rises, falls, ups, downs = (np.empty((words, k), dtype=np.uint64) for _ in range(4))
+        rise, fall = one, np.uint64(0)
+        for w in range(words):
+            p, q, e = up[w], down[w], same[w]
+            side = e | q
+            e = e | fall
+            across = (((e & p) + p) ^ p) | e
+            rises[w] = plus = q | ~(across | p)
+            falls[w] = minus = p & across
+            plus_in, minus_in = (plus << one) | rise, (minus << one) | fall
+            ups[w], downs[w] = minus_in | ~(side | plus_in), plus_in & side
+            rise, fall = plus >> top, minus >> top
+        up, down = ups, downs
+        yield rises, falls, up, down
 
 
 def _distances_together(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """Edit distances by bit-parallel dynamic programming."""
     a, b, n, m = _side_by_side(pairs)
-    out = np.zeros(len(pairs), dtype=np.int32)
-    for i, row in enumerate(_cost_rows(a, b)):
-        ends = np.flatnonzero(n == i)
-        out[ends] = row[ends, m[ends]]
-    return out.tolist()
+    rows, word, bit = np.arange(len(pairs)), np.maximum(n - 1, 0) >> 6, (np.maximum(n - 1, 0) & 63).astype(np.uint64)
+    score, one = n.astype(np.int64), np.uint64(1)
+    for j, (rises, falls, _, _) in enumerate(_columns(a, b)):
+        change = ((rises[word, rows] >> bit) & one).astype(np.int64) - ((falls[word, rows] >> bit) & one).astype(np.int64)
+        score += np.where(j < m, change, 0)
+    return np.where(n == 0, m, score).tolist()
+
+
+def _distance_long(a: np.ndarray, b: np.ndarray) -> int:
+    """The same for one long pair, with a whole column in one of Python's long integers."""
+    if not len(a):
+        return len(b)
+    equal: dict[int, int] = {}
+    for letter in np.unique(a).tolist():
+        equal[letter] = int.from_bytes(np.packbits(a == letter, bitorder="little").tobytes(), "little")
+    mask, top = (1 << len(a)) - 1, len(a) - 1
+    up, down, score = mask, 0, len(a)
+    for letter in b.tolist():
+        e = equal.get(letter, 0)
+        side = e | down
+        across = (((e & up) + up) ^ up) | e
+        plus, minus = down | ~(across | up), up & across
+        score += (plus >> top & 1) - (minus >> top & 1)
+        plus, minus = plus << 1 | 1, minus << 1
+        up, down = (minus | ~(side | plus)) & mask, plus & side & mask
+    return score
+
+
+def distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """Edit distances of pairs, short ones of like size together."""
+    out: list = [None] * len(pairs)
+    short = [r for r, (e, x) in enumerate(pairs) if len(e) <= LONG and len(x) <= LONG]
+    order = sorted(short, key=lambda r: (-(-len(pairs[r][0]) // 64), len(pairs[r][1])))
+    for at in range(0, len(order), GROUP):
+        some = order[at : at + GROUP]
+        for r, d in zip(some, _distances_together([pairs[r] for r in some])):
+            out[r] = d
+    return [_distance_long(*pairs[r]) if d is None else d for r, d in enumerate(out)]
 
 
 def _steps_together(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """Unit-cost alignments as places in STATUS; read from the end, a match goes before a
     substitution, that before an insertion, and a deletion comes last. All pairs' tables are
-    filled and read in step. Costs beside each other differ by one at most, so the tables hold
-    them modulo 256."""
+    filled and read in step; they hold the signs of steps, from which the costs around a cell follow."""
     a, b, n, m = _side_by_side(pairs)
-    k = len(pairs)
-    cost = np.empty((a.shape[1] + 1, k, b.shape[1] + 1), dtype=np.uint8)
-    for i, row in enumerate(_cost_rows(a, b)):
-        cost[i] = row
-    steps, i, j, rows = [], n.copy(), m.copy(), np.arange(k)
+    k, words = len(pairs), max(1, -(-a.shape[1] // 64))
+    rises, falls, ups, downs = (np.empty((max(1, b.shape[1]), words, k), dtype=np.uint64) for _ in range(4))
+    for j, column in enumerate(_columns(a, b)):
+        rises[j], falls[j], ups[j], downs[j] = column
+    rows, one = np.arange(k), np.uint64(1)
+    bits = lambda table, j, i: ((table[j, i >> 6, rows] >> (i & 63).astype(np.uint64)) & one).astype(bool)
+    steps, i, j = [], n.copy(), m.copy()
     while (live := (i > 0) | (j > 0)).any():
         up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
         both = (i > 0) & (j > 0)
-        before = cost[i, rows, j] - np.uint8(1)
         same = both & (a[rows, up] == b[rows, left]) if a.size and b.size else both
-        swap = both & (before == cost[up, rows, left])
-        add = (j > 0) & (before == cost[i, rows, left])
+        # the diagonal is cheaper by one where just one of the steps down (here) and right (a row above) costs one
+        above = np.maximum(i - 2, 0)
+        right, back = (i < 2) | bits(rises, left, above), (i >= 2) & bits(falls, left, above)
+        rise, fall = bits(ups, left, up), bits(downs, left, up)
+        swap = both & ((rise & ~right & ~back) | (right & ~rise & ~fall))
+        add = (j > 0) & ((i == 0) | bits(rises, left, up))
         what = np.where(same, 0, np.where(swap, 1, np.where(add, 2, 3))).astype(np.int8)
         steps.append(np.where(live, what, np.int8(-1)))
         i, j = i - (live & (what != 2)), j - (live & (what != 3))
@@ -98,21 +168,54 @@ def _steps_together(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarr
     return [line[line >= 0][::-1] for line in table]
 
 
-def together(pairs: list[tuple[np.ndarray, np.ndarray]], each: Callable[[list], list]) -> list:
-    """each() of groups of pairs of like size, back in order."""
-    order = sorted(range(len(pairs)), key=lambda r: (len(pairs[r][0]), len(pairs[r][1])))
+def _steps_long(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same steps of one long pair. Every so many rows of its table are kept, and the rows between two of
+    them are made again, from the last pair of kept rows to the first, while the path is read: memory
+    grows with len(b) * sqrt(len(a))."""
+    every = max(1, math.isqrt(len(a)))
+    ramp = np.arange(len(b) + 1, dtype=np.int32)
+    kept, last = [ramp], ramp
+    for i in range(len(a)):
+        last = _next_row(last, a[i], b, ramp)
+        if (i + 1) % every == 0:
+            kept.append(last)
+    i, j, steps = len(a), len(b), bytearray()
+    while i > 0:
+        base = (i - 1) // every * every
+        rows = [kept[base // every]]
+        for r in range(base, i):
+            rows.append(_next_row(rows[-1], a[r], b, ramp))
+        cost = np.stack(rows).astype(np.uint8)
+        del rows
+        while i > base:
+            here, line = i - base, (int(cost[i - base, j]) - 1) & 255
+            kind = 0 if j and a[i - 1] == b[j - 1] else 1 if j and cost[here - 1, j - 1] == line else 2 if j and cost[here, j - 1] == line else 3
+            steps.append(kind)
+            i, j = i - (kind != 2), j - (kind != 3)
+    steps += b"\2" * j
+    return np.frombuffer(bytes(steps), np.int8)[::-1]
+
+
+def steps(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Alignments of pairs, short ones of like size together, in order."""
+    order = sorted(range(len(pairs)), key=lambda r: (-(-len(pairs[r][0]) // 64), len(pairs[r][1])))
     out: list = [None] * len(pairs)
     at = 0
     while at < len(order):
-        to, widest = at, 0
-        while to < len(order):
-            e, x = pairs[order[to]]
-            widest = max(widest, len(x) + 1)
-            if to > at and (to - at + 1) * (len(e) + 1) * widest > CELLS:
+        words = lambda r: max(1, -(-len(pairs[r][0]) // 64))
+        to, wide, long = at, 0, 0
+        while to < len(order) and to - at < GROUP:
+            r = order[to]
+            wide, long = max(wide, words(r)), max(long, len(pairs[r][1]))
+            if to > at and (to - at + 1) * wide * (long + 1) > CELLS:
                 break
             to += 1
-        for r, got in zip(order[at:to], each([pairs[r] for r in order[at:to]])):
-            out[r] = got
+        some = [pairs[r] for r in order[at:to]]
+        longest = max(max(len(e), len(x)) for e, x in some)
+        # numpy earns nothing on a few long pairs
+        got = [_steps_long(*p) for p in some] if longest > LONG or len(some) < longest >> 6 else _steps_together(some)
+        for r, g in zip(order[at:to], got):
+            out[r] = g
         at = to
     return out
 
@@ -120,7 +223,7 @@ def together(pairs: list[tuple[np.ndarray, np.ndarray]], each: Callable[[list],
 def align_all(pairs: list[tuple[str, str]]) -> list[list[dict]]:
     """The steps of each pair with their letters."""
     out = []
-    for (e, x), kinds in zip(pairs, together([(_codes(e), _codes(x)) for e, x in pairs], _steps_together)):
+    for (e, x), kinds in zip(pairs, steps([(_codes(e), _codes(x)) for e, x in pairs])):
         e_at, x_at, path = 0, 0, []
         for kind in kinds.tolist():
             expected, actual = (e[e_at] if kind != 2 else None), (x[x_at] if kind != 3 else None)
@@ -147,7 +250,7 @@ def diagnose(expected: pa.Array, actual: pa.Array) -> pa.Array:
     initials right after a consonant, and the substitutions in order. Nulls count as empty."""
     pairs = [(_codes(e or ""), _codes(a or "")) for e, a in zip(expected.to_pylist(), actual.to_pylist())]
     numbers, ends, exp, act = [], [0], [_codes("")], [_codes("")]
-    for (e, x), kinds in zip(pairs, together(pairs, _steps_together)):
+    for (e, x), kinds in zip(pairs, steps(pairs)):
         # steps but insertions are the expected letters, steps but deletions the actual ones
         of_e, of_x = kinds[kinds != 2], kinds[kinds != 3]
         linked = (of_e[1:] == 3) & (e[1:] == _SILENT) & np.isin(e[:-1], _LINKING)
@@ -209,12 +312,12 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.arrow_udf(T.IntegerType())
 def edit_distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Unit-cost edit distance, null if either text is. For texts of some hundreds of letters, where
-    filling many pairs' rows in step takes less than half the time of the built-in levenshtein()."""
+    """Unit-cost edit distance, null if either text is. For texts of some hundreds of letters and more, where
+    bit-parallel columns of many pairs at once take a small part of the time of the built-in levenshtein()."""
     pairs = list(zip(a.to_pylist(), b.to_pylist()))
     given = [r for r, (x, y) in enumerate(pairs) if x is not None and y is not None]
     out: list = [None] * len(pairs)
-    for r, d in zip(given, together([(_codes(pairs[r][0]), _codes(pairs[r][1])) for r in given], _distances_together)):
+    for r, d in zip(given, distances([(_codes(pairs[r][0]), _codes(pairs[r][1])) for r in given])):
         out[r] = d
     return pa.array(out, pa.int32())
 

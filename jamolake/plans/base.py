@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions: what is done with each of these rows costs far
+    more than moving it. A table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stand_in(text: Column) -> Column:
     return F.array_join(F.transform(chars(text), lambda c, i: F.when(c == " ", c).otherwise(character(FIRST + (F.ascii(c).cast("long") * 7919 + i * 31) % 11172))), "")
 
@@ -28,7 +35,7 @@ def drop_each(text: Column, n: int = 11) -> Column:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations")
+    t = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return t.select("conv_id", "turn", "role", F.posexplode(split_transcript(F.col("text"))).alias("pos", "s")).withColumn("pos", F.col("pos").cast("long")).withColumn("utt", F.col("conv_id") * 1_000_000 + F.col("turn") * 10_000 + F.col("pos"))
 
 

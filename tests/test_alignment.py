@@ -99,3 +99,59 @@ def test_distances(spark):
     pairs = [("kitten", "sitting"), ("", "abc"), ("ab" * 400, "ba" * 390), (None, "x"), ("가나", "가다"), ("", "")]
     got = spark.createDataFrame(pairs, "a string, b string").select(a.edit_distance("a", "b").alias("d"), F.levenshtein("a", "b").alias("l")).collect()
     assert [r["d"] for r in got] == [r["l"] for r in got]
+
+
+def _table_path(a, b):
+    cost = [[i or j if not (i and j) else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            cost[i][j] = min(cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+    i, j, out = len(a), len(b), []
+    while i or j:
+        kind = 0 if i and j and a[i - 1] == b[j - 1] else 1 if i and j and cost[i - 1][j - 1] + 1 == cost[i][j] else 2 if j and cost[i][j - 1] + 1 == cost[i][j] else 3
+        out.append(kind)
+        i, j = i - (kind != 2), j - (kind != 3)
+    return cost[-1][-1], out[::-1]
+
+
+def test_bit_columns_and_kept_rows(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from jamolake.functions import alignment as al
+
+    rnd = random.Random(3)
+    text = lambda: "".join(rnd.choices("abㄱ", k=rnd.choice([0, 1, 2, 31, 63, 64, 65, 127, 128, 140])))
+    pairs = [(text(), text()) for _ in range(120)]
+    codes = [(al._codes(a), al._codes(b)) for a, b in pairs]
+    want = [_table_path(a, b) for a, b in pairs]
+    assert al.distances(codes) == [w[0] for w in want] == [al._distance_long(*c) for c in codes]
+    for got in (al._steps_together(codes), [al._steps_long(*c) for c in codes], al.steps(codes)):
+        assert [g.tolist() for g in got] == [w[1] for w in want]
+    monkeypatch.setattr(al, "GROUP", 5)
+    monkeypatch.setattr(al, "LONG", 64)
+    monkeypatch.setattr(al, "CELLS", 500)
+    assert al.distances(codes) == [w[0] for w in want] and [g.tolist() for g in al.steps(codes)] == [w[1] for w in want]
+    assert al.distances([]) == [] and al.steps([]) == []
+    assert np.array_equal(al.steps([(al._codes(""), al._codes(""))])[0], [])
+
+
+def test_a_long_pair_in_little_memory():
+    import random
+    import tracemalloc
+
+    from jamolake.functions import alignment as al
+
+    rnd = random.Random(4)
+    a, b = (al._codes("".join(rnd.choices("abcdef", k=8_000))) for _ in range(2))
+    tracemalloc.start()
+    got = al.steps([(a, b)])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6 and (got != 0).sum() == al.distances([(a, b)])[0]
+    i = j = 0
+    for kind in got.tolist():
+        assert kind != 0 or a[i] == b[j]
+        i, j = i + (kind != 2), j + (kind != 3)
+    assert (i, j) == (8_000, 8_000)
