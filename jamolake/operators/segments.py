@@ -9,13 +9,32 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, split_transcript
 
 
-def merge_regions(points: DataFrame, key: str, at: str, gap: float, least: float = 0.0) -> DataFrame:
-    """Islands of points less than gap seconds apart: (key, start, end, duration, n_points, region).
-    at is a number of seconds; islands shorter than least are dropped. One window over the key."""
-    w = W.partitionBy(key).orderBy(at)
-    new = F.coalesce((F.col(at) - F.lag(at).over(w) >= gap).cast("int"), F.lit(1))
-    marked = points.select(key, at, new.alias("new")).withColumn("region", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
-    return marked.groupBy(key, "region").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n_points")).withColumn("duration", F.col("end") - F.col("start")).where(F.col("duration") >= least)
+def merge_regions(points: DataFrame, key: str, at: str, gap: float, least: float = 0.0, bucket: float | None = None) -> DataFrame:
+    """Islands of points less than gap seconds apart: (key, start, end, duration, n_points, region). at is a
+    number of seconds; points without one are left out. Regions of a key are numbered in order of time;
+    those shorter than least are dropped then.
+
+    Islands are found inside time buckets of a key (64 gaps long, or bucket seconds), so a key with most of
+    the points is in many tasks. Only the first and the last island of a bucket can go on outside it; these
+    few are stitched in order of time."""
+    width = F.lit(float(bucket or 64 * gap))
+    given = points.where(F.col(at).isNotNull()).select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.floor(F.col(at) / width).alias("_bucket"))
+    inside = W.partitionBy("_key", "_bucket")
+    ordered = inside.orderBy("_at")
+    fresh = lambda start, before: F.coalesce((start - before >= gap).cast("long"), F.lit(1))
+    marked = given.withColumn("_new", fresh(F.col("_at"), F.lag("_at").over(ordered))).withColumn("_island", F.sum("_new").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
+    islands = marked.groupBy("_key", "_bucket", "_island").agg(F.min("_at").alias("start"), F.max("_at").alias("end"), F.count("*").alias("n_points")).withColumn("_last", F.max("_island").over(inside))
+
+    edge = (F.col("_island") == 1) | (F.col("_island") == F.col("_last"))
+    along = W.partitionBy("_key").orderBy("start", "end")
+    edges = islands.where(edge).withColumn("_new", fresh(F.col("start"), F.lag("end").over(along))).withColumn("_run", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    stitched = edges.groupBy("_key", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_points").alias("n_points")).drop("_run")
+    regions = islands.where(~edge).select("_key", "start", "end", "n_points").unionByName(stitched).withColumn("_bucket", F.floor(F.col("start") / width))
+
+    before = regions.groupBy(F.col("_key").alias("_k"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = regions.withColumn("_place", F.row_number().over(inside.orderBy("start"))).join(before, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b")))
+    numbered = placed.select(F.col("_key").alias(key), (F.col("_before") + F.col("_place") - 1).alias("region"), "start", "end", "n_points", (F.col("end") - F.col("start")).alias("duration"))
+    return numbered.where(F.col("duration") >= least)
 
 
 def equal_division(regions: DataFrame, key: str, parts: Column, least: float = 0.3) -> DataFrame:

@@ -100,21 +100,56 @@ def test_sources_and_sinks(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    events = spark.read.parquet(f"{DIR}/events.parquet")
-    events.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = sessions.read_events(spark, str(tmp_path / "in"))
-    q = sessions.running_profiles(stream).writeStream.outputMode("complete").format("memory").queryName("profiles").option("checkpointLocation", str(tmp_path / "cp")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    batch = sessions.running_profiles(events)
-    assert spark.table("profiles").exceptAll(batch).isEmpty() or spark.table("profiles").select("user_id", "event_type", "n").exceptAll(batch.select("user_id", "event_type", "n")).isEmpty()
-    q = sessions.session_regions(stream).writeStream.outputMode("append").format("memory").queryName("regions").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
-    q.awaitTermination(100)
-    want = sessions.session_regions(events.withColumn("ts", F.col("ts").cast("timestamp"))).select("user_id", "start", "n_events")
-    got = spark.table("regions").select("user_id", "start", "n_events")
-    assert got.exceptAll(want).isEmpty() and got.count() >= want.count() - 20
+    """Row by row, over a restart. Events come in order of time; a last one, of nobody, is so late that all
+    other regions close."""
+    from pyspark.sql import Window as W
+
+    events = spark.read.parquet(f"{DIR}/events.parquet").withColumn("part", F.ntile(4).over(W.orderBy("ts")))
+    last = events.orderBy(F.desc("ts")).limit(1).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), "event_type", "value", "props", "part")
+
+    def add(part):
+        (last if part == 5 else events.where(F.col("part") == part)).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def start(df, mode, name):
+        return df.writeStream.outputMode(mode).format("parquet" if mode == "append" else "memory").queryName(name).option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(availableNow=True).start()
+
+    for parts in ((1, 2), (3,), (4,), (5,)):
+        for p in parts:
+            add(p)
+        stream = sessions.read_events(spark, str(tmp_path / "in"), 1)
+        for q in (start(sessions.session_regions(stream), "append", "regions"), start(sessions.running_profiles(stream), "complete", "profiles")):
+            q.awaitTermination(200)
+            assert q.exception() is None
+    profiles = lambda df: {(r.user_id, r.event_type): (r.n, round(r.mean_value, 9)) for r in df.collect() if r.user_id != -1}
+    assert profiles(spark.table("profiles")) == profiles(sessions.running_profiles(events))
+    regions = lambda df: sorted((r.user_id, r.start, r.end, r.n_events, round(r.value, 9)) for r in df.collect() if r.user_id != -1)
+    assert regions(spark.read.parquet(str(tmp_path / "regions"))) == regions(sessions.session_regions(events.withColumn("ts", F.col("ts").cast("timestamp"))))
+
+
+def test_regions_over_buckets(spark):
+    import random
+
+    rnd = random.Random(1)
+    hot, t = [], 0.0
+    for _ in range(3000):
+        t += rnd.choice([0.0, 0.1, 0.4, 0.99, 1.0, 1.7, 40.0])
+        hot.append(("hot", t - 500))
+    rows = hot + [(None, 1.0), (None, 1.5), ("one", 7.0), ("one", None)]
+    rnd.shuffle(rows)
+    want = set()
+    for key in {k for k, _ in rows}:
+        runs = []
+        for v in sorted(v for k, v in rows if k == key and v is not None):
+            if runs and v - runs[-1][1] < 1.0:
+                runs[-1] = (runs[-1][0], v, runs[-1][2] + 1)
+            else:
+                runs.append((v, v, 1))
+        want |= {(key, i, *r) for i, r in enumerate(runs) if r[1] - r[0] >= 0.3}
+    df = spark.createDataFrame(rows, "k string, t double")
+    for bucket in (None, 0.5, 3.0, 1e6):
+        got = segments.merge_regions(df, "k", "t", 1.0, 0.3, bucket)
+        assert {(r.k, r.region, r.start, r.end, r.n_points) for r in got.collect()} == want
+    assert segments.merge_regions(df.where("false"), "k", "t", 1.0).collect() == []
 
 
 def test_loaders_of_samples(spark, tmp_path):
