@@ -15,6 +15,7 @@ from ..functions.alignment import diagnose
 from ..functions.hangul import jamo_string
 from ..functions.phonology import CATEGORIES, rule_counts
 from ..functions.text import is_coherent, strip
+from .selection import with_medians
 
 
 def evaluate(pairs: DataFrame) -> DataFrame:
@@ -107,7 +108,8 @@ def consistency(rows: DataFrame, min_utts: int = 3) -> DataFrame:
 
 
 def consistency_report(per_speaker: DataFrame) -> DataFrame:
-    return per_speaker.agg(F.count("*").alias("n_speakers"), F.bround(F.avg("consistency"), 4).alias("mean"), F.bround(F.percentile("consistency", F.lit(0.5)), 4).alias("median"), F.count_if(F.col("consistency") >= 0.5).alias("n_half"))
+    s = per_speaker.agg(F.count("*").alias("n_speakers"), F.bround(F.avg("consistency"), 4).alias("mean"), F.count_if(F.col("consistency") >= 0.5).alias("n_half"))
+    return with_medians(s, per_speaker, "consistency", "median").withColumn("median", F.bround("median", 4))
 
 
 def weakness() -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, split_transcript
-from ..operators import filters, joins, segments, splits
+from ..operators import filters, joins, segments, selection, splits
 from ..streaming.sessions import session_regions, tumbling_chunks
 from ._registry import registry
 from .base import SENT, sentences, sql_split, table
@@ -104,7 +104,8 @@ def agg_mismatch_keys(spark, sf):
 
 @query("agg_duration_stats", "SELECT event_type, round_even(avg(value), 6) AS mean, quantile_cont(value, 0.5) AS median, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type")
 def agg_duration_stats(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.bround(F.avg("value"), 6).alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    e = table(spark, sf, "events").select("event_type", "value")
+    return selection.with_medians(e.groupBy("event_type").agg(F.bround(F.avg("value"), 6).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi")), e, "value", "median", "event_type")
 
 
 @query("agg_per_session", f"WITH {SENT} SELECT count(*) AS n_segments, count(DISTINCT conv_id) AS n_sessions, round_even(count(*)::DOUBLE / greatest(count(DISTINCT conv_id), 1), 4) AS per_session FROM sent")
@@ -214,3 +215,11 @@ def stream_session_regions(spark, sf):
 def stream_tumbling_chunks(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return tumbling_chunks(e, "1 hour").groupBy("event_type", "n_events").agg(F.count("*").alias("n_chunks"))
+
+
+@query("agg_order_statistics", """SELECT event_type, user_id % 3 AS k, count(value) AS n, round_even(quantile_cont(value, 0.0), 6) AS p0, round_even(quantile_cont(value, 0.1), 6) AS p10, round_even(quantile_cont(value, 0.25), 6) AS p25, round_even(quantile_cont(value, 0.5), 6) AS p50,
+  round_even(quantile_cont(value, 0.75), 6) AS p75, round_even(quantile_cont(value, 0.99), 6) AS p99, round_even(quantile_cont(value, 1.0), 6) AS p100 FROM events GROUP BY ALL""")
+def agg_order_statistics(spark, sf):
+    e = table(spark, sf, "events").select("event_type", (F.col("user_id") % 3).alias("k"), "value")
+    q = selection.order_statistics(e, "value", [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0], "event_type", "k")
+    return q.select("event_type", "k", "n", *[F.bround(f"q{i}", 6).alias(f"p{p}") for i, p in enumerate((0, 10, 25, 50, 75, 99, 100))])

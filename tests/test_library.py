@@ -208,3 +208,26 @@ def test_keywords_keep_their_spelling():
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("items", "section", "startTime", "ENDTIME", "Utterance", "x_offset")])
     assert [p for p, _ in files.time_fields(schema)] == ["startTime", "x_offset"]
+
+
+def test_order_statistics(spark):
+    import random
+
+    import numpy as np
+
+    from jamolake.operators import selection
+
+    rnd = random.Random(7)
+    rows = [("a", rnd.gauss(0, 1)) for _ in range(500)] + [("b", float(rnd.randint(0, 3))) for _ in range(400)] + [("c", 5.0), (None, 1.0), (None, 2.0), ("d", None)] + [("e", rnd.choice([1e300, -1e-300, 0.0])) for _ in range(50)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    qs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    for ranges in (2, 64):
+        got = {r.k: r for r in selection.order_statistics(df, "v", qs, "k", ranges=ranges).collect()}
+        assert set(got) == {"a", "b", "c", None, "e"}
+        for k, r in got.items():
+            v = [x for j, x in rows if j == k]
+            assert r.n == len(v) and np.allclose([r[f"q{i}"] for i in range(5)], np.quantile(v, qs), rtol=1e-12)
+    every = [x for _, x in rows if x is not None]
+    assert np.allclose(list(selection.order_statistics(df, "v", qs).first())[1:], np.quantile(every, qs), rtol=1e-12)
+    assert selection.order_statistics(df.where("false"), "v", qs).collect() == []
+    assert {(r.k, r.m) for r in selection.with_medians(df.groupBy("k").count(), df, "v", "m", "k").where("k IN ('c', 'd') OR k IS NULL").collect()} == {("c", 5.0), ("d", None), (None, 1.5)}
