@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, split_transcript
 from ..operators import filters, joins, segments, selection, splits
 from ..streaming.sessions import session_regions, tumbling_chunks
+from ..streaming.speakers import speaker_profiles
 from ._registry import registry
 from .base import SENT, sentences, sql_split, table
 
@@ -223,3 +224,13 @@ def agg_order_statistics(spark, sf):
     e = table(spark, sf, "events").select("event_type", (F.col("user_id") % 3).alias("k"), "value")
     q = selection.order_statistics(e, "value", [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0], "event_type", "k")
     return q.select("event_type", "k", "n", *[F.bround(f"q{i}", 6).alias(f"p{p}") for i, p in enumerate((0, 10, 25, 50, 75, 99, 100))])
+
+
+@query("agg_speaker_stretches", """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
+SELECT user_id AS speaker_id, count(*) AS n_utterances, count_if(event_id % 2 = 0)::BIGINT AS n_raw, sum(event_id % 5)::BIGINT AS edits, sum(event_id % 3)::BIGINT AS rule_hits, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, k""")
+def agg_speaker_stretches(spark, sf):
+    """V4: profiles of stretches of a speaker's utterances that are no more than twelve hours apart."""
+    e = table(spark, sf, "events")
+    rows = e.select(F.col("user_id").alias("speaker_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 2 == 0).alias("is_raw"), (F.col("event_id") % 5).alias("edits"), (F.col("event_id") % 3).alias("rule_hits"))
+    return speaker_profiles(rows, "12 hours").select("speaker_id", "n_utterances", "n_raw", "edits", "rule_hits", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
