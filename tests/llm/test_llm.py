@@ -692,6 +692,8 @@ def test_queries(spark, docs, rows, tmp_path):
         "op1": ["doc_id", "size", "source_size", "target", "taken"], "op2": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], "op3": ["doc_id"],
         "op4": ["doc_id", "held_out", "score", "predicted"], "op5": ["vec_id", "n_links", "component_id", "kept"], "op6": ["doc_id", "n_words", "n_removed", "kept_sha256"],
         "op7": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], "op8": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], "op9": ["doc_id", "n_shingles", "component_id"], "op10": ["page_id", "host", "path", "rule", "verdict"],
+        "op11": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"], "op12": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+        "op13": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     }
     got = {}
     for name, query in QUERIES.items():
@@ -700,7 +702,10 @@ def test_queries(spark, docs, rows, tmp_path):
         assert set(want[op]) <= set(df.columns)
         got[op] = df.collect()
     ids = Counter(r[0] for r in rows)
-    assert all(Counter(r["doc_id"] for r in got[op]) == ids for op in ("op1", "op2", "op3", "op4", "op6", "op8", "op9"))
+    assert all(Counter(r["doc_id"] for r in got[op]) == ids for op in ("op1", "op2", "op3", "op4", "op6", "op8", "op9", "op12"))
+    assert Counter(r["vec_id"] for r in got["op11"]) == Counter({i: 2 for i in range(30)}) and all(r["n"] == 30 and (r["component"] == 1) == (r["whitened"] is not None) for r in got["op11"])
+    number = {i: len(words(t)) for i, t, *_ in rows}
+    assert all(r["n_words"] == number[r["doc_id"]] and not (r["base_failed"] and r["kept"]) for r in got["op12"])
     held = lambda i, n, k: zlib.crc32(str(i).encode()) % n == k
     assert all(r["held_out"] == held(r["doc_id"], 7, 2) for r in got["op2"]) and all(r["held_out"] == held(r["doc_id"], 3, 1) and r["predicted"] == (r["score"] >= 0.7) for r in got["op4"])
     last = {i % 4: i for i in range(20)}
