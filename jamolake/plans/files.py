@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import signals
-from ..functions import text as t
 from ..operators import providers, segments
 from ..sources import files, sinks
 from ..sources.scratch import new_folder
@@ -16,7 +15,7 @@ from .records import _SESSIONS, segmented
 
 QUERIES, ORACLES, query = registry()
 
-# Recordings of 8 to 64 samples; one in five has two segments.
+# Recordings of 8 to 64 samples.
 _RECORDINGS = "rec AS (SELECT vec_id, embedding[1 : 8 + vec_id % 57] AS signal FROM embeddings)"
 _FLOAT = "(signal[i]::DOUBLE)"
 

@@ -3,9 +3,6 @@
 import random
 from datetime import datetime, timedelta
 
-import pytest
-from pyspark.sql import functions as F
-
 from jamolake.streaming import speakers
 
 SCHEMA = "speaker_id long, ts timestamp, is_raw boolean, edits int, rule_hits int"
