@@ -10,7 +10,6 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from jamolake.llm import collocations, quality, whitening
 from jamolake.llm import _common as common
