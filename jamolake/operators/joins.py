@@ -35,6 +35,54 @@ def best_match(left: DataFrame, right: DataFrame, key: str, order: str, score: C
     return scored.groupBy(key, "left_id").agg(F.max_by(F.struct("score", order), F.struct("score", -F.col(order))).alias("best")).select(key, "left_id", "best.*")
 
 
+#: Hashes of letter runs are counted in so many buckets; only the order of runs depends on them.
+RUN_BUCKETS = 1 << 16
+
+
+def _runs(texts: DataFrame, q: int) -> DataFrame:
+    """A row (text goes) for each run of q letters of texts with q - 1 signs before and after them, as r, a
+    struct of the run and its number among equal ones. Linear in the length: equal runs stand together in a
+    sorted array, which is kept as a column, as are the places where they begin."""
+    pad = "\x01" * (q - 1)
+    rows = texts.withColumn("_t", F.concat(F.lit(pad), "text", F.lit(pad))).drop("text")
+    rows = rows.withColumn("_runs", F.sort_array(F.transform(F.sequence(F.lit(1), F.length("_t") - q + 1), lambda i: F.substr("_t", i, F.lit(q))))).drop("_t")
+    rows = rows.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_runs") - 1), lambda i: (i == 0) | (F.get("_runs", i) != F.get("_runs", i - 1))))
+    ends = lambda k: F.coalesce(F.get("_at", k + 1), F.size("_runs"))
+    rows = rows.withColumn("_c", F.explode(F.transform("_at", lambda p, k: F.struct(F.get("_runs", p).alias("run"), (ends(k) - p).alias("n"))))).drop("_runs", "_at")
+    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_c.n")))).withColumn("r", F.struct("_c.run", F.col("_nth").alias("nth"))).drop("_c", "_nth")
+
+
+def similar_match(left: DataFrame, right: DataFrame, key: str, order: str, accept: float = 0.85) -> DataFrame:
+    """best_match() of texts s (left_id, s) and t (order, t) by 1 - distance / longer length, found through
+    an inverted index of letter runs, so that pairs of a key that share no rare run are never made.
+
+    Texts within an edit distance below (1 - accept) of the longer one's length share a number of runs that
+    grows with that length; sorted from the rarest run on, they share one among the first ones. Runs are as
+    long as accept allows, at most five letters. Below 0.8 texts of one language share so many that the index
+    prunes little more than lengths do; best_match() is then the plainer way. Each distinct text of a key is matched once. The index is spread by key and run, so
+    that the rows of a hot key are in many tasks. order is unique in a key; rows with a null
+    key or text and empty texts match nothing."""
+    q = max(1, min(5, int(1 / (1 - accept) + 1e-9)))
+    need = lambda n: F.floor(n * (1 - q * (1 - accept)) + q - 1 - 1e-9) + 1
+    lefts = left.where(F.col(key).isNotNull() & (F.col("s") != "")).groupBy(key, F.col("s").alias("text")).agg(F.min("left_id").alias("id"))
+    rights = right.where(F.col(key).isNotNull() & (F.col("t") != "")).groupBy(key, F.col("t").alias("text")).agg(F.min(order).alias("id"))
+    sides = lefts.withColumn("side", F.lit(0)).unionByName(rights.withColumn("side", F.lit(1)))
+    listed = _runs(sides.withColumn("n", F.length("text")), q).withColumn("bucket", F.pmod(F.xxhash64("r"), F.lit(RUN_BUCKETS)))
+    # RUN_BUCKETS rows at most
+    counts = listed.groupBy("bucket").agg(F.count("*").alias("rows"))
+    ranked = listed.join(F.broadcast(counts), "bucket").groupBy(key, "side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "bucket", "r"))).alias("runs"))
+    rare = ranked.select(key, "side", "id", "n", F.explode(F.slice("runs", 1, F.greatest(F.lit(1), F.size("runs") - need(F.col("n")) + 1).cast("int"))["r"]).alias("r"))
+    a = rare.where("side = 0").select(key, "r", F.col("id").alias("_a"), F.col("n").alias("_n"))
+    b = rare.where("side = 1").select(key, "r", F.col("id").alias("_b"), F.col("n").alias("_m"))
+    near = F.least("_n", "_m") > accept * F.greatest("_n", "_m") - 1e-9
+    pairs = a.join(b, [key, "r"]).where(near).select(key, "_a", "_b").distinct()
+    texts = lambda df, name, text: df.select(key, F.col("id").alias(name), F.col("text").alias(text))
+    scored = pairs.join(texts(lefts, "_a", "_s"), [key, "_a"]).join(texts(rights, "_b", "_t"), [key, "_b"])
+    score = 1 - F.levenshtein("_s", "_t") / F.greatest(F.length("_s"), F.length("_t"))
+    best = scored.withColumn("score", score).where(F.col("score") > accept).groupBy(key, F.col("_s").alias("s")).agg(F.max_by(F.struct("score", F.col("_b").alias(order)), F.struct("score", -F.col("_b"))).alias("best"))
+    return left.select(key, "left_id", "s").join(best, [key, "s"]).select(key, "left_id", "best.*")
+
+
 def match_chunks(chunks: DataFrame, sentences: DataFrame, key: str, score: Column, first: int = 10, width: int = 30, accept: float = 0.5) -> DataFrame:
     """best_match() of the first chunks (left_id, place, chunk; empty ones skipped) of each key with its
     sentences (other, sentence), both cut to a width. The limits are those of the report it is for."""

@@ -205,3 +205,16 @@ def jon_best_match(spark, sf):
     right = s.where("role = 'assistant'").select("conv_id", F.col("utt").alias("other"), F.col("s").alias("t"))
     score = 1 - F.levenshtein("s", "t") / F.greatest(F.length("s"), F.length("t"))
     return best_match(left, right, "conv_id", "other", score, 0.2).withColumn("score", F.bround("score", 6))
+
+
+@query("jon_similar_sentence", rf"""WITH {SENT}, u AS (SELECT DISTINCT {_FOLD} AS s FROM sent WHERE role = 'user'), a AS (SELECT {_FOLD} AS t, min(utt) AS other FROM sent WHERE role = 'assistant' GROUP BY t),
+p AS (SELECT s, other, 1 - levenshtein(s, t)::DOUBLE / greatest(length(s), length(t)) AS score FROM u JOIN a ON least(length(s), length(t)) > 0.84 * greatest(length(s), length(t))),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, other) AS k FROM p WHERE score > 0.85)
+SELECT utt AS left_id, other, round_even(score, 6) AS score FROM sent JOIN r ON {_FOLD.replace('(s,', '(sent.s,')} = r.s WHERE k = 1 AND role = 'user'""")
+def jon_similar_sentence(spark, sf):
+    from ..operators.joins import similar_match
+
+    s = sentences(spark, sf).select(F.lit(0).alias("corpus"), "role", "utt", F.regexp_replace("s", r"[^\x00-\x7F]", "?").alias("s"))
+    left = s.where("role = 'user'").select("corpus", F.col("utt").alias("left_id"), "s")
+    right = s.where("role = 'assistant'").select("corpus", F.col("utt").alias("other"), F.col("s").alias("t"))
+    return similar_match(left, right, "corpus", "other", 0.85).select("left_id", "other", F.bround("score", 6).alias("score"))

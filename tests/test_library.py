@@ -231,3 +231,41 @@ def test_order_statistics(spark):
     assert np.allclose(list(selection.order_statistics(df, "v", qs).first())[1:], np.quantile(every, qs), rtol=1e-12)
     assert selection.order_statistics(df.where("false"), "v", qs).collect() == []
     assert {(r.k, r.m) for r in selection.with_medians(df.groupBy("k").count(), df, "v", "m", "k").where("k IN ('c', 'd') OR k IS NULL").collect()} == {("c", 5.0), ("d", None), (None, 1.5)}
+
+
+def test_similar_match(spark):
+    import random
+
+    from jamolake.operators.joins import similar_match
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+
+    def changed(s, n):
+        for _ in range(n):
+            at = rng.randrange(len(s) + 1)
+            s = s[:at] + rng.choice(["", "x", "aa", "b"]) + s[at + rng.randrange(2) :]
+        return s
+
+    base = ["".join(rng.choice("ab c") for _ in range(rng.choice([1, 2, 3, 5, 9, 30]))) for _ in range(25)]
+    left = [(i % 2, i, s) for i, s in enumerate(base + base[:5])] + [(None, 90, "ab"), (0, 91, None), (0, 92, "")]
+    right = [(i % 2, i, changed(s, rng.randrange(4))) for i, s in enumerate(base * 2)] + [(0, 90, None), (0, 91, ""), (None, 92, "ab"), (0, 93, base[0]), (0, 94, base[0])]
+    for accept in (0.2, 0.5, 0.75, 0.8, 0.85):
+        want = []
+        for k, i, s in left:
+            found = [(1 - distance(s, t) / max(len(s), len(t)), -o) for k2, o, t in right if k is not None and k == k2 and s and t]
+            found = [f for f in found if f[0] > accept]
+            if found:
+                score, o = max(found)
+                want.append((k, i, -o, score))
+        got = similar_match(spark.createDataFrame(left, "k int, left_id int, s string"), spark.createDataFrame(right, "k int, o int, t string"), "k", "o", accept)
+        assert sorted(map(tuple, got.select("k", "left_id", "o", "score").collect())) == sorted(want)
+    none = similar_match(spark.createDataFrame([], "k int, left_id int, s string"), spark.createDataFrame(right, "k int, o int, t string"), "k", "o")
+    assert none.count() == 0
