@@ -44,8 +44,8 @@ def _runs(texts: DataFrame, q: int) -> DataFrame:
     struct of the run and its number among equal ones. Linear in the length: equal runs stand together in a
     sorted array, which is kept as a column, as are the places where they begin."""
     pad = "\x01" * (q - 1)
-    rows = texts.withColumn("_t", F.concat(F.lit(pad), "text", F.lit(pad))).drop("text")
-    rows = rows.withColumn("_runs", F.sort_array(F.transform(F.sequence(F.lit(1), F.length("_t") - q + 1), lambda i: F.substr("_t", i, F.lit(q))))).drop("_t")
+    rows = texts.withColumn("_t", F.split(F.concat(F.lit(pad), "text", F.lit(pad)), "")).drop("text")
+    rows = rows.withColumn("_runs", F.sort_array(F.transform(F.sequence(F.lit(1), F.size("_t") - q + 1), lambda i: F.array_join(F.slice("_t", i, q), "")))).drop("_t")
     rows = rows.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_runs") - 1), lambda i: (i == 0) | (F.get("_runs", i) != F.get("_runs", i - 1))))
     ends = lambda k: F.coalesce(F.get("_at", k + 1), F.size("_runs"))
     rows = rows.withColumn("_c", F.explode(F.transform("_at", lambda p, k: F.struct(F.get("_runs", p).alias("run"), (ends(k) - p).alias("n"))))).drop("_runs", "_at")
