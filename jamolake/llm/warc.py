@@ -23,7 +23,7 @@ from ._common import Scratch, shuffles_freed, table
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
-#: Archive files hold about this many payload bytes; a longer payload has a file of its own size.
+#: Archive files hold at most this many bytes before compression; a longer capture has a file of its own.
 FILE_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "type string, id string, concurrent_to string, refers_to string, target_uri string, date string, digest string, content_length long, payload_bytes long, payload_digest string, block binary"
@@ -37,11 +37,11 @@ def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _record(kind: str, rid: str, block: bytes, **fields: str | None) -> str:
+def _record(kind: str, rid: str, block: bytes, **fields: str | None) -> bytes:
     head = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}"]
     head += [f"{k.replace('_', '-')}: {v}" for k, v in fields.items() if v is not None]
     head += [f"Content-Length: {len(block)}"]
-    return "\r\n".join(head) + END + block.decode("utf-8")
+    return ("\r\n".join(head) + END).encode() + block
 
 
 def _clean(url: str | None) -> str | None:
@@ -49,25 +49,41 @@ def _clean(url: str | None) -> str | None:
     return None if url is None else "".join(c if c not in "\r\n" else "%0D" if c == "\r" else "%0A" for c in url)
 
 
-def _records(date: str):
+def _capture(r: dict, date: str) -> bytes:
+    """The three records of a page."""
+    payload = (r["html"] or "").encode("utf-8")
+    mine, url = _urn("capture", r["rid"]), _clean(r["url"])
+    common = {"WARC_Date": date, "WARC_Target_URI": url}
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {len(payload)}".encode() + b"\r\n\r\n"
+    digest = f"sha1:{_sha1(payload)}"
+    if r["rid"] == r["keep_rid"]:
+        first = _record("response", mine, head + payload, **common, WARC_Payload_Digest=digest, Content_Type="application/http; msgtype=response")
+    else:
+        first = _record("revisit", mine, head, **common, WARC_Payload_Digest=digest, WARC_Refers_To=_urn("capture", r["keep_rid"]), WARC_Profile=PROFILE, Content_Type="application/http; msgtype=response")
+    request = _record("request", _urn("request", r["rid"]), f"GET {url or '/'} HTTP/1.1\r\n\r\n".encode(), **common, WARC_Concurrent_To=mine, Content_Type="application/http; msgtype=request")
+    page = "" if r["page_id"] is None else f"page-id: {r['page_id']}\r\n"
+    metadata = _record("metadata", _urn("metadata", r["rid"]), page.encode(), **common, WARC_Concurrent_To=mine, Content_Type="application/warc-fields")
+    return END.encode().join([first, request, metadata])
+
+
+def _archives(date: str, file_bytes: int):
+    """A row for each archive: captures of a task in their order, as many as file_bytes hold."""
+
+    def row(held: list[bytes], size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([END.encode().join(held)], pa.large_string() if size > 1 << 30 else pa.string())], ["value"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            out = []
             for r in b.to_pylist():
-                payload = (r["html"] or "").encode("utf-8")
-                mine, url = _urn("capture", r["rid"]), _clean(r["url"])
-                common = {"WARC_Date": date, "WARC_Target_URI": url}
-                first = r["rid"] == r["keep_rid"]
-                head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {len(payload)}".encode() + b"\r\n\r\n"
-                digest = f"sha1:{_sha1(payload)}"
-                if first:
-                    out.append(_record("response", mine, head + payload, **common, WARC_Payload_Digest=digest, Content_Type="application/http; msgtype=response"))
-                else:
-                    out.append(_record("revisit", mine, head, **common, WARC_Payload_Digest=digest, WARC_Refers_To=_urn("capture", r["keep_rid"]), WARC_Profile=PROFILE, Content_Type="application/http; msgtype=response"))
-                out.append(_record("request", _urn("request", r["rid"]), f"GET {url or '/'} HTTP/1.1\r\n\r\n".encode(), **common, WARC_Concurrent_To=mine, Content_Type="application/http; msgtype=request"))
-                page = "" if r["page_id"] is None else f"page-id: {r['page_id']}\r\n"
-                out.append(_record("metadata", _urn("metadata", r["rid"]), page.encode(), **common, WARC_Concurrent_To=mine, Content_Type="application/warc-fields"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string() if sum(map(len, out)) > 1 << 30 else pa.string())], ["value"])
+                capture = _capture(r, date)
+                if held and size + len(capture) + len(END) > file_bytes:
+                    yield row(held, size)
+                    held, size = [], 0
+                held.append(capture)
+                size += len(capture) + len(END)
+        if held:
+            yield row(held, size)
 
     return run
 
@@ -77,7 +93,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
 
     Of rows with equal payloads of at least min_bytes, the one with the largest page_id (null
     ids smallest, one of any repeated rows) is the response and the others revisit it. Null html
-    is an empty payload. An empty table leaves an empty archive.
+    is an empty payload. An empty table leaves an empty archive. A file holds no more than file_bytes
+    before compression, or one longer capture, whatever order pages of different lengths come in.
     """
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     # payloads are equal if their SHA-256 and lengths are; digests and ids alone are grouped
@@ -86,13 +103,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     long_enough = F.col("n") >= min_bytes
     # stored, so that rows of a hot payload can be split over tasks
     keep = scratch.store(rows.where(long_enough).groupBy("digest", "n").agg(F.max(F.struct("page_id", "rid"))["rid"].alias("keep_rid")))
-    # two numbers come to the driver
-    total, n = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     marked = rows.join(keep, ["digest", "n"], "left").withColumn("keep_rid", F.when(long_enough, F.col("keep_rid")).otherwise(F.col("rid")))
-    per_file = 3 * max(1, file_bytes * n // max(total, 1))  # a page makes three records
-    records = marked.select("rid", "page_id", "url", "html", "keep_rid").mapInArrow(_records(date), "value string")
+    archives = marked.select("rid", "page_id", "url", "html", "keep_rid").mapInArrow(_archives(date, file_bytes), "value string")
     with shuffles_freed(pages.sparkSession):
-        records.write.option("maxRecordsPerFile", per_file).text(path, compression=compression, lineSep=END)
+        archives.write.option("maxRecordsPerFile", 1).text(path, compression=compression, lineSep=END)
     scratch.drop(rows, keep)
 
 

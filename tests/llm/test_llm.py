@@ -554,6 +554,20 @@ def test_warc(spark, tmp_path):
     assert warc.read_records(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_file_sizes(spark, tmp_path):
+    """Small pages, then a run of long ones: no archive passes its limit, but one that is a single longer capture."""
+    html = ["x" * 100] * 1000 + ["\u00e9" * 60_000 + str(i) for i in range(30)] + ["z" * 600_000] + ["y" * 50] * 100
+    df = spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    df.write.parquet(str(tmp_path / "p"))
+    out, limit = str(tmp_path / "w"), 400_000
+    warc.write_archives(spark.read.parquet(str(tmp_path / "p")), out, compression=None, file_bytes=limit)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "w").glob("part-*"))
+    assert 600_000 < sizes[-1] < 602_000 and sizes[-2] <= limit
+    assert len(sizes) < 4 * sum(sizes) / limit + 8
+    got = warc.captures_with_origin(warc.assemble(warc.read_records(spark, out)))
+    assert {r["page_id"]: r["n"] for r in got.selectExpr("page_id", "coalesce(response.payload_bytes, origin.payload_bytes) AS n").collect()} == {i: len(h.encode()) for i, h in enumerate(html)}
+
+
 # 8 exact duplicates
 
 @pytest.mark.parametrize("size,fingerprint", [(4096, F.xxhash64), (16, F.xxhash64), (16, lambda c: F.xxhash64(c) % 3)], ids=["whole", "blocks", "collisions"])
