@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # The letters in the order of the syllable block of Unicode; a blank final is none.
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
@@ -83,34 +79,33 @@ def syllable_to_jamo(text: Column) -> Column:
     return F.array_join(F.transform(chars(text), lambda c: F.when(c == " ", "|").when(is_syllable(F.ascii(c)), _letters(c)).otherwise("")), "")
 
 
+def joined_letters(text: Column) -> Column:
+    """jamo_string() of a text without its spaces."""
+    return jamo_string(F.replace(text, F.lit(" "), F.lit("")))
+
+
 def syllable_groups(text: Column) -> Column:
     """Arrays of letters word by word, with [' '] between words."""
     words = F.split(text, " ")
     return F.flatten(F.transform(words, lambda w, i: F.when(i > 0, F.array(F.array(F.lit(" ")), text_to_jamo(w))).otherwise(F.array(text_to_jamo(w)))))
 
 
-_SYLLABLE = re.compile(f"([{INITIALS}])([{VOWELS}])(?:([{FINALS.strip()}])(?![{VOWELS}]))?|([{VOWELS}])|(.)", re.S)
+#: A syllable (a consonant right before a vowel is no final), or any other single letter.
+_SYLLABLE = f"(?s)[{INITIALS}][{VOWELS}](?:[{FINALS.strip()}](?![{VOWELS}]))?|."
 
 
-def _syllable(m: re.Match) -> str:
-    initial, vowel, final, alone, other = m.groups()
-    if other is not None:
-        return other
-    at = INITIALS.index(initial or "ㅇ") * 588 + VOWELS.index(vowel or alone) * 28 + (FINALS.index(final) if final else 0)
-    return chr(FIRST + at)
+def _syllable(letters: Column) -> Column:
+    at = lambda k, alphabet: F.position(F.substr(letters, F.lit(k), F.lit(1)), F.lit(alphabet)) - 1
+    n = F.length(letters)
+    return F.when(n > 1, compose(at(1, INITIALS), at(2, VOWELS), F.when(n > 2, at(3, FINALS)).otherwise(0))).when(at(1, VOWELS) >= 0, compose(F.lit(INITIALS.index("ㅇ")), at(1, VOWELS), F.lit(0))).otherwise(letters)
 
 
-def recompose(jamo: str) -> str:
+def jamo_to_syllable(jamo: Column) -> Column:
     """A letter sequence as syllables: a consonant before a vowel opens the next syllable, a lone
     vowel takes a silent initial, other letters stand alone; bars and spaces part words, and empty
     words go."""
-    return " ".join(_SYLLABLE.sub(_syllable, w) for w in jamo.replace("|", " ").split(" ") if w)
-
-
-@F.pandas_udf(StringType())
-def jamo_to_syllable(jamo: pd.Series) -> pd.Series:
-    """recompose() for a column; Arrow batches, as the look-ahead has no built-in form."""
-    return jamo.map(recompose, na_action="ignore")
+    words = F.filter(F.split(F.translate(jamo, "|", " "), " "), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(_SYLLABLE), F.lit(0)), _syllable), "")), " ")
 
 
 def _vocabulary_map() -> Column:

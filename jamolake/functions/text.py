@@ -67,6 +67,11 @@ def grade(score: Column) -> Column:
     return F.when(score >= 95, "perfect").when(score >= 85, "great").when(score >= 70, "good").when(score >= 50, "practise").otherwise("together")
 
 
+def grade_of_four(score: Column) -> Column:
+    """Four levels, of the page where single recordings are tried."""
+    return F.when(score >= 90, "great").when(score >= 75, "good").when(score >= 50, "practise").otherwise("together")
+
+
 def colour(score: Column) -> Column:
     """Three levels."""
     return F.when(score >= 80, "green").when(score >= 50, "yellow").otherwise("red")

@@ -157,3 +157,31 @@ def src_count_lines(spark, sf):
 @query("src_utterances", f"WITH {SENT} SELECT utt, role, s FROM sent")
 def src_utterances(spark, sf):
     return sentences(spark, sf).select("utt", "role", "s")
+
+
+@query("prj_grade_of_four", """WITH s AS (SELECT event_id, greatest(0, round_even((1 - least(value, 100) / 100) * 100, 1)) AS score FROM events)
+SELECT CASE WHEN score >= 90 THEN 'great' WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'practise' ELSE 'together' END AS grade, count(*) AS n FROM s GROUP BY grade""")
+def prj_grade_of_four(spark, sf):
+    s = table(spark, sf, "events").select(t.percent_score(F.least("value", F.lit(100.0)) / 100).alias("score"))
+    return s.groupBy(t.grade_of_four(F.col("score")).alias("grade")).agg(F.count("*").alias("n"))
+
+
+@query("fn_compose_text", f"WITH {UTT} SELECT utt, {sql_text('cx')} AS text FROM utt")
+def fn_compose_text(spark, sf):
+    def again(c):
+        code = F.ascii(c)
+        return F.when(h.is_syllable(code), h.compose(h.initial_of(code), h.vowel_of(code), h.final_of(code))).otherwise(c)
+
+    return utterances(spark, sf).select("utt", F.array_join(F.transform(h.chars(F.col("x")), again), "").alias("text"))
+
+
+@query("fn_group_letters", f"""WITH {UTT}, w AS (SELECT utt, string_split({sql_jamo('cx')}, ' ') AS l FROM utt)
+SELECT utt, array_to_string(list_transform(l, lambda x: array_to_string(string_split(x, ''), '-')), '/ /') AS letters FROM w""")
+def fn_group_letters(spark, sf):
+    groups = F.transform(h.syllable_groups(F.col("x")), lambda g: F.array_join(g, "-"))
+    return utterances(spark, sf).select("utt", F.array_join(groups, "/").alias("letters"))
+
+
+@query("fn_joined_letters", f"WITH {UTT} SELECT utt, replace({sql_jamo('cx')}, ' ', '') AS letters FROM utt")
+def fn_joined_letters(spark, sf):
+    return utterances(spark, sf).select("utt", h.joined_letters(F.col("x")).alias("letters"))

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from jamolake.functions import hangul as h
@@ -25,11 +27,33 @@ def test_letters(spark):
     assert column(spark, ["닭 a"], h.syllable_groups) == [[["ㄷ", "ㅏ", "ㄺ"], [" "], ["a"]]]
 
 
-def test_corner_cases_of_recomposition():
-    assert h.recompose("ㄱㅏㄳㅏ") == "가ㄳ아"
-    assert h.recompose("ㄱㅏㄸ") == "가ㄸ"
-    assert h.recompose("ㅏ||ㄱ") == "아 ㄱ"
-    assert h.recompose("") == ""
+def plain_recompose(jamo):
+    """Letter by letter: a syllable takes a final only if no vowel comes after it."""
+    words = []
+    for w in jamo.replace("|", " ").split(" "):
+        out, k = "", 0
+        while k < len(w):
+            if w[k] in h.INITIALS and k + 1 < len(w) and w[k + 1] in h.VOWELS:
+                final = k + 2 < len(w) and w[k + 2] in h.FINALS.strip() and not (k + 3 < len(w) and w[k + 3] in h.VOWELS)
+                out += chr(h.FIRST + h.INITIALS.index(w[k]) * 588 + h.VOWELS.index(w[k + 1]) * 28 + (h.FINALS.index(w[k + 2]) if final else 0))
+                k += 3 if final else 2
+            else:
+                out += chr(h.FIRST + 11 * 588 + h.VOWELS.index(w[k]) * 28) if w[k] in h.VOWELS else w[k]
+                k += 1
+        words += [out] if w else []
+    return " ".join(words)
+
+
+def test_recomposition(spark):
+    cases = {"ㄱㅏㄳㅏ": "가ㄳ아", "ㄱㅏㄸ": "가ㄸ", "ㅏ||ㄱ": "아 ㄱ", "": "", None: None}
+    assert column(spark, list(cases), h.jamo_to_syllable) == list(cases.values())
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ㄱㄷㄸㅇㅎㅏㅣㅢㄳㅄ| a\n\U0001f600가") for _ in range(rng.randrange(40))) for _ in range(300)]
+    assert column(spark, texts, h.jamo_to_syllable) == [plain_recompose(x) for x in texts]
+
+
+def test_joined_letters(spark):
+    assert column(spark, ["닭 a 가", " ", None], h.joined_letters) == ["ㄷㅏㄺaㄱㅏ", "", None]
 
 
 def test_vocabulary(spark):
