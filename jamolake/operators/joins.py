@@ -35,6 +35,8 @@ def best_match(left: DataFrame, right: DataFrame, key: str, order: str, score: C
     return scored.groupBy(key, "left_id").agg(F.max_by(F.struct("score", order), F.struct("score", -F.col(order))).alias("best")).select(key, "left_id", "best.*")
 
 
+#: Letters are counted in so many classes, which bound the distance of two texts from below.
+CLASSES = 16
 #: Hashes of letter runs are counted in so many buckets; only the order of runs depends on them.
 RUN_BUCKETS = 1 << 16
 
@@ -52,6 +54,13 @@ def _runs(texts: DataFrame, q: int) -> DataFrame:
     return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_c.n")))).withColumn("r", F.struct("_c.run", F.col("_nth").alias("nth"))).drop("_c", "_nth")
 
 
+def _class_counts(text: Column) -> list[Column]:
+    """How many letters of a text have each code point modulo CLASSES, as _c0, _c1, ..."""
+    cls = F.transform(F.split(text, ""), lambda c: F.when(c != "", F.ascii(c) % CLASSES))
+    count = lambda k: F.size(F.filter(cls, lambda c: c == k))
+    return [count(k).alias(f"_c{k}") for k in range(CLASSES)]
+
+
 def similar_match(left: DataFrame, right: DataFrame, key: str, order: str, accept: float = 0.85) -> DataFrame:
     """best_match() of texts s (left_id, s) and t (order, t) by 1 - distance / longer length, found through
     an inverted index of letter runs, so that pairs of a key that share no rare run are never made.
@@ -71,11 +80,15 @@ def similar_match(left: DataFrame, right: DataFrame, key: str, order: str, accep
     # RUN_BUCKETS rows at most
     counts = listed.groupBy("bucket").agg(F.count("*").alias("rows"))
     ranked = listed.join(F.broadcast(counts), "bucket").groupBy(key, "side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "bucket", "r"))).alias("runs"))
-    rare = ranked.select(key, "side", "id", "n", F.explode(F.slice("runs", 1, F.greatest(F.lit(1), F.size("runs") - need(F.col("n")) + 1).cast("int"))["r"]).alias("r"))
-    a = rare.where("side = 0").select(key, "r", F.col("id").alias("_a"), F.col("n").alias("_n"))
-    b = rare.where("side = 1").select(key, "r", F.col("id").alias("_b"), F.col("n").alias("_m"))
+    # a text's class counts go with its runs, so that unlike texts part inside the join
+    classes = sides.select(key, "side", "id", *_class_counts(F.col("text")))
+    rare = ranked.join(classes, [key, "side", "id"]).select(key, "side", "id", "n", *[f"_c{k}" for k in range(CLASSES)], F.explode(F.slice("runs", 1, F.greatest(F.lit(1), F.size("runs") - need(F.col("n")) + 1).cast("int"))["r"]).alias("r"))
+    a = rare.where("side = 0").select(key, "r", F.col("id").alias("_a"), F.col("n").alias("_n"), *[F.col(f"_c{k}").alias(f"_p{k}") for k in range(CLASSES)])
+    b = rare.where("side = 1").select(key, "r", F.col("id").alias("_b"), F.col("n").alias("_m"), *[F.col(f"_c{k}").alias(f"_q{k}") for k in range(CLASSES)])
     near = F.least("_n", "_m") > accept * F.greatest("_n", "_m") - 1e-9
-    pairs = a.join(b, [key, "r"]).where(near).select(key, "_a", "_b").distinct()
+    surplus = lambda x, y: reduce(lambda s, t: s + t, [F.greatest(F.lit(0), F.col(f"{x}{k}") - F.col(f"{y}{k}")) for k in range(CLASSES)])
+    like = F.greatest(surplus("_p", "_q"), surplus("_q", "_p")) < (1 - accept) * F.greatest("_n", "_m") + 1e-9
+    pairs = a.join(b, [key, "r"]).where(near & like).select(key, "_a", "_b").distinct()
     texts = lambda df, name, text: df.select(key, F.col("id").alias(name), F.col("text").alias(text))
     scored = pairs.join(texts(lefts, "_a", "_s"), [key, "_a"]).join(texts(rights, "_b", "_t"), [key, "_b"])
     score = 1 - F.levenshtein("_s", "_t") / F.greatest(F.length("_s"), F.length("_t"))
