@@ -6,7 +6,6 @@ wanted, come from Arrow UDFs that work on many pairs at once: built-in functions
 
 from __future__ import annotations
 
-import difflib
 import math
 from collections.abc import Iterator
 
@@ -293,21 +292,97 @@ def align_common(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([None if r is None or h is None else one(r, h) for r, h in zip(reference, hypothesis)])
 
 
-@F.pandas_udf(OPCODES)
-def opcodes(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Blocks that are equal, replaced, deleted or inserted, by longest common runs."""
-
-    def one(r, h):
-        ops = difflib.SequenceMatcher(None, r, h, autojunk=False).get_opcodes()
-        return [{"type": t, "ref": r[i:j], "hyp": h[k:m]} for t, i, j, k, m in ops]
-
-    return pd.Series([None if r is None or h is None else one(r, h) for r, h in zip(reference, hypothesis)])
+def _longest_runs(windows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Of each window, two pieces of letters, (start in a, start in b, length) of the longest run in common, on
+    ties the first in a and of these the first in b. Letter by letter of a, the runs that end there at
+    each letter of b grow by one, in all windows at once; of a window no more than one row is held."""
+    a, b, _, _ = _side_by_side(windows)
+    run, best = np.zeros((len(windows), b.shape[1] + 1), dtype=np.int32), np.zeros((3, len(windows)), dtype=np.int64)
+    for i in range(a.shape[1]):
+        # a copy of the row before is shifted, and cut to 0 where letters differ
+        run[:, 1:] = (run[:, :-1] + 1) * (b == a[:, i, None])
+        top = run.max(axis=1)
+        longer = np.flatnonzero(top > best[2])
+        if len(longer):
+            size = top[longer]
+            best[:, longer] = i + 1 - size, run[longer].argmax(axis=1) - size, size
+    return best.T
+
+
+def _popular(b: np.ndarray) -> np.ndarray:
+    """The letters of a text of 200 and more that make up over a hundredth of it (and one more)."""
+    letters, times = np.unique(b, return_counts=True)
+    return letters[times > len(b) // 100 + 1] if len(b) >= 200 else letters[:0]
+
+
+def common_blocks(pairs: list[tuple[np.ndarray, np.ndarray]], popular: bool = False) -> list[list[tuple[int, int, int]]]:
+    """Of each pair the blocks (start in a, start in b, length) in common: the longest run, then the same left and
+    right of it. With popular, a run starts from no popular letter of b, but grows over them.
+    All windows of a level, of all pairs, are searched together, those of like size side by side."""
+    found: list[list[tuple[int, int, int]]] = [[] for _ in pairs]
+    rare = [np.where(np.isin(b, _popular(b)), np.uint32(2**32 - 2), b) if popular else b for _, b in pairs]
+    level = [(r, 0, len(a), 0, len(b)) for r, (a, b) in enumerate(pairs) if len(a) and len(b)]
+    while level:
+        level.sort(key=lambda w: (w[2] - w[1], w[4] - w[3]))
+        below, at = [], 0
+        while at < len(level):
+            to, wide = at, 0
+            while to < len(level) and to - at < GROUP:
+                wide = max(wide, level[to][4] - level[to][3])
+                if to > at and (to - at + 1) * wide > CELLS // 8:
+                    break
+                to += 1
+            some = level[at:to]
+            runs = _longest_runs([(pairs[r][0][i:i2], rare[r][j:j2]) for r, i, i2, j, j2 in some])
+            for (r, a_lo, a_hi, b_lo, b_hi), (i, j, k) in zip(some, runs.tolist()):
+                i, j = a_lo + i, b_lo + j
+                if popular:
+                    a, b = pairs[r]
+                    while i > a_lo and j > b_lo and a[i - 1] == b[j - 1]:
+                        i, j, k = i - 1, j - 1, k + 1
+                    while i + k < a_hi and j + k < b_hi and a[i + k] == b[j + k]:
+                        k += 1
+                if k:
+                    found[r].append((i, j, k))
+                    below += [w for w in ((r, a_lo, i, b_lo, j), (r, i + k, a_hi, j + k, b_hi)) if w[1] < w[2] and w[3] < w[4]]
+            at = to
+        level = below
+    return [sorted(blocks) for blocks in found]
+
+
+def _operations(reference: str, hypothesis: str, blocks: list[tuple[int, int, int]]) -> list[dict]:
+    """The blocks in common, those that meet as one, and what lies between them."""
+    out, i, j = [], 0, 0
+    for a, b, k in [*blocks, (len(reference), len(hypothesis), 0)]:
+        if i < a or j < b:
+            kind = "replace" if i < a and j < b else "delete" if i < a else "insert"
+            out.append({"type": kind, "ref": reference[i:a], "hyp": hypothesis[j:b]})
+        if k and out and out[-1]["type"] == "equal":
+            out[-1] = {"type": "equal", "ref": out[-1]["ref"] + reference[a : a + k], "hyp": out[-1]["hyp"] + hypothesis[b : b + k]}
+        elif k:
+            out.append({"type": "equal", "ref": reference[a : a + k], "hyp": hypothesis[b : b + k]})
+        i, j = a + k, b + k
+    return out
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 * matches / total length, by longest common runs."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+@F.arrow_udf(OPCODES)
+def opcodes(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """Blocks that are equal, replaced, deleted or inserted, by longest common runs; null if either text is."""
+    texts = [(r, h) if r is not None and h is not None else None for r, h in zip(reference.to_pylist(), hypothesis.to_pylist())]
+    given = [t for t in texts if t]
+    blocks = iter(common_blocks([(_codes(r), _codes(h)) for r, h in given]))
+    kind = pa.list_(pa.struct([("type", pa.string()), ("ref", pa.string()), ("hyp", pa.string())]))
+    return pa.array([_operations(*t, next(blocks)) if t else None for t in texts], kind)
+
+
+@F.arrow_udf(T.DoubleType())
+def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
+    """2 * matches / total length, by longest common runs that start from no popular letter; 1 for two empty
+    texts, null if either is."""
+    pairs = [(_codes(x), _codes(y)) if x is not None and y is not None else None for x, y in zip(a.to_pylist(), b.to_pylist())]
+    blocks = iter(common_blocks([p for p in pairs if p], popular=True))
+    total = [len(p[0]) + len(p[1]) if p else 0 for p in pairs]
+    return pa.array([(2.0 * sum(k for _, _, k in next(blocks)) / n if n else float(next(blocks) == [])) if p else None for p, n in zip(pairs, total)], pa.float64())
 
 
 @F.arrow_udf(T.IntegerType())

@@ -8,7 +8,7 @@ from ..functions import alignment as a
 from ..functions import hangul as h
 from ..operators import metrics as m
 from ._registry import registry
-from .base import SENT, UTT, sentences, sql_jamo, sql_text, utterances
+from .base import SENT, SQL_BLOCKS, SQL_OPERATIONS, UTT, sentences, sql_jamo, sql_text, utterances
 
 QUERIES, ORACLES, query = registry()
 
@@ -104,7 +104,11 @@ def aln_score(spark, sf):
     return aligned(spark, sf).select("utt", F.bround(score, 4).alias("score"), F.col("edit_distance").alias("errors"), "edit_distance", "rule_hits", "ratio")
 
 
-@query("aln_opcodes")
+_CHARS = "list_transform({}, lambda c: chr(c::INTEGER))"
+_SQUEEZED = f"WITH RECURSIVE {UTT}, j AS (SELECT utt, {_CHARS.format('list_filter(cx, lambda c: c <> 32)')} AS a, {_CHARS.format('list_filter(cy, lambda c: c <> 32)')} AS b FROM utt),\n{SQL_BLOCKS}"
+
+
+@query("aln_opcodes", f"{_SQUEEZED},\n{SQL_OPERATIONS} SELECT utt, type, count(*) AS n, sum(length(ref))::BIGINT AS ref_chars, sum(length(hyp))::BIGINT AS hyp_chars FROM t GROUP BY utt, type")
 def aln_opcodes(spark, sf):
     ops = utterances(spark, sf).select("utt", F.explode(a.opcodes(a.without_spaces(F.col("x")), a.without_spaces(F.col("y")))).alias("o"))
     return ops.groupBy("utt", "o.type").agg(F.count("*").alias("n"), F.sum(F.length("o.ref")).alias("ref_chars"), F.sum(F.length("o.hyp")).alias("hyp_chars"))
@@ -112,6 +116,7 @@ def aln_opcodes(spark, sf):
 
 @query("aln_similarity")
 def aln_similarity(spark, sf):
+    # some sentences have popular letters, of which the SQL of ali_similarity knows nothing
     return utterances(spark, sf).select("utt", a.similarity("x", "y").alias("ratio"))
 
 

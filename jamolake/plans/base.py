@@ -78,3 +78,16 @@ ruled AS (SELECT utt, conv_id, role, cx, {_NF} AS nf, {_NI} AS ni FROM coded),
 spoken AS (SELECT utt, conv_id, role, cx, list_transform(cx, lambda c, i: CASE WHEN c >= 44032 THEN
   c - (c - 44032) // 588 * 588 - (c - 44032) % 28 + coalesce(ni[{_KEY.format(a='cx[i - 1]', b='c')}], (c - 44032) // 588) * 588 + coalesce(nf[{_KEY.format(a='c', b='cx[i + 1]')}], (c - 44032) % 28) ELSE c END) AS cg FROM ruled),
 utt AS (SELECT utt, conv_id, role, cx, list_filter(cg, lambda c, i: i % 11 <> 0) AS cy FROM spoken)"""
+
+# Blocks in common of lists a and b of a relation j: windows of the level before are cut at their longest run; a run's place is one number, the greatest first.
+SQL_BLOCKS = """same AS (SELECT utt, i, j, i - row_number() OVER (PARTITION BY utt, i - j ORDER BY i) AS island FROM (SELECT utt, a, b, i, unnest(range(0, len(b))) AS j FROM (SELECT utt, a, b, unnest(range(0, len(a))) AS i FROM j) q) q WHERE a[i + 1] = b[j + 1]),
+runs AS MATERIALIZED (SELECT utt, i, j, max(i) OVER (PARTITION BY utt, i - j, island) + 1 - i AS n FROM same),
+w AS (SELECT utt, 0::BIGINT AS a1, len(a)::BIGINT AS a2, 0::BIGINT AS b1, len(b)::BIGINT AS b2, max(n * 10000000000 + (99999 - i) * 100000 + 99999 - runs.j)::BIGINT AS best FROM j JOIN runs USING (utt) GROUP BY ALL
+  UNION ALL SELECT utt, a1, a2, b1, b2, max(least(n, a2 - runs.i, b2 - runs.j) * 10000000000 + (99999 - runs.i) * 100000 + 99999 - runs.j)::BIGINT FROM
+  (SELECT utt, unnest([a1, i + k]) AS a1, unnest([i, a2]) AS a2, unnest([b1, j + k]) AS b1, unnest([j, b2]) AS b2 FROM (SELECT *, best // 10000000000 AS k, 99999 - best // 100000 % 100000 AS i, 99999 - best % 100000 AS j FROM w) q) c
+  JOIN runs USING (utt) WHERE runs.i >= a1 AND runs.i < a2 AND runs.j >= b1 AND runs.j < b2 GROUP BY utt, a1, a2, b1, b2),
+bl AS (SELECT utt, 99999 - best // 100000 % 100000 AS i, 99999 - best % 100000 AS j, best // 10000000000 AS k FROM w)"""
+SQL_OPERATIONS = """e AS (SELECT * FROM bl UNION ALL SELECT utt, len(a), len(b), 0 FROM j),
+g AS (SELECT utt, i, j, k, lag(i + k, 1, 0) OVER o AS i0, lag(j + k, 1, 0) OVER o AS j0 FROM e WINDOW o AS (PARTITION BY utt ORDER BY i, j, k DESC)),
+t AS (SELECT utt, i, 0 AS part, CASE WHEN i0 < i AND j0 < g.j THEN 'replace' WHEN i0 < i THEN 'delete' ELSE 'insert' END AS type, array_to_string(a[i0 + 1 : i], '') AS ref, array_to_string(b[j0 + 1 : g.j], '') AS hyp FROM g JOIN j USING (utt) WHERE i0 < i OR j0 < g.j
+  UNION ALL SELECT utt, i, 1, 'equal', array_to_string(a[i + 1 : i + k], ''), array_to_string(b[g.j + 1 : g.j + k], '') FROM g JOIN j USING (utt) WHERE k > 0)"""

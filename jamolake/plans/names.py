@@ -15,7 +15,7 @@ from ..functions import text as t
 from ..operators import metrics as m
 from ..operators import report as r
 from ._registry import registry
-from .base import sql_jamo, table
+from .base import SQL_BLOCKS, SQL_OPERATIONS, sql_jamo, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -189,6 +189,26 @@ def ali_common_runs(spark, sf):
     return steps.select("utt", F.array_join(F.transform("s", lambda o: F.concat(dash(o["ref"]), dash(o["hyp"]), F.substring(o["type"], 1, 1))), " ").alias("path"))
 
 
+_BLOCKS = f"{_SYL},\n{SQL_BLOCKS}"
+
+
+@query("ali_opcodes", f"""WITH RECURSIVE {_BLOCKS},
+{SQL_OPERATIONS}
+SELECT utt, row_number() OVER (PARTITION BY utt ORDER BY i, part) - 1 AS pos, type, ref, hyp FROM t""")
+def ali_opcodes(spark, sf):
+    """ALN7: blocks that are equal, replaced, deleted or inserted."""
+    squeezed = lambda c: F.regexp_replace(c, r"\s", "")
+    ops = names(spark, sf).select("utt", F.posexplode(a.opcodes(squeezed("x"), squeezed("y"))).alias("pos", "o"))
+    return ops.select("utt", F.col("pos").cast("long").alias("pos"), "o.type", "o.ref", "o.hyp")
+
+
+@query("ali_similarity", f"WITH RECURSIVE {_BLOCKS}, s AS (SELECT utt, sum(k) AS k FROM bl GROUP BY utt) SELECT utt, 2 * coalesce(k, 0) / (len(a) + len(b)) AS ratio FROM j LEFT JOIN s USING (utt)")
+def ali_similarity(spark, sf):
+    """ALN8: 2 * letters in common / letters."""
+    squeezed = lambda c: F.regexp_replace(c, r"\s", "")
+    return names(spark, sf).select("utt", a.similarity(squeezed("x"), squeezed("y")).alias("ratio"))
+
+
 _ASCII = f"WITH n AS (SELECT p_partkey AS utt, p_name AS x, translate(p_name, '{_SAID[0]}', '{_SAID[1]}') AS s, p_partkey % 7 AS k FROM part), q AS (SELECT utt, x, CASE WHEN utt % 5 = 0 THEN x ELSE substr(s, 1, k) || substr(s, k + 2) END AS y, s FROM n)"
 
 

@@ -1,4 +1,6 @@
+import difflib
 import functools
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,6 +89,25 @@ def test_sequence_matching(spark):
     assert got[1]["s"] == 1.0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("abcd", max_size=14), st.text("abcd", max_size=14)), max_size=6), st.booleans(), st.integers(0, 2**32))
+def test_blocks_in_common(pairs, popular, seed):
+    """Against the standard library's matcher, long texts with popular letters included."""
+    draw = random.Random(seed)
+    long = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz" * 4 + "가나다라마바사아자차카타파하") for _ in range(300))
+    pairs = [*pairs, (long, "".join(c for c in long if draw.random() > 0.2))]
+    for (x, y), blocks in zip(pairs, a.common_blocks([(a._codes(x), a._codes(y)) for x, y in pairs], popular)):
+        want = difflib.SequenceMatcher(None, x, y, autojunk=popular)
+        assert a._operations(x, y, blocks) == [{"type": t, "ref": x[i:j], "hyp": y[k:m]} for t, i, j, k, m in want.get_opcodes()]
+        assert 2 * sum(k for _, _, k in blocks) == round(want.ratio() * (len(x) + len(y))) or not x + y
+
+
+def test_blocks_of_nulls_and_empty_texts(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("", "a"), ("a", "")], "r string, h string")
+    got = [tuple(r) for r in df.select(a.opcodes("r", "h").alias("o"), a.similarity("r", "h").alias("s")).collect()]
+    assert got[:2] == [(None, None)] * 2 and [(o[0]["type"], s) for o, s in got[2:]] == [("insert", 0.0), ("delete", 0.0)]
+
+
 def test_long_and_empty_pairs_align():
     """Costs beyond 256, tables side by side of very different sizes, and nothing at all."""
     e, x = "ab" * 400, "c" * 350
