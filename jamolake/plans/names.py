@@ -6,6 +6,9 @@ below; y has other letters for some, so that every rule occurs, and lacks one. E
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alignment as a
@@ -14,6 +17,8 @@ from ..functions import phonology as p
 from ..functions import text as t
 from ..operators import metrics as m
 from ..operators import report as r
+from ..operators.evaluation import read_evaluation, write_evaluation
+from ..sources.scratch import new_folder
 from ._registry import registry
 from .base import SQL_BLOCKS, SQL_OPERATIONS, sql_jamo, table
 
@@ -154,13 +159,67 @@ _KO = " || ".join(f"CASE WHEN {c} > 0 THEN '{k}×' || {c} || ', ' ELSE '' END" f
 _TENTHS = "round_even(ratio * 1000, 0)::BIGINT"
 
 
-@query("ali_demo", f"""{ROWS}, ss AS (SELECT utt, string_agg(exp || '→' || act, ', ' ORDER BY step DESC) AS subs FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY step DESC) AS k FROM sb) q WHERE k <= 6 GROUP BY utt),
-k AS (SELECT *, {_KO} AS c FROM er)
-SELECT utt, edit_distance || ' ' || rule_hits || ' ' || ({_TENTHS} // 10) || '.' || ({_TENTHS} % 10) || '%' || CASE WHEN c <> '' THEN ' [' || substr(c, 1, length(c) - 2) || ']' ELSE '' END || coalesce(' ' || subs, '') AS line, substr(x, 1, 6) AS preview FROM k LEFT JOIN ss USING (utt)""")
+_DEMO = f"""ss AS (SELECT utt, string_agg(exp || '→' || act, ', ' ORDER BY step DESC) AS subs FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY step DESC) AS k FROM sb) q WHERE k <= 6 GROUP BY utt),
+k AS (SELECT *, {_KO} AS c FROM er),
+dl AS (SELECT utt, edit_distance || ' ' || rule_hits || ' ' || ({_TENTHS} // 10) || '.' || ({_TENTHS} % 10) || '%' || CASE WHEN c <> '' THEN ' [' || substr(c, 1, length(c) - 2) || ']' ELSE '' END || coalesce(' ' || subs, '') AS line, x FROM k LEFT JOIN ss USING (utt))"""
+
+
+@query("ali_demo", f"{ROWS}, {_DEMO} SELECT utt, line, substr(x, 1, 6) AS preview FROM dl")
 def ali_demo(spark, sf):
     return rows(spark, sf).select("utt", r.demo_line().alias("line"), r.preview(F.col("x"), 6).alias("preview"))
 
 
+_PCT = lambda v: f"(round_even(1000 * ({v}), 0)::BIGINT // 10) || '.' || (round_even(1000 * ({v}), 0)::BIGINT % 10) || '%'"
+_FIX = lambda v: f"(round_even(100 * ({v}), 0)::BIGINT // 100) || '.' || lpad((round_even(100 * ({v}), 0)::BIGINT % 100)::VARCHAR, 2, '0')"
+_STR = lambda v: f"({v})::VARCHAR"
+
+
+def _cells(*cells: str) -> str:
+    return "'| ' || " + " || ' | ' || ".join(cells) + " || ' |'"
+
+
+def _heads(*names: str) -> str:
+    return f"'| {' | '.join(names)} |', '|{'---|' * len(names)}'"
+
+
+_MEASURES = [("utterances", "n_samples", _STR), ("M1 raw outputs", "m1_rate", _PCT), ("M2 edits", "m2_mean", _FIX), ("M3 rule hits", "m3_hits_mean", _FIX), ("M3 with a hit", "m3_hit_rate", _PCT), ("M3 ratio", "m3_ratio_mean", _PCT)]
+_KINDS = [_cells(f"'{k}'", _STR(f"f.total_{c}"), _PCT(f"f.prevalence_{c}"), _STR(f"c.total_{c}"), _PCT(f"c.prevalence_{c}")) for c, k in r.CATEGORY_NAMES.items()] + [_cells("'-'", _STR("f.total_other"), "'-'", _STR("c.total_other"), "'-'")]
+_OF = lambda v: f"{v} || '/' || n_utterances"
+_EACH = [_cells(f"'{k}'", _OF(f"utts_{c}"), _PCT(f"utts_{c} / n_utterances"), _STR(f"total_{c}")) for c, k in r.CATEGORY_NAMES.items()]
+_SHOWN = lambda t: f"'- X: ' || {t}.x, '- Y: ' || {t}.y, '- ' || dl.line"
+
+
+@query("ali_evaluation", f"""{ROWS}, {_PAIRS}, {_DEMO}, fc AS (SELECT 'full' AS subset, * FROM er UNION ALL SELECT 'coherent', * FROM er WHERE coherent), sr AS (SELECT subset, {_METRICS} FROM fc GROUP BY subset),
+cs AS (SELECT n_utts / n_utterances AS c FROM pr JOIN sp USING (speaker_id) WHERE rank = 1),
+m5 AS (SELECT count(*) AS n, round_even(avg(c), 4) AS mean, round_even(quantile_cont(c, 0.5), 4) AS median, count(*) FILTER (c >= 0.5) AS n_half FROM cs),
+best AS ({" UNION ALL ".join(f"(SELECT '{k}' AS name, utt, x, y FROM er WHERE coherent AND {c} > 0 ORDER BY {c} DESC, utt LIMIT 1)" for c, k in r.CATEGORY_NAMES.items())}),
+most AS (SELECT utt, x, y FROM er WHERE coherent ORDER BY is_raw DESC, edit_distance DESC, utt LIMIT 5),
+lines AS (SELECT 0 AS section, unnest(['# Evaluation', '- utterances: ' || f.n_samples, '- coherent: ' || c.n_samples || ' (' || {_PCT("c.n_samples / f.n_samples")} || ')']) AS line FROM sr f, sr c WHERE f.subset = 'full' AND c.subset = 'coherent'
+  UNION ALL SELECT 1, unnest(['## M1 to M3', {_heads("measure", "all", "coherent")}, {", ".join(_cells(f"'{n}'", f("f." + v), f("c." + v)) for n, v, f in _MEASURES)}]) FROM sr f, sr c WHERE f.subset = 'full' AND c.subset = 'coherent'
+  UNION ALL SELECT 2, unnest(['## M4', {_heads("category", "hits", "utterances", "coherent hits", "coherent utterances")}, {", ".join(_KINDS)}]) FROM sr f, sr c WHERE f.subset = 'full' AND c.subset = 'coherent'
+  UNION ALL SELECT 3, unnest(['## M5', {_heads("of speakers", "value")}, {_cells("'speakers'", _STR("n"))}, {_cells("'mean'", _PCT("mean"))}, {_cells("'median'", _PCT("median"))}, {_cells("'half and more'", _STR("n_half"))}]) FROM m5
+  UNION ALL SELECT 4, unnest(['### ' || speaker_id || ' (' || n_utterances || ')', '- weakest: ' || {_WEAK}, {_heads("category", "utterances", "share", "hits")}, {", ".join(_EACH)}, {_heads("rank", "pair", "utterances", "share", "times")}]) FROM sp
+  UNION ALL SELECT 4, {_cells(_STR("rank"), "exp || '→' || act", _OF("n_utts"), _PCT("n_utts / n_utterances"), _STR("n"))} FROM pr JOIN sp USING (speaker_id) WHERE rank <= 5
+  UNION ALL SELECT 5, unnest(['### ' || name, {_SHOWN('best')}]) FROM best JOIN dl USING (utt)
+  UNION ALL SELECT 6, unnest(['### ' || utt, {_SHOWN('most')}]) FROM most JOIN dl USING (utt))
+SELECT line, count(*) AS n FROM lines GROUP BY line UNION ALL SELECT 'results', count(*) FROM er UNION ALL SELECT 'edits', sum(edit_distance)::BIGINT FROM er UNION ALL SELECT 'profiles', count(*) FROM sp
+UNION ALL SELECT 'coherent', n_samples FROM sr WHERE subset = 'coherent'""")
+def ali_evaluation(spark, sf):
+    """SNK4, SNK5, SRC6: an evaluation written as rows, metrics, profiles and a report, all read back."""
+    folder = new_folder(spark, "evaluation")
+    write_evaluation(rows(spark, sf), folder)
+    results = spark.read.schema("edit_distance long").json(f"{folder}/results")
+    n = F.count("*").alias("n")
+    parts = [
+        spark.read.text(f"{folder}/report").groupBy(F.col("value").alias("line")).agg(n),
+        results.agg(n).select(F.lit("results").alias("line"), "n"),
+        results.agg(F.sum("edit_distance").alias("n")).select(F.lit("edits").alias("line"), "n"),
+        read_evaluation(spark, folder, "profiles").agg(n).select(F.lit("profiles").alias("line"), "n"),
+        read_evaluation(spark, folder, "metrics").select(F.lit("coherent").alias("line"), F.col("metrics_coherent.n_samples").alias("n")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _PLACE = f"{NAMES}, q AS (SELECT utt, unnest(range(1, least(length(x), length(y)) + 1)) AS pos, x, y FROM nm), w AS (SELECT utt, pos - 1 AS pos, substr(x, pos, 1) AS e, substr(y, pos, 1) AS h FROM q WHERE substr(x, pos, 1) <> substr(y, pos, 1)), z AS (SELECT *, {sql_jamo('[unicode(e)]')} AS je, {sql_jamo('[unicode(h)]')} AS jh FROM w)"
 _CLASS = "CASE {c} " + " ".join(f"WHEN '{k}' THEN '({v})'" for k, v in p.SOUND_CLASS.items()) + " ELSE '' END"
 
