@@ -2,9 +2,10 @@
 
 Equal vectors are one point. Points are dealt to shards, each shard builds a graph, and every
 shard is asked for every block of points: beams widen until all they hold are hits no longer, and
-until an audit of all shards against brute force finds no less than the recall asked for. The
-audit counts no point's hit on itself, averages over points that have other hits, and draws until
-it has tested enough of them. Cosines are verified in double precision, and a task returns counts
+until two audits find no less than the recall asked for. One asks every shard with queries planted at
+cosines from the threshold to 1 around points of its own, so that there is something to find however few
+links a table has. The other holds drawn points against brute force in all shards; it counts no
+point's hit on itself, averages over points that have other hits, and draws more while it has tested few. Cosines are verified in double precision, and a task returns counts
 and a spanning forest of its links, so that a group of thousands of copies does not become millions
 of pairs.
 
@@ -28,10 +29,11 @@ from ._components import components
 #: Points of a shard at most, shards at least, points of a block that asks.
 SHARD_POINTS, LEAST_SHARDS, ASK = 100_000, 4, 2048
 DEGREE, BUILD_BEAM, FIRST_BEAM, RECALL = 16, 48, 24, 0.99
-#: Points that an audit draws at first, and points with hits besides themselves that it must test:
-#: it draws four times as many until it has, or has drawn all. Where MOST_AUDIT points hold too few,
-#: recall cannot be told, and every query looks at every point.
-AUDIT, TESTED, MOST_AUDIT = 1024, 256, 65_536
+#: Points that the audit against brute force draws at first, and points with hits besides themselves that
+#: it wants to test: it draws four times as many until it has, has drawn all, or has drawn MOST_AUDIT.
+AUDIT, TESTED, MOST_AUDIT = 1024, 256, 16_384
+#: Queries planted in all shards together (one in each at least).
+PLANTED = 4096
 #: A beam wider than this share of a shard costs more than looking at every point, which is exact.
 WIDEST = 1 / 16
 EVERY = 2**30  # a beam that no shard allows
@@ -263,9 +265,24 @@ class Graph:
             found[k] = len(verified(k, hits))
         return true, found
 
+    def planted(self, threshold: float, beam: int, count: int) -> tuple[int, int]:
+        """(queries planted, how many of them find the point they were planted by). The cosines between a query
+        and its point are spread evenly from the threshold to 1, its direction is any."""
+        rng = np.random.default_rng(5)
+        own = rng.permutation(len(self.vectors))[:count]
+        base = _unit(self.vectors[own].astype(np.float64))
+        away = rng.normal(size=base.shape)
+        away -= np.einsum("qd,qd->q", away, base)[:, None] * base
+        size = np.sqrt((away * away).sum(axis=1, keepdims=True))
+        cosine = np.linspace(1, threshold, len(own) + 1)[:-1, None]
+        # in one dimension there is nothing to turn to
+        queries = np.where(size > 1e-9, cosine * base + np.sqrt(1 - cosine * cosine) * away / np.maximum(size, 1e-9), base)
+        hits = self.within(queries.astype(np.float32), threshold, beam)
+        return len(own), sum(int((h == o).any()) for h, o in zip(hits, own))
+
     def audited_beam(self, threshold: float, recall: float = RECALL, audit: int = AUDIT, tested: int = TESTED) -> tuple[int, float]:
-        """The audit of a graph asked by its own points alone: (the first beam, of ever wider ones,
-        that finds that share of a point's hits on others, on average; the share it found)."""
+        """The audits of a graph asked by its own points alone: (the first beam, of ever wider ones,
+        that finds that share of a point's hits on others, on average, and of planted queries; the first share)."""
         n = len(self.vectors)
         order = np.random.default_rng(3).permutation(n)
         beam = FIRST_BEAM
@@ -276,9 +293,11 @@ class Graph:
             share = float((found[some] / true[some]).mean()) if some.any() else 1.0
             if beam > max(FIRST_BEAM, n * WIDEST):  # every point was looked at
                 return beam, share
-            if some.sum() < tested and audit < n:
-                audit, beam = (audit * 4, beam) if audit < MOST_AUDIT else (audit, EVERY)
-            elif share >= recall:
+            if some.sum() < tested and audit < min(n, MOST_AUDIT):
+                audit *= 4
+                continue
+            n_planted, hit = self.planted(threshold, beam, PLANTED)
+            if share >= recall and hit >= recall * n_planted:
                 return beam, share
             else:
                 beam *= 2
@@ -331,12 +350,14 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", shard_points: int = SHARD_POINTS) -> DataFrame:
-    """(id, n_links, component_id, kept, recall, recall_tested) for every row of vectors.
+    """(id, n_links, component_id, kept, recall, recall_tested, planted_recall, beam) for every row of vectors.
 
     Rows are linked when their cosine, in double precision, is at least the threshold and they
-    are found: an audit of all shards against brute force decides how wide beams are. recall is the
-    share of a point's links that it found, on average over points that have any (the least of
-    vectors of any length), and recall_tested the number of such points that it asked with. Null and zero vectors, and those with
+    are found: audits of all shards decide how wide beams are. recall is the
+    share of a point's links that brute force found and the search too, on average over points that have
+    any (the least of vectors of any length; null if none was tested), recall_tested the number of such
+    points that it asked with, planted_recall the share of planted queries that found their point
+    (null without points), beam the widest first beam. Null and zero vectors, and those with
     null or non-finite components, link with nothing, as do vectors of different lengths.
     component_id is the least id (null ids count as none) that links lead to; kept says whether it
     is the row's own, and is false for null ids. Repeated rows are linked. Extra columns are
@@ -361,7 +382,9 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
         graph = Graph.build(_unit(raw).astype(np.float32))
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": group.column("shard")[:1], "graph": pa.array([graph.to_bytes()], pa.binary()), "members": pa.array([pack(group.column("point").to_numpy(), group.column("copies").to_numpy(), raw.ravel())], pa.binary())})
 
-    graphs = scratch.store(dealt.select("dim", "shard", "point", "copies", "raw").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary, members binary"))
+    n_tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, 20_000))
+    # that many partitions whatever their bytes: a graph's work is not told by them
+    graphs = scratch.store(dealt.select("dim", "shard", "point", "copies", "raw").repartition(n_tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary, members binary"))
 
     def block(group: pa.Table) -> pa.Table:
         return pa.table({"dim": group.column("dim")[:1], "ask": group.column("ask")[:1], "shards": group.column("shards")[:1], "queries": pa.array([pack(group.column("point").to_numpy(), group.column("copies").to_numpy(), _raw(group.column("raw"), group.column("dim")[0].as_py()).ravel())], pa.binary())})
@@ -401,10 +424,18 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
                 some = true > 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), dim, dtype=np.int32)), pa.array(q_point[some]), pa.array(true[some]), pa.array(found[some])], ["dim", "point", "true", "found"])
 
-    n_tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, 20_000))
     # one row for each length of vectors there is
     n_points = {r["dim"]: r["n"] for r in sizes.collect()}
-    draws, beams, measured = dict.fromkeys(n_points, AUDIT), dict.fromkeys(n_points, FIRST_BEAM), {}
+    draws, beams = dict.fromkeys(n_points, AUDIT), dict.fromkeys(n_points, FIRST_BEAM)
+    measured: dict[int, tuple[float | None, int, float]] = {}
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, g in zip(batch.column("dim").to_pylist(), batch.column("graph")):
+                graph = Graph.from_bytes(g.as_py(), d)
+                count = min(len(graph.vectors), -(-PLANTED * len(graph.vectors) // n_points[d]))
+                yield pa.RecordBatch.from_pydict({"dim": pa.array([d], pa.int32()), "planted": [count], "hit": [graph.planted(threshold, beams[d], count)[1]]})
+
     while open_ := [d for d in n_points if d not in measured]:
         # a sample by hash: about as many points as are to be drawn, from all shards
         place, share = F.pmod(F.xxhash64("point", F.lit("audit")), F.lit(2**31)), F.broadcast(spark.createDataFrame([(d, draws[d] / n_points[d] * 2**31, -(-draws[d] // ASK)) for d in open_], "dim int, upto double, blocks int"))
@@ -412,17 +443,16 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
         judged = scratch.store(met(drawn, {d: beams[d] for d in open_}).mapInArrow(audit, "dim int, point long, true long, found long"), batch_rows=1)
         each = judged.groupBy("dim", "point").agg((F.sum("found") / F.sum("true")).alias("share"))
         seen = {r["dim"]: (r["share"], r["tested"]) for r in each.groupBy("dim").agg(F.avg("share").alias("share"), F.count("*").alias("tested")).collect()}
+        found_planted = graphs.where(F.col("dim").isin(open_)).select("dim", "graph").mapInArrow(plant, "dim int, planted long, hit long").groupBy("dim").agg((F.sum("hit") / F.sum("planted")).alias("share"))
+        planted = {r["dim"]: r["share"] for r in found_planted.collect()}
         for d in open_:
-            found, tested = seen.get(d, (1.0, 0))
-            if tested < TESTED and draws[d] < n_points[d]:
-                if draws[d] < MOST_AUDIT:
-                    draws[d] *= 4
-                else:
-                    beams[d], measured[d] = EVERY, (1.0, tested)
-            elif found >= RECALL or beams[d] == EVERY:
-                measured[d] = (found, tested)
-            else:
+            found, tested = seen.get(d, (None, 0))
+            if min(planted[d], 1.0 if found is None else found) < RECALL and beams[d] < EVERY:
                 beams[d] = beams[d] * 2 if beams[d] * 2 <= shard_points * WIDEST else EVERY
+            elif tested < TESTED and draws[d] < min(n_points[d], MOST_AUDIT):
+                draws[d] *= 4
+            else:
+                measured[d] = (found, tested, planted[d])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(a, b, n):
@@ -464,8 +494,9 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
     least = scratch.store(member.groupBy("root").agg(F.min("vec_id").alias("component_id")))
     alone = rows.where("raw IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = member.join(least, "root").select("vec_id", "n_links", "component_id").unionByName(alone)
-    recall, tested = min((r for r, _ in measured.values()), default=1.0), sum(n for _, n in measured.values())
-    return out.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(float(recall)).alias("recall"), F.lit(tested).cast("long").alias("recall_tested"))
+    recall, tested = min((r for r, _, _ in measured.values() if r is not None), default=None), sum(n for _, n, _ in measured.values())
+    told = [F.lit(recall).cast("double").alias("recall"), F.lit(tested).cast("long").alias("recall_tested"), F.lit(min((p for _, _, p in measured.values()), default=None)).cast("double").alias("planted_recall"), F.lit(max(beams.values(), default=None)).cast("int").alias("beam")]
+    return out.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), *told)
 
 
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -495,6 +495,28 @@ def test_audit_tells_what_it_tested(spark, tmp_path):
     assert {r["recall"] for r in got} != {0.0} and sum(r["n_links"] > 0 for r in got) >= 0.99 * linked
 
 
+def test_few_links_keep_to_beams(spark, tmp_path, monkeypatch):
+    """Without a link to test, planted queries tell that beams find what there is, and no recall is told."""
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(6000, 32))
+    path = str(tmp_path / "e")
+    spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(path)
+    monkeypatch.setattr(vector_dedup, "AUDIT", 64)
+    monkeypatch.setattr(vector_dedup, "MOST_AUDIT", 256)
+    got = vector_dedup.vector_groups(spark.read.parquet(path)).agg(F.count("*").alias("n"), F.sum("n_links").alias("links"), F.max("recall").alias("r"), F.max("recall_tested").alias("t"), F.min("planted_recall").alias("p"), F.max("beam").alias("b")).first()
+    assert (got["n"], got["links"], got["r"], got["t"]) == (6000, 0, None, 0)
+    assert got["p"] >= vector_dedup.RECALL and got["b"] <= 6000 / vector_dedup.LEAST_SHARDS * vector_dedup.WIDEST
+
+
+def test_planted_queries_know_their_points():
+    v = vector_dedup._unit(np.random.default_rng(14).normal(size=(500, 24))).astype(np.float32)
+    g = vector_dedup.Graph.build(v)
+    assert g.planted(0.9, vector_dedup.EVERY, 200) == (200, 200)
+    g.within = lambda q, t, beam: [np.flatnonzero(v @ x >= t)[:0] for x in q]
+    assert g.planted(0.9, 24, 10_000) == (500, 0)
+    assert vector_dedup.Graph.build(np.ones((3, 1), dtype=np.float32)).planted(0.9, 24, 5) == (3, 3)
+
+
 # 6 substrings
 
 @pytest.mark.parametrize("window,least,size", [(35, 16, None), (35, 4, 3000), (5, 16, None)])
