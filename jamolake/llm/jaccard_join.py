@@ -11,9 +11,10 @@ their first shingles in common (in an order of all shingles with common ones las
 sets share one of their first few), which loses no pair.
 
 Texts with equal sets are one point. Small groups of texts with the same least shingle hash are
-linked first: every pair in such a group is verified unless it is connected already, so a group of
-near copies comes out whole. The trees then look only at pairs not yet connected, so a group of
-thousands of near copies does not become millions of pairs.
+linked first, by a tree of their own: every pair that it names is verified unless it is connected already,
+so a group of near copies comes out whole. The blocks' trees then look only at pairs not yet connected, so
+a group of thousands of near copies does not become millions of pairs. A block of more than a tile is
+cut into pages; those of the component with most of its texts meet the other texts' pages only.
 """
 
 from __future__ import annotations
@@ -146,21 +147,24 @@ def similar(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
 
 
 def group_links(sets: list[np.ndarray], per_cent: int) -> list[tuple[int, int]]:
-    """Links (i, j) that connect what similar pairs of these sets connect: a spanning forest. Every
-    pair is looked at, but for those connected by then and those whose group counts cannot overlap
-    enough."""
+    """Links (i, j) that connect what similar pairs of these sets connect: a spanning forest. An R-tree over the
+    sets' points names the pairs that may be similar; of these, every one is verified but those connected by
+    then and those whose finer counts cannot overlap enough. For each set the likeliest pairs go first."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    points = np.stack([np.bincount((s % np.uint64(FINE_GROUPS)).astype(np.int64), minlength=FINE_GROUPS) for s in sets]).astype(np.int32)
+    fine = np.stack([np.bincount((s % np.uint64(FINE_GROUPS)).astype(np.int64), minlength=FINE_GROUPS) for s in sets]).astype(np.int32)
+    i, j = tree_pairs(fine.reshape(len(sets), -1, GROUPS).sum(axis=1), sizes, np.arange(len(sets)), per_cent)
+    i, j = np.maximum(i, j), np.minimum(i, j)
+    bound = np.concatenate([np.minimum(fine[i[at : at + 16_384]], fine[j[at : at + 16_384]]).sum(axis=1) for at in range(0, len(i), 16_384)] or [i])
+    ok = bound >= np.maximum(least_overlap(sizes[i] + sizes[j], per_cent), 1)
+    i, j, bound = i[ok], j[ok], bound[ok]
+    order = np.lexsort((-bound, i))
     tree = np.arange(len(sets))  # of each set, the least of those it is connected with
     out = []
-    for i in range(1, len(sets)):
-        bound = np.minimum(points[:i], points[i]).sum(axis=1)
-        j = np.flatnonzero(bound >= np.maximum(least_overlap(sizes[:i] + sizes[i], per_cent), 1))
-        for k in j[np.argsort(-bound[j], kind="stable")].tolist():
-            if tree[k] != tree[i] and similar(sets[i], sets[k], per_cent):
-                out.append((i, k))
-                low, high = sorted((tree[i], tree[k]))
-                tree[tree == high] = low
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        if tree[a] != tree[b] and similar(sets[a], sets[b], per_cent):
+            out.append((a, b))
+            low, high = sorted((tree[a], tree[b]))
+            tree[tree == high] = low
     return out
 
 
@@ -320,11 +324,22 @@ def jaccard_groups(docs: DataFrame, words: int = 5, per_cent: int = 80, row_id:
     # blocks of texts that share a first shingle and are not all connected yet
     known = reps.join(roots, F.col("rid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "rid"))
     at = known.select("rid", "root", F.explode("firsts").alias("shingle"))
-    blocks = scratch.store(at.groupBy("shingle").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "m", F.ceil(F.col("m") / TILE).cast("int").alias("pages")))
-    n_rows = blocks.agg(F.coalesce(F.sum(F.col("m") * F.col("pages")), F.lit(0))).first()[0]
+    blocks = scratch.store(at.groupBy("shingle").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "m"))
+    # of blocks beyond a tile, the component with most texts: they are connected, so they need not meet
+    large = blocks.where(F.col("m") > TILE)
+    per_root = at.join(large.select("shingle"), "shingle", "left_semi").groupBy("shingle", "root").agg(F.count("*").alias("most"))
+    main = per_root.groupBy("shingle").agg(F.max_by("root", F.struct("most", "root")).alias("main"), F.max("most").alias("most"))
+    pages = lambda n: F.ceil(n / TILE).cast("int")
+    mains = large.join(main, "shingle").select("shingle", "m", "main", "most", pages(F.col("m") - F.col("most")).alias("pages"), pages(F.col("most")).alias("main_pages"))
+    whole = blocks.where(F.col("m") <= TILE).select("shingle", "m", F.lit(None).cast("long").alias("main"), F.lit(0).cast("long").alias("most"), F.lit(1).alias("pages"), F.lit(0).alias("main_pages"))
+    cut = scratch.store(whole.unionByName(mains)) if large.limit(1).count() else whole
+    each = (F.col("m") - F.col("most")) * (F.col("pages") + F.col("main_pages")) + F.col("most") * F.col("pages")
+    n_rows = cut.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
     calls = int(-(-n_rows // CALL_ROWS)) or 1
-    paged = at.join(blocks, "shingle").withColumn("page", F.pmod(F.xxhash64("rid"), F.col("pages")).cast("int"))
-    tiles = paged.select("rid", "shingle", "page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("other")).select("rid", "shingle", "page", F.least("page", "other").alias("x"), F.greatest("page", "other").alias("y"))
+    is_main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+    page = F.when(is_main, F.col("pages") + F.pmod(F.xxhash64("rid"), F.greatest("main_pages", F.lit(1)))).otherwise(F.pmod(F.xxhash64("rid"), F.col("pages"))).cast("int")
+    paged = at.join(cut, "shingle").withColumn("page", page).withColumn("upto", F.when(is_main, F.col("pages")).otherwise(F.col("pages") + F.col("main_pages")))
+    tiles = paged.select("rid", "shingle", "page", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)).alias("other")).select("rid", "shingle", "page", F.least("page", "other").alias("x"), F.greatest("page", "other").alias("y"))
     met = tiles.join(known.select("rid", "n", "root", "counts", F.slice("firsts", 1, EARLIEST).alias("earliest")), "rid").withColumn("call", F.pmod(F.xxhash64("shingle", "x", "y"), F.lit(calls))).groupBy("call").applyInArrow(_tree_join(per_cent), "a long, b long")
     pairs = scratch.store(met.distinct())
 

@@ -667,6 +667,32 @@ def test_candidates_grow_with_the_input(spark, tmp_path, monkeypatch):
     assert rows[0] >= 60 and rows[1] <= 8 * rows[0]
 
 
+def test_pages_of_large_blocks(spark, tmp_path, monkeypatch):
+    """Near copies in many pages, and texts that share half with them: what is connected does not meet again, so
+    rows grow with the input, and no link is lost."""
+    kept, store, grown = [], common.Scratch.store, []
+    monkeypatch.setattr(common.Scratch, "store", lambda self, df, *a, **k: kept.append(store(self, df, *a, **k)) or kept[-1])
+    monkeypatch.setattr(common.Scratch, "drop", lambda self, *dfs: None)
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    rnd = random.Random(7)
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(3000)]
+    base = rnd.choices(vocabulary, k=120)
+    for size in (40, 200):
+        texts = [" ".join(w if rnd.random() > 0.004 else rnd.choice(vocabulary) for w in base) for _ in range(size)]
+        texts += [" ".join([*base[:60], *rnd.choices(vocabulary, k=60)]) for _ in range(3)] + texts[:5]
+        path = f"{tmp_path}/{size}"
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+        kept.clear()
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(spark.read.parquet(path), 4, 85).collect()}
+        sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+        links = {i: {j for j in range(len(sets)) if i != j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])} for i in range(len(sets))}
+        assert got == dict(enumerate(reach(links, range(len(sets))).values()))
+        (cut,) = [d for d in kept if "main_pages" in d.columns]
+        grown += cut.where("most > 0").selectExpr(f"{size} AS size", "((m - most) * (pages + main_pages) + most * pages) / m AS times").collect()
+    # of a block's texts, those of the main component stay one row each, whatever their number
+    assert {r["size"] for r in grown} == {40, 200} and all(r["times"] <= 2 for r in grown)
+
+
 def test_tree_pairs_lose_nothing():
     rng = np.random.default_rng(8)
     base = rng.poisson(8, size=(30, jaccard_join.GROUPS))
