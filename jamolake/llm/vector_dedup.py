@@ -38,6 +38,14 @@ PLANTED = 4096
 WIDEST = 1 / 16
 EVERY = 2**30  # a beam that no shard allows
 NEAR = 1e-5  # single precision finds candidates this far below the threshold
+#: Numbers of one array that are worked on at once: larger steps are cut into rows that need no more.
+ROOM = 1 << 24
+
+
+def _slices(n: int, each: int) -> Iterator[slice]:
+    """Rows 0 to n in slices, with `each` numbers a row."""
+    step = max(1, ROOM // max(1, each))
+    return (slice(a, a + step) for a in range(0, n, step))
 
 
 def _search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int, threshold: float | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +178,8 @@ class Graph:
             new = np.arange(done, to)
             entries = rng.integers(0, done, size=32)
             best = (v[new] @ v[entries].T).argmax(axis=1)
-            found, s = _search(v[:done], links[:done], v[new], entries[best], beam)
+            parts = [_search(v[:done], links[:done], v[new[at]], entries[best[at]], beam) for at in _slices(len(new), done // 4)]
+            found, s = (np.concatenate(p) for p in zip(*parts))
             own = v[new] @ v[new].T
             np.fill_diagonal(own, -np.inf)
             k = min(beam // 2, len(new))
@@ -194,21 +203,25 @@ class Graph:
             inside = place < 4 * degree
             more = np.full((len(touched), min(int(times.max()), 4 * degree)), -1, dtype=np.int64)
             more[np.repeat(np.arange(len(touched)), times)[inside], place[inside]] = src[inside]
-            cand = np.concatenate([links[touched], more], axis=1)
-            sim = np.einsum("qkd,qd->qk", v[np.maximum(cand, 0)], v[touched])
-            # a neighbour that is there twice counts once
-            by = np.sort(cand, axis=1)
-            at = np.argsort(cand, axis=1, kind="stable")
-            twice = np.zeros_like(cand, dtype=bool)
-            np.put_along_axis(twice, at[:, 1:], by[:, 1:] == by[:, :-1], axis=1)
-            sim = np.where((cand >= 0) & ~twice, sim, -np.inf)
-            best = np.argsort(-sim, axis=1, kind="stable")
-            cand, sim = np.take_along_axis(cand, best, axis=1), np.take_along_axis(sim, best, axis=1)
-            cand = np.where(np.isfinite(sim), cand, -1)
-            links[touched] = _spread(v, touched, cand, sim, degree)
+            for at in _slices(len(touched), (degree + more.shape[1]) * v.shape[1]):
+                links[touched[at]] = Graph._relinked(v, touched[at], np.concatenate([links[touched[at]], more[at]], axis=1), degree)
             done = to
         return links
 
+    @staticmethod
+    def _relinked(v: np.ndarray, touched: np.ndarray, cand: np.ndarray, degree: int) -> np.ndarray:
+        """The neighbours that nodes keep of those they have and those that chose them."""
+        sim = np.einsum("qkd,qd->qk", v[np.maximum(cand, 0)], v[touched])
+        # a neighbour that is there twice counts once
+        by = np.sort(cand, axis=1)
+        at = np.argsort(cand, axis=1, kind="stable")
+        twice = np.zeros_like(cand, dtype=bool)
+        np.put_along_axis(twice, at[:, 1:], by[:, 1:] == by[:, :-1], axis=1)
+        sim = np.where((cand >= 0) & ~twice, sim, -np.inf)
+        best = np.argsort(-sim, axis=1, kind="stable")
+        cand, sim = np.take_along_axis(cand, best, axis=1), np.take_along_axis(sim, best, axis=1)
+        return _spread(v, touched, np.where(np.isfinite(sim), cand, -1), sim, degree)
+
     def entry(self, queries: np.ndarray) -> np.ndarray:
         """The place in the lowest layer from which each query starts, by descent."""
         at = None
@@ -261,8 +274,9 @@ class Graph:
         true = np.array([len(verified(k, hits)) for k, hits in enumerate(self.scan(queries, threshold))], dtype=np.int64)
         found = np.zeros_like(true)
         some = np.flatnonzero(true)
-        for k, hits in zip(some, self.within(queries[some], threshold, beam)):
-            found[k] = len(verified(k, hits))
+        for at in _slices(len(some), len(self.vectors)):
+            for k, hits in zip(some[at], self.within(queries[some[at]], threshold, beam)):
+                found[k] = len(verified(k, hits))
         return true, found
 
     def planted(self, threshold: float, beam: int, count: int) -> tuple[int, int]:
@@ -277,8 +291,10 @@ class Graph:
         cosine = np.linspace(1, threshold, len(own) + 1)[:-1, None]
         # in one dimension there is nothing to turn to
         queries = np.where(size > 1e-9, cosine * base + np.sqrt(1 - cosine * cosine) * away / np.maximum(size, 1e-9), base)
-        hits = self.within(queries.astype(np.float32), threshold, beam)
-        return len(own), sum(int((h == o).any()) for h, o in zip(hits, own))
+        found = 0
+        for at in _slices(len(own), len(self.vectors)):
+            found += sum(int((h == o).any()) for h, o in zip(self.within(queries[at].astype(np.float32), threshold, beam), own[at]))
+        return len(own), found
 
     def audited_beam(self, threshold: float, recall: float = RECALL, audit: int = AUDIT, tested: int = TESTED) -> tuple[int, float]:
         """The audits of a graph asked by its own points alone: (the first beam, of ever wider ones,
@@ -331,9 +347,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("vec_id"), pa.array(out, pa.binary())], ["rid", "vec_id", "raw"])
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which links are needed to keep connected what they connect."""
-    parent: dict[int, int] = {}
+def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> np.ndarray:
+    """Which links are needed to keep connected what they connect, besides those before that parent knows."""
 
     def root(x):
         while (p := parent.setdefault(x, x)) != x:
@@ -443,7 +458,8 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
         judged = scratch.store(met(drawn, {d: beams[d] for d in open_}).mapInArrow(audit, "dim int, point long, true long, found long"), batch_rows=1)
         each = judged.groupBy("dim", "point").agg((F.sum("found") / F.sum("true")).alias("share"))
         seen = {r["dim"]: (r["share"], r["tested"]) for r in each.groupBy("dim").agg(F.avg("share").alias("share"), F.count("*").alias("tested")).collect()}
-        found_planted = graphs.where(F.col("dim").isin(open_)).select("dim", "graph").mapInArrow(plant, "dim int, planted long, hit long").groupBy("dim").agg((F.sum("hit") / F.sum("planted")).alias("share"))
+        # stored, so that a worker gets one graph at once
+        found_planted = scratch.store(graphs.where(F.col("dim").isin(open_)).select("dim", "graph").mapInArrow(plant, "dim int, planted long, hit long"), batch_rows=1).groupBy("dim").agg((F.sum("hit") / F.sum("planted")).alias("share"))
         planted = {r["dim"]: r["share"] for r in found_planted.collect()}
         for d in open_:
             found, tested = seen.get(d, (None, 0))
@@ -471,16 +487,20 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
                 continue
             beam, q_point, q_copies, q_unit = ask
             n_links = np.zeros(len(q_point), dtype=np.int64)
-            a, b = [q_point[:0]], [q_point[:0]]
-            for k, hits in enumerate(graph.within(q_unit.astype(np.float32), threshold, beam)):
-                hits = hits[(m_point[hits] > q_point[k]) & (m_unit[hits] @ q_unit[k] >= threshold)]
-                n_links[k] = m_copies[hits].sum()
-                of_members[1][hits] += q_copies[k]
-                a.append(np.full(len(hits), q_point[k]))
-                b.append(m_point[hits])
-            a, b = np.concatenate(a), np.concatenate(b)
-            keep = _forest(a, b)
-            yield rows(a[keep], b[keep], np.zeros(int(keep.sum()), dtype=np.int64))
+            parent: dict[int, int] = {}
+            # a query may hit a whole shard: no more queries at once than would then fill the room
+            for some in _slices(len(q_point), len(m_point)):
+                a, b = [q_point[:0]], [q_point[:0]]
+                for k, hits in enumerate(graph.within(q_unit[some].astype(np.float32), threshold, beam), some.start):
+                    hits = hits[m_point[hits] > q_point[k]]
+                    hits = hits[m_unit[hits] @ q_unit[k] >= threshold]
+                    n_links[k] = m_copies[hits].sum()
+                    of_members[1][hits] += q_copies[k]
+                    a.append(np.full(len(hits), q_point[k]))
+                    b.append(m_point[hits])
+                a, b = np.concatenate(a), np.concatenate(b)
+                keep = _forest(a, b, parent)
+                yield rows(a[keep], b[keep], np.zeros(int(keep.sum()), dtype=np.int64))
             yield counted(q_point, n_links)
         if of_members:
             yield counted(*of_members)
