@@ -418,7 +418,7 @@ def cer_alignment(alignment: Column) -> Column:
 
 def cer_plain(reference: Column, hypothesis: Column) -> Column:
     """Variant B: edits over reference characters, spaces counted; null for an empty reference."""
-    return F.levenshtein(hypothesis, reference) / F.nullif(F.length(reference), F.lit(0))
+    return edit_distance(reference, hypothesis) / F.nullif(F.length(reference), F.lit(0))
 
 
 def cer_library(reference: Column, hypothesis: Column) -> Column:
@@ -436,10 +436,10 @@ def cer_any_space(reference: Column, hypothesis: Column) -> Column:
 def cer_squeezed(reference: Column, hypothesis: Column) -> Column:
     """Variant C: without spaces, over at least one character."""
     r, h = without_spaces(reference), without_spaces(hypothesis)
-    return F.levenshtein(r, h) / F.greatest(F.length(r), F.lit(1))
+    return edit_distance(r, h) / F.greatest(F.length(r), F.lit(1))
 
 
 def cer_scorer(reference: Column, hypothesis: Column) -> Column:
     """Variant D: without spaces, 0 for an empty reference, in per cent with one digit."""
     r, h = without_spaces(reference), without_spaces(hypothesis)
-    return F.when(F.length(r) > 0, F.bround(100 * F.levenshtein(r, h) / F.length(r), 1)).otherwise(0.0)
+    return F.when(F.length(r) > 0, F.bround(100 * edit_distance(r, h) / F.length(r), 1)).otherwise(0.0)
