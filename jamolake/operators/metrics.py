@@ -7,6 +7,11 @@ exp, act). utt is the order of appearance where ties are broken.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,21 +67,50 @@ def subset_report(rows: DataFrame) -> DataFrame:
     return corpus_metrics(twice, "subset").withColumn("share_of_all", F.bround(F.col("n_samples") / F.greatest(total, F.lit(1)), 4))
 
 
-def _entries() -> Column:
-    """Substitutions with their place, and whether a pair is there for the first time."""
-    pairs = F.transform("subs", lambda s: F.concat(s["exp"], s["act"]))
-    return F.transform("subs", lambda s, i: F.struct(s["exp"].alias("exp"), s["act"].alias("act"), i.alias("pos"), (F.array_position(pairs, F.concat(s["exp"], s["act"])) == i + 1).alias("new")))
-
-
-def _counted() -> list[Column]:
-    return [F.count("*").alias("n"), F.count_if("new").alias("n_utts"), F.min(F.struct("utt", "pos")).alias("first")]
+def _pairs(rows: DataFrame, *by: str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Per `by` and substitution what a batch of rows holds of it: occurrences, utterances, the first of
+    these with the place of it there, and the sums of some long columns over the occurrences. Counted in the
+    batch, so that what is shuffled is a row a pair and not one an occurrence."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            subs, flat = batch.column("subs"), batch.column("subs").flatten()
+            sizes = pc.list_value_length(subs).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keys, pair = [], np.zeros(len(row), dtype=np.int64)
+            for part in [*(batch.column(c).take(pa.array(row)) for c in by), pc.struct_field(flat, "exp"), pc.struct_field(flat, "act")]:
+                keys.append(part)
+                coded = part.dictionary_encode(null_encoding="encode")
+                pair = np.unique(pair * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            # in order of utterance, then place
+            order = np.lexsort((pos, pc.rank(batch.column("utt"), tiebreaker="dense").to_numpy()[row], pair))
+            start = np.flatnonzero(np.diff(pair[order], prepend=-1))
+            first = pa.array(order[start])
+            n_utts = np.bincount(np.unique(pair * len(sizes) + row) // len(sizes))
+            added = [np.add.reduceat(batch.column(c).to_numpy(zero_copy_only=False)[row[order]].astype(np.int64), start) for c in sums]
+            columns = [*(k.take(first) for k in keys), np.diff(start, append=len(order)), n_utts, batch.column("utt").take(pa.array(row[order[start]])), pos[order[start]].astype(np.int32), *added]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [*by, "exp", "act", "n", "n_utts", "utt", "pos", *sums])
+
+    schema = [*(f"{c} {kinds[c]}" for c in by), "exp string, act string, n long, n_utts long", f"utt {kinds['utt']}", "pos int", *(f"{c} long" for c in sums)]
+    return rows.select(*by, "utt", "subs", *sums).mapInArrow(run, ", ".join(schema))
+
+
+def _counted(pairs: DataFrame, *by: str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """The counts of batches summed up, with the first utterance and what orders pairs by their first place."""
+    whole = dict(pairs.dtypes)["utt"] in ("bigint", "int")
+    # one number where utterances are numbers, as a struct's minimum would have all rows sorted
+    first = F.col("utt").cast("decimal(20,0)") * 2**31 + F.col("pos") if whole else F.struct("utt", "pos")
+    return pairs.groupBy(*by, "exp", "act").agg(F.sum("n").alias("n"), F.sum("n_utts").alias("n_utts"), F.min("utt").alias("first_utt"), F.min(first).alias("first"), *[F.sum(c).alias(c) for c in sums])
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
     """Per speaker and substitution: occurrences, utterances that hold it, and where it came first.
     Summed before the shuffle, so a speaker with a third of all rows is counted in parts."""
-    each = rows.where("speaker_id <> ''").select("speaker_id", "utt", F.inline(_entries()))
-    return each.groupBy("speaker_id", "exp", "act").agg(*_counted())
+    return _counted(_pairs(rows.where("speaker_id <> ''"), "speaker_id"), "speaker_id")
 
 
 def top_pairs(counts: DataFrame, k: int) -> DataFrame:
@@ -88,15 +122,17 @@ def speakers(rows: DataFrame, min_utts: int = 3, k: int = 5) -> DataFrame:
     """Per speaker with enough utterances: counts by category, and the top substitutions (patterns;
     null if there are none). One pass over the rows: an entry without letters stands for the
     utterance itself. A speaker has as many pairs as there are of letters, so a window is small."""
-    own = F.struct(F.lit(None).cast("string").alias("exp"), F.lit(None).cast("string").alias("act"), F.lit(-1).alias("pos"), F.lit(True).alias("new"))
-    each = rows.where("speaker_id <> ''").select("speaker_id", "utt", *[F.col(f"counts.{c}").alias(c) for c in CATEGORIES], F.inline(F.concat(F.array(own), _entries())))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("exp"), F.lit(None).cast("string").alias("act")))
+    letters = F.transform("subs", lambda s: F.struct(s["exp"].alias("exp"), s["act"].alias("act")))
+    sums = tuple(f"{t}_{c}" for t in ("total", "utts") for c in CATEGORIES)
+    hits = [F.coalesce(F.col(f"counts.{c}"), F.lit(0)).cast("long").alias(f"total_{c}") for c in CATEGORIES] + [F.coalesce(F.col(f"counts.{c}") > 0, F.lit(False)).cast("long").alias(f"utts_{c}") for c in CATEGORIES]
+    each = rows.where("speaker_id <> ''").select("speaker_id", "utt", F.concat(own, F.coalesce(letters, F.array().cast("array<struct<exp:string,act:string>>"))).alias("subs"), *hits)
     mine = F.col("exp").isNull()
-    totals = [F.sum(F.when(mine, F.col(c)).otherwise(0)).alias(f"total_{c}") for c in CATEGORIES] + [F.count_if(mine & (F.col(c) > 0)).alias(f"utts_{c}") for c in CATEGORIES]
     order = W.partitionBy("speaker_id").orderBy(F.col("exp").isNotNull(), F.desc("n"), "first")
-    ranked = each.groupBy("speaker_id", "exp", "act").agg(*_counted(), *totals).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") <= k)
+    ranked = _counted(_pairs(each, "speaker_id", sums=sums), "speaker_id", sums=sums).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") <= k)
     of = lambda c: F.max(F.when(mine, F.col(c)))
     top = F.sort_array(F.collect_list(F.when(~mine, F.struct("rank", "exp", "act", "n", "n_utts"))))
-    out = ranked.groupBy("speaker_id").agg(of("n").alias("n_utterances"), of("first.utt").alias("first_utt"), *[of(f"{t}_{c}").alias(f"{t}_{c}") for t in ("total", "utts") for c in CATEGORIES], top.alias("patterns"))
+    out = ranked.groupBy("speaker_id").agg(of("n").alias("n_utterances"), of("first_utt").alias("first_utt"), *[of(c).alias(c) for c in sums], top.alias("patterns"))
     return out.where(F.col("n_utterances") >= min_utts).withColumn("patterns", F.when(F.size("patterns") > 0, F.col("patterns")))
 
 
@@ -126,8 +162,7 @@ def profiles(rows: DataFrame, min_utts: int = 3, k: int = 5) -> DataFrame:
 
 def top_substitutions(rows: DataFrame, k: int = 15) -> DataFrame:
     """The substitutions seen most often, the one that came first on ties."""
-    subs = rows.select("utt", F.posexplode("subs").alias("pos", "s")).groupBy("s.exp", "s.act").agg(F.count("*").alias("n"), F.min(F.struct("utt", "pos")).alias("first"))
-    return subs.orderBy(F.desc("n"), "first").limit(k).select("exp", "act", "n")
+    return _counted(_pairs(rows)).orderBy(F.desc("n"), "first").limit(k).select("exp", "act", "n")
 
 
 def high_disclosure(rows: DataFrame, k: int = 5) -> DataFrame:
@@ -135,6 +170,29 @@ def high_disclosure(rows: DataFrame, k: int = 5) -> DataFrame:
     return rows.where("coherent").orderBy(F.desc("is_raw"), F.desc("edit_distance"), "utt").limit(k)
 
 
+def both_ends(rows: DataFrame, k: int) -> DataFrame:
+    """(side, utt, cer): the k rows with the least error rate, the first of equal ones, and the k with the greatest,
+    the last of equal ones; rows without a rate come last on both sides. The rows are made once: of each task's
+    only its own ends go on."""
+    kinds = dict(rows.dtypes)
+    orders = {"best": [("cer", "ascending"), ("utt", "ascending")], "worst": [("cer", "descending"), ("utt", "descending")]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, pa.Table] = {}
+        for batch in batches:
+            for side, order in orders.items():
+                t = pa.Table.from_batches([batch.select(["utt", "cer"])])
+                t = pa.concat_tables([kept[side], t]) if side in kept else t
+                kept[side] = t.take(pc.sort_indices(t, sort_keys=order, null_placement="at_end")[:k])
+        for side, t in kept.items():
+            yield from t.add_column(0, "side", pa.array([side] * len(t), pa.string())).to_batches()
+
+    ends = rows.select("utt", "cer").mapInArrow(run, f"side string, utt {kinds['utt']}, cer double")
+    up, down = (F.when(F.col("side") == s, F.col("cer")) for s in ("best", "worst"))
+    order = W.partitionBy("side").orderBy(F.col("cer").isNull(), F.asc(up), F.desc(down), F.asc(F.when(F.col("side") == "best", F.col("utt"))), F.desc("utt"))
+    return ends.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).orderBy("side", "place").drop("place")
+
+
 def best_per_category(rows: DataFrame) -> DataFrame:
     """For each category the row with most hits, the first on ties."""
     each = rows.select("utt", "x", "y", F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in CATEGORIES]), F.array(*[F.col(f"counts.{c}") for c in CATEGORIES]))).alias("category", "hits")).where("hits > 0")
