@@ -81,9 +81,7 @@ def ord_topk_edits(spark, sf):
 @query("ord_best_worst", f"""WITH {_C}, b AS (SELECT 'best' AS side, utt, cer FROM c ORDER BY cer, utt LIMIT 5), w AS (SELECT 'worst' AS side, utt, cer FROM c ORDER BY cer DESC, utt DESC LIMIT 5)
 SELECT * FROM b UNION ALL SELECT * FROM w""")
 def ord_best_worst(spark, sf):
-    c = rates(spark, sf).select("utt", "cer")
-    ends = [c.orderBy(F.asc_nulls_last("cer"), "utt").limit(5).select(F.lit("best").alias("side"), "utt", "cer"), c.orderBy(F.desc_nulls_last("cer"), F.desc("utt")).limit(5).select(F.lit("worst").alias("side"), "utt", "cer")]
-    return ends[0].unionByName(ends[1])
+    return m.both_ends(rates(spark, sf).select("utt", "cer"), 5)
 
 
 # alignments: SQL has the distance but not the path, so tests hold these against brute force
