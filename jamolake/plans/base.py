@@ -19,11 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files give fewer partitions: what is done with each of these rows costs far
-    more than moving it. A table of many files stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+#: Rows of a conversation's text in a task, and tasks at most.
+PIECE_ROWS, MOST_PIECES = 1000, 20_000
+
+
+def spread(df: DataFrame, rows: int = PIECE_ROWS) -> DataFrame:
+    """A stored table over tasks of about so many rows, over all cores at least: what is done with each of these
+    rows costs far more than moving it, and files, whose texts are packed, say little of that. Rows are counted
+    in the files' footers."""
+    pieces = min(MOST_PIECES, -(-df.count() // rows))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, pieces))
 
 
 def stand_in(text: Column) -> Column:

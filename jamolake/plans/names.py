@@ -20,7 +20,7 @@ from ..operators import report as r
 from ..operators.evaluation import read_evaluation, write_evaluation
 from ..sources.scratch import new_folder
 from ._registry import registry
-from .base import SQL_BLOCKS, SQL_OPERATIONS, sql_jamo, table
+from .base import PIECE_ROWS, SQL_BLOCKS, SQL_OPERATIONS, spread, sql_jamo, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -29,7 +29,7 @@ _SAID = "aeioucd", "bfjpvki"
 
 
 def names(spark, sf):
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("utt"), F.col("p_brand").alias("speaker_id"), "p_name")
+    part = spread(table(spark, sf, "part"), 10 * PIECE_ROWS).select(F.col("p_partkey").alias("utt"), F.col("p_brand").alias("speaker_id"), "p_name")
     said, at = F.translate("p_name", *_SAID), (F.col("utt") % 7).cast("int")
     short = F.concat(F.substring(said, F.lit(1), at), F.substring(said, at + 2, F.length("p_name")))
     syllables = lambda c: F.translate(c, _LETTERS, _SYLLABLES)
