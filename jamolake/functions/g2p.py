@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .hangul import FINALS, FIRST, INITIALS, character, chars, final_of, initial_of, is_syllable
+from .hangul import FINALS, FIRST, INITIALS, chars, final_of, initial_of, is_syllable, numbers, syllable
 
 # The parts of compound finals, and (final, next initial) pairs that change.
 SPLIT = {"ㄳ": "ㄱㅅ", "ㄵ": "ㄴㅈ", "ㄶ": "ㄴㅎ", "ㄺ": "ㄹㄱ", "ㄻ": "ㄹㅁ", "ㄼ": "ㄹㅂ", "ㄽ": "ㄹㅅ", "ㄾ": "ㄹㅌ", "ㄿ": "ㄹㅍ", "ㅀ": "ㄹㅎ", "ㅄ": "ㅂㅅ"}
@@ -35,8 +35,12 @@ def pair_rules() -> dict[int, tuple[int, int]]:
 RULES = pair_rules()
 
 
+#: The new (final, initial) numbers at final number * 19 + initial number, those given where no rule holds.
+_ALL = [RULES.get(k, divmod(k, len(INITIALS))) for k in range(len(FINALS) * len(INITIALS))]
+
+
 def _lookup(side: int, key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for k, v in RULES.items() for x in (k, v[side])]), key)
+    return F.get(numbers([v[side] for v in _ALL]), key)
 
 
 def g2p(text: Column, palatalize: bool = False) -> Column:
@@ -60,6 +64,6 @@ def g2p(text: Column, palatalize: bool = False) -> Column:
             for f, new in PALATAL.items():
                 opened = F.when((before == FINALS.index(f) * 19 + INITIALS.index("ㅇ")) & vowel_i, INITIALS.index(new)).otherwise(opened)
         closed = F.coalesce(_lookup(0, key(c, t["after"])), final_of(c))
-        return F.when(is_syllable(c), character(c - initial_of(c) * 588 - final_of(c) + opened * 588 + closed)).otherwise(t["char"])
+        return F.when(is_syllable(c), syllable(c - FIRST - initial_of(c) * 588 - final_of(c) + opened * 588 + closed)).otherwise(t["char"])
 
     return F.array_join(F.transform(F.filter(triples, lambda t: t["c"].isNotNull()), one), "")

@@ -59,14 +59,22 @@ def decompose(char: Column) -> Column:
     return F.when(is_syllable(code), F.struct(letter(INITIALS, initial_of(code)).alias("initial"), letter(VOWELS, vowel_of(code)).alias("vowel"), F.when(final_of(code) > 0, letter(FINALS, final_of(code))).alias("final")))
 
 
+def syllable(place: Column) -> Column:
+    """The syllable at a place of the block, from 0; null outside of it. One look into a fixed array, for whole texts."""
+    return F.get(F.split(F.lit(",".join(map(chr, range(FIRST, LAST + 1)))), ","), place)
+
+
+_OF_SYLLABLES = ",".join(INITIALS[k // 588] + VOWELS[k % 588 // 28] + FINALS[k % 28].strip() for k in range(LAST - FIRST + 1))
+
+
 def _letters(char: Column) -> Column:
-    code = F.ascii(char)
-    return F.concat(letter(INITIALS, initial_of(code)), letter(VOWELS, vowel_of(code)), F.when(final_of(code) > 0, letter(FINALS, final_of(code))).otherwise(""))
+    """The letters of a syllable, null of anything else."""
+    return F.get(F.split(F.lit(_OF_SYLLABLES), ","), F.ascii(char) - FIRST)
 
 
 def jamo_string(text: Column) -> Column:
     """Letters of the syllables; everything else, spaces included, as it is."""
-    return F.array_join(F.transform(chars(text), lambda c: F.when(is_syllable(F.ascii(c)), _letters(c)).otherwise(c)), "")
+    return F.array_join(F.transform(chars(text), lambda c: F.coalesce(_letters(c), c)), "")
 
 
 def text_to_jamo(text: Column) -> Column:
@@ -76,7 +84,7 @@ def text_to_jamo(text: Column) -> Column:
 
 def syllable_to_jamo(text: Column) -> Column:
     """Letters of the syllables, a bar for each space, and nothing for the rest."""
-    return F.array_join(F.transform(chars(text), lambda c: F.when(c == " ", "|").when(is_syllable(F.ascii(c)), _letters(c)).otherwise("")), "")
+    return F.array_join(F.transform(chars(text), lambda c: F.when(c == " ", "|").otherwise(F.coalesce(_letters(c), F.lit("")))), "")
 
 
 def joined_letters(text: Column) -> Column:
@@ -112,9 +120,19 @@ def _vocabulary_map() -> Column:
     return F.create_map(*[F.lit(x) for kv in VOCABULARY.items() for x in kv])
 
 
+def numbers(values: list[int]) -> Column:
+    """A fixed array of whole numbers, as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+#: The token's number of each code point from the first single letter on.
+_LETTER = min(ord(t) for t in INITIALS + VOWELS)
+_TOKENS = [VOCABULARY.get(chr(k), UNKNOWN) for k in range(_LETTER, max(ord(t) for t in INITIALS + VOWELS + COMPOUND_FINALS) + 1)]
+
+
 def encode(text: Column) -> Column:
     """Token numbers of the characters; unknown ones get the unknown token's."""
-    return F.transform(chars(text), lambda c: F.coalesce(F.element_at(_vocabulary_map(), c), F.lit(UNKNOWN)))
+    return F.transform(chars(text), lambda c: F.when(c == "|", VOCABULARY["|"]).otherwise(F.coalesce(F.get(numbers(_TOKENS), F.ascii(c) - _LETTER), F.lit(UNKNOWN))))
 
 
 def out_of_vocabulary(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.g2p import RULES, g2p
-from ..functions.hangul import FINALS, FIRST, INITIALS, VOWELS, character, chars
+from ..functions.hangul import FINALS, FIRST, INITIALS, VOWELS, chars, syllable
 from ..functions.text import split_transcript
 
 
@@ -32,7 +32,7 @@ def spread(df: DataFrame, rows: int = PIECE_ROWS) -> DataFrame:
 
 
 def stand_in(text: Column) -> Column:
-    return F.array_join(F.transform(chars(text), lambda c, i: F.when(c == " ", c).otherwise(character(FIRST + (F.ascii(c).cast("long") * 7919 + i * 31) % 11172))), "")
+    return F.array_join(F.transform(chars(text), lambda c, i: F.when(c == " ", c).otherwise(syllable(((F.ascii(c).cast("long") * 7919 + i * 31) % 11172).cast("int")))), "")
 
 
 def drop_each(text: Column, n: int = 11) -> Column:
