@@ -263,33 +263,51 @@ def diagnose(expected: pa.Array, actual: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([*(pa.array(c) for c in columns), subs], ["correct", "substitution", "insertion", "deletion", "linking", "subs"])
 
 
+def _common_together(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Steps along a longest common subsequence, 0 equal, 1 insert, 2 delete. All pairs' tables are filled and
+    read in step."""
+    a, b, i, j = _side_by_side(pairs)
+    rows, best = np.arange(len(pairs)), np.zeros((a.shape[1] + 1, len(pairs), b.shape[1] + 1), dtype=np.int32)
+    for at in range(a.shape[1]):
+        row, last = best[at + 1], best[at]
+        row[:, 1:] = np.where(b == a[:, at, None], np.maximum(last[:, 1:], last[:, :-1] + 1), last[:, 1:])
+        np.maximum.accumulate(row, axis=1, out=row)
+    steps = []
+    while (live := (i > 0) | (j > 0)).any():
+        up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        both = (i > 0) & (j > 0)
+        same = both & (a[rows, up] == b[rows, left]) if a.size and b.size else both
+        add = (j > 0) & ((i == 0) | (best[i, rows, left] >= best[up, rows, j]))
+        what = np.where(same, 0, np.where(add, 1, 2)).astype(np.int8)
+        steps.append(np.where(live, what, np.int8(-1)))
+        i, j = i - (live & (what != 1)), j - (live & (what != 2))
+    table = np.array(steps).T if steps else np.zeros((len(pairs), 0), dtype=np.int8)
+    return [line[line >= 0][::-1] for line in table]
+
+
 @F.pandas_udf(OPCODES)
 def align_common(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Letters in common, inserted and deleted along a longest common subsequence, white space left
     out; read from the end, a match goes first and an insertion before a deletion on ties."""
-
-    def one(r, h):
-        r, h = "".join(r.split()), "".join(h.split())
-        a, b = _codes(r), _codes(h)
-        best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-        for i in range(1, len(a) + 1):
-            row = best[i - 1].copy()
-            row[1:] = np.where(b == a[i - 1], np.maximum(row[1:], best[i - 1][:-1] + 1), row[1:])
-            best[i] = np.maximum.accumulate(row)
-        i, j, out = len(a), len(b), []
-        while i or j:
-            if i and j and a[i - 1] == b[j - 1]:
-                i, j = i - 1, j - 1
-                out.append({"type": "equal", "ref": r[i], "hyp": h[j]})
-            elif j and (not i or best[i, j - 1] >= best[i - 1, j]):
-                j -= 1
-                out.append({"type": "insert", "ref": "", "hyp": h[j]})
-            else:
-                i -= 1
-                out.append({"type": "delete", "ref": r[i], "hyp": ""})
-        return out[::-1]
-
-    return pd.Series([None if r is None or h is None else one(r, h) for r, h in zip(reference, hypothesis)])
+    texts = [None if r is None or h is None else ("".join(r.split()), "".join(h.split())) for r, h in zip(reference, hypothesis)]
+    pairs = [t and (_codes(t[0]), _codes(t[1])) for t in texts]
+    order = sorted((r for r, p in enumerate(pairs) if p), key=lambda r: (len(pairs[r][0]), len(pairs[r][1])))
+    out: list = [None] * len(pairs)
+    at = 0
+    while at < len(order):
+        to, wide = at, 0
+        while to < len(order) and to - at < GROUP:
+            wide = max(wide, len(pairs[order[to]][1]) + 1)
+            if to > at and (to - at + 1) * wide * (len(pairs[order[to]][0]) + 1) > CELLS:
+                break
+            to += 1
+        for r, kinds in zip(order[at:to], _common_together([pairs[r] for r in order[at:to]])):
+            (ref, hyp), i, j, out[r] = texts[r], 0, 0, []
+            for kind in kinds.tolist():
+                out[r].append({"type": ("equal", "insert", "delete")[kind], "ref": ref[i] if kind != 1 else "", "hyp": hyp[j] if kind != 2 else ""})
+                i, j = i + (kind != 1), j + (kind != 2)
+        at = to
+    return pd.Series(out, dtype=object)
 
 
 def _longest_runs(windows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:

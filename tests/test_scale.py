@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from jamolake.functions import alignment as a
+from jamolake.functions import g2p, hangul
 from jamolake.operators import metrics as m
 from jamolake.plans import base
 
@@ -55,3 +56,42 @@ def test_error_rates_are_found_many_pairs_at_once(spark):
     got = df.select(a.cer_plain(F.col("r"), F.col("h")).alias("p"), a.cer_squeezed(F.col("r"), F.col("h")).alias("s"), a.cer_scorer(F.col("r"), F.col("h")).alias("c"))
     assert "levenshtein" not in plan(got)
     assert [tuple(r) for r in got.collect()] == [(0.5, 1 / 3, 33.3), (None, 1.0, 0.0), (None, None, 0.0), (1.0, 1.0, 100.0)]
+
+
+def test_letters_are_looked_up_by_place(spark):
+    text = "값이 없다 abc|밟고😀ㄱ않던힣가"
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    got = df.select(hangul.jamo_string(F.col("t")).alias("j"), g2p.g2p(F.col("t")).alias("g"), hangul.encode(F.col("t")).alias("e"))
+    # of fixed tables one look each: no map is searched letter by letter, no code point goes through hexadecimal digits
+    assert not any(f in plan(got) for f in ("unhex", "element_at"))
+    rows = got.collect()
+    assert rows[0]["j"] == "ㄱㅏㅄㅇㅣ ㅇㅓㅄㄷㅏ abc|ㅂㅏㄼㄱㅗ😀ㄱㅇㅏㄶㄷㅓㄴㅎㅣㅎㄱㅏ" and rows[1]["j"] == "" and rows[2]["j"] is None
+    assert rows[0]["g"] == "갑시 없다 abc|밟고😀ㄱ않던히카" and rows[0]["e"] == [hangul.VOCABULARY.get(c, hangul.UNKNOWN) for c in text]
+
+
+def test_common_runs_side_by_side(monkeypatch):
+    import random
+
+    import pandas as pd
+
+    rnd, sizes = random.Random(4), []
+    texts = [("".join(rnd.choices("ab c", k=rnd.randrange(9))), "".join(rnd.choices("ab c", k=rnd.randrange(9)))) for _ in range(300)] + [(None, "a"), ("a", None)]
+    whole = a._common_together
+    monkeypatch.setattr(a, "_common_together", lambda pairs: sizes.append(len(pairs)) or whole(pairs))
+    got = a.align_common.func(*(pd.Series(list(t), dtype=object) for t in zip(*texts)))
+    assert sizes and max(sizes) == 300
+
+    def want(r, h):
+        best = [[0] * (len(h) + 1) for _ in range(len(r) + 1)]
+        for i in range(1, len(r) + 1):
+            for j in range(1, len(h) + 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + (r[i - 1] == h[j - 1]))
+        i, j, out = len(r), len(h), []
+        while i or j:
+            kind = "equal" if i and j and r[i - 1] == h[j - 1] else "insert" if j and (not i or best[i][j - 1] >= best[i - 1][j]) else "delete"
+            i, j = i - (kind != "insert"), j - (kind != "delete")
+            out.append({"type": kind, "ref": "" if kind == "insert" else r[i], "hyp": "" if kind == "delete" else h[j]})
+        return out[::-1]
+
+    for (r, h), found in zip(texts, got):
+        assert found == (None if r is None or h is None else want("".join(r.split()), "".join(h.split())))
