@@ -219,6 +219,83 @@ def steps(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
+#: Classes in which letters are counted, and how many of them are compared for all pairs; letters of a run, and
+#: classes in which runs are counted; pairs of texts that are told apart further at once.
+LETTERS, FIRST_LOOK, RUN, RUNS, SURVIVORS = 32, 20, 4, 1024, 20_000
+
+
+def _counts(texts: list[np.ndarray], q: int, size: int, kind: type) -> np.ndarray:
+    """How often each class of runs of q letters is in each text. Counts are capped where sums would not fit; capped
+    ones differ by no more than whole ones."""
+    most = min(np.iinfo(kind).max, 30_000 // size)
+    lengths, out, at = np.array([len(t) for t in texts]), np.zeros((len(texts), size), dtype=kind), 0
+    ends = np.cumsum(lengths)
+    while at < len(texts):
+        # so many letters together, one text at least
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SURVIVORS * 10, "right")))
+        flat, row = np.concatenate(texts[at:to]).astype(np.uint64), np.repeat(np.arange(to - at), lengths[at:to])
+        runs, inside = flat[: max(0, len(flat) - q + 1)], row[: max(0, len(flat) - q + 1)] == row[q - 1 :]
+        for k in range(1, q):
+            runs = runs * np.uint64(0x9E3779B97F4A7C15) + flat[k : len(flat) - q + 1 + k]
+        kinds = (runs if q == 1 else runs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40))[inside] % np.uint64(size)
+        found = np.bincount(row[: len(inside)][inside] * size + kinds.astype(np.int64), minlength=(to - at) * size)
+        out[at:to] = np.minimum(found, most).reshape(-1, size)
+        at = to
+    return out
+
+
+def near_pairs(left: list[str], right: list[str], accept: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs (places on the left, on the right, scores) with 1 - distance / longer length above accept, in
+    batches; no text is empty. Of every pair of like lengths letters are compared by their counts, then runs: d
+    edits change at most d letters, and RUN times d runs, of either text. What these bounds leave is aligned."""
+    n, order = np.array([len(t) for t in left], dtype=np.int64), np.argsort([len(t) for t in right], kind="stable")
+    left, right = [_codes(t) for t in left], [_codes(right[r]) for r in order.tolist()]
+    m = np.array([len(t) for t in right], dtype=np.int64)
+    mine, theirs = _counts(left, 1, LETTERS, np.int16), _counts(right, 1, LETTERS, np.int16)
+    varied = np.argsort(-theirs.var(axis=0), kind="stable")
+    mine, theirs = np.ascontiguousarray(mine[:, varied]), np.ascontiguousarray(theirs[:, varied])
+    columns, rest = np.ascontiguousarray(theirs[:, :FIRST_LOOK].T), theirs[:, FIRST_LOOK:]
+    runs_mine, runs_theirs = _counts(left, RUN, RUNS, np.uint8), _counts(right, RUN, RUNS, np.uint8)
+    most = lambda longer: np.ceil((1 - accept) * longer + 1e-9).astype(np.int64) - 1
+    lo, hi = np.searchsorted(m, accept * n - 1e-9, "right"), np.searchsorted(m, (n + 1e-9) / accept, "left")
+    total, step = (np.empty(len(right), dtype=np.int16) for _ in range(2))
+
+    def scored(ones: list[int], many: list[np.ndarray]):
+        i, j = np.repeat(np.array(ones), [len(x) for x in many]), np.concatenate(many)
+        longer = np.maximum(n[i], m[j])
+        here, there = runs_mine[i], runs_theirs[j]
+        differ = (np.maximum(here, there) - np.minimum(here, there)).sum(axis=1, dtype=np.int64)
+        like = differ + np.abs(np.maximum(n[i], RUN - 1) - np.maximum(m[j], RUN - 1)) <= 2 * RUN * most(longer)
+        i, j, longer = i[like], j[like], longer[like]
+        score = 1 - np.array(distances([(left[x], right[y]) for x, y in zip(i.tolist(), j.tolist())]), dtype=np.float64) / longer
+        good = score > accept
+        return i[good], order[j[good]], score[good]
+
+    ones, many, held = [], [], 0
+    for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
+        if a >= b:
+            continue
+        # what letters may differ by: twice the most edits, less the difference in length
+        room = np.minimum(2 * most(np.maximum(m[a:b], n[i])) - np.abs(m[a:b] - n[i]), 32_000).astype(np.int16) if i == 0 or n[i] != n[i - 1] else room
+        t, s = total[: b - a], step[: b - a]
+        np.abs(np.subtract(columns[0, a:b], mine[i, 0], out=t), out=t)
+        for k in range(1, FIRST_LOOK):
+            t += np.abs(np.subtract(columns[k, a:b], mine[i, k], out=s), out=s)
+        kept = np.flatnonzero(t <= room)
+        if len(kept):
+            kept = kept[t[kept] + np.abs(rest[a + kept] - mine[i, FIRST_LOOK:]).sum(axis=1, dtype=np.int16) <= room[kept]]
+        for at in range(0, len(kept), SURVIVORS):
+            some = kept[at : at + SURVIVORS] + a
+            ones.append(i)
+            many.append(some)
+            held += len(some)
+            if held >= SURVIVORS:
+                yield scored(ones, many)
+                ones, many, held = [], [], 0
+    if held:
+        yield scored(ones, many)
+
+
 def align_all(pairs: list[tuple[str, str]]) -> list[list[dict]]:
     """The steps of each pair with their letters."""
     out = []

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.alignment import near_pairs
 
 
 def fallback_join(left: DataFrame, right: DataFrame, keys: list[Column], right_key: str, value: str) -> DataFrame:
@@ -35,64 +42,64 @@ def best_match(left: DataFrame, right: DataFrame, key: str, order: str, score: C
     return scored.groupBy(key, "left_id").agg(F.max_by(F.struct("score", order), F.struct("score", -F.col(order))).alias("best")).select(key, "left_id", "best.*")
 
 
-#: Letters are counted in so many classes, which bound the distance of two texts from below.
-CLASSES = 16
-#: Hashes of letter runs are counted in so many buckets; only the order of runs depends on them.
-RUN_BUCKETS = 1 << 16
+#: Letters of a piece of texts; a text counts for some more, as comparing it has a price of its own.
+PIECE_LETTERS, TEXT_LETTERS = 8_000_000, 64
+#: Tasks of such a join at most.
+MOST_TILES = 20_000
 
 
-def _runs(texts: DataFrame, q: int) -> DataFrame:
-    """A row (text goes) for each run of q letters of texts with q - 1 signs before and after them, as r, a
-    struct of the run and its number among equal ones. Linear in the length: equal runs stand together in a
-    sorted array, which is kept as a column, as are the places where they begin."""
-    pad = "\x01" * (q - 1)
-    rows = texts.withColumn("_t", F.split(F.concat(F.lit(pad), "text", F.lit(pad)), "")).drop("text")
-    rows = rows.withColumn("_runs", F.sort_array(F.transform(F.sequence(F.lit(1), F.size("_t") - q + 1), lambda i: F.array_join(F.slice("_t", i, q), "")))).drop("_t")
-    rows = rows.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_runs") - 1), lambda i: (i == 0) | (F.get("_runs", i) != F.get("_runs", i - 1))))
-    ends = lambda k: F.coalesce(F.get("_at", k + 1), F.size("_runs"))
-    rows = rows.withColumn("_c", F.explode(F.transform("_at", lambda p, k: F.struct(F.get("_runs", p).alias("run"), (ends(k) - p).alias("n"))))).drop("_runs", "_at")
-    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_c.n")))).withColumn("r", F.struct("_c.run", F.col("_nth").alias("nth"))).drop("_c", "_nth")
+def _best_in_tile(accept: float, names: list[str]):
+    """Of a piece of texts on the left (side 0) and one on the right the best partner of each left text."""
 
+    def best(rows: pa.Table) -> pa.Table:
+        is_left = pc.equal(rows["_side"], 0)
+        left, right = rows.filter(is_left), rows.filter(pc.invert(is_left))
+        # texts of one length stand together
+        left = left.take(pc.sort_indices(pc.utf8_length(left["_text"])))
+        places, partners, scores = (np.zeros(0, dtype) for dtype in (np.int64, np.int64, np.float64))
+        if left.num_rows and right.num_rows:
+            rank = np.empty(right.num_rows, dtype=np.int64)
+            rank[pc.sort_indices(right["_id"]).to_numpy()] = np.arange(right.num_rows)
+            for found in near_pairs(left["_text"].to_pylist(), right["_text"].to_pylist(), accept):
+                i, j, s = (np.concatenate(x) for x in zip((places, partners, scores), found))
+                at = np.lexsort((rank[j], -s, i))
+                at = at[np.r_[True, i[at][1:] != i[at][:-1]]] if len(at) else at
+                places, partners, scores = i[at], j[at], s[at]
+        mine, theirs = left.take(pa.array(places)), right.take(pa.array(partners))
+        return pa.table([mine["_key"], mine["_text"], pa.array(scores), theirs["_id"]], names=names)
 
-def _class_counts(text: Column) -> list[Column]:
-    """How many letters of a text have each code point modulo CLASSES, as _c0, _c1, ..."""
-    cls = F.transform(F.split(text, ""), lambda c: F.when(c != "", F.ascii(c) % CLASSES))
-    count = lambda k: F.size(F.filter(cls, lambda c: c == k))
-    return [count(k).alias(f"_c{k}") for k in range(CLASSES)]
+    return best
 
 
 def similar_match(left: DataFrame, right: DataFrame, key: str, order: str, accept: float = 0.85) -> DataFrame:
-    """best_match() of texts s (left_id, s) and t (order, t) by 1 - distance / longer length, found through
-    an inverted index of letter runs, so that pairs of a key that share no rare run are never made.
-
-    Texts within an edit distance below (1 - accept) of the longer one's length share a number of runs that
-    grows with that length; sorted from the rarest run on, they share one among the first ones. Runs are as
-    long as accept allows, at most five letters. Below 0.8 texts of one language share so many that the index
-    prunes little more than lengths do; best_match() is then the plainer way. Each distinct text of a key is matched once. The index is spread by key and run, so
-    that the rows of a hot key are in many tasks. order is unique in a key; rows with a null
-    key or text and empty texts match nothing."""
-    q = max(1, min(5, int(1 / (1 - accept) + 1e-9)))
-    need = lambda n: F.floor(n * (1 - q * (1 - accept)) + q - 1 - 1e-9) + 1
-    lefts = left.where(F.col(key).isNotNull() & (F.col("s") != "")).groupBy(key, F.col("s").alias("text")).agg(F.min("left_id").alias("id"))
-    rights = right.where(F.col(key).isNotNull() & (F.col("t") != "")).groupBy(key, F.col("t").alias("text")).agg(F.min(order).alias("id"))
-    sides = lefts.withColumn("side", F.lit(0)).unionByName(rights.withColumn("side", F.lit(1)))
-    listed = _runs(sides.withColumn("n", F.length("text")), q).withColumn("bucket", F.pmod(F.xxhash64("r"), F.lit(RUN_BUCKETS)))
-    # RUN_BUCKETS rows at most
-    counts = listed.groupBy("bucket").agg(F.count("*").alias("rows"))
-    ranked = listed.join(F.broadcast(counts), "bucket").groupBy(key, "side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "bucket", "r"))).alias("runs"))
-    # a text's class counts go with its runs, so that unlike texts part inside the join
-    classes = sides.select(key, "side", "id", *_class_counts(F.col("text")))
-    rare = ranked.join(classes, [key, "side", "id"]).select(key, "side", "id", "n", *[f"_c{k}" for k in range(CLASSES)], F.explode(F.slice("runs", 1, F.greatest(F.lit(1), F.size("runs") - need(F.col("n")) + 1).cast("int"))["r"]).alias("r"))
-    a = rare.where("side = 0").select(key, "r", F.col("id").alias("_a"), F.col("n").alias("_n"), *[F.col(f"_c{k}").alias(f"_p{k}") for k in range(CLASSES)])
-    b = rare.where("side = 1").select(key, "r", F.col("id").alias("_b"), F.col("n").alias("_m"), *[F.col(f"_c{k}").alias(f"_q{k}") for k in range(CLASSES)])
-    near = F.least("_n", "_m") > accept * F.greatest("_n", "_m") - 1e-9
-    surplus = lambda x, y: reduce(lambda s, t: s + t, [F.greatest(F.lit(0), F.col(f"{x}{k}") - F.col(f"{y}{k}")) for k in range(CLASSES)])
-    like = F.greatest(surplus("_p", "_q"), surplus("_q", "_p")) < (1 - accept) * F.greatest("_n", "_m") + 1e-9
-    pairs = a.join(b, [key, "r"]).where(near & like).select(key, "_a", "_b").distinct()
-    texts = lambda df, name, text: df.select(key, F.col("id").alias(name), F.col("text").alias(text))
-    scored = pairs.join(texts(lefts, "_a", "_s"), [key, "_a"]).join(texts(rights, "_b", "_t"), [key, "_b"])
-    score = 1 - F.levenshtein("_s", "_t") / F.greatest(F.length("_s"), F.length("_t"))
-    best = scored.withColumn("score", score).where(F.col("score") > accept).groupBy(key, F.col("_s").alias("s")).agg(F.max_by(F.struct("score", F.col("_b").alias(order)), F.struct("score", -F.col("_b"))).alias("best"))
+    """best_match() of texts s (left_id, s) and t (order, t) by 1 - distance / longer length. No pair is ever a
+    row: texts of like lengths meet piece by piece, and a task compares a piece with a piece (near_pairs()).
+
+    Lengths fall into bands as wide as accept allows, so that similar texts are of one band or of neighbouring ones.
+    A piece of the left side is of one band, one of the right side of three; each has some megabytes of text,
+    however many rows a key or a band has. Each distinct text of a key is matched once. The work grows with
+    the pairs of like lengths, memory does not. accept is between 0 and 1, order is unique in a key; rows
+    with a null key or text and empty texts match nothing."""
+    tidy = lambda df, text, number: df.where(F.col(key).isNotNull() & (F.col(text) != "")).groupBy(F.col(key).alias("_key"), F.col(text).alias("_text")).agg(F.min(number).alias("_id"))
+    weight = F.length("_text") + TEXT_LETTERS
+    band = F.floor(F.log(F.length("_text")) / -math.log(accept)).cast("long").alias("_band")
+    lefts = tidy(left, "s", "left_id").select("_key", "_text", band)
+    rights = tidy(right, "t", order).select("_key", "_text", "_id", F.explode(F.sequence(band - 1, band + 1)).alias("_band"))
+    pieces = lambda name: F.ceil(F.sum(weight) / PIECE_LETTERS).alias(name)
+    # a row a key and band
+    plan = lefts.groupBy("_key", "_band").agg(pieces("_n")).join(rights.groupBy("_key", "_band").agg(pieces("_m")), ["_key", "_band"])
+    tiles = plan.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 1
+    piece = lambda n: F.pmod(F.xxhash64("_text"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    id_type = rights.schema["_id"].dataType
+    a = lefts.join(plan, ["_key", "_band"]).select("_key", "_band", piece("_n").alias("_i"), every("_m").alias("_j"), F.lit(0).alias("_side"), "_text", F.lit(None).cast(id_type).alias("_id"))
+    b = rights.join(plan, ["_key", "_band"]).select("_key", "_band", every("_n").alias("_i"), piece("_m").alias("_j"), F.lit(1).alias("_side"), "_text", "_id")
+    tile = ["_key", "_band", "_i", "_j"]
+    # as many tasks as tiles: small ones are much work too
+    dealt = a.unionByName(b).repartition(max(left.sparkSession.sparkContext.defaultParallelism, min(2 * tiles, MOST_TILES)), *tile)
+    schema = T.StructType([T.StructField(key, left.schema[key].dataType), T.StructField("s", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField(order, id_type)])
+    found = dealt.groupBy(*tile).applyInArrow(_best_in_tile(accept, schema.names), schema)
+    best = found.groupBy(key, "s").agg(F.max_by(F.struct("score", order), F.struct("score", -F.col(order))).alias("best"))
     return left.select(key, "left_id", "s").join(best, [key, "s"]).select(key, "left_id", "best.*")
 
 

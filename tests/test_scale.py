@@ -95,3 +95,29 @@ def test_common_runs_side_by_side(monkeypatch):
 
     for (r, h), found in zip(texts, got):
         assert found == (None if r is None or h is None else want("".join(r.split()), "".join(h.split())))
+
+
+def test_similar_texts_make_no_row_a_pair(spark, monkeypatch):
+    import random
+
+    from jamolake.operators import joins
+
+    rnd = random.Random(11)
+    words = ["the", "er", "on", "ha", "tion", "re", "and", "of"]
+    text = lambda n: " ".join(rnd.choices(words, k=n))
+    lefts = [text(rnd.randrange(1, 60)) for _ in range(150)]
+    rights = [text(rnd.randrange(1, 60)) for _ in range(150)] + [t[:-1] + "é" for t in lefts[:60]] + [t[2:] for t in lefts[40:90] if t[2:]]
+    pairs = [(i, j, 1 - d / max(len(x), len(y))) for i, x in enumerate(lefts) for (j, y), d in zip(enumerate(rights), a.distances([(a._codes(x), a._codes(y)) for y in rights]))]
+    want = {}
+    for i, j, s in pairs:
+        if s > 0.85:
+            want[i] = max(want.get(i, (0, 1)), (s, -j))
+    monkeypatch.setattr(joins, "PIECE_LETTERS", 1500)
+    left = spark.createDataFrame([(0, i, t) for i, t in enumerate(lefts)], "k int, left_id long, s string")
+    right = spark.createDataFrame([(0, j, t) for j, t in enumerate(rights)], "k int, o long, t string")
+    got = joins.similar_match(left, right, "k", "o", 0.85)
+    # a text goes to some tiles, pairs are made inside of them only
+    assert "levenshtein" not in plan(got) and "FlatMapGroupsInArrow" in plan(got)
+    assert {r["left_id"]: (r["score"], -r["o"]) for r in got.collect()} == want and len(want) > 60
+    found = [(i, j) for x, y, _ in a.near_pairs(lefts, rights, 0.85) for i, j in zip(x.tolist(), y.tolist())]
+    assert sorted(found) == [(i, j) for i, j, s in pairs if s > 0.85]
