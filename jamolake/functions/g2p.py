@@ -6,10 +6,11 @@ no rule's result is read by another: all pairs can be looked at side by side, wi
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from .hangul import FINALS, FIRST, INITIALS, chars, final_of, initial_of, is_syllable, numbers, syllable
+from ._flat import letterwise
+from .hangul import FINALS, FIRST, INITIALS, LAST
 
 # The parts of compound finals, and (final, next initial) pairs that change.
 SPLIT = {"ㄳ": "ㄱㅅ", "ㄵ": "ㄴㅈ", "ㄶ": "ㄴㅎ", "ㄺ": "ㄹㄱ", "ㄻ": "ㄹㅁ", "ㄼ": "ㄹㅂ", "ㄽ": "ㄹㅅ", "ㄾ": "ㄹㅌ", "ㄿ": "ㄹㅍ", "ㅀ": "ㄹㅎ", "ㅄ": "ㅂㅅ"}
@@ -39,31 +40,33 @@ RULES = pair_rules()
 _ALL = [RULES.get(k, divmod(k, len(INITIALS))) for k in range(len(FINALS) * len(INITIALS))]
 
 
-def _lookup(side: int, key: Column) -> Column:
-    return F.get(numbers([v[side] for v in _ALL]), key)
+_FINAL, _INITIAL = (np.array([v[side] for v in _ALL]) for side in (0, 1))
+
+
+def _spoken(palatalize: bool):
+    def change(codes, place, row):
+        inside = (codes >= FIRST) & (codes <= LAST)
+        k = np.where(inside, codes - FIRST, 0)
+        opened, vowel, closed = k // 588, k % 588 // 28, k % 28
+        # pairs of neighbours of one text, both syllables
+        at = np.flatnonzero(inside[:-1] & inside[1:] & (row[:-1] == row[1:]))
+        pair = closed[at] * len(INITIALS) + opened[at + 1]
+        initial, final = opened.copy(), closed.copy()
+        final[at], initial[at + 1] = _FINAL[pair], _INITIAL[pair]
+        if palatalize:
+            for f, new in PALATAL.items():
+                soft = at[(pair == FINALS.index(f) * len(INITIALS) + INITIALS.index("ㅇ")) & (vowel[at + 1] == 20)]
+                initial[soft + 1] = INITIALS.index(new)
+        return np.where(inside, FIRST + initial * 588 + vowel * 28 + final, codes), np.ones(len(codes), dtype=np.int64)
+
+    return letterwise(change)
+
+
+_PLAIN, _PALATALIZED = _spoken(False), _spoken(True)
 
 
 def g2p(text: Column, palatalize: bool = False) -> Column:
     """The pronunciation of a text. Anything but a syllable, a space too, parts the pairs. With
     palatalize, ㄷ and ㅌ before 이 turn into ㅈ and ㅊ when they link, which the plain rules never
     reach."""
-    # neighbours stand side by side, so that nothing is looked up by place
-    codes = F.transform(chars(text), lambda c: F.ascii(c))
-    none = F.array(F.lit(None).cast("int"))
-    triples = F.arrays_zip(codes.alias("c"), F.concat(none, codes).alias("before"), F.concat(F.slice(codes, 2, F.greatest(F.size(codes), F.lit(1))), none).alias("after"), chars(text).alias("char"))
-
-    def key(a: Column, b: Column) -> Column:
-        return F.when(is_syllable(a) & is_syllable(b), final_of(a) * 19 + initial_of(b))
-
-    def one(t: Column) -> Column:
-        c = t["c"]
-        before = key(t["before"], c)
-        opened = F.coalesce(_lookup(1, before), initial_of(c))
-        if palatalize:
-            vowel_i = F.floor((c - FIRST) % 588 / 28) == 20
-            for f, new in PALATAL.items():
-                opened = F.when((before == FINALS.index(f) * 19 + INITIALS.index("ㅇ")) & vowel_i, INITIALS.index(new)).otherwise(opened)
-        closed = F.coalesce(_lookup(0, key(c, t["after"])), final_of(c))
-        return F.when(is_syllable(c), syllable(c - FIRST - initial_of(c) * 588 - final_of(c) + opened * 588 + closed)).otherwise(t["char"])
-
-    return F.array_join(F.transform(F.filter(triples, lambda t: t["c"].isNotNull()), one), "")
+    return (_PALATALIZED if palatalize else _PLAIN)(text)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ._flat import letterwise
+
 # The letters in the order of the syllable block of Unicode; a blank final is none.
 INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
@@ -72,9 +75,25 @@ def _letters(char: Column) -> Column:
     return F.get(F.split(F.lit(_OF_SYLLABLES), ","), F.ascii(char) - FIRST)
 
 
+_JAMO = np.array([[ord(INITIALS[k // 588]), ord(VOWELS[k % 588 // 28]), ord(FINALS[k % 28])] for k in range(LAST - FIRST + 1)])
+
+
+@letterwise
+def _jamo_string(codes, place, row):
+    inside = (codes >= FIRST) & (codes <= LAST)
+    found = np.zeros((len(codes), 3), dtype=np.int64)
+    found[:, 0] = codes
+    found[inside] = _JAMO[codes[inside] - FIRST]
+    there = np.ones((len(codes), 3), dtype=bool)
+    there[:, 1] = inside
+    there[:, 2] = inside & (found[:, 2] != ord(" "))
+    return found[there], there.sum(axis=1)
+
+
 def jamo_string(text: Column) -> Column:
-    """Letters of the syllables; everything else, spaces included, as it is."""
-    return F.array_join(F.transform(chars(text), lambda c: F.coalesce(_letters(c), c)), "")
+    """Letters of the syllables; everything else, spaces included, as it is. All letters of a batch are looked up at
+    once, where built-in functions of arrays go letter by letter."""
+    return _jamo_string(text)
 
 
 def text_to_jamo(text: Column) -> Column:
@@ -94,8 +113,9 @@ def joined_letters(text: Column) -> Column:
 
 def syllable_groups(text: Column) -> Column:
     """Arrays of letters word by word, with [' '] between words."""
-    words = F.split(text, " ")
-    return F.flatten(F.transform(words, lambda w, i: F.when(i > 0, F.array(F.array(F.lit(" ")), text_to_jamo(w))).otherwise(F.array(text_to_jamo(w)))))
+    # the letters of words, as spaces stay what they are
+    words = F.split(jamo_string(text), " ")
+    return F.flatten(F.transform(words, lambda w, i: F.when(i > 0, F.array(F.array(F.lit(" ")), chars(w))).otherwise(F.array(chars(w)))))
 
 
 #: A syllable (a consonant right before a vowel is no final), or any other single letter.

@@ -7,11 +7,13 @@ text, y its pronunciation without every 11th character.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions._flat import letterwise
 from ..functions.g2p import RULES, g2p
-from ..functions.hangul import FINALS, FIRST, INITIALS, VOWELS, chars, syllable
+from ..functions.hangul import FINALS, FIRST, INITIALS, VOWELS
 from ..functions.text import split_transcript
 
 
@@ -31,12 +33,15 @@ def spread(df: DataFrame, rows: int = PIECE_ROWS) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, pieces))
 
 
-def stand_in(text: Column) -> Column:
-    return F.array_join(F.transform(chars(text), lambda c, i: F.when(c == " ", c).otherwise(syllable(((F.ascii(c).cast("long") * 7919 + i * 31) % 11172).cast("int")))), "")
+@letterwise
+def stand_in(codes, place, row):
+    return np.where(codes == 32, 32, FIRST + (codes * 7919 + place * 31) % 11172), np.ones(len(codes), dtype=np.int64)
 
 
-def drop_each(text: Column, n: int = 11) -> Column:
-    return F.array_join(F.filter(chars(text), lambda _, i: (i + 1) % n != 0), "")
+@letterwise
+def drop_eleventh(codes, place, row):
+    kept = (place + 1) % 11 != 0
+    return codes[kept], kept.astype(np.int64)
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +51,8 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(utt, conv_id, role, x, y); conv_id is the speaker. Stored nowhere: text goes through
-    built-in functions once."""
-    return sentences(spark, sf_dir).select("utt", "conv_id", "role", stand_in(F.col("s")).alias("x")).withColumn("y", drop_each(g2p(F.col("x"))))
+    each function once."""
+    return sentences(spark, sf_dir).select("utt", "conv_id", "role", stand_in(F.col("s")).alias("x")).withColumn("y", drop_eleventh(g2p(F.col("x"))))
 
 
 # --- the same in SQL -------------------------------------------------------------------------

@@ -121,3 +121,29 @@ def test_similar_texts_make_no_row_a_pair(spark, monkeypatch):
     assert {r["left_id"]: (r["score"], -r["o"]) for r in got.collect()} == want and len(want) > 60
     found = [(i, j) for x, y, _ in a.near_pairs(lefts, rights, 0.85) for i, j in zip(x.tolist(), y.tolist())]
     assert sorted(found) == [(i, j) for i, j, s in pairs if s > 0.85]
+
+
+def test_letters_of_a_batch_are_changed_together(spark):
+    import pyarrow as pa
+
+    from jamolake.functions import _flat
+
+    texts = ["값이 없다 abc|밟고😀ㄱ않던힣가", "", None, "굳이", "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    got = df.select(hangul.jamo_string(F.col("t")).alias("j"), g2p.g2p(F.col("t")).alias("g"), base.stand_in(F.col("t")).alias("s"), base.drop_eleventh(F.col("t")).alias("d"))
+    # no built-in function goes through the letters
+    assert "ArrowEvalPython" in plan(got) and not any(f in plan(got) for f in ("lambda", "transform("))
+    place = lambda c, i: c if c == " " else chr(0xAC00 + (ord(c) * 7919 + i * 31) % 11172)
+    rows = {r["d"]: r for r in got.collect()}
+    assert rows["굳이"]["j"] == "ㄱㅜㄷㅇㅣ" and rows["굳이"]["g"] == "구디" and rows[""]["j"] == rows[""]["g"] == "" and rows[None]["g"] is None
+    for t in texts:
+        if t:
+            r = rows["".join(c for i, c in enumerate(t) if (i + 1) % 11)]
+            assert r["s"] == "".join(place(c, i) for i, c in enumerate(t))
+    # of a batch cut into pieces nothing meets across texts
+    whole, few = _flat.LETTERS, hangul._jamo_string.func(pa.array(texts)).to_pylist()
+    try:
+        _flat.LETTERS = 3
+        assert hangul._jamo_string.func(pa.array(texts)).to_pylist() == few and g2p._PLAIN.func(pa.array(["각", "이", None, "각이"])).to_pylist() == ["각", "이", None, "가기"]
+    finally:
+        _flat.LETTERS = whole
