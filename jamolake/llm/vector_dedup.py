@@ -10,7 +10,8 @@ and a spanning forest of its links, so that a group of thousands of copies does
 of pairs.
 
 Queries travel to graphs: a task opens the graph of one shard once and streams the blocks that ask
-it. Of two points the one with the lesser number asks, so a link is decided once and counts for both.
+it. Of two points of a shard the one with the lesser number asks, of two shards one asks the other, so a link is
+decided once and counts for both. Shards have a fixed size, so what a task holds does not grow with the table.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import pack, unpack
 from ._common import Scratch, table
 from ._components import components
 
-#: Points of a shard at most, shards at least, points of a block that asks.
-SHARD_POINTS, LEAST_SHARDS, ASK = 100_000, 4, 2048
+#: Points of a shard, about (a worker holds a shard's graph and, twice, its vectors in doubles), shards at least, points
+#: of a block that asks.
+SHARD_POINTS, LEAST_SHARDS, ASK = 25_000, 4, 2048
 DEGREE, BUILD_BEAM, FIRST_BEAM, RECALL = 16, 48, 24, 0.99
 #: Points that the audit against brute force draws at first, and points with hits besides themselves that
 #: it wants to test: it draws four times as many until it has, has drawn all, or has drawn MOST_AUDIT.
@@ -39,7 +41,7 @@ WIDEST = 1 / 16
 EVERY = 2**30  # a beam that no shard allows
 NEAR = 1e-5  # single precision finds candidates this far below the threshold
 #: Numbers of one array that are worked on at once: larger steps are cut into rows that need no more.
-ROOM = 1 << 24
+ROOM = 1 << 22
 
 
 def _slices(n: int, each: int) -> Iterator[slice]:
@@ -347,6 +349,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("vec_id"), pa.array(out, pa.binary())], ["rid", "vec_id", "raw"])
 
 
+def _asks(home: Column, shard: Column, shards: Column) -> Column:
+    """Whether a shard's points ask that shard: each its own, and of two shards one the other, each about half of all."""
+    ahead = F.pmod(shard - home, shards)
+    return (2 * ahead < shards) | ((2 * ahead == shards) & (home < shard))
+
+
 def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> np.ndarray:
     """Which links are needed to keep connected what they connect, besides those before that parent knows."""
 
@@ -386,55 +394,60 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
     # equal vectors are one point, told by all their bytes
     points = scratch.store(rows.where("raw IS NOT NULL").groupBy("raw").agg(F.min("rid").alias("point"), F.count("*").alias("copies")).withColumn("dim", (F.length("raw") / 8).cast("int")))
     sizes = points.groupBy("dim").agg(F.count("*").alias("n"))
-    shards = sizes.withColumn("shards", F.least(F.col("n"), F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.col("n") / shard_points))).cast("int")).withColumn("asks", F.ceil(F.col("n") / ASK).cast("int"))
+    shards = sizes.withColumn("shards", F.least(F.col("n"), F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.col("n") / shard_points))).cast("int")).withColumn("asks", F.ceil(F.col("n") / F.col("shards") / ASK).cast("int"))
     # one row for each length of vectors there is
     dealt = points.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("point"), F.col("shards")).cast("int")).withColumn("ask", F.pmod(F.xxhash64("point", F.lit("ask")), F.col("asks")).cast("int"))
 
     def build(group: pa.Table) -> pa.Table:
-        dim = group.column("dim")[0].as_py()
+        dim, shard = group.column("dim")[0].as_py(), group.column("shard")[:1]
         group = group.sort_by("point")
         raw = _raw(group.column("raw"), dim)
-        graph = Graph.build(_unit(raw).astype(np.float32))
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": group.column("shard")[:1], "graph": pa.array([graph.to_bytes()], pa.binary()), "members": pa.array([pack(group.column("point").to_numpy(), group.column("copies").to_numpy(), raw.ravel())], pa.binary())})
+        # while the graph is built its vectors alone are held open
+        members, vectors = pack(group.column("point").to_numpy(), group.column("copies").to_numpy(), raw.ravel()), _unit(raw).astype(np.float32)
+        del group, raw
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": shard, "graph": pa.array([Graph.build(vectors).to_bytes()], pa.binary()), "members": pa.array([members], pa.binary())})
 
     n_tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, 20_000))
     # that many partitions whatever their bytes: a graph's work is not told by them
     graphs = scratch.store(dealt.select("dim", "shard", "point", "copies", "raw").repartition(n_tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary, members binary"))
 
     def block(group: pa.Table) -> pa.Table:
-        return pa.table({"dim": group.column("dim")[:1], "ask": group.column("ask")[:1], "shards": group.column("shards")[:1], "queries": pa.array([pack(group.column("point").to_numpy(), group.column("copies").to_numpy(), _raw(group.column("raw"), group.column("dim")[0].as_py()).ravel())], pa.binary())})
+        return pa.table({"dim": group.column("dim")[:1], "home": group.column("home")[:1], "ask": group.column("ask")[:1], "shards": group.column("shards")[:1], "queries": pa.array([pack(group.column("point").to_numpy(), group.column("copies").to_numpy(), _raw(group.column("raw"), group.column("dim")[0].as_py()).ravel())], pa.binary())})
 
     def met(some: DataFrame, beams: dict[int, int]) -> DataFrame:
-        """The graph of every shard, as often as tasks ask it, before those points in blocks."""
-        asks = scratch.store(some.select("dim", "ask", "shards", "point", "copies", "raw").groupBy("dim", "ask").applyInArrow(block, "dim int, ask int, shards int, queries binary"))
+        """The graph of every shard, as often as tasks ask it, before those points in blocks. Points with a home
+        ask as _asks() says, those without (-1) every shard."""
+        asks = scratch.store(some.select("dim", "home", "ask", "shards", "point", "copies", "raw").groupBy("dim", "home", "ask").applyInArrow(block, "dim int, home int, ask int, shards int, queries binary"))
         # blocks of a shard are dealt over tasks; there are never more of these than blocks
         per_dim = asks.groupBy("dim", "shards").agg(F.greatest(F.lit(1), F.least(F.count("*"), F.ceil(F.lit(n_tasks) / F.col("shards")))).cast("int").alias("salts"))
         wide = F.broadcast(per_dim.join(F.broadcast(spark.createDataFrame(list(beams.items()), "dim int, beam int")), "dim"))
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         nothing = F.lit(None).cast("binary")
-        left = graphs.join(wide, "dim").select("dim", "shard", each("salts").alias("salt"), "beam", "graph", "members", nothing.alias("queries"))
+        left = graphs.join(wide, "dim").select("dim", "shard", each("salts").alias("salt"), "beam", F.lit(None).cast("int").alias("home"), "graph", "members", nothing.alias("queries"))
         # one row a shard that has a graph
         there = F.broadcast(graphs.select("dim", "shard"))
-        right = asks.join(wide.drop("shards"), "dim").join(there, "dim").select("dim", "shard", F.pmod(F.xxhash64("ask"), F.col("salts")).cast("int").alias("salt"), "beam", nothing.alias("graph"), nothing.alias("members"), "queries")
+        right = asks.join(wide.drop("shards"), "dim").join(there, "dim").where((F.col("home") < 0) | _asks(F.col("home"), F.col("shard"), F.col("shards"))).select("dim", "shard", F.pmod(F.xxhash64("home", "ask"), F.col("salts")).cast("int").alias("salt"), "beam", "home", nothing.alias("graph"), nothing.alias("members"), "queries")
         return left.unionByName(right).repartition(2 * n_tasks, "dim", "shard", "salt").sortWithinPartitions("dim", "shard", "salt", F.col("queries").isNotNull())
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """(dim, graph, members, None), then the same with (beam, queries) for each block that asks."""
+        """(dim, graph, members, None), then the same with (beam, whether they are members, queries) for each block
+        that asks."""
         dim = graph = members = None
         for batch in batches:
-            for d, beam, g, m, q in zip(batch.column("dim").to_pylist(), batch.column("beam").to_pylist(), batch.column("graph"), batch.column("members"), batch.column("queries")):
+            for d, shard, beam, home, g, m, q in zip(*(batch.column(c).to_pylist() for c in ("dim", "shard", "beam", "home")), *(batch.column(c) for c in ("graph", "members", "queries"))):
                 if g.is_valid:
+                    dim = graph = members = None  # the one before goes first
                     point, copies, raw = unpack(m.as_py())
                     dim, graph, members = d, Graph.from_bytes(g.as_py(), d), (point, copies, _unit(raw.reshape(-1, d)))
                     yield dim, graph, members, None
                 else:
                     point, copies, raw = unpack(q.as_py())
-                    yield dim, graph, members, (beam, point, copies, _unit(raw.reshape(-1, dim)))
+                    yield dim, graph, members, (beam, home == shard, point, copies, _unit(raw.reshape(-1, dim)))
 
     def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, graph, (m_point, _, m_unit), ask in asked(batches):
             if ask:
-                beam, q_point, _, q_unit = ask
+                beam, _, q_point, _, q_unit = ask
                 true, found = graph.judged(q_unit.astype(np.float32), threshold, beam, lambda k, hits: hits[(m_unit[hits] @ q_unit[k] >= threshold) & (m_point[hits] != q_point[k])])
                 some = true > 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), dim, dtype=np.int32)), pa.array(q_point[some]), pa.array(true[some]), pa.array(found[some])], ["dim", "point", "true", "found"])
@@ -454,7 +467,7 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
     while open_ := [d for d in n_points if d not in measured]:
         # a sample by hash: about as many points as are to be drawn, from all shards
         place, share = F.pmod(F.xxhash64("point", F.lit("audit")), F.lit(2**31)), F.broadcast(spark.createDataFrame([(d, draws[d] / n_points[d] * 2**31, -(-draws[d] // ASK)) for d in open_], "dim int, upto double, blocks int"))
-        drawn = dealt.join(share, "dim").where(place < F.col("upto")).withColumn("ask", F.pmod(F.xxhash64("point", F.lit("ask")), F.col("blocks")).cast("int"))
+        drawn = dealt.join(share, "dim").where(place < F.col("upto")).withColumn("home", F.lit(-1)).withColumn("ask", F.pmod(F.xxhash64("point", F.lit("ask")), F.col("blocks")).cast("int"))
         judged = scratch.store(met(drawn, {d: beams[d] for d in open_}).mapInArrow(audit, "dim int, point long, true long, found long"), batch_rows=1)
         each = judged.groupBy("dim", "point").agg((F.sum("found") / F.sum("true")).alias("share"))
         seen = {r["dim"]: (r["share"], r["tested"]) for r in each.groupBy("dim").agg(F.avg("share").alias("share"), F.count("*").alias("tested")).collect()}
@@ -485,14 +498,15 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
                     yield counted(*of_members)
                 of_members = m_point, np.zeros(len(m_point), dtype=np.int64)
                 continue
-            beam, q_point, q_copies, q_unit = ask
+            beam, members_ask, q_point, q_copies, q_unit = ask
             n_links = np.zeros(len(q_point), dtype=np.int64)
             parent: dict[int, int] = {}
             # a query may hit a whole shard: no more queries at once than would then fill the room
             for some in _slices(len(q_point), len(m_point)):
                 a, b = [q_point[:0]], [q_point[:0]]
                 for k, hits in enumerate(graph.within(q_unit[some].astype(np.float32), threshold, beam), some.start):
-                    hits = hits[m_point[hits] > q_point[k]]
+                    if members_ask:
+                        hits = hits[m_point[hits] > q_point[k]]
                     hits = hits[m_unit[hits] @ q_unit[k] >= threshold]
                     n_links[k] = m_copies[hits].sum()
                     of_members[1][hits] += q_copies[k]
@@ -505,7 +519,7 @@ def vector_groups(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec
         if of_members:
             yield counted(*of_members)
 
-    found = scratch.store(met(dealt, beams).mapInArrow(search, "a long, b long, n long"), batch_rows=1)
+    found = scratch.store(met(dealt.withColumn("home", F.col("shard")), beams).mapInArrow(search, "a long, b long, n long"), batch_rows=1)
     counts = found.where("b < 0").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b >= 0").select("a", "b"), scratch)
     per_point = points.join(counts, "point", "left").join(roots, F.col("point") == F.col("v"), "left").select("raw", F.coalesce("root", "point").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
