@@ -222,6 +222,8 @@ def steps(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
 #: Classes in which letters are counted, and how many of them are compared for all pairs; letters of a run, and
 #: classes in which runs are counted; pairs of texts that are told apart further at once.
 LETTERS, FIRST_LOOK, RUN, RUNS, SURVIVORS = 32, 20, 4, 1024, 20_000
+#: Pairs in whose time a step through names is made, and pairs that share pieces held at once.
+STEP, MOST_MET = 2000, 1 << 20
 
 
 def _counts(texts: list[np.ndarray], q: int, size: int, kind: type) -> np.ndarray:
@@ -244,56 +246,169 @@ def _counts(texts: list[np.ndarray], q: int, size: int, kind: type) -> np.ndarra
     return out
 
 
+class _Side:
+    """Texts in order of length, with what is compared of them."""
+
+    def __init__(self, texts: list[str]):
+        self.order = np.argsort([len(t) for t in texts], kind="stable")
+        self.codes = [_codes(texts[r]) for r in self.order.tolist()]
+        self.n = np.array([len(t) for t in self.codes], dtype=np.int64)
+        self.letters, self.runs = _counts(self.codes, 1, LETTERS, np.int16), _counts(self.codes, RUN, RUNS, np.uint8)
+        self.starts = np.cumsum(self.n) - self.n
+        flat = np.concatenate([*self.codes, np.zeros(0, np.uint32)]).astype(np.uint64) + np.uint64(1)
+        self.sums = np.zeros(len(flat) + 1, dtype=np.uint64)
+        np.cumsum(flat * _powers(_BASE, int(self.n.max(initial=0)))[np.arange(len(flat)) - np.repeat(self.starts, self.n)], out=self.sums[1:])
+
+    def named(self, rows: slice, place: int, size: int, back: np.uint64) -> np.ndarray:
+        """Names of the pieces of that many letters at a place of texts; equal pieces have equal names."""
+        at = self.starts[rows] + place
+        return (self.sums[at + size] - self.sums[at]) * back
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to n modulo 2 ** 64."""
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, base % 2**64, dtype=np.uint64)])
+
+
+def _pieces(length: int, edits: int) -> list[tuple[int, int, int]]:
+    """(place, letters, number from 1) of the pieces of a text of that length, one more than edits."""
+    cuts = [length * k // (edits + 1) for k in range(edits + 2)]
+    return [(x, y - x, k + 1) for k, (x, y) in enumerate(zip(cuts, cuts[1:]))]
+
+
 def near_pairs(left: list[str], right: list[str], accept: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """All pairs (places on the left, on the right, scores) with 1 - distance / longer length above accept, in
-    batches; no text is empty. Of every pair of like lengths letters are compared by their counts, then runs: d
-    edits change at most d letters, and RUN times d runs, of either text. What these bounds leave is aligned."""
-    n, order = np.array([len(t) for t in left], dtype=np.int64), np.argsort([len(t) for t in right], kind="stable")
-    left, right = [_codes(t) for t in left], [_codes(right[r]) for r in order.tolist()]
-    m = np.array([len(t) for t in right], dtype=np.int64)
-    mine, theirs = _counts(left, 1, LETTERS, np.int16), _counts(right, 1, LETTERS, np.int16)
-    varied = np.argsort(-theirs.var(axis=0), kind="stable")
-    mine, theirs = np.ascontiguousarray(mine[:, varied]), np.ascontiguousarray(theirs[:, varied])
-    columns, rest = np.ascontiguousarray(theirs[:, :FIRST_LOOK].T), theirs[:, FIRST_LOOK:]
-    runs_mine, runs_theirs = _counts(left, RUN, RUNS, np.uint8), _counts(right, RUN, RUNS, np.uint8)
-    most = lambda longer: np.ceil((1 - accept) * longer + 1e-9).astype(np.int64) - 1
-    lo, hi = np.searchsorted(m, accept * n - 1e-9, "right"), np.searchsorted(m, (n + 1e-9) / accept, "left")
-    total, step = (np.empty(len(right), dtype=np.int16) for _ in range(2))
-
-    def scored(ones: list[int], many: list[np.ndarray]):
-        i, j = np.repeat(np.array(ones), [len(x) for x in many]), np.concatenate(many)
-        longer = np.maximum(n[i], m[j])
-        here, there = runs_mine[i], runs_theirs[j]
+    batches; no text is empty.
+
+    The longer text of a pair is cut into one piece more than edits are allowed. Then for some k piece k is in the
+    other text unchanged, with k - 1 edits before it, so it has moved by less than k letters, and the rest of the
+    edits behind it (the first k pieces with less than k edits end with such a one). Texts meet where they share a
+    piece like that, found by its name; where there are fewer pairs than that would take steps, all pairs meet.
+    Pairs are then compared by counts of letters, and of runs: d edits change at most d letters, and RUN times d runs, of
+    either text. What these bounds leave is aligned."""
+    a, b = _Side(left), _Side(right)
+    varied = np.argsort(-b.letters.var(axis=0), kind="stable") if len(b.n) else np.arange(LETTERS)
+    for side in (a, b):
+        side.letters = np.ascontiguousarray(side.letters[:, varied])
+        side.columns = np.ascontiguousarray(side.letters[:, :FIRST_LOOK].T)
+    back = _powers(pow(_BASE, -1, 2**64), int(max(a.n.max(initial=0), b.n.max(initial=0))))
+    # of texts of one length the right one counts as the longer
+    for long, short, swap in ((b, a, True), (a, b, False)):
+        held, n = [], 0
+        for ones, many in _alike(long, short, accept, 0 if swap else 1, back):
+            held.append(np.stack([ones, many]))
+            n += len(ones)
+            if n >= SURVIVORS:
+                yield from _scored(long, short, np.concatenate(held, axis=1), accept, swap)
+                held, n = [], 0
+        if held:
+            yield from _scored(long, short, np.concatenate(held, axis=1), accept, swap)
+
+
+def _scored(long: _Side, short: _Side, pairs: np.ndarray, accept: float, swap: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for at in range(0, pairs.shape[1], SURVIVORS):
+        i, j = pairs[:, at : at + SURVIVORS]
+        here, there = long.runs[i], short.runs[j]
         differ = (np.maximum(here, there) - np.minimum(here, there)).sum(axis=1, dtype=np.int64)
-        like = differ + np.abs(np.maximum(n[i], RUN - 1) - np.maximum(m[j], RUN - 1)) <= 2 * RUN * most(longer)
-        i, j, longer = i[like], j[like], longer[like]
-        score = 1 - np.array(distances([(left[x], right[y]) for x, y in zip(i.tolist(), j.tolist())]), dtype=np.float64) / longer
+        like = differ + np.maximum(long.n[i], RUN - 1) - np.maximum(short.n[j], RUN - 1) <= 2 * RUN * _most(long.n[i], accept)
+        i, j = i[like], j[like]
+        score = 1 - np.array(distances([(long.codes[x], short.codes[y]) for x, y in zip(i.tolist(), j.tolist())]), dtype=np.float64) / long.n[i]
         good = score > accept
-        return i[good], order[j[good]], score[good]
+        i, j = long.order[i[good]], short.order[j[good]]
+        yield (j, i, score[good]) if swap else (i, j, score[good])
+
+
+def _most(longer, accept: float):
+    """The most edits of a pair above accept."""
+    return np.ceil((1 - accept) * longer + 1e-9).astype(np.int64) - 1
 
-    ones, many, held = [], [], 0
-    for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
-        if a >= b:
+
+def _alike(long: _Side, short: _Side, accept: float, less: int, back: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (places in long, places in short), each once, that their letters allow, with the text in short by that
+    much shorter at least."""
+    for length in np.unique(long.n):
+        edits = int(_most(length, accept))
+        first, end = np.searchsorted(long.n, [length, length + 1]).tolist()
+        lo, hi = np.searchsorted(short.n, [length - edits, length - less + 1]).tolist()
+        if lo >= hi:
+            continue
+        # a step for each piece and how far it may have moved
+        steps = [(*piece, by) for piece in _pieces(int(length), edits) for by in range(max(1 - piece[2], piece[2] - 1 - 2 * edits), piece[2])] if (edits + 1) ** 2 // 2 * STEP < (end - first) * (hi - lo) else None
+        if steps is None:
+            yield from _all_alike(long, short, range(first, end), lo, hi, edits)
+            continue
+        names = {place: _sorted_names(long.named(slice(first, end), place, size, back[place])) for place, size, k in _pieces(int(length), edits)}
+        todo = [(x, min(hi, x + MOST_MET)) for x in range(lo, hi, MOST_MET)]
+        while todo:
+            x, y = todo.pop()
+            met = _met(long, short, first, end, x, y, int(length), edits, steps, names, back)
+            if met is None:  # too many at once
+                todo += [(x, (x + y) // 2), ((x + y) // 2, y)]
+            elif len(met):
+                yield met // len(short.n), met % len(short.n)
+
+
+def _sorted_names(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct names, where each begins, how often it is there, places in order of names)."""
+    order = np.argsort(names, kind="stable")
+    distinct, begin, times = np.unique(names[order], return_index=True, return_counts=True)
+    return distinct, begin, times, order
+
+
+def _met(long: _Side, short: _Side, first: int, end: int, x: int, y: int, length: int, edits: int, steps: list, names: dict, back: np.ndarray) -> np.ndarray | None:
+    """Pairs as numbers (place in long times texts in short, and place in short) of long[first:end] and short[x:y] that
+    share a piece and that their letters allow; None if they are too many and there is more than one text in short."""
+    found, held = [np.zeros(0, dtype=np.int64)], 0
+    for place, size, k, by in steps:
+        # the edits behind the piece are no fewer than what lengths there differ by
+        after = edits + 1 - k
+        lowest, highest = max(length - after + by, place + by + size), length + after + by
+        if place + by < 0 or lowest > highest:
+            continue
+        lo, hi = (x + np.searchsorted(short.n[x:y], [lowest, highest + 1])).tolist()
+        if lo >= hi:
             continue
+        distinct, begin, times, order = names[place]
+        mine = short.named(slice(lo, hi), place + by, size, back[place + by])
+        at = np.minimum(np.searchsorted(distinct, mine), len(distinct) - 1)
+        j = np.flatnonzero(distinct[at] == mine)
+        at = at[j]
+        n = times[at]
+        total = int(n.sum())
+        if total > MOST_MET and y - x > 1:
+            return None
+        i = order[np.repeat(begin[at], n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)] + first
+        j = np.repeat(j + lo, n)
+        for some in range(0, total, SURVIVORS):
+            p, q = i[some : some + SURVIVORS], j[some : some + SURVIVORS]
+            like = np.abs(long.letters[p] - short.letters[q]).sum(axis=1, dtype=np.int32) <= 2 * edits - (length - short.n[q])
+            found.append(p[like] * len(short.n) + q[like])
+            held += len(found[-1])
+        if held > MOST_MET:
+            found = [np.unique(np.concatenate(found))]
+            held = len(found[0])
+            if held > MOST_MET // 2 and y - x > 1:
+                return None
+    return np.unique(np.concatenate(found))
+
+
+def _all_alike(long: _Side, short: _Side, rows: range, lo: int, hi: int, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of those rows in long and all of short[lo:hi] that their letters allow."""
+    total, step = (np.empty(hi - lo, dtype=np.int16) for _ in range(2))
+    for i in rows:
         # what letters may differ by: twice the most edits, less the difference in length
-        room = np.minimum(2 * most(np.maximum(m[a:b], n[i])) - np.abs(m[a:b] - n[i]), 32_000).astype(np.int16) if i == 0 or n[i] != n[i - 1] else room
-        t, s = total[: b - a], step[: b - a]
-        np.abs(np.subtract(columns[0, a:b], mine[i, 0], out=t), out=t)
+        room = np.minimum(2 * edits - (long.n[i] - short.n[lo:hi]), 32_000).astype(np.int16)
+        np.abs(np.subtract(short.columns[0, lo:hi], long.letters[i, 0], out=total), out=total)
         for k in range(1, FIRST_LOOK):
-            t += np.abs(np.subtract(columns[k, a:b], mine[i, k], out=s), out=s)
-        kept = np.flatnonzero(t <= room)
-        if len(kept):
-            kept = kept[t[kept] + np.abs(rest[a + kept] - mine[i, FIRST_LOOK:]).sum(axis=1, dtype=np.int16) <= room[kept]]
+            total += np.abs(np.subtract(short.columns[k, lo:hi], long.letters[i, k], out=step), out=step)
+        kept = np.flatnonzero(total <= room)
+        kept = kept[total[kept] + np.abs(short.letters[lo + kept, FIRST_LOOK:] - long.letters[i, FIRST_LOOK:]).sum(axis=1, dtype=np.int16) <= room[kept]]
         for at in range(0, len(kept), SURVIVORS):
-            some = kept[at : at + SURVIVORS] + a
-            ones.append(i)
-            many.append(some)
-            held += len(some)
-            if held >= SURVIVORS:
-                yield scored(ones, many)
-                ones, many, held = [], [], 0
-    if held:
-        yield scored(ones, many)
+            some = kept[at : at + SURVIVORS] + lo
+            yield np.full(len(some), i), some
 
 
 def align_all(pairs: list[tuple[str, str]]) -> list[list[dict]]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
@@ -75,29 +74,37 @@ def similar_match(left: DataFrame, right: DataFrame, key: str, order: str, accep
     """best_match() of texts s (left_id, s) and t (order, t) by 1 - distance / longer length. No pair is ever a
     row: texts of like lengths meet piece by piece, and a task compares a piece with a piece (near_pairs()).
 
-    Lengths fall into bands as wide as accept allows, so that similar texts are of one band or of neighbouring ones.
-    A piece of the left side is of one band, one of the right side of three; each has some megabytes of text,
-    however many rows a key or a band has. Each distinct text of a key is matched once. The work grows with
-    the pairs of like lengths, memory does not. accept is between 0 and 1, order is unique in a key; rows
-    with a null key or text and empty texts match nothing."""
+    A side's texts of a key are laid out by length and cut into pieces of some megabytes, however many rows a key or a
+    length has; a piece meets those of the other side whose lengths accept allows. Each distinct text of a key
+    is matched once. Memory does not grow with the input; the work does with the pairs of texts of like lengths that
+    share a run of letters. accept is between 0 and 1, order is unique in a key; rows with a null key or text and
+    empty texts match nothing."""
     tidy = lambda df, text, number: df.where(F.col(key).isNotNull() & (F.col(text) != "")).groupBy(F.col(key).alias("_key"), F.col(text).alias("_text")).agg(F.min(number).alias("_id"))
-    weight = F.length("_text") + TEXT_LETTERS
-    band = F.floor(F.log(F.length("_text")) / -math.log(accept)).cast("long").alias("_band")
-    lefts = tidy(left, "s", "left_id").select("_key", "_text", band)
-    rights = tidy(right, "t", order).select("_key", "_text", "_id", F.explode(F.sequence(band - 1, band + 1)).alias("_band"))
-    pieces = lambda name: F.ceil(F.sum(weight) / PIECE_LETTERS).alias(name)
-    # a row a key and band
-    plan = lefts.groupBy("_key", "_band").agg(pieces("_n")).join(rights.groupBy("_key", "_band").agg(pieces("_m")), ["_key", "_band"])
-    tiles = plan.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 1
-    piece = lambda n: F.pmod(F.xxhash64("_text"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    id_type = rights.schema["_id"].dataType
-    a = lefts.join(plan, ["_key", "_band"]).select("_key", "_band", piece("_n").alias("_i"), every("_m").alias("_j"), F.lit(0).alias("_side"), "_text", F.lit(None).cast(id_type).alias("_id"))
-    b = rights.join(plan, ["_key", "_band"]).select("_key", "_band", every("_n").alias("_i"), piece("_m").alias("_j"), F.lit(1).alias("_side"), "_text", "_id")
-    tile = ["_key", "_band", "_i", "_j"]
+
+    def pieces(texts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(texts with the number of their piece, the pieces' lengths)"""
+        # a row a key and length
+        w = W.partitionBy("_key").orderBy("_n")
+        sizes = texts.groupBy("_key", "_n").agg((F.count("*") * (F.col("_n") + TEXT_LETTERS)).alias("_w")).withColumn("_before", F.sum("_w").over(w) - F.col("_w"))
+        place = F.col("_before") + F.col("_w") * F.pmod(F.xxhash64("_text"), F.lit(2**30)) / 2**30
+        cut = lambda c: F.floor(c / PIECE_LETTERS).cast("long")
+        spans = sizes.select("_key", "_n", F.explode(F.sequence(cut(F.col("_before")), cut(F.col("_before") + F.col("_w")))).alias(name))
+        return texts.join(sizes, ["_key", "_n"]).select("_key", cut(place).alias(name), "_text", "_id"), spans.groupBy("_key", name).agg(F.min("_n").alias(name + "_lo"), F.max("_n").alias(name + "_hi"))
+
+    id_type = dict(right.dtypes)[order]
+    sized = lambda df: df.withColumn("_n", F.length("_text"))
+    lefts, left_pieces = pieces(sized(tidy(left, "s", "left_id").withColumn("_id", F.lit(None).cast(id_type))), "_i")
+    rights, right_pieces = pieces(sized(tidy(right, "t", order)), "_j")
+    # a row a tile
+    like = (F.col("_j_hi") >= accept * F.col("_i_lo") - 1e-6) & (F.col("_i_hi") >= accept * F.col("_j_lo") - 1e-6)
+    plan = left_pieces.join(right_pieces, "_key").where(like).select("_key", "_i", "_j")
+    tiles = plan.count() or 1
+    tile = ["_key", "_i", "_j"]
+    a = lefts.join(plan, ["_key", "_i"]).select(*tile, F.lit(0).alias("_side"), "_text", "_id")
+    b = rights.join(plan, ["_key", "_j"]).select(*tile, F.lit(1).alias("_side"), "_text", "_id")
     # as many tasks as tiles: small ones are much work too
     dealt = a.unionByName(b).repartition(max(left.sparkSession.sparkContext.defaultParallelism, min(2 * tiles, MOST_TILES)), *tile)
-    schema = T.StructType([T.StructField(key, left.schema[key].dataType), T.StructField("s", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField(order, id_type)])
+    schema = T.StructType([T.StructField(key, left.schema[key].dataType), T.StructField("s", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField(order, right.schema[order].dataType)])
     found = dealt.groupBy(*tile).applyInArrow(_best_in_tile(accept, schema.names), schema)
     best = found.groupBy(key, "s").agg(F.max_by(F.struct("score", order), F.struct("score", -F.col(order))).alias("best"))
     return left.select(key, "left_id", "s").join(best, [key, "s"]).select(key, "left_id", "best.*")

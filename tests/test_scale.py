@@ -147,3 +147,36 @@ def test_letters_of_a_batch_are_changed_together(spark):
         assert hangul._jamo_string.func(pa.array(texts)).to_pylist() == few and g2p._PLAIN.func(pa.array(["각", "이", None, "각이"])).to_pylist() == ["각", "이", None, "가기"]
     finally:
         _flat.LETTERS = whole
+
+
+def test_texts_that_share_no_piece_do_not_meet(monkeypatch):
+    import random
+
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choices("abcdefgh ", k=rnd.randrange(2, 9)))
+    texts = ["".join(word() for _ in range(rnd.randrange(1, 14))) for _ in range(260)]
+
+    def changed(t):
+        for _ in range(rnd.randrange(0, len(t) // 6 + 2)):
+            at = rnd.randrange(len(t) + 1)
+            t = t[:at] + rnd.choice(["", "x", "ab"]) + t[at + rnd.randrange(2) :]
+        return t or "a"
+
+    lefts, rights = texts[:200] + ["ab" * 30] * 3, [changed(t) for t in texts] + ["ab" * 30] * 9
+    monkeypatch.setattr(a, "STEP", 0)
+    monkeypatch.setattr(a, "MOST_MET", 16)
+    met, alike = 0, a._met
+
+    def counted(*args):
+        nonlocal met
+        found = alike(*args)
+        met += 0 if found is None else len(found)
+        return found
+
+    monkeypatch.setattr(a, "_met", counted)
+    for accept in (0.6, 0.85, 0.97):
+        want = [(i, j, 1 - d / max(len(x), len(y))) for i, x in enumerate(lefts) for j, (y, d) in enumerate(zip(rights, a.distances([(a._codes(x), a._codes(y)) for y in rights])))]
+        got = [f for x in a.near_pairs(lefts, rights, accept) for f in zip(*(v.tolist() for v in x))]
+        assert sorted(got) == [f for f in want if f[2] > accept] and len(got) > 60
+    # of all pairs few are compared
+    assert 0 < met < 3 * len(lefts) * len(rights) / 10
